@@ -284,3 +284,21 @@ DQ_ACTIVITY_WORDS = (
     "quality|validate|assertion|expectation|null|unique|range|regex|completeness|accuracy|consistency|threshold|"
     "reject|quarantine|constraint|rule|check|monitor|alert|warn|fail|pass"
 )
+
+# Word in a resource id to its display label, tried in this order.
+RESOURCE_LABELS = [
+    ("s3", "S3 Bucket"), ("lambda", "Lambda Function"), ("apigateway", "API Gateway"), ("glue", "Glue Job"),
+    ("redshift", "Redshift"), ("stepfunctions", "Step Function"), ("storage_accounts", "Storage Account"),
+    ("datafactory", "Data Factory"), ("functions", "Azure Function"), ("fabric", "Fabric Item"),
+    ("fabric_workspaces", "Fabric Workspace"),
+]
+
+# Aspects of a catalog entity.
+ASPECTS = ["datasetProperties", "dataFlowInfo", "dataJobInfo", "ownership", "upstreamLineage"]
+
+# Keys of the demonstration templates per platform, first one is the default.
+TEMPLATE_KEYS = {
+    "azure": ["adf-blob-to-sql", "synapse-spark-pipeline", "adf-api-ingestion"],
+    "databricks": ["dlt-bronze-silver", "spark-batch-job", "notebook-pipeline"],
+    "snowflake": ["sf-cdc-pipeline", "sf-dbt-pipeline", "sf-dynamic-tables"],
+}

@@ -279,6 +279,9 @@ def display_name(c: Column) -> Column:
     """Resource id to struct(title, subtitle)."""
     work = F.element_at(F.split(c, r" \|\| "), -1)
     cut = clean_resource_name(work)
+    low = F.lower(c)
+    kind = F.coalesce(*[F.when(low.contains(w), F.lit(label)) for w, label in rules.RESOURCE_LABELS],
+                      F.lit("Lambda Function"))
     return (
         F.when(work.startswith("s3://"),
                F.struct(F.split(work, "/")[2].alias("title"), F.lit("S3 Bucket").alias("subtitle")))
@@ -288,5 +291,31 @@ def display_name(c: Column) -> Column:
                        F.upper(F.coalesce(F.nullif(F.try_element_at(F.split(work, ":"), F.lit(3)), F.lit("")),
                                           F.lit("service"))).alias("subtitle")))
         .otherwise(F.struct(F.when(F.length(cut) > 24, F.concat(F.substring(cut, 1, 22), F.lit("...")))
-                            .otherwise(cut).alias("title"), F.lit("Resource").alias("subtitle")))
+                            .otherwise(cut).alias("title"), kind.alias("subtitle")))
     )
+
+
+def substrings(c: Column, lengths: Column) -> Column:
+    """Distinct substrings of ``c`` that have one of the given lengths.
+
+    Turns "contains" into an equi-join: the searched words' lengths are few, so a text of
+    n characters gives at most n keys per length.
+    """
+    usable = F.filter(lengths, lambda n: (n > 0) & (n <= F.length(c)))
+    return F.array_distinct(F.flatten(F.transform(
+        usable, lambda n: F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: c.substr(i, n)))))
+
+
+def platform_by_name(name: Column, hint: Column) -> Column:
+    """Platform of a pipeline: the hint, else words in its name, group by group."""
+    low = F.lower(name)
+    by_word = F.coalesce(*[F.when(contains_any(low, words), F.lit(p)) for p, words in rules.PLATFORM_WORDS],
+                         F.lit("unknown"))
+    return F.coalesce(F.lower(F.nullif(hint, F.lit(""))), by_word)
+
+
+def template_for(name: Column, platform: str) -> Column:
+    """Template whose key holds the name or lies within it; the first is the default."""
+    keys = rules.TEMPLATE_KEYS[platform]
+    low = F.lower(name)
+    return F.coalesce(*[F.when(F.lit(k).contains(low) | low.contains(k), F.lit(k)) for k in keys], F.lit(keys[0]))

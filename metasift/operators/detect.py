@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -10,46 +11,66 @@ from pyspark.sql import functions as F
 from metasift.functions import rules
 from metasift.operators.jsonwalk import walk
 from metasift.operators.payload import with_text
+from metasift.session import spread
 
 CATEGORIES = ("framework", "source", "ingestion", "dq_rules")
 HIT = "array<struct<rule_order:int,label:string,evidence:string>>"
 
 
-def rule_hits(text: Column, rule_list, evidence: str, base: int = 0) -> Column:
+def literal_stem(pattern: str) -> str:
+    """Longest literal run every match of ``pattern`` must hold; '' when there is none."""
+    best, run = "", ""
+    for op, arg in re._parser.parse(pattern):
+        if str(op) == "LITERAL":
+            run += chr(arg)
+            best = max(best, run, key=len)
+        elif str(op) != "AT":
+            run = ""
+    return best
+
+
+def sql_text(value: str) -> str:
+    """A Spark SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def matches(text: str, pattern: str) -> str:
+    """SQL condition: ``rlike`` behind a plain ``contains`` of the pattern's literal part.
+
+    The byte search rejects nearly every row, so the regex seldom runs on long texts.
+    """
+    stem = literal_stem(pattern)
+    hit = f"{text} rlike {sql_text(pattern)}"
+    return f"contains({text}, {sql_text(stem)}) and {hit}" if stem else hit
+
+
+def rule_hits(text: str, rule_list, evidence: str, base: int = 0) -> Column:
     """Array of (rule_order, label, evidence), one per rule whose first matching pattern is the evidence.
 
-    Patterns are literals, so each compiles once; the alternation of a rule's patterns
-    is tried first and the single patterns only on a hit.
+    ``text`` names a lower-case column.  Patterns are literals, so each compiles once.
     """
     hits = []
     for i, (label, patterns) in enumerate(rule_list):
-        which = F.coalesce(*[F.when(text.rlike("(?i)" + p), F.lit(p)) for p in patterns])
-        if len(patterns) > 1:
-            which = F.when(text.rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns)), which)
-        proof = F.concat(F.lit(evidence + " '"), which, F.lit("' → " + label))
-        hits.append(
-            F.when(which.isNotNull(), F.struct(F.lit(base + i).alias("rule_order"), F.lit(label).alias("label"),
-                                               proof.alias("evidence")))
-        )
-    return F.array_compact(F.array(*hits)).cast(HIT)
+        arms = " ".join(
+            f"when {matches(text, p)} then named_struct('rule_order', {base + i}, 'label', {sql_text(label)}, "
+            f"'evidence', {sql_text(f"{evidence} '{p}' → {label}")})" for p in patterns)
+        hits.append(f"case {arms} end")
+    return F.expr(f"array_compact(array({', '.join(hits)}))").cast(HIT)
 
 
-def suite_hit(text: Column, raw: Column) -> Column:
+def suite_hit(text: str, raw: str) -> Column:
     """Expectation-suite marker; a named suite or checkpoint carries its name."""
-    def named(key: str) -> Column:
-        return F.concat(
-            F.lit("Great Expectations Suite: "),
-            F.nullif(F.regexp_extract(raw, f'(?i)"{key}"\\s*:\\s*"([^"]+)"', 1), F.lit("")),
-        )
-
-    plain = F.lit("Great Expectations")
     arms = []
     for p in rules.SUITE_MARKERS:
-        label = named(p) if p in ("suite_name", "checkpoint_name") else plain
-        arms.append(F.when(text.rlike("(?i)" + p) & label.isNotNull(),
-                           F.struct(F.lit(0).alias("rule_order"), label.alias("label"),
-                                    F.lit(f"suite marker '{p}'").alias("evidence"))))
-    return F.array_compact(F.array(F.coalesce(*arms))).cast(HIT)
+        label, extra = "'Great Expectations'", ""
+        if p in ("suite_name", "checkpoint_name"):
+            name = sql_text(f'(?i)"{p}"\\s*:\\s*"([^"]+)"')
+            label = f"concat('Great Expectations Suite: ', regexp_extract({raw}, {name}, 1))"
+            extra = f" and {raw} rlike {name}"
+        proof = sql_text(f"suite marker '{p}'")
+        arms.append(f"when {matches(text, p)}{extra} then named_struct('rule_order', 0, 'label', {label}, "
+                    f"'evidence', {proof})")
+    return F.expr(f"array_compact(array(case {' '.join(arms)} end))").cast(HIT)
 
 
 def combination_hits(found: Column, base: int = 1000) -> Column:
@@ -64,7 +85,7 @@ def combination_hits(found: Column, base: int = 1000) -> Column:
 
 def category_hits(category: str, raw: str = "raw_json") -> Column:
     """All text hits of one category on a frame from :func:`with_text`."""
-    txt = F.col("txt")
+    txt = "txt"
     if category == "framework":
         return rule_hits(txt, rules.FRAMEWORK_RULES, "pattern match")
     if category == "source":
@@ -72,7 +93,7 @@ def category_hits(category: str, raw: str = "raw_json") -> Column:
     if category == "ingestion":
         return rule_hits(txt, rules.INGESTION_RULES, "ingestion pattern")
     return F.concat(
-        suite_hit(txt, F.col(raw)),
+        suite_hit(txt, raw),
         rule_hits(txt, rules.SQL_CHECK_RULES, "SQL DQ pattern", 200),
         rule_hits(txt, rules.DQ_TOOL_RULES, "custom DQ pattern", 300),
     )
@@ -81,7 +102,7 @@ def category_hits(category: str, raw: str = "raw_json") -> Column:
 def detect_text(payloads: DataFrame, category: str) -> DataFrame:
     """Long detections of one category from the payload text: narrow, no shuffle."""
     return (
-        with_text(payloads)
+        with_text(spread(payloads, "payload_id"))
         .select("payload_id", F.explode(category_hits(category)).alias("h"))
         .select("payload_id", F.lit(category).alias("category"), "h.*")
     )
@@ -136,9 +157,9 @@ def entity_name_hits(entities: DataFrame) -> DataFrame:
     """Ingestion rules over the names of job and flow entities."""
     name = F.concat(F.coalesce("name", F.lit("")),
                     F.coalesce("description", F.lit("")) if "description" in entities.columns else F.lit(""))
-    hits = rule_hits(name, rules.INGESTION_RULES, "entity name pattern", 500)
+    hits = rule_hits("nm", rules.INGESTION_RULES, "entity name pattern", 500)
     return (
-        entities.where(F.col("type").isin(*rules.JOB_ENTITY_TYPES))
+        entities.withColumn("nm", F.lower(name)).where(F.col("type").isin(*rules.JOB_ENTITY_TYPES))
         .select("entity_id", F.explode(hits).alias("h"))
         .select("entity_id", "h.label", "h.evidence")
     )
@@ -209,7 +230,7 @@ def analyze(payloads: DataFrame) -> DataFrame:
 
     Expectation labels come from the JSON text by pattern, in order of appearance.
     """
-    df = with_text(payloads)
+    df = with_text(spread(payloads, "payload_id"))
     types = F.array_distinct(
         F.regexp_extract_all("raw_json", F.lit(r'"expectation_type"\s*:\s*"([^"]+)"'), F.lit(1)))
 
@@ -294,6 +315,13 @@ def default_registry() -> DetectorRegistry:
     return reg
 
 
+def tagged(category: str, hits: Column) -> Column:
+    """Hits with their category beside them."""
+    return F.transform(hits, lambda h: F.struct(
+        F.lit(category).alias("category"), h["rule_order"].alias("rule_order"), h["label"].alias("label"),
+        h["evidence"].alias("evidence")))
+
+
 def custom_rule_detector(rule_rows: list[tuple[str, str, str]]) -> Callable[[DataFrame], DataFrame]:
     """Detector from user rows ``(category, label, pattern)``; patterns become literals."""
     by_cat: dict[str, dict[str, list[str]]] = {}
@@ -302,12 +330,8 @@ def custom_rule_detector(rule_rows: list[tuple[str, str, str]]) -> Callable[[Dat
 
     def run(payloads: DataFrame) -> DataFrame:
         df = with_text(payloads)
-        arrays = [
-            F.transform(rule_hits(F.col("txt"), list(labels.items()), "user rule"),
-                        lambda h, cat=cat: F.struct(F.lit(cat).alias("category"), h["rule_order"].alias("rule_order"),
-                                                    h["label"].alias("label"), h["evidence"].alias("evidence")))
-            for cat, labels in by_cat.items()
-        ]
+        arrays = [tagged(cat, rule_hits("txt", list(labels.items()), "user rule"))
+                  for cat, labels in by_cat.items()]
         return df.select("payload_id", F.explode(F.concat(*arrays)).alias("h")).select("payload_id", "h.*")
 
     return run

@@ -49,6 +49,7 @@ def walk(
     containers: bool = False,
     list_leaves: bool = False,
     bounded: bool = False,
+    keep_empty: bool = False,
     root: str = "",
 ) -> DataFrame:
     """One row per JSON leaf, and per object/array too with ``containers``.
@@ -56,7 +57,8 @@ def walk(
     Columns: the ids, ``path``, ``parent``, ``key``, ``depth``, ``kind``, ``value``
     (JSON text) and ``ord``, which sorts a document's rows depth first by array position,
     then key.  A document nested deeper than ``max_depth`` fails the job rather than
-    losing leaves; ``bounded`` asks for the cut-off instead.
+    losing leaves; ``bounded`` asks for the cut-off instead.  ``keep_empty`` keeps ``{}``
+    (and ``[]``) as leaves.
     """
     spark = df.sparkSession
     step = "array<struct<pos:int,key:string>>"
@@ -105,7 +107,7 @@ def walk(
     if not bounded:
         value = F.when(deep, F.raise_error(F.lit(f"document nests deeper than max_depth={max_depth}"))).otherwise(value)
     out = state.select(*ids, "path", "parent", "key", "depth", kind_of(v).alias("kind"), value.alias("value"), "ord")
-    if containers:
+    if containers or keep_empty:
         return out
     return out.where("kind <> 'object'" if list_leaves else "kind not in ('object', 'array')")
 

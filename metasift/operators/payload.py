@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from metasift.operators.jsonwalk import as_variant, list_of, object_of, text_of
+from metasift.session import spread
 
 SURFACES = ("metadata", "config", "raw_json")
 
@@ -40,29 +41,22 @@ def truthy_scalar(v: Column) -> Column:
 
 def with_lookups(df: DataFrame) -> DataFrame:
     """Add per-surface maps of truthy scalars, parsed once per row, for :func:`find_key`."""
-    for s in SURFACES:
-        scalars = F.map_filter(
+    return spread(df, "payload_id").select("*", *[
+        F.coalesce(F.map_filter(
             F.transform_values(object_of(as_variant(F.col(s))), lambda _, v: truthy_scalar(v)),
-            lambda k, v: v.isNotNull(),
-        )
-        df = df.withColumn(f"{s}_m", F.coalesce(scalars, F.create_map().cast("map<string,string>")))
-    return df
-
-
-def any_case(m: Column, key: str) -> Column:
-    """Value of the first map key that equals ``key`` in any case."""
-    hit = F.filter(F.map_entries(m), lambda e: F.lower(e["key"]) == key.lower())
-    return F.try_element_at(hit, F.lit(1))["value"]
+            lambda _, v: v.isNotNull(),
+        ), F.create_map().cast("map<string,string>")).alias(f"{s}_m") for s in SURFACES
+    ]).select("*", *[F.transform(F.map_keys(f"{s}_m"), F.lower).alias(f"{s}_k") for s in SURFACES])
 
 
 def find_key(*keys: str) -> Column:
     """First value of any key: surface by surface, exact spelling before any-case."""
     arms = []
     for s in SURFACES:
-        m = F.col(f"{s}_m")
-        arms += [F.try_element_at(m, F.lit(k)) for k in keys]
-        arms += [any_case(m, k) for k in keys]
-    return F.coalesce(*arms)
+        arms += [f"{s}_m['{k}']" for k in keys]
+        arms += [f"try_element_at(map_values({s}_m), cast(nullif(array_position({s}_k, '{k.lower()}'), 0) as int))"
+                 for k in keys]
+    return F.expr(f"coalesce({', '.join(arms)})")
 
 
 def find_in_inventory(assets: DataFrame, keys: list[str]) -> DataFrame:

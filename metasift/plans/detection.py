@@ -107,7 +107,7 @@ def detect_ge_suite(spark, sf):
     e = fixture(spark, sf, "fx_expectation")
     p = fixture(spark, sf, PAYLOAD).select((F.col("payload_id") + 1000000000).alias("payload_id"), "raw_json")
     both = e.unionByName(p).withColumn("txt", F.lower("raw_json"))
-    return both.select("payload_id", F.try_element_at(dt.suite_hit(F.col("txt"), F.col("raw_json")), F.lit(1))["label"]
+    return both.select("payload_id", F.try_element_at(dt.suite_hit("txt", "raw_json"), F.lit(1))["label"]
                        .alias("label"))
 
 
@@ -127,7 +127,7 @@ def dq_rule_query(ident, key, rule_list, lead, base):
     @query(ident, key, oracle, PAYLOAD)
     def run(spark, sf):
         p = pl.with_text(fixture(spark, sf, PAYLOAD))
-        return p.select("payload_id", F.explode(dt.rule_hits(F.col("txt"), rule_list, lead, base)).alias("h")).select(
+        return p.select("payload_id", F.explode(dt.rule_hits("txt", rule_list, lead, base)).alias("h")).select(
             "payload_id", "h.label")
 
 

@@ -3,7 +3,7 @@ import os, sys, time, traceback
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from metasift.session import local_session
 from metasift.plans import load_all
-from tests.harness import compare, duck
+from tests.harness import TIMES, compare, duck
 
 sf = os.environ.get("SF", "/root/testdata/sf0.01")
 spark = local_session(8)
@@ -25,5 +25,5 @@ for key, e in entries.items():
         bad += 1
         print(f"FAIL {e.ident} {key} {time.time()-t:.1f}s {err}", flush=True)
     elif os.environ.get("V"):
-        print(f"ok   {e.ident} {key} {time.time()-t:.1f}s", flush=True)
+        print(f"ok   {e.ident} {key} spark {TIMES.get(key,0):.1f}s total {time.time()-t:.1f}s", flush=True)
 print("failures", bad)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import decimal
 import math
+import time
 
 import duckdb
 
@@ -41,6 +42,8 @@ def rows_of(cols, rows):
     return sorted(cols), sorted(out, key=repr)
 
 
+TIMES: dict[str, float] = {}
+
 KINDS = {
     "bigint": "int", "int": "int", "smallint": "int", "tinyint": "int", "integer": "int",
     "hugeint": "huge", "string": "str", "varchar": "str", "double": "float", "float": "float",
@@ -50,8 +53,10 @@ KINDS = {
 
 def compare(spark, con, entry, sf_dir):
     """Return an error text, or None when both engines agree."""
+    t0 = time.time()
     df = entry.run(spark, sf_dir)
     got = [tuple(r) for r in df.collect()]
+    TIMES[entry.key] = time.time() - t0
     gc, gr = rows_of(df.columns, got)
     if entry.oracle is None:
         return None if got else "no rows"
