@@ -136,5 +136,32 @@ select o_orderkey as id, case when o_orderkey % 17 = 0 then null else o_custkey
 union all
 select o_orderkey, case when o_orderkey % 17 = 0 then null else o_custkey end, case when o_orderkey % 13 = 0 then 'abc' else cast(cast(floor(o_totalprice) as bigint) as string) end,
  case when o_orderkey % 19 = 0 then 'bad' else concat('u', o_custkey, '@x.com') end, o_orderdate from orders where o_orderpriority = '1-URGENT'
+""",
+    "fx_adf": r"""
+select o_orderkey as payload_id,
+ concat('{"platform":"adf","workspaceId":"ws-', o_custkey % 4, '"}') as metadata,
+ concat('{"region":"r1"', case when o_orderkey % 7 = 0 then ',"output":"lake_out"' else '' end, '}') as config,
+ concat('{"type":"', case when o_orderkey % 2 = 0 then 'adf_pipeline' else 'ADF_Pipeline' end, '","name":"pipe_', o_custkey, '","activities":[',
+  '{"name":"Load","type":"Copy","dependsOn":[{"activity":"Fetch"}],"typeProperties":{"source":{"type":"x","datasetSettings":',
+  case o_custkey % 3 when 0 then '{"type":"LakehouseTable","path":"raw/a"}' when 1 then '{"type":"AzureBlob","fileName":"f.csv"}' else '{"type":"DelimitedText","columnDelimiter":";"}' end,
+  '},"sink":{"type":"AzureSqlTable","table":"t_', o_custkey % 9, '"}}},',
+  '{"name":"Fetch","type":"WebActivity","dependsOn":[],"typeProperties":{"url":"https://host/api/v', o_custkey % 5, '","method":"GET"}},',
+  '{"name":"Check","type":"IfCondition","dependsOn":["Load"]},',
+  '{"name":"Notify Team","type":"Office365Email","dependsOn":[{"activity":"Check"},{"activity":"Ghost"}]}],',
+  case when o_orderkey % 3 = 0 then '"connection":"c1","trigger":"Tumbling","schedule":"0 2 * * *"}' else '"identity":"ManagedIdentity","recurrence":{"frequency":"Day","interval":1}}' end) as raw_json
+from orders
+""",
+    "fx_fabric": r"""
+select p_partkey as pipeline_id, case when p_size % 5 = 0 then 's3' else 'fabric_items' end as service,
+ concat('fabric || item_', p_size) as id,
+ concat('{"Type":"', case p_partkey % 3 when 0 then 'DataPipeline' when 1 then 'Pipeline' else 'Notebook' end, '","WorkspaceId":"w', p_size % 3, '","Definition":{"pipeline-content.json":{"properties":{"activities":[',
+  '{"name":"Clean","type":"TridentNotebook","dependsOn":[{"activity":"Copy In"}]},{"name":"Copy In","type":"Copy","dependsOn":[],"typeProperties":{"source":{"datasetSettings":{"type":"Parquet","path":"onelake/p', p_size % 4, '"}}}}]}}}}') as configuration
+from part
+""",
+    "fx_capability": r"""
+select l_orderkey as report_id, l_linenumber as seq,
+ concat(case l_suppkey % 9 when 0 then 'http_call' when 1 then 'foreach_x' when 2 then 'if_condition' when 3 then 'email_team' when 4 then 'load_csv' when 5 then 'copy_table' when 6 then 'event_in' else 'step' end, '_', l_linenumber) as node_id,
+ case l_partkey % 4 when 0 then 'source' when 1 then 'ingestion' when 2 then 'process' else 'validation' end as node_type
+from lineitem
 """,
 }
