@@ -11,6 +11,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from metasift.functions import rules
 from metasift.functions import text as tx
@@ -107,7 +108,12 @@ def dependency_edges(acts: DataFrame) -> DataFrame:
         P, "from_idx", F.col("dep").alias("from_name"), "to_idx", "to_name", "dep_pos")
 
 
-@F.pandas_udf("array<struct<idx:int,pos:int,level:int,cyclic:boolean>>")
+PLACES = T.ArrayType(T.StructType([
+    T.StructField("idx", T.IntegerType()), T.StructField("pos", T.IntegerType()),
+    T.StructField("level", T.IntegerType()), T.StructField("cyclic", T.BooleanType())]))
+
+
+@F.pandas_udf(PLACES)
 def kahn_order(groups: pd.Series) -> pd.Series:
     """First-in-first-out topological order of one list of (idx, name, deps) per row.
 

@@ -29,7 +29,7 @@ def flagged(spark, sf):
     return a, e, cut_lineage(ac.terminal_and_roots(a, e))
 
 
-EDGES = """e as (select a.pipeline_id, b.idx as from_idx, a.depends_on as from_name, a.idx as to_idx, a.name as to_name
+EDGES = """e as materialized (select a.pipeline_id, b.idx as from_idx, a.depends_on as from_name, a.idx as to_idx, a.name as to_name
  from fx_activity a join fx_activity b on a.pipeline_id = b.pipeline_id and a.depends_on = b.name)"""
 LEVELS = """lv(pipeline_id, idx, level) as (select pipeline_id, idx, 0 from fx_activity where depends_on is null
  union all select e.pipeline_id, e.to_idx, lv.level + 1 from lv join e on e.pipeline_id = lv.pipeline_id and e.from_idx = lv.idx)"""
@@ -159,9 +159,9 @@ def detect_data_format(spark, sf):
 KIND = "case when type = 'IfCondition' then 'validation' when type = 'Copy' then 'ingestion' else 'process' end"
 GRAPH = f"""s as (select pipeline_id, row_number() over (partition by pipeline_id order by pos) as i from c),
 k as (select * from fx_activity where type <> 'Office365Email'),
-ke as (select e.* from e join k a on a.pipeline_id = e.pipeline_id and a.idx = e.from_idx join k b on b.pipeline_id = e.pipeline_id and b.idx = e.to_idx),
+ke as materialized (select e.* from e join k a on a.pipeline_id = e.pipeline_id and a.idx = e.from_idx join k b on b.pipeline_id = e.pipeline_id and b.idx = e.to_idx),
 r as (select pipeline_id, name, row_number() over (partition by pipeline_id order by idx) as i from k
- where (pipeline_id, idx) not in (select pipeline_id, to_idx from ke))"""
+ left join (select distinct pipeline_id, to_idx as idx, true as fed from ke) x using (pipeline_id, idx) where fed is null)"""
 
 
 @query("R15", "flow_graph", f"""

@@ -34,7 +34,7 @@ def with_fixtures(sql: str, *names: str) -> str:
     sql = textwrap.dedent(sql).strip()
     if not names:
         return sql
-    ctes = ",\n".join(f"{n} as ({FIXTURES[n].strip()})" for n in names)
+    ctes = ",\n".join(f"{n} as materialized ({FIXTURES[n].strip()})" for n in names)
     low = sql.lower()
     if low.startswith("with recursive "):
         return f"with recursive {ctes},\n{sql[15:]}"

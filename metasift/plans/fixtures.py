@@ -163,5 +163,23 @@ select l_orderkey as report_id, l_linenumber as seq,
  concat(case l_suppkey % 9 when 0 then 'http_call' when 1 then 'foreach_x' when 2 then 'if_condition' when 3 then 'email_team' when 4 then 'load_csv' when 5 then 'copy_table' when 6 then 'event_in' else 'step' end, '_', l_linenumber) as node_id,
  case l_partkey % 4 when 0 then 'source' when 1 then 'ingestion' when 2 then 'process' else 'validation' end as node_type
 from lineitem
+""",
+    "fx_dump": r"""
+select p_partkey as payload_id,
+ concat('{"raw_cloud_dump":[{"s3":[{"id":"us-east-1 || ', p_name, '","configuration":{"Region":"r', p_size % 4, '"}},"loose ', p_partkey, '",null,"  "],"lambda":"not a list","glue":[{"id":"us-west-2 || g', p_size, '"}]}',
+  case when p_partkey % 3 = 0 then ',"junk"' when p_partkey % 3 = 1 then concat(',{"s3":[{"id":"eu || second', p_size, '","configuration":{"Region":"eu"}}],"sns":[7]}') else '' end, ']}') as raw_json
+from part
+""",
+    "fx_connector": r"""
+select o_orderkey as payload_id,
+ concat('{"name":"job_', o_custkey % 50, '","platform":"custom","Snowflake_Account":"acct', o_custkey % 3, '","warehouse":"wh', o_custkey % 4, '","role":"r', o_custkey % 2, '"',
+  case when o_orderkey % 2 = 0 then concat(',"region":"us-east-', o_custkey % 3, '"') else '' end, case when o_orderkey % 5 = 0 then concat(',"project":"proj', o_custkey % 5, '"') else '' end, '}') as metadata,
+ concat('{"input":"', case o_custkey % 4 when 0 then 's3://lake-a/x s3a://lake-b/y' when 1 then 'abfss://raw@acct/p' when 2 then 'gs://bucket-1/z' else 'jdbc:redshift://wh:5439/dev' end,
+  '","database":"db', o_custkey % 6, '","schema":"sc","username":"u', o_custkey % 8, '","bootstrap_servers":"b:9092","security_protocol":"SSL","port":', case when o_orderkey % 3 = 0 then 0 else 5000 + o_custkey % 3 end,
+  ',"num_workers":', o_custkey % 4, ',"Schedule":"@daily","auth_type":"oauth"', case when o_orderkey % 4 = 0 then ',"api_key":"k1","aws_access_key_id":"AK"' else '' end, ',"dag_id":"dag_', o_custkey % 9, '","connector_id":"c', o_custkey % 7, '"}') as config,
+ concat('{"cmd":"spark-submit --packages org.x:y:1 kafka.topic=orders_', o_custkey % 3, ' tags=[a;b] dbt model=m', o_custkey % 3, ' linked_service=ls', o_custkey % 4, '","iam":"arn:aws:iam::123:role/r', o_custkey % 5,
+  '","sm":"arn:aws:states:us-east-1:123:stateMachine:sm', o_custkey % 3, '","fn":"arn:aws:lambda:us-east-1:123:function:f', o_custkey % 4, '","urls":["https://h/api/v', o_custkey % 3, '","jdbc:postgresql://db', o_custkey % 4, ':5432/x"],"bq_dataset":"ds', o_custkey % 2,
+  '","factory_name":"adf', o_custkey % 3, '","master":"yarn","template":"tpl","target":"prod","topics":"a;b","state_machine_name":"sm","cluster_id":"cl', o_custkey % 6, '","runtime":"py3","azure_tenant_id":"tn"}') as raw_json
+from orders
 """,
 }
