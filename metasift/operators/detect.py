@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from metasift.functions import rules
 from metasift.operators.jsonwalk import walk
 from metasift.operators.payload import with_text
-from metasift.session import spread
 
 CATEGORIES = ("framework", "source", "ingestion", "dq_rules")
 HIT = "array<struct<rule_order:int,label:string,evidence:string>>"
@@ -102,7 +101,7 @@ def category_hits(category: str, raw: str = "raw_json") -> Column:
 def detect_text(payloads: DataFrame, category: str) -> DataFrame:
     """Long detections of one category from the payload text: narrow, no shuffle."""
     return (
-        with_text(spread(payloads, "payload_id"))
+        with_text(payloads)
         .select("payload_id", F.explode(category_hits(category)).alias("h"))
         .select("payload_id", F.lit(category).alias("category"), "h.*")
     )
@@ -230,7 +229,7 @@ def analyze(payloads: DataFrame) -> DataFrame:
 
     Expectation labels come from the JSON text by pattern, in order of appearance.
     """
-    df = with_text(spread(payloads, "payload_id"))
+    df = with_text(payloads)
     types = F.array_distinct(
         F.regexp_extract_all("raw_json", F.lit(r'"expectation_type"\s*:\s*"([^"]+)"'), F.lit(1)))
 

@@ -251,14 +251,16 @@ def storage_config(payloads: DataFrame, assets: DataFrame, cap: int = 25) -> Dat
     fields = {
         "s3.bucket_count": F.when(has_s3, F.when(buckets > 0, buckets).otherwise(F.size(text_buckets))),
         "s3.path_count": F.when(has_s3, F.when(F.size(s3) > 0, F.size(s3)).otherwise(buckets)),
-        "s3.paths": text(s3), "s3.buckets": F.when(has_s3, F.coalesce("buckets", text(text_buckets))), "s3.regions": F.col("regions"),
+        "s3.paths": text(s3), "s3.buckets": F.when(has_s3, F.coalesce("buckets", text(text_buckets))),
         "azure.account_count": F.when(has_az, F.col("account_count")), "azure.accounts": F.when(has_az, F.col("accounts")),
-        "azure.locations": F.when(has_az, F.col("locations")), "azure.hierarchical_namespace_enabled": F.when(has_az, F.col("any_hns")),
+        "azure.hierarchical_namespace_enabled": F.when(has_az, F.col("any_hns")),
         "gcs.path_count": F.when(F.size(gs) > 0, F.size(gs)), "gcs.paths": text(gs),
         "snowflake.account": account, "snowflake.warehouse": F.when(account.isNotNull(), find_key("warehouse", "snowflake_warehouse")),
         "bigquery.dataset": dataset, "bigquery.project_id": F.when(dataset.isNotNull(), find_key("gcp_project_id", "project_id", "project")),
     }
-    return config_rows(j, "storage", fields).drop("extractor")
+    places = inv.storage_values(assets).select(
+        "payload_id", F.concat(F.when(F.col("field") == "locations", "azure.").otherwise("s3."), "field").alias("field"), "value")
+    return config_rows(j, "storage", fields).drop("extractor").unionByName(places)
 
 
 def onelake_config(assets: DataFrame, cap: int = 25) -> DataFrame:

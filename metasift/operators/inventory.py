@@ -199,14 +199,10 @@ def first_asset(assets: DataFrame, service: str) -> DataFrame:
         F.min_by(F.struct("id", "configuration"), F.struct("dump_pos", "item_pos")).alias("a")).select("payload_id", "a.*")
 
 
-def ordered_values(assets: DataFrame, value: Column, cap: int | None = None) -> DataFrame:
-    """Distinct values per payload in order of first appearance, ``(payload_id, value, rn)``.
-
-    Repeats collapse map-side; a cap becomes a group limit before the shuffle.
-    """
+def ordered_values(assets: DataFrame, value: Column) -> DataFrame:
+    """Distinct values per payload with their first place ``(payload_id, value, at)``; repeats collapse map-side."""
     v = assets.select("payload_id", value.alias("value"), F.struct("dump_pos", "item_pos").alias("at")).where("value is not null")
-    once = v.groupBy("payload_id", "value").agg(F.min("at").alias("at"))
-    return first_n(once, ["payload_id"], ["at"], cap) if cap else once
+    return v.groupBy("payload_id", "value").agg(F.min("at").alias("at"))
 
 
 def joined(values: DataFrame, name: str, order: str = "rn") -> DataFrame:
@@ -216,7 +212,7 @@ def joined(values: DataFrame, name: str, order: str = "rn") -> DataFrame:
 
 
 def storage_rollup(assets: DataFrame, cap: int = 25) -> DataFrame:
-    """Bucket and account counts, first names, regions, locations, any hierarchical namespace."""
+    """Bucket and account counts, first names, any hierarchical namespace."""
     s3 = assets.where("service = 's3'")
     az = assets.where("service = 'storage_accounts'")
     name = tx.asset_name(F.col("id"))
@@ -225,12 +221,26 @@ def storage_rollup(assets: DataFrame, cap: int = 25) -> DataFrame:
         F.count_if(F.col("service") == "s3").alias("bucket_count"), F.count_if(F.col("service") == "storage_accounts").alias("account_count"),
         F.coalesce(F.bool_or(F.when(F.col("service") == "storage_accounts", config_text("IsHnsEnabled") == "true")), F.lit(False)).alias("any_hns"))
     out = counts.where("bucket_count + account_count > 0")
-    for df, col in ((firsts(s3), "buckets"), (ordered_values(s3, config_text("Region"), cap), "regions"),
-                    (firsts(az), "accounts"), (ordered_values(az, config_text("Region"), cap), "locations")):
+    for df, col in ((firsts(s3), "buckets"), (firsts(az), "accounts")):
         out = out.join(joined(df, col), "payload_id", "left")
     return out
 
 
+def storage_values(assets: DataFrame) -> DataFrame:
+    """Distinct regions, versioning states and locations per payload, long form.
+
+    One row per value with its place of first appearance; nothing is collected or cut.
+    """
+    s3, az = assets.where("service = 's3'"), assets.where("service = 'storage_accounts'")
+    sets = [(s3, "regions", F.coalesce(config_text("Region"), config_text("region"))), (s3, "versioning", config_text("Versioning")),
+            (az, "locations", F.coalesce(config_text("Location"), config_text("Region")))]
+    out = None
+    for df, field, value in sets:
+        rows = ordered_values(df, value).select("payload_id", F.lit(field).alias("field"), "value", "at")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def service_examples(items: DataFrame, n: int = 10) -> DataFrame:
     """Count line and first resources of every service in the first dump."""
     first = items.where("dump_pos = 0")

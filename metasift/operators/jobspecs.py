@@ -55,26 +55,35 @@ SOURCE_FIELDS = {
     "salesforce": (["sf_instance_url", "sf_client_id", "sf_client_secret", "object_name"], {"sf_api_version": "v58.0", "bulk_api": "true"},
                    ["sf_client_secret", "sf_password"]),
 }
-SECRETS = sorted({s for _, _, secrets in SOURCE_FIELDS.values() for s in secrets})
+# Every field any source type may carry; all text.
+ALL_FIELDS = sorted({f for required, defaults, secrets in SOURCE_FIELDS.values() for f in [*required, *defaults, *secrets]}
+                    | {"bq_dataset", "bq_table", "gcs_bucket", "sf_role", "sf_username", "aws_role_arn", "aws_access_key_id"})
 
 
 def parse_source(jobs: DataFrame, doc: str = "source") -> DataFrame:
-    """Source documents by ``source_type``: fields with defaults, and what is wrong (P25).
+    """Source documents by ``source_type``: a struct of fields with defaults, and what is wrong (P25).
 
-    ``fields`` is the map of the type's values; ``errors`` lists missing or unknown parts.
+    The document is parsed once with a fixed all-text schema; ``errors`` lists missing or
+    unknown parts.
     """
-    given = F.map_filter(F.coalesce(F.from_json(F.col(doc), "map<string,string>"), F.create_map().cast("map<string,string>")),
-                         lambda _, v: v.isNotNull())
-    j = jobs.withColumn("_g", given)
-    st = F.col("_g")["source_type"]
-    full, errors = F.col("_g"), F.array(F.concat(F.lit("unknown_type:"), st))
-    for kind, (required, defaults, _) in SOURCE_FIELDS.items():
-        base = F.create_map(*[F.lit(x) for kv in defaults.items() for x in kv])
-        full = F.when(st == kind, F.map_concat(F.map_filter(base, lambda k, v: ~F.map_contains_key(F.col("_g"), k)), F.col("_g"))).otherwise(full)
-        gaps = F.array_compact(F.array(*[F.when(F.coalesce(F.col("_g")[r], F.lit("")) == "", F.lit(f"missing:{r}")) for r in required]))
-        errors = F.when(st == kind, gaps).otherwise(errors)
-    errors = F.when(F.coalesce(st, F.lit("")) == "", F.array(F.lit("missing:source_type"))).otherwise(errors)
-    return j.withColumns({"source_type": st, "fields": full, "errors": errors}).drop("_g")
+    schema = ", ".join(f"{f} string" for f in ["source_type", *ALL_FIELDS])
+    rest = [c for c in jobs.columns if c not in (doc, "source_type")]
+    # Generating the fields keeps later filters from parsing the document again per field.
+    j = jobs.select(*rest, F.inline(F.array(F.from_json(F.col(doc), schema))))
+    st = F.col("source_type")
+    fields, errors = [], []
+    for f in ALL_FIELDS:
+        value = F.col(f)
+        for kind, (_, defaults, _) in SOURCE_FIELDS.items():
+            if f in defaults:
+                value = F.coalesce(value, F.when(st == kind, F.lit(defaults[f])))
+        fields.append(value.alias(f))
+        kinds = [k for k, (required, _, _) in SOURCE_FIELDS.items() if f in required]
+        if kinds:
+            errors.append(F.when(st.isin(*kinds) & (F.coalesce(F.col(f), F.lit("")) == ""), F.lit(f"missing:{f}")))
+    blank = F.coalesce(st, F.lit("")) == ""
+    errors += [F.when(blank, "missing:source_type"), F.when(~blank & ~st.isin(*SOURCE_FIELDS), F.concat(F.lit("unknown_type:"), st))]
+    return j.select(*rest, st.alias("source_type"), F.struct(*fields).alias("fields"), F.array_compact(F.array(*errors)).alias("errors"))
 
 
 def source_label(f: Column, source_type: Column) -> Column:
@@ -98,10 +107,13 @@ def secret_name(source_type: Column, job_id: Column) -> Column:
 def credential_split(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Sanitised sources and a separate secret frame, linked by secret name only."""
     name = secret_name(F.col("source_type"), F.col("job_id"))
-    secret = lambda k, _: k.isin(*SECRETS)
-    clean = parsed.select("job_id", "source_type", name.alias("source_secret_name"), F.map_filter("fields", lambda k, v: ~secret(k, v)).alias("fields"))
-    hidden = parsed.select(name.alias("source_secret_name"), F.map_filter("fields", secret).alias("secrets"))
-    return clean, hidden
+    every = sorted({x for _, _, secrets in SOURCE_FIELDS.values() for x in secrets})
+    clean = parsed.select("job_id", "source_type", name.alias("source_secret_name"), F.col("fields").dropFields(*every).alias("fields"))
+    held = F.create_map().cast("map<string,string>")
+    for kind, (_, _, secrets) in SOURCE_FIELDS.items():
+        own = F.create_map(*[x for k in secrets for x in (F.lit(k), F.col(f"fields.{k}"))])
+        held = F.when(F.col("source_type") == kind, F.map_filter(own, lambda _, v: v.isNotNull())).otherwise(held)
+    return clean, parsed.select(name.alias("source_secret_name"), held.alias("secrets"))
 
 
 def partition_columns(pattern: Column, given: Column) -> Column:

@@ -40,6 +40,15 @@ def kind_of(v: Column) -> Column:
     )
 
 
+def leaf_kind(v: Column) -> Column:
+    """:func:`kind_of` for values whose schema is cheap to tell: scalars and flat lists."""
+    s = F.schema_of_variant(v)
+    return (
+        F.when(s == "STRING", "string").when(s == "BOOLEAN", "boolean").when(s == "VOID", "null")
+        .when(s.startswith("OBJECT"), "object").when(s.startswith("ARRAY"), "array").otherwise("number")
+    )
+
+
 def walk(
     df: DataFrame,
     doc: str,
@@ -70,7 +79,8 @@ def walk(
         F.lit(None).cast("string").alias("key"),
         F.lit(0).alias("depth"),
         F.array().cast(step).alias("ord"),
-        F.try_parse_json(F.col(doc)).alias("v"),
+        # Generating the parsed value keeps the filter from parsing the text a second time.
+        F.explode(F.array(F.try_parse_json(F.col(doc)))).alias("v"),
         F.lit(True).alias("open"),
     ).where("v is not null")
 
@@ -103,10 +113,11 @@ def walk(
 
     v = F.col("v")
     deep = F.col("open") & (object_of(v).isNotNull() | (F.lit(False) if list_leaves else list_of(v).isNotNull()))
-    value = F.to_json(v)
     if not bounded:
-        value = F.when(deep, F.raise_error(F.lit(f"document nests deeper than max_depth={max_depth}"))).otherwise(value)
-    out = state.select(*ids, "path", "parent", "key", "depth", kind_of(v).alias("kind"), value.alias("value"), "ord")
+        too_deep = F.raise_error(F.lit(f"document nests deeper than max_depth={max_depth}")).cast("boolean")
+        state = state.where(F.when(deep, too_deep).otherwise(F.lit(True)))
+    kind = kind_of(v) if containers else leaf_kind(v)
+    out = state.select(*ids, "path", "parent", "key", "depth", kind.alias("kind"), F.to_json(v).alias("value"), "ord")
     if containers or keep_empty:
         return out
     return out.where("kind <> 'object'" if list_leaves else "kind not in ('object', 'array')")

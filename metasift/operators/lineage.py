@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from metasift.functions import rules
 from metasift.functions import text as tx
+from metasift.operators.ordering import positions
 from metasift.session import cut_lineage
 
 
@@ -70,6 +71,8 @@ def impact_closure(edges: DataFrame, seeds: DataFrame, max_rounds: int = 100) ->
         if frontier.isEmpty():
             return reached.where("hops > 0")
         reached = reached.unionByName(frontier)
+        if depth % 10 == 0:
+            reached = cut_lineage(reached)
     raise RuntimeError(f"closure still growing after {max_rounds} rounds")
 
 
@@ -148,12 +151,13 @@ def aspect_pivot(aspects: DataFrame) -> DataFrame:
 def graph_documents(edges: DataFrame, key: str, seq: str, chunk: int = 1000) -> DataFrame:
     """Edges of each graph as JSON documents, order kept.
 
-    A graph is written as documents of at most ``chunk`` consecutive sequence numbers, so
-    one graph holding a large share of all edges never has to fit into one row.
+    A graph is written as documents of at most ``chunk`` edges, so one graph holding a large
+    share of all edges never has to fit into one row.
     """
-    part = F.floor(F.col(seq) / chunk).cast("bigint")
-    item = F.struct(F.col(seq).alias("seq"), F.struct("source_urn", "target_urn", "edge_type").alias("e"))
+    placed = positions(edges, [key], [seq, "source_urn", "target_urn", "edge_type"], "pos")
+    part = F.floor((F.col("pos") - 1) / chunk).cast("int")
+    item = F.struct(F.col("pos").alias("seq"), F.struct("source_urn", "target_urn", "edge_type").alias("e"))
     return (
-        edges.groupBy(key, part.alias("part")).agg(F.array_sort(F.collect_list(item)).alias("l"))
+        placed.groupBy(key, part.alias("part")).agg(F.array_sort(F.collect_list(item)).alias("l"))
         .select(key, "part", F.to_json(F.struct(F.transform("l", lambda x: x["e"]).alias("edges"))).alias("doc"))
     )

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from metasift.operators.jsonwalk import as_variant, list_of, object_of, text_of
-from metasift.session import spread
 
 SURFACES = ("metadata", "config", "raw_json")
 
@@ -31,22 +30,28 @@ def with_text(df: DataFrame) -> DataFrame:
 
 def truthy_scalar(v: Column) -> Column:
     """Text of a scalar that is not empty, zero, false or null; null otherwise."""
-    kind, text = F.schema_of_variant(v), text_of(v)
-    return F.when(object_of(v).isNotNull() | list_of(v).isNotNull() | (kind == "VOID"), None).otherwise(
+    return truthy_text(F.schema_of_variant(v), v)
+
+
+def truthy_text(kind: Column, v: Column) -> Column:
+    text = text_of(v)
+    return (
         F.when(kind == "STRING", F.nullif(text, F.lit("")))
         .when(kind == "BOOLEAN", F.nullif(text, F.lit("false")))
+        .when(kind.rlike("^(OBJECT|ARRAY|VOID)"), None)
         .otherwise(F.when(text.try_cast("double") != 0, text))
     )
 
 
 def with_lookups(df: DataFrame) -> DataFrame:
     """Add per-surface maps of truthy scalars, parsed once per row, for :func:`find_key`."""
-    return spread(df, "payload_id").select("*", *[
-        F.coalesce(F.map_filter(
-            F.transform_values(object_of(as_variant(F.col(s))), lambda _, v: truthy_scalar(v)),
-            lambda _, v: v.isNotNull(),
-        ), F.create_map().cast("map<string,string>")).alias(f"{s}_m") for s in SURFACES
-    ]).select("*", *[F.transform(F.map_keys(f"{s}_m"), F.lower).alias(f"{s}_k") for s in SURFACES])
+    def scalars(s: str) -> Column:
+        typed = F.transform_values(object_of(as_variant(F.col(s))), lambda _, v: F.struct(F.schema_of_variant(v).alias("k"), v.alias("v")))
+        texts = F.transform_values(typed, lambda _, x: truthy_text(x["k"], x["v"]))
+        return F.coalesce(F.map_filter(texts, lambda _, v: v.isNotNull()), F.create_map().cast("map<string,string>"))
+
+    return df.select("*", *[scalars(s).alias(f"{s}_m") for s in SURFACES]).select(
+        "*", *[F.transform(F.map_keys(f"{s}_m"), F.lower).alias(f"{s}_k") for s in SURFACES])
 
 
 def find_key(*keys: str) -> Column:

@@ -70,4 +70,17 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         for t in TABLES:
             table(spark, sf_dir, t).createOrReplaceTempView(t)
         _current_views[id(spark)] = sf_dir
-    return spark.sql(FIXTURES[name])
+    return spread(spark.sql(FIXTURES[name]))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """One partition per core for a fixture whose table is a single small file.
+
+    A table of many splits passes through unchanged, without a shuffle; so does a fixture
+    that already ends in one.
+    """
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    if "Window" in plan or "Join" in plan:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, df.columns[0]) if df.rdd.getNumPartitions() < cores else df

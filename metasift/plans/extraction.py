@@ -150,18 +150,18 @@ def cfg_fabric_ingestion(spark, sf):
 
 
 @query("C24", "storage_config", f"""
-with {TEXT}, {ROLLUP}, {FAB}, s as (select payload_id, metadata, config, raw_json, txt, bucket_count, account_count, any_hns, buckets, regions, accounts, locations,
+with {TEXT}, {ROLLUP}, {FAB}, s as (select payload_id, metadata, config, raw_json, txt, bucket_count, account_count, any_hns, buckets, accounts,
  regexp_extract_all(coalesce(txt,''), {q(S3)}) as sp, regexp_extract_all(coalesce(txt,''), {q(GCS)}) as gp from t full join ro using (payload_id)),
 m as (select *, coalesce(bucket_count, 0) > 0 or len(sp) > 0 as has_s3, coalesce(account_count, 0) > 0 as has_az, {find('snowflake_account', 'account')} as acct, {find('bq_dataset', 'dataset', 'bigquery_dataset')} as ds from s),
 y as (""" + rows_sql({
     "s3.bucket_count": "case when has_s3 then case when coalesce(bucket_count, 0) > 0 then bucket_count else len(list_distinct(list_transform(sp, lambda p: regexp_extract(p, 's3[an]?://([^/]+)', 1)))) end end",
     "s3.path_count": "case when has_s3 then case when len(sp) > 0 then len(sp) else bucket_count end end", "s3.paths": "array_to_string(sp[1:25], '|')",
-    "s3.buckets": "case when has_s3 then coalesce(buckets, array_to_string(list_transform(sp, lambda p: regexp_extract(p, 's3[an]?://([^/]+)', 1)), '|')) end", "s3.regions": "regions",
-    "azure.account_count": "case when has_az then account_count end", "azure.accounts": "case when has_az then accounts end", "azure.locations": "case when has_az then locations end",
+    "s3.buckets": "case when has_s3 then coalesce(buckets, array_to_string(list_transform(sp, lambda p: regexp_extract(p, 's3[an]?://([^/]+)', 1)), '|')) end",
+    "azure.account_count": "case when has_az then account_count end", "azure.accounts": "case when has_az then accounts end", 
     "azure.hierarchical_namespace_enabled": "case when has_az then any_hns end", "gcs.path_count": "nullif(len(gp), 0)", "gcs.paths": "array_to_string(gp[1:25], '|')",
     "snowflake.account": "acct", "snowflake.warehouse": f"case when acct is not null then {find('warehouse', 'snowflake_warehouse')} end", "bigquery.dataset": "ds",
     "bigquery.project_id": f"case when ds is not null then {find('gcp_project_id', 'project_id', 'project')} end"}, "m") + """)
-select * from y union all select payload_id, 'onelake.path_count', count(*)::varchar from fab group by 1 union all select distinct payload_id, 'onelake.paths', lake from fab""", (CONN, ASSET))
+select * from y union all select payload_id, case field when 'locations' then 'azure.' else 's3.' end || field, value from rv union all select payload_id, 'onelake.path_count', count(*)::varchar from fab group by 1 union all select distinct payload_id, 'onelake.paths', lake from fab""", (CONN, ASSET))
 def storage_config(spark, sf):
     return ex.storage_config(fixture(spark, sf, CONN), assets(spark, sf)).unionByName(ex.onelake_config(fabric_assets(spark, sf)))
 
@@ -223,7 +223,7 @@ def to_unified_schema(spark, sf):
         F.array_join(F.transform("missing", lambda x: F.element_at(F.split(x, r"\."), -1)), "|").alias("missing"))
 
 
-@query("C30", "detected_source_configs", f"""
+@query("2.4", "detected_source_configs", f"""
 with {TEXT}, h as (select distinct payload_id, label from {hits_sql(rules.SOURCE_RULES, 'x')}),
 r as (select * from ({" union all ".join(f"select payload_id, {q(n)} as extractor, field, value from ({rows_sql(sql_fields(n), 't')})" for n in ('adls', 'gcs', 'redshift', 'kafka', 'jdbc'))}))
 select r.payload_id, h.label, r.field, r.value from r join (values {", ".join(f"({q(a)},{q(b)})" for a, b in ex.SOURCE_EXTRACTORS.items())}) m(label, extractor) using (extractor)

@@ -99,17 +99,21 @@ def distinct_cloud_path(spark, sf):
 
 ROLLUP = """o as (select *, trim(string_split(id,'||')[-1]) as name, json_extract_string(configuration,'$.Region') as region, dump_pos * 100000000 + item_pos as k from fx_asset),
 names as (select payload_id, service, string_agg(name, '|' order by k) as names from (select *, row_number() over (partition by payload_id, service order by k) as rn from o) where rn <= 25 group by 1, 2),
-regs as (select payload_id, service, string_agg(region, '|' order by k) as regions from (select payload_id, service, region, min(k) as k from o group by 1, 2, 3) group by 1, 2),
+regs as (select payload_id, service, region, min(k) as k from o group by 1, 2, 3),
 cnt as (select payload_id, count(*) filter (service = 's3') as bucket_count, count(*) filter (service = 'storage_accounts') as account_count,
  coalesce(bool_or(json_extract_string(configuration,'$.IsHnsEnabled') = 'true') filter (service = 'storage_accounts'), false) as any_hns from o group by 1),
-ro as (select cnt.*, n1.names as buckets, r1.regions as regions, n2.names as accounts, r2.regions as locations from cnt
- left join names n1 on n1.payload_id = cnt.payload_id and n1.service = 's3' left join regs r1 on r1.payload_id = cnt.payload_id and r1.service = 's3'
- left join names n2 on n2.payload_id = cnt.payload_id and n2.service = 'storage_accounts' left join regs r2 on r2.payload_id = cnt.payload_id and r2.service = 'storage_accounts' where bucket_count + account_count > 0)"""
+ro as (select cnt.*, n1.names as buckets, n2.names as accounts from cnt
+ left join names n1 on n1.payload_id = cnt.payload_id and n1.service = 's3'
+ left join names n2 on n2.payload_id = cnt.payload_id and n2.service = 'storage_accounts' where bucket_count + account_count > 0),
+rv as (select payload_id, case service when 's3' then 'regions' else 'locations' end as field, region as value from regs where service in ('s3','storage_accounts'))"""
 
 
-@query("A03", "storage_rollup", f"with {ROLLUP} select * from ro", ASSET)
+@query("A03", "storage_rollup", f"""
+with {ROLLUP} select payload_id, bucket_count, account_count, any_hns, buckets, accounts, null::varchar as field, null::varchar as value from ro
+union all select payload_id, null, null, null, null, null, field, value from rv""", ASSET)
 def storage_rollup(spark, sf):
-    return inv.storage_rollup(assets(spark, sf))
+    a = assets(spark, sf)
+    return inv.storage_rollup(a).unionByName(inv.storage_values(a).drop("at"), allowMissingColumns=True)
 
 
 @query("A04", "service_counts_with_examples", """

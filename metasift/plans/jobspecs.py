@@ -38,7 +38,7 @@ LABEL = """case source_type when 'aws' then 's3://' || bucket || '/' when 'gcp'
 select job_id, nullif(source_type, 'ftp') as source_type, case when source_type = 'ftp' then 'missing:source_type' when source_type = 'postgres' and file_format = 'csv' then 'missing:pg_table' else '' end as errors,
  case source_type when 'postgres' then '5432' end as pg_port from fx_jobspec""", JOB)
 def parse_source_spec(spark, sf):
-    return sources(spark, sf).select("job_id", "source_type", F.array_join("errors", "|").alias("errors"), F.col("fields")["pg_port"].alias("pg_port"))
+    return sources(spark, sf).select("job_id", "source_type", F.array_join("errors", "|").alias("errors"), F.col("fields.pg_port").alias("pg_port"))
 
 
 @query("P26", "source_label", f"select job_id, {LABEL} as label from fx_jobspec where not ({BAD})", JOB)
@@ -51,7 +51,7 @@ select 'clean' as part, 'etl-src-' || source_type || '-' || job_id[1:8] as secre
 union all select 'secret', 'etl-src-' || source_type || '-' || job_id[1:8], null, secret_value from fx_jobspec where not ({BAD})""", JOB)
 def credential_split(spark, sf):
     clean, hidden = js.credential_split(sources(spark, sf).where(F.size("errors") == 0))
-    leak = F.exists(F.map_values("fields"), lambda v: v.startswith("secret-"))
+    leak = F.to_json("fields").contains("secret-")
     none = F.lit(None).cast("string")
     return clean.select(F.lit("clean").alias("part"), F.col("source_secret_name").alias("secret_name"), "job_id", F.when(leak, "leak").alias("secret")).unionByName(
         hidden.select(F.lit("secret").alias("part"), F.col("source_secret_name").alias("secret_name"), none.alias("job_id"), F.element_at(F.map_values("secrets"), 1).alias("secret")))

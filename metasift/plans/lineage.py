@@ -176,7 +176,8 @@ def aspect_pivot(spark, sf):
 @query("S14", "emit_graph_document", """
 with d as (select distinct regexp_extract(source_urn || target_urn, 'flow_([0-9]+)', 1) as graph_id, source_urn, target_urn, edge_type,
  cast(regexp_extract(source_urn || target_urn, 'order_([0-9]+)', 1) as bigint) as seq from fx_edge)
-select graph_id, floor(seq / 1000)::bigint as part, '{"edges":[' || string_agg('{"source_urn":"' || source_urn || '","target_urn":"' || target_urn || '","edge_type":"' || edge_type || '"}', ',' order by seq, source_urn, target_urn) || ']}' as doc from d group by 1, 2""", EDGE)
+select graph_id, part, '{"edges":[' || string_agg('{"source_urn":"' || source_urn || '","target_urn":"' || target_urn || '","edge_type":"' || edge_type || '"}', ',' order by rn) || ']}' as doc
+from (select *, floor((rn - 1) / 1000)::int as part from (select *, row_number() over (partition by graph_id order by seq, source_urn, target_urn, edge_type) as rn from d)) group by 1, 2""", EDGE)
 def emit_graph_document(spark, sf):
     both = F.concat("source_urn", "target_urn")
     e = fixture(spark, sf, EDGE).distinct().select(

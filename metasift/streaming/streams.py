@@ -63,14 +63,19 @@ def latest_windows(rows: DataFrame) -> DataFrame:
     return rows.groupBy("start", "event_type").agg(F.max_by(F.struct("n", "total"), "batch").alias("r")).select("start", "event_type", "r.*")
 
 
-def read_state(spark: SparkSession, path: str, schema: str, before: int) -> DataFrame:
-    """State rows written by batches earlier than ``before``."""
+def read_versions(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of every version written so far; empty before the first."""
     try:
-        return spark.read.schema(schema + ", batch int").parquet(path).where(F.col("batch") < before)
-    except Exception as e:  # the first batch finds no state folder
+        return spark.read.schema(schema).parquet(path)
+    except Exception as e:  # the first batch finds no folder
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        return spark.createDataFrame([], schema + ", batch int")
+        return spark.createDataFrame([], schema)
+
+
+def read_state(spark: SparkSession, path: str, schema: str, batch_id: int) -> DataFrame:
+    """State as the previous batch left it; only that version's folder is read."""
+    return read_versions(spark, path, schema + ", batch int").where(F.col("batch") == batch_id - 1)
 
 
 STATE = "source string, watermark timestamp_ntz"
@@ -88,7 +93,7 @@ def incremental_state(stream: DataFrame, state: str, checkpoint: str, source: st
 
 def current_state(spark: SparkSession, state: str) -> DataFrame:
     """Newest mark per source."""
-    return read_state(spark, state, STATE, 2**31 - 1).groupBy("source").agg(F.max("watermark").alias("watermark"))
+    return read_versions(spark, state, STATE).groupBy("source").agg(F.max("watermark").alias("watermark"))
 
 
 def late_split(stream: DataFrame, sink: str, late_sink: str, state: str, checkpoint: str, lateness_minutes: int) -> None:
@@ -106,29 +111,43 @@ def late_split(stream: DataFrame, sink: str, late_sink: str, state: str, checkpo
     run_available(stream.writeStream.foreachBatch(step), checkpoint)
 
 
-def cdc_upsert(stream: DataFrame, table: str, checkpoint: str, keys: list[str], lsn: str, delete: str) -> None:
+BUCKETS = 64
+
+
+def cdc_upsert(stream: DataFrame, table: str, checkpoint: str, keys: list[str], lsn: str, delete: str, buckets: int = BUCKETS) -> None:
     """Micro-batch upsert of the latest change per key.
 
-    Every batch writes a new table version from the previous one, so a retry rewrites the
-    same version from the same input.
+    The table lies in hash buckets of the key.  A batch rewrites only the buckets it touches,
+    each as a new version made from the one before, so a retry gives the same files.
+    Deletes stay as tombstones, which keeps a bucket from falling back to an older version.
     """
     cols = [f.name for f in stream.schema.fields]
-    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stream.schema.fields)
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stream.schema.fields) + ", _op string, bucket int, batch int"
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        old = read_state(spark, table, ddl, batch_id)
-        now = old.where(F.col("batch") == batch_id - 1).select(*cols)
-        changes = batch.withColumn("_op", F.when(F.expr(delete), "D").otherwise("U"))
-        ig.cdc_apply(now, changes, keys, lsn).write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+        changes = batch.withColumns({"_op": F.when(F.expr(delete), "D").otherwise("U"), "bucket": bucket})
+        touched = [r[0] for r in changes.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+        if not touched:
+            return
+        old = newest_versions(read_versions(spark, table, ddl).where(F.col("bucket").isin(touched) & (F.col("batch") < batch_id)))
+        both = old.select(*cols, "_op", "bucket", F.lit(0).alias("_new")).unionByName(changes.select(*cols, "_op", "bucket", F.lit(1).alias("_new")))
+        now = ig.latest_per_key(both, [*keys, "bucket"], F.struct("_new", lsn)).drop("_new")
+        now.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(table)
 
     run_available(stream.writeStream.foreachBatch(step), checkpoint)
 
 
+def newest_versions(rows: DataFrame) -> DataFrame:
+    """Rows of the newest version of every bucket."""
+    newest = rows.groupBy("bucket").agg(F.max("batch").alias("batch"))
+    return rows.join(newest, ["bucket", "batch"], "left_semi")
+
+
 def current_table(spark: SparkSession, table: str) -> DataFrame:
-    """Newest version of a table written by :func:`cdc_upsert`."""
-    rows = spark.read.parquet(table)
-    return rows.where(F.col("batch") == rows.agg(F.max("batch")).scalar()).drop("batch")
+    """Live rows of a table written by :func:`cdc_upsert`."""
+    return newest_versions(spark.read.parquet(table)).where("_op <> 'D'").drop("_op", "bucket", "batch")
 
 
 def quarantine(stream: DataFrame, clean: str, held: str, checkpoint: str, checks: list[dq.Check]) -> None:
