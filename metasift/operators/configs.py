@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from metasift.functions import rules
 from metasift.functions import text as tx
-from metasift.operators.jsonwalk import is_missing, path_prefixes, walk
+from metasift.operators.jsonwalk import DEFAULT_DEPTH, is_missing, path_prefixes, walk
 from metasift.session import cut_lineage
 
 ID = "config_id"
@@ -55,7 +55,7 @@ def diff_summary(diff: DataFrame, names: list[str]) -> DataFrame:
     return diff.groupBy(ID).agg(*[F.count_if(F.col("status") == n).alias(n) for n in names])
 
 
-def diff_tree(left: DataFrame, right: DataFrame, doc: str, max_depth: int = 6) -> DataFrame:
+def diff_tree(left: DataFrame, right: DataFrame, doc: str, max_depth: int = DEFAULT_DEPTH) -> DataFrame:
     """Node diff (M14): one-sided subtrees appear once at their root, strings compare loosely.
 
     Objects and lists of objects nest; other list elements compare whole.
@@ -145,9 +145,10 @@ def overlay(winner: DataFrame, loser: DataFrame) -> DataFrame:
     """Recursive merge of two leaf tables: objects merge, everything else of the winner replaces.
 
     A losing leaf goes when the winner has its path, a leaf above it, or anything below it;
-    an empty object of the winner gives way where the loser has members.
+    an empty object of the winner gives way where the loser has members.  The grouped union
+    is written once, because three branches read it and merges nest.
     """
-    g = meet(w=winner, l=loser)
+    g = cut_lineage(meet(w=winner, l=loser))
     hollow = F.col("w.kind") == "object"
     won = g.where(F.col("w").isNotNull() & ~(hollow & F.col("l_below"))).select(ID, "path", "w.kind", "w.value")
     lost = g.where(F.col("w").isNull() & F.col("l").isNotNull() & ~F.col("w_below")).select(ID, "path", "l.kind", "l.value")

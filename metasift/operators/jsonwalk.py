@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_DEPTH = 6
+DEFAULT_DEPTH = 12
 
 
 def as_variant(doc: Column) -> Column:
@@ -131,7 +131,12 @@ def plain(value: Column, kind: Column) -> Column:
 
 
 def collect_values(df: DataFrame, doc: str, ids: list[str], key: str, max_depth: int = DEFAULT_DEPTH) -> DataFrame:
-    """Every value under ``key`` (any case) at any level, in walk order."""
+    """Every value under ``key`` (any case) at any level, in walk order.
+
+    Documents whose text does not hold the key at all are skipped before the walk.
+    """
+    text = F.lower(F.col(doc))
+    df = df.where(text.contains(key.lower()) | text.contains("\\u"))
     return walk(df, doc, ids, containers=True, max_depth=max_depth).where(F.lower("key") == key.lower())
 
 
