@@ -69,10 +69,8 @@ def walk(
     losing leaves; ``bounded`` asks for the cut-off instead.  ``keep_empty`` keeps ``{}``
     (and ``[]``) as leaves.
     """
-    spark = df.sparkSession
     step = "array<struct<pos:int,key:string>>"
-    cols = ["path", "parent", "key", "depth", "ord", "v", "open"]
-    state = df.select(
+    start = df.select(
         *ids,
         F.lit(root).alias("path"),
         F.lit(None).cast("string").alias("parent"),
@@ -84,32 +82,28 @@ def walk(
         F.lit(True).alias("open"),
     ).where("v is not null")
 
-    for _ in range(max_depth):
-        expand = F.col("open") & (object_of(F.col("v")).isNotNull() if list_leaves else F.lit(True))
+    # Each round expands the open containers by one level; four rounds make one statement.
+    keep = ", ".join(f"s.`{c}`" for c in ids)
+    is_object, is_list = (f"try_variant_get(v, '$', '{t}') is not null" for t in ("map<string,variant>", "array<variant>"))
+    state, query = start, "{state}"
+    for n in range(1, max_depth + 1):
         if containers:
-            inner = F.col("open") & (object_of(F.col("v")).isNotNull() | list_of(F.col("v")).isNotNull())
-            state = state.select(
-                *ids, *cols, F.explode(F.when(inner, F.array(F.lit(0), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("t")
-            )
-            expand = F.col("t") == 2
-        state = state.select(*ids, *[c for c in state.columns if c not in ids], F.when(expand, F.col("v")).alias("src"))
-        below = spark.tvf.variant_explode_outer(F.col("src").outer()).select(
-            F.col("pos").alias("e_pos"), F.col("key").alias("e_key"), F.col("value").alias("e_value"))
-        state = state.lateralJoin(below)
-        if containers:
-            state = state.where("t <> 2 or e_pos is not null")
-        state = state.selectExpr(
-            *ids,
-            "case when e_pos is null then path when e_key is null then concat(path, '[', e_pos, ']')"
-            " when path = '' then e_key else concat(path, '.', e_key) end as path",
-            "if(e_pos is null, parent, path) as parent",
-            "if(e_pos is null, key, coalesce(e_key, concat('[', e_pos, ']'))) as key",
-            "if(e_pos is null, depth, depth + 1) as depth",
-            "if(e_pos is null, ord, concat(ord, array(named_struct('pos', if(e_key is null, e_pos, 0),"
-            " 'key', coalesce(e_key, ''))))) as ord",
-            "coalesce(e_value, v) as v",
-            "e_pos is not null as open",
-        )
+            query = f"(select *, explode(if(open and ({is_object} or {is_list}), array(0, 2), array(1))) as t from {query})"
+            source, last = "t = 2", "where s.t <> 2 or e.pos is not null"
+        else:
+            source, last = f"open and {is_object}" if list_leaves else "open", ""
+        query = f"""(select {keep},
+            case when e.pos is null then s.path when e.key is null then concat(s.path, '[', e.pos, ']')
+                 when s.path = '' then e.key else concat(s.path, '.', e.key) end as path,
+            if(e.pos is null, s.parent, s.path) as parent,
+            if(e.pos is null, s.key, coalesce(e.key, concat('[', e.pos, ']'))) as key,
+            if(e.pos is null, s.depth, s.depth + 1) as depth,
+            if(e.pos is null, s.ord, concat(s.ord, array(named_struct(
+                'pos', if(e.key is null, e.pos, 0), 'key', coalesce(e.key, ''))))) as ord,
+            coalesce(e.value, s.v) as v, e.pos is not null as open
+            from (select *, if({source}, v, null) as src from {query}) s, lateral variant_explode_outer(s.src) e {last})"""
+        if n % 4 == 0 or n == max_depth:
+            state, query = df.sparkSession.sql(f"select * from {query}", state=state), "{state}"
 
     v = F.col("v")
     deep = F.col("open") & (object_of(v).isNotNull() | (F.lit(False) if list_leaves else list_of(v).isNotNull()))
