@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from metasift.functions import rules
 from metasift.functions import text as tx
-from metasift.operators.jsonwalk import as_variant, first_key_value, is_missing, walk
+from metasift.operators.jsonwalk import as_variant, first_key_value, holding, is_missing, walk
 from metasift.operators.ordering import fragments, positions, range_positions, split_by_size
 from metasift.session import cut_lineage
 
@@ -329,7 +329,7 @@ def detect_dq_rules(payloads: DataFrame) -> DataFrame:
     """Distinct report rules of ``payloads(payload_id, raw_json, txt)``: expectations, then phrases."""
     types = {"expect_column_values_to_not_be_null": "null_check", "expect_column_values_to_be_unique": "uniqueness_check",
              "expect_column_values_to_be_between": "range_check"}
-    leaves = walk(payloads, "raw_json", ["payload_id"]).where(
+    leaves = walk(holding(payloads, "raw_json", ["expectations"]), "raw_json", ["payload_id"]).where(
         "path rlike '(^|[.])expectations\\\\[[0-9]+\\\\][.](expectation_type|kwargs[.]column)$'")
     item = F.regexp_extract("path", r"^(.*expectations\[\d+\])", 1)
     text = F.regexp_replace("value", '^"|"$', "")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from metasift.functions import rules
-from metasift.operators.jsonwalk import walk
+from metasift.operators.jsonwalk import holding, walk
 from metasift.operators.payload import with_text
 
 CATEGORIES = ("framework", "source", "ingestion", "dq_rules")
@@ -109,7 +109,7 @@ def detect_text(payloads: DataFrame, category: str) -> DataFrame:
 
 def scan_expectations(payloads: DataFrame) -> DataFrame:
     """Every expectation_type in raw_json, any level, as a label."""
-    hits = walk(payloads, "raw_json", ["payload_id"]).where("key = 'expectation_type' and kind = 'string'")
+    hits = walk(holding(payloads, "raw_json", ["expectation_type"]), "raw_json", ["payload_id"]).where("key = 'expectation_type' and kind = 'string'")
     kind = F.regexp_replace("value", '^"|"$', "")
     label = F.concat(F.lit("GE: "), kind)
     for k, v in rules.EXPECTATION_LABELS.items():

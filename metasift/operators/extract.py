@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from metasift.functions import rules
 from metasift.functions import text as tx
 from metasift.operators import inventory as inv
-from metasift.operators.jsonwalk import walk
+from metasift.operators.jsonwalk import holding, walk
 from metasift.operators.payload import find_key, with_lookups, with_text
 
 ROLE_ARN = r"arn:aws:iam::[0-9]+:role/[^\s\"'>,]+"
@@ -291,7 +291,8 @@ def dq_config(payloads: DataFrame, check_cap: int = 25) -> DataFrame:
     for rank, surface in enumerate(("config", "raw_json")):
         if surface not in payloads.columns:
             continue
-        w = walk(payloads, surface, ["payload_id"]).where("kind in ('string', 'number')")
+        wanted = [k for keys in DQ_KEYS.values() for k in keys.get(surface, [])] + ["expectations"]
+        w = walk(holding(payloads, surface, wanted), surface, ["payload_id"]).where("kind in ('string', 'number')")
         steps = F.filter(F.col("ord.key"), lambda k: k != "")
         text = F.trim(F.regexp_replace("value", '^"|"$', ""))
         owner = F.lower(F.element_at(steps, -1))

@@ -124,14 +124,21 @@ def plain(value: Column, kind: Column) -> Column:
     )
 
 
+def holding(df: DataFrame, doc: str, keys: list[str]) -> DataFrame:
+    """Documents whose text holds one of the keys; an escaped text is kept to be safe."""
+    text = F.lower(F.col(doc))
+    cond = text.contains("\\u")
+    for k in keys:
+        cond = cond | text.contains(f'"{k.lower()}"')
+    return df.where(cond)
+
+
 def collect_values(df: DataFrame, doc: str, ids: list[str], key: str, max_depth: int = DEFAULT_DEPTH) -> DataFrame:
     """Every value under ``key`` (any case) at any level, in walk order.
 
     Documents whose text does not hold the key at all are skipped before the walk.
     """
-    text = F.lower(F.col(doc))
-    df = df.where(text.contains(key.lower()) | text.contains("\\u"))
-    return walk(df, doc, ids, containers=True, max_depth=max_depth).where(F.lower("key") == key.lower())
+    return walk(holding(df, doc, [key]), doc, ids, containers=True, max_depth=max_depth).where(F.lower("key") == key.lower())
 
 
 def first_key_value(df: DataFrame, doc: str, ids: list[str], key: str) -> DataFrame:
