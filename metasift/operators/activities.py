@@ -616,31 +616,31 @@ def structural_dedup(nodes: DataFrame, edges: DataFrame, texts: DataFrame, key:
 def analyze_activities(pipelines: DataFrame, acts: DataFrame) -> dict[str, DataFrame]:
     """All report tables of a set of pipelines.
 
-    The ordered activity table is written once and every section reads it.
+    What the long texts say is boiled down to a few columns first, and these, the ordered
+    activities and the edges are written once; every section reads them instead of parsing
+    the documents again.
     """
-    ordered = cut_lineage(order_activities(acts))
+    phrases = F.array_distinct(F.array_compact(F.array(*[F.when(F.col("txt").contains(p), F.lit(r)) for p, r in rules.PHRASE_RULES])))
+    facts = cut_lineage(pipelines.select(
+        P, "platform", "pipeline_name", "workspace_id", "explicit_destination", detect_auth(F.col("definition")).alias("authentication_type"),
+        detect_mode(F.concat_ws(" ", "txt", "definition")).alias("mode"), payload_candidate(F.col("txt")).alias("guess"), phrases.alias("rules")))
+    ordered = cut_lineage(order_activities(cut_lineage(acts)))
     edges = cut_lineage(dependency_edges(ordered))
     flagged = cut_lineage(terminal_and_roots(ordered, edges))
-    own = cut_lineage(source_candidates(ordered))
-    guess = pipelines.join(own.select(P).distinct(), P, "left_anti").select(P, payload_candidate(F.col("txt")).alias("g")).where("g is not null")
+    guess = facts.where("guess is not null").join(ordered.select(P).distinct(), P, "left_anti")
     none = F.lit(None).cast("string")
-    cands = own.unionByName(guess.select(
-        P, "g.source_type", "g.service_name", none.alias("table"), "g.path", "g.endpoint", none.alias("method"),
-        none.alias("artifact"), none.alias("schema"), none.alias("format"), F.lit(0).alias("pos")))
-    explicit = pipelines.where("explicit_destination is not null").select(P, F.lit(0).alias("pos"), F.col("explicit_destination").alias("label"))
-    dests = destinations(flagged).join(explicit.select(P), P, "left_anti").unionByName(explicit)
-    phrases = F.array_distinct(F.array_compact(F.array(*[F.when(F.col("txt").contains(p), F.lit(r)) for p, r in rules.PHRASE_RULES])))
-    rule_rows = pipelines.select(P, F.explode(phrases).alias("rule"))
+    cands = cut_lineage(source_candidates(ordered).unionByName(guess.select(
+        P, "guess.source_type", "guess.service_name", none.alias("table"), "guess.path", "guess.endpoint", none.alias("method"),
+        none.alias("artifact"), none.alias("schema"), none.alias("format"), F.lit(0).alias("pos"))))
+    explicit = facts.where("explicit_destination is not null").select(P, F.lit(0).alias("pos"), F.col("explicit_destination").alias("label"))
+    dests = cut_lineage(destinations(flagged).join(explicit.select(P), P, "left_anti").unionByName(explicit))
+    rule_rows = facts.select(P, F.explode("rules").alias("rule"))
     nodes, links = flow_graph(flagged, edges, cands)
-    lone = pipelines.join(ordered.select(P).distinct(), P, "left_anti").select(
+    lone = facts.join(ordered.select(P).distinct(), P, "left_anti").select(
         P, F.lit(0).alias("seq"), tx.slug(F.col("pipeline_name")).alias("node_id"), F.lit("process").alias("node_type"))
-    gated = rule_rows.select(P).distinct()
-    head = pipelines.select(
-        P, "platform", "pipeline_name", "workspace_id", detect_auth(F.col("definition")).alias("authentication_type"),
-        detect_mode(F.concat_ws(" ", "txt", "definition")).alias("mode"))
     report = (
-        head.join(merge_candidates(cands), P, "left").join(detect_trigger(pipelines), P, "left")
+        facts.drop("guess", "rules", "explicit_destination").join(merge_candidates(cands), P, "left").join(detect_trigger(pipelines), P, "left")
         .join(dests.groupBy(P).agg(F.min_by("label", "pos").alias("destination"), F.count("*").alias("destinations")), P, "left"))
     return {"report": report, "ordered": ordered, "nodes": nodes.unionByName(lone), "edges": links, "candidates": cands,
-            "destinations": dests, "rules": rule_rows, "text": flow_text(pipelines, ordered, cands, dests, gated),
+            "destinations": dests, "rules": rule_rows, "text": flow_text(facts, ordered, cands, dests, facts.where(F.size("rules") > 0).select(P)),
             "details": ingestion_details(ordered, pipelines)}
