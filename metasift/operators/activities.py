@@ -220,15 +220,26 @@ def node_type(kind: Column) -> Column:
             .when(F.lower(kind).contains("copy"), "ingestion").otherwise("process"))
 
 
+def parsed_once(doc: Column, fn) -> Column:
+    """``fn`` of the parsed document; the one-element array binds it, so it is parsed a single time."""
+    return F.element_at(F.transform(F.array(F.try_parse_json(doc)), fn), 1)
+
+
 def member(doc: Column, *keys: str) -> Column:
     """First non-blank string member of a JSON text."""
-    return variant_text(F.try_parse_json(doc), *keys)
+    return parsed_once(doc, lambda v: variant_text(v, *keys))
 
 
 def classify_dataset(doc: Column) -> Column:
     """struct(source_type, service_name, table, path, endpoint, artifact, schema, format) of dataset settings."""
-    t = F.lower(doc)
-    table = member(doc, "table", "tableName", "entity")
+    return parsed_once(doc, lambda v: classify_parsed(F.lower(doc), v))
+
+
+def classify_parsed(t: Column, v: Column) -> Column:
+    def member(*keys: str) -> Column:
+        return variant_text(v, *keys)
+
+    table = member("table", "tableName", "entity")
     api = t.contains("http") | t.contains("rest")
     plain_file = tx.contains_any(t, ["datalake", "blob", "file", "deltalake", "onelake"])
     kind = (F.when(api, "API").when(t.contains("warehouse"), "DB")
@@ -238,9 +249,9 @@ def classify_dataset(doc: Column) -> Column:
                .when(plain_file, "File").when(table.isNotNull(), "Database"))
     return F.struct(
         kind.alias("source_type"), service.alias("service_name"), table.alias("table"),
-        member(doc, "folderPath", "path", "fileName").alias("path"), member(doc, "relativeUrl", "url").alias("endpoint"),
-        member(doc, "artifactId", "artifact_id").alias("artifact"), member(doc, "schema", "schemaName").alias("schema"),
-        member(doc, "format", "formatType", "fileFormat").alias("format"))
+        member("folderPath", "path", "fileName").alias("path"), member("relativeUrl", "url").alias("endpoint"),
+        member("artifactId", "artifact_id").alias("artifact"), member("schema", "schemaName").alias("schema"),
+        member("format", "formatType", "fileFormat").alias("format"))
 
 
 def detect_auth(definition: Column) -> Column:
@@ -266,9 +277,10 @@ def dataset_label(doc: Column) -> Column:
 def source_candidates(ordered: DataFrame) -> DataFrame:
     """Distinct source candidates per pipeline, first occurrence by execution order."""
     web = F.lower("type") == "webactivity"
-    c = classify_dataset(F.col("src"))
+    c = F.col("c")
     none = F.lit(None).cast("string")
-    rows = ordered.where(web | F.col("src").isNotNull()).select(
+    kept = ordered.where(web | F.col("src").isNotNull()).select(P, "pos", "type", "url", "method", classify_dataset(F.col("src")).alias("c"))
+    rows = kept.select(
         P, "pos",
         F.when(web, "API").otherwise(c["source_type"]).alias("source_type"),
         F.when(web, "REST API").otherwise(c["service_name"]).alias("service_name"),
@@ -361,8 +373,11 @@ def text_formats(txt: Column, explicit: Column) -> Column:
 
 def destination_label() -> Column:
     """Label of an activity's sink or notebook, else null."""
-    c = classify_dataset(F.col("sink"))
-    sink = F.coalesce(tx.first_nonblank(c["table"], c["path"], c["artifact"], c["service_name"], F.col("name")), F.lit("Sink"))
+    def label(v: Column) -> Column:
+        c = classify_parsed(F.lower("sink"), v)
+        return F.coalesce(tx.first_nonblank(c["table"], c["path"], c["artifact"], c["service_name"], F.col("name")), F.lit("Sink"))
+
+    sink = parsed_once(F.col("sink"), label)
     return F.when(F.col("sink").isNotNull(), sink).when(F.lower("type").isin(*rules.NOTEBOOK_TYPES), F.col("name"))
 
 
