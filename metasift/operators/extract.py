@@ -15,6 +15,7 @@ from metasift.functions import text as tx
 from metasift.operators import inventory as inv
 from metasift.operators.jsonwalk import holding, walk
 from metasift.operators.payload import find_key, with_lookups, with_text
+from metasift.session import cut_lineage
 
 ROLE_ARN = r"arn:aws:iam::[0-9]+:role/[^\s\"'>,]+"
 
@@ -306,6 +307,7 @@ def dq_config(payloads: DataFrame, check_cap: int = 25) -> DataFrame:
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
+    rows = cut_lineage(rows)  # the wanted values only; four branches read them
     counts = rows.where("field = 'expectation_types'").groupBy("payload_id").agg(F.count("*").cast("string").alias("value"))
     once = rows.groupBy("payload_id", "field", "value").agg(F.min("at").alias("at"))
     n_checks = once.where("field = 'checks'").groupBy("payload_id").agg(F.count("*").cast("string").alias("value"))
