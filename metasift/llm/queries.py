@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metasift.llm import contamination
+from metasift.llm import contamination, warc
 from metasift.llm.common import hex_sha256, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,27 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size(c["items"]).cast("long").alias("n_items"), hex_sha256(F.array_join(c["items"], ",")).alias("items_sha256"),
         c["contaminated"].alias("contaminated"),
     )
+
+
+
+@query("op10_warc", """
+with p as (select page_id, coalesce(html, '') h, sha1(coalesce(html, '')) s from pages),
+b as (
+  select page_id, string_agg(lpad(bin(cast('0x' || s[2 * i - 1 : 2 * i] as integer)), 8, '0'), '' order by i) bits
+  from (select page_id, s, unnest(generate_series(1, 20)) i from p) group by 1
+),
+d as (
+  select page_id, string_agg('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[cast('0b' || bits[5 * j - 4 : 5 * j] as integer) + 1], '' order by j) digest
+  from (select page_id, bits, unnest(generate_series(1, 32)) j from b) group by 1
+),
+m as (select h, max(page_id) best from p group by 1)
+select page_id, cast(octet_length(encode(p.h)) as bigint) payload_bytes, digest payload_digest,
+  case when page_id = best then 'response' else 'revisit' end record_type, case when page_id <> best then best end refers_to
+from p join m on p.h = m.h join d using (page_id)
+""")
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(table(spark, sf_dir, "pages"))
+    return found.select(
+        F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_to").cast("long").alias("refers_to"),
+    )
