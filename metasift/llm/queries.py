@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metasift.llm import contamination, warc
-from metasift.llm.common import hex_sha256, table
+from metasift.llm import contamination, secrets, warc
+from metasift.llm.common import hex_sha256, joined_spans, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -82,3 +82,17 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
         F.col("refers_to").cast("long").alias("refers_to"),
     )
+
+
+def _count(spans, kind: str):
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+@query("op2_secret_scan")
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base, spans = F.col("secrets")["base"], F.col("secrets")["spans"]
+    return found.select(
+        "doc_id", _count(base, "assign"), _count(base, "access"), _count(base, "hex"),
+        hex_sha256(joined_spans(base)).alias("base_sha256"), joined_spans(spans).alias("spans"),
+    )
