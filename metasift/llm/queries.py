@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metasift.llm import contamination, secrets, warc
+from metasift.llm import contamination, embeddings, secrets, warc
 from metasift.llm.common import hex_sha256, joined_spans, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,18 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", _count(base, "assign"), _count(base, "access"), _count(base, "hex"),
         hex_sha256(joined_spans(base)).alias("base_sha256"), joined_spans(spans).alias("spans"),
     )
+
+
+@query("op3_embedding_dedup", """
+with recursive v as (
+  select vec_id, list_transform(embedding, lambda x: cast(x as double)) e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+),
+u as (select vec_id, e, sqrt(list_dot_product(e, e)) n from v where list_dot_product(e, e) > 0),
+l as (select a.vec_id a, b.vec_id b from u a join u b on a.vec_id <> b.vec_id and list_dot_product(a.e, b.e) >= 0.95 * a.n * b.n),
+r(a, b) as (select vec_id, vec_id from embeddings union select r.a, l.b from r join l on r.b = l.a)
+select e.vec_id, (select count(*) from l where l.a = e.vec_id) n_links, min(r.b) component_id, min(r.b) = e.vec_id kept
+from embeddings e join r on r.a = e.vec_id group by e.vec_id
+""")
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
