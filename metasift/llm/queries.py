@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metasift.llm import bagminhash, contamination, embeddings, packing, secrets, warc, wrappers
+from metasift.llm import bagminhash, contamination, embeddings, packing, pii, secrets, warc, wrappers
 from metasift.llm.common import hex_sha256, joined_spans, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +128,13 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = wrappers.main_text(table(spark, sf_dir, "pages"))
     return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
+@query("op4_pii")
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base, spans = F.col("pii")["base"], F.col("pii")["spans"]
+    return found.select(
+        "doc_id", *[_count(base, k) for k in pii.KINDS],
+        hex_sha256(joined_spans(base)).alias("base_sha256"), joined_spans(spans).alias("spans"),
+    )
