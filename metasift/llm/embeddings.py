@@ -4,12 +4,13 @@ Normalised vectors are projected on Gaussian directions; each projection, shifte
 gives one part of a bucket key, ``k`` parts make a key and every table has its own key.  ``k`` follows from the number
 of vectors (unrelated vectors should seldom meet), the number of tables from the wanted recall at the threshold.
 
-A bucket is compared in tiles of ``tile`` x ``tile`` vectors, so a hot bucket spreads over many tasks; a pair is counted in
-the first table where it meets.  A task gives per vector the number of links it found and a spanning forest
-of its links, never the pairs.
+Buckets are compared many at a time; a large one in tiles of ``tile`` x ``tile`` vectors, so a hot bucket spreads over
+many tasks.  A pair is counted in the first table where it meets.  A task gives per vector the number of links it found
+and a spanning forest of its links, never the pairs.
 
 Cases: null, zero and non-finite vectors, and vectors of another length than the most frequent one's, link with
-nothing; rows of a repeated id are vectors of their own that share a component; a null id links with nothing; an empty table gives no rows.
+nothing; rows of a repeated id are vectors of their own that share a component; a null id links with nothing; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,6 +30,10 @@ THRESHOLD = 0.95
 STEP = 1.5
 RECALL = 0.99
 TILE = 512
+#: Rows of dealt buckets that one task compares at a time, a whole tile pair at least.
+GROUP_ROWS = 8_192
+#: Up to this size a bucket's rows are compared by their distance in the sorted order, all buckets at once.
+SMALL = 48
 SEED = 20_011
 
 
@@ -94,17 +99,41 @@ def _hasher(dims: int, k: int, tables: int):
     return hash_rows
 
 
-def link_tile(xa: np.ndarray, xb: np.ndarray | None, table: int, k: int, tables: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (i in a, j in b; i < j within a) of linked rows that meet in no table before ``table``."""
-    close = xa @ (xa if xb is None else xb).T >= threshold
-    i, j = np.nonzero(np.triu(close, 1) if xb is None else close)
-    first = np.ones(len(i), bool)
-    if table and len(i):
-        ka = keys(xa, k, tables)[:, :table]
-        kb = ka if xb is None else keys(xb, k, tables)[:, :table]
-        for t in range(table):
-            first &= ka[i, t] != kb[j, t]
-    return i[first], j[first]
+def close_pairs(x: np.ndarray, cell: np.ndarray, side: np.ndarray, apart: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions i < j of linked rows of one cell.  Rows come sorted by cell; ``apart`` marks cells that compare two tiles."""
+    first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+    size = np.diff(np.append(first, len(cell)))
+    out = []
+    small = np.repeat(size <= SMALL, size)
+    for d in range(1, min(SMALL, int(size.max()))):
+        i = np.flatnonzero((cell[d:] == cell[:-d]) & small[d:])
+        if not len(i):
+            break
+        i = i[~apart[i] | (side[i] != side[i + d])]
+        for lo in range(0, len(i), 8_192):
+            k = i[lo:lo + 8_192]
+            k = k[np.einsum("ij,ij->i", x[k], x[k + d]) >= threshold]
+            out.append((k, k + d))
+    for lo, n in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
+        close = np.triu(x[lo:lo + n] @ x[lo:lo + n].T >= threshold, 1)
+        if apart[lo]:
+            close &= side[lo:lo + n, None] != side[None, lo:lo + n]
+        i, j = np.nonzero(close)
+        out.append((i + lo, j + lo))
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *[i for i, _ in out]]), np.concatenate([none, *[j for _, j in out]])
+
+
+def meet_first(x: np.ndarray, i: np.ndarray, j: np.ndarray, table: np.ndarray, k: int, tables: int) -> np.ndarray:
+    """Which pairs meet in no table before ``table``."""
+    used, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+    own = keys(x[used], k, tables)
+    out = np.zeros(len(i), bool)
+    for lo in range(0, len(i), 50_000):
+        hi = min(lo + 50_000, len(i))
+        same = own[at[lo:hi]] == own[at[len(i) + lo:len(i) + hi]]
+        out[lo:hi] = np.argmax(same, axis=1) == table[lo:hi]
+    return out
 
 
 def forest(i: np.ndarray, j: np.ndarray) -> list[int]:
@@ -128,21 +157,21 @@ def forest(i: np.ndarray, j: np.ndarray) -> list[int]:
 
 def _linker(k: int, tables: int, threshold: float):
     def link(part: pd.DataFrame) -> pd.DataFrame:
-        """Rows of one tile pair: links per row (other is null), and a spanning forest of vectors (n is null)."""
-        left, right = part[part["side"] == 0], part[part["side"] == 1]
-        table = int(part["t"].iat[0])
-        i = j = np.zeros(0, np.int64)
-        if part["ta"].iat[0] == part["tb"].iat[0]:
-            right = left
-            i, j = link_tile(stacked(left["unit"]), None, table, k, tables, threshold)
-        elif len(left) and len(right):
-            i, j = link_tile(stacked(left["unit"]), stacked(right["unit"]), table, k, tables, threshold)
-        rows, n = np.unique(np.concatenate([left["row"].to_numpy()[i], right["row"].to_numpy()[j]]), return_counts=True)
-        a, b = left["node"].to_numpy()[i], right["node"].to_numpy()[j]
-        span = forest(a, b)
+        """Rows of many cells: links per row (other is null), and a spanning forest of vectors (n is null)."""
+        part = part.sort_values(["t", "key", "ta", "tb"], ignore_index=True)
+        x, table = stacked(part["unit"]), part["t"].to_numpy()
+        name = part[["t", "key", "ta", "tb"]].to_numpy()
+        cell = np.cumsum(np.append(True, (name[1:] != name[:-1]).any(axis=1)))
+        i, j = close_pairs(x, cell, part["side"].to_numpy(), (part["ta"] != part["tb"]).to_numpy(), threshold)
+        if len(i):
+            first = meet_first(x, i, j, table[i], k, tables)
+            i, j = i[first], j[first]
+        row, node = part["row"].to_numpy(), part["node"].to_numpy()
+        rows, n = np.unique(np.concatenate([row[i], row[j]]), return_counts=True)
+        span = forest(node[i], node[j])
         return pd.DataFrame({
-            "node": np.concatenate([rows, a[span]]).astype("int64"),
-            "other": pd.array([pd.NA] * len(rows) + b[span].tolist(), "Int64"),
+            "node": np.concatenate([rows, node[i][span]]).astype("int64"),
+            "other": pd.array([pd.NA] * len(rows) + node[j][span].tolist(), "Int64"),
             "n": pd.array(n.tolist() + [pd.NA] * len(span), "Int64"),
         })
 
@@ -158,18 +187,21 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     rows = rows.select(F.monotonically_increasing_id().alias("row"), "node", "embedding")
     hashed = saved(rows.mapInArrow(_hasher(d, k, tables), "row long, node long, unit binary, keys array<long>"), "hashed")
     met = hashed.where("node is not null").select("row", F.posexplode("keys").alias("t", "key"))
-    counts = met.groupBy("t", "key").agg(F.count("*").alias("size")).where("size > 1")
+    counts = saved(met.groupBy("t", "key").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
+    work = counts.agg(F.sum(F.col("size") * F.ceil(F.col("size") / tile))).first()[0] or 0
+    groups = max(1, math.ceil(work / GROUP_ROWS))
     buckets = met.join(counts, ["t", "key"]).withColumn("tiles", F.ceil(F.col("size") / tile).cast("int"))
     buckets = buckets.withColumn("mine", F.pmod(F.xxhash64("row"), F.col("tiles")).cast("int"))
     every = F.sequence(F.lit(0), F.col("tiles") - 1)
     dealt = buckets.select("t", "key", "row", F.explode(F.transform(every, lambda o: F.struct(
         F.least("mine", o).alias("ta"), F.greatest("mine", o).alias("tb"), F.when(F.col("mine") <= o, 0).otherwise(1).alias("side"),
     ))).alias("x")).select("t", "key", "row", "x.*")
-    tiles = dealt.join(hashed.select("row", "node", "unit"), "row").groupBy("t", "key", "ta", "tb")
+    group = F.pmod(F.xxhash64("t", "key", "ta", "tb"), F.lit(groups)).alias("g")
+    tiles = dealt.join(hashed.select("row", "node", "unit"), "row").select("*", group).groupBy("g")
     found = saved(tiles.applyInPandas(_linker(k, tables, threshold), "node long, other long, n long"), "links")
     degree = found.where("n is not null").groupBy(F.col("node").alias("row")).agg(F.sum("n").alias("n_links"))
-    groups = components(found.where("other is not null"), "node", "other")
-    known = hashed.select("row", "node").join(degree, "row", "left").join(groups, "node", "left")
+    linked = components(found.where("other is not null"), "node", "other")
+    known = hashed.select("row", "node").join(degree, "row", "left").join(linked, "node", "left")
     root = F.coalesce("component", "node")
     return known.select(
         F.col("node").alias(vec_id), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
