@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metasift.llm.common import text_or_empty
+from metasift.llm.common import chunks, text_or_empty, utf8
+from metasift.llm.subwords import Subwords, default_tokenizer
 
 LENGTH = 4096
 #: Segments (pieces of examples) that one sequence may hold.
@@ -27,81 +28,6 @@ SEGMENTS = 512
 END_ID = 2
 #: Tokens and pieces a task holds before it packs them.
 BLOCK_TOKENS, BLOCK_PIECES = 24_000_000, 100_000
-#: Text chunks whose ids a worker remembers; further ones are tokenised each time they come.
-REMEMBERED = 400_000
-_TOKENIZERS: dict[str, Tokens] = {}
-
-
-def default_tokenizer() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
-
-
-class Tokens:
-    """Ids of texts for a tokenizer whose tokens never span white space: space-separated chunks are looked up first."""
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        vocabulary = self.tokenizer.get_vocab()
-        self.word_end = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.word_end[[k for t, k in vocabulary.items() if t.endswith("</w>")]] = True
-
-    @classmethod
-    def of(cls, path: str) -> Tokens:
-        """The worker's own copy."""
-        if path not in _TOKENIZERS:
-            _TOKENIZERS[path] = cls(path)
-        return _TOKENIZERS[path]
-
-    def _plain(self, chunks: list[str]) -> dict[str, bytes]:
-        encoded = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-        return {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(chunks, encoded, strict=True)}
-
-    def _fresh(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of new chunks.  Chunks of letters are one word each: many are read as one text and parted at the word ends."""
-        letters = [c for c in chunks if c.isalpha()]
-        out = self._plain([c for c in chunks if not c.isalpha()])
-        groups = [letters[k:k + 64] for k in range(0, len(letters), 64)]
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4")
-            ends = (np.flatnonzero(self.word_end[ids]) + 1) * 4
-            if len(ends) != len(group):
-                out |= self._plain(group)
-                continue
-            raw, at = ids.tobytes(), 0
-            for c, end in zip(group, ends.tolist(), strict=True):
-                out[c] = raw[at:end]
-                at = end
-        return out
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        known = self.known
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        seen: set[str] = set()
-        for parts in split:
-            seen.update(parts)
-        stems = {p: _stem(p) for p in seen if p not in known}
-        extra = self._fresh(list({x for pair in stems.values() for x in pair if x not in known}))
-        full = len(known) >= REMEMBERED
-        known.update(extra)
-        known.update({p: known[s] + known[m] for p, (s, m) in stems.items()})
-        out = [np.frombuffer(b"".join(map(known.__getitem__, parts)), "<u4") for parts in split]
-        if full:
-            for p in stems.keys() | extra.keys():
-                del known[p]
-        return out
-
-
-def _stem(chunk: str) -> tuple[str, str]:
-    """A chunk of letters and one mark as its letters and the mark; ASCII letters in lower case, as the tokenizer reads them."""
-    mark = ""
-    if chunk[-1:] in (",", ".") and chunk[:-1].isalpha():
-        chunk, mark = chunk[:-1], chunk[-1]
-    return (chunk.lower() if chunk.isascii() else chunk), mark
 
 
 def fill(demand: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,7 +75,7 @@ def _packer(path: str, length: int, segments: int, loss: int, end_id: int, with_
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, tokens = TaskContext.get().partitionId(), Tokens.of(path)
+        part, tokens = TaskContext.get().partitionId(), Subwords.of(path)
         next_id = part << 40
         docs: list = []
         rows: list[tuple] = []
@@ -176,13 +102,15 @@ def _packer(path: str, length: int, segments: int, loss: int, end_id: int, with_
             next_id += int(bins.max()) + 1
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                some = batch.slice(lo, 256)
-                bodies = tokens.encode(some.column(2).to_pylist())
-                prompts = tokens.encode(some.column(1).to_pylist())
-                for ident, body, prompt in zip(some.column(0).to_pylist(), bodies, prompts, strict=True):
-                    ids = np.concatenate([prompt, body, end])
-                    for s, n, bearing in cut(len(ids), len(prompt), step):
+            data, offsets = utf8(batch.column(2))
+            for lo, hi in chunks(offsets):
+                off = offsets[lo:hi + 1]
+                bodies, at = tokens.encode(data[off[0]:off[-1]], off - off[0])
+                prompts, before = tokens.encode(*utf8(batch.column(1).slice(lo, hi - lo)))
+                for k, ident in enumerate(batch.column(0).slice(lo, hi - lo).to_pylist()):
+                    lead = int(before[k + 1] - before[k])
+                    ids = np.concatenate([prompts[before[k]:before[k + 1]], bodies[at[k]:at[k + 1]], end])
+                    for s, n, bearing in cut(len(ids), lead, step):
                         piece = ids[s:s + n]
                         docs.append(ident)
                         rows.append((ident, s, n, bearing, zlib.crc32(piece.tobytes()), len(ids), piece.tolist() if with_ids else None))
