@@ -31,6 +31,8 @@ WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 6
 SLOTS = BANDS * ROWS
 TILE = 128
+#: Row numbers that may be broadcast; beyond that rows are joined.
+BROADCAST_ROWS = 4_000_000
 SIGNED = "n_words long, fp array<long>, keys array<long>"
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -208,11 +210,19 @@ def _tile_links(threshold: float):
     return link
 
 
+def narrowed(rows: DataFrame, ids: DataFrame, on: str, how: str) -> DataFrame:
+    """``rows`` whose ``on`` is (left_semi) or is not (left_anti) among ``ids``: few ids are broadcast, more are joined."""
+    few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(ids) if few else ids, on, how)
+
+
 def _links(reps: DataFrame, texts: DataFrame, threshold: float, tile: int) -> DataFrame:
     """Links (a, b) between rows of ``reps`` that connect whatever shares a band and is similar."""
-    met = saved(reps.select("row", F.explode("keys").alias("key")), "bands")
+    met = reps.select("row", F.explode("keys").alias("key"))
     lead = met.groupBy("key").agg(F.min("row").alias("lead"), F.count("*").alias("size")).where("size > 1")
     met = saved(met.join(lead, "key").where("row <> lead"), "met")
+    involved = saved(met.select(F.explode(F.array("row", "lead")).alias("row")).distinct(), "involved")
+    texts = saved(narrowed(texts, involved, "row", "left_semi"), "texts")
     pairs = met.select("row", "lead").distinct()
     similar = F.arrow_udf(_similar, "double").asNondeterministic()
     pairs = pairs.join(texts, "row").join(texts.select(F.col("row").alias("lead"), F.col("text").alias("lead_text")), "lead")
@@ -231,8 +241,8 @@ def _links(reps: DataFrame, texts: DataFrame, threshold: float, tile: int) -> Da
     return star.unionByName(saved(rest, "rest"))
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", name: str = "near", threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
-    """``docs`` with a struct column ``name``: n_words, class_id (smallest id of the group), kept (one row of each group)."""
+def _resolved(docs: DataFrame, doc_id: str, text: str, threshold: float, tile: int) -> tuple[DataFrame, DataFrame, str, str]:
+    """``docs`` written with row numbers and signatures; (row, best: id and row of its group's kept row); both columns' names."""
     row, sign = fresh(docs, "row"), fresh(docs, "sign")
     signer = F.arrow_udf(_sign, SIGNED).asNondeterministic()
     base = saved(docs.select("*", F.monotonically_increasing_id().alias(row), signer(text_or_empty(text)).alias(sign)), "signed")
@@ -246,9 +256,22 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     reps = reps.select("rep", "ident").join(groups, "rep", "left").select("rep", "ident", F.coalesce("root", "rep").alias("root"))
     best = reps.groupBy("root").agg(F.min("ident").alias("best"))
     known = mapped.select("row", "rep").join(reps.join(best, "root").select("rep", "best"), "rep").select(F.col("row").alias(row), "best")
+    return base, known, row, sign
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", name: str = "near", threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
+    """``docs`` with a struct column ``name``: n_words, class_id (smallest id of the group), kept (one row of each group)."""
+    base, known, row, sign = _resolved(docs, doc_id, text, threshold, tile)
     out = base.join(known.withColumnRenamed("best", sign + "_best"), row, "left")
     found = F.col(sign + "_best")
     return out.select(*[F.col(c) for c in docs.columns], F.struct(
         F.col(sign)["n_words"].alias("n_words"), F.when(found.isNull(), F.col(doc_id)).otherwise(found["id"]).alias("class_id"),
         (found.isNull() | (found["row"] == F.col(row))).alias("kept"),
     ).alias(name))
+
+
+def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
+    """``docs`` without the rows that ``near_duplicates`` does not keep."""
+    base, known, row, _ = _resolved(docs, doc_id, text, threshold, tile)
+    gone = saved(known.where(F.col("best.row") != F.col(row)).select(row), "gone")
+    return narrowed(base, gone, row, "left_anti").select(*docs.columns)
