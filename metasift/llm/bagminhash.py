@@ -247,7 +247,7 @@ def _resolved(docs: DataFrame, doc_id: str, text: str, threshold: float, tile: i
     signer = F.arrow_udf(_sign, SIGNED).asNondeterministic()
     base = saved(docs.select("*", F.monotonically_increasing_id().alias(row), signer(text_or_empty(text)).alias(sign)), "signed")
     ident: Column = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col(row).alias("row"))
-    rows = base.select(F.col(row).alias("row"), ident.alias("ident"), f"{sign}.fp", f"{sign}.keys").where("fp is not null")
+    rows = base.select(F.col(row).alias("row"), ident.alias("ident"), f"{sign}.fp", f"{sign}.keys").where("size(fp) > 0")
     first = rows.groupBy("fp").agg(F.min("ident").alias("first")).select("fp", F.col("first.row").alias("rep"))
     mapped = saved(rows.join(first, "fp").select("row", "rep", "ident", F.when(F.col("row") == F.col("rep"), F.col("keys")).alias("keys")), "mapped")
     reps = mapped.where("row = rep")
