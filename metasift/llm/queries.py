@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metasift.llm import bagminhash, contamination, embeddings, packing, pii, quality, secrets, warc, wrappers
+from metasift.llm import bagminhash, contamination, embeddings, lm, packing, pii, quality, secrets, warc, wrappers
 from metasift.llm.common import hex_sha256, joined_spans, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,3 +145,8 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model, _, _ = quality.fit(docs, table(spark, sf_dir, "labels"))
     return quality.score(docs, model).select("doc_id", "judged.n_words", "judged.quality", "judged.toxicity", "judged.keep")
+
+
+@query("op1_lm_score")
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
