@@ -16,11 +16,10 @@ from pyspark.sql import types as T
 from metasift.functions import rules
 from metasift.functions import text as tx
 from metasift.operators.jsonwalk import as_variant, first_key_value, holding, is_missing, walk
-from metasift.operators.ordering import fragments, positions, range_positions, split_by_size
+from metasift.operators.ordering import fragments, positions
 from metasift.session import cut_lineage
 
 P = "pipeline_id"
-ORDER_CAP = 5_000
 
 
 # --- reading activities ------------------------------------------------------------------
@@ -147,53 +146,14 @@ def kahn_order(groups: pd.Series) -> pd.Series:
     return groups.map(order)
 
 
-def order_large(acts: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """The same order by rounds of joins, for pipelines too large for one row.
-
-    An activity becomes ready with its last predecessor, so (level, path of last predecessors)
-    sorts exactly as the queue would; each round places one level of every pipeline.
-    """
-    acts = cut_lineage(acts)
-    edges = cut_lineage(dependency_edges(acts).select(P, "from_idx", "to_idx", "dep_pos"))
-    need = edges.groupBy(P, F.col("to_idx").alias("idx")).agg(F.count("*").alias("need"))
-    step = F.array(F.struct(F.col("name").alias("k"), F.col("idx").alias("n")))
-    front = cut_lineage(acts.join(need, [P, "idx"], "left_anti").select(P, "idx", F.lit(0).alias("level"), step.alias("path")))
-    placed, waiting = front, None
-    for _ in range(max_rounds):
-        came = front.join(edges.withColumnRenamed("from_idx", "idx"), [P, "idx"]).select(
-            P, F.col("to_idx").alias("idx"), F.lit(1).alias("got"),
-            F.struct("level", "path", "dep_pos").alias("last"))
-        if waiting is not None:
-            came = came.unionByName(waiting)
-        state = cut_lineage(came.groupBy(P, "idx").agg(F.sum("got").cast("int").alias("got"), F.max("last").alias("last")).join(need, [P, "idx"]))
-        ready = state.where("got = need").select(
-            P, "idx", (F.col("last.level") + 1).alias("level"),
-            F.concat("last.path", F.array(F.struct(F.lit("").alias("k"), F.col("idx").alias("n")))).alias("path"))
-        if ready.isEmpty():
-            break
-        waiting = state.where("got < need").select(P, "idx", "got", "last")
-        front = ready
-        placed = placed.unionByName(ready)
-    counts = acts.groupBy(P).agg(F.count("*").alias("all")).join(
-        placed.groupBy(P).agg(F.count("*").alias("done")), P, "left")
-    cyclic = counts.select(P, (F.coalesce("done", F.lit(0)) < F.col("all")).alias("cyclic"))
-    rows = acts.select(P, "idx").join(placed, [P, "idx"], "left").join(cyclic, P)
-    key = F.when(F.col("cyclic"), F.struct(F.lit(0).alias("level"), F.array(F.struct(F.lit("").alias("k"), F.col("idx").alias("n"))).alias("path"))
-                 ).otherwise(F.struct("level", "path"))
-    return range_positions(rows.withColumn("_k", key), [P], ["_k"], "pos").select(P, "idx", "pos", "level", "cyclic")
-
-
-def order_activities(acts: DataFrame, cap: int = ORDER_CAP) -> DataFrame:
+def order_activities(acts: DataFrame) -> DataFrame:
     """Add ``pos`` (1-based execution order), ``level`` and ``cyclic`` to activity rows.
 
-    Pipelines of up to ``cap`` activities are ordered as one array per row, in Arrow batches;
-    larger ones by rounds of joins, so no pipeline has to fit into one task.
+    A pipeline's activities come from one definition document, so they fit into one row again;
+    the order of each is linear in its activities and dependencies, at any depth.
     """
-    small, big = split_by_size(acts, [P], cap)
-    lists = small.groupBy(P).agg(F.array_sort(F.collect_list(F.struct(F.col("idx").cast("int").alias("idx"), "name", "deps"))).alias("g"))
+    lists = acts.groupBy(P).agg(F.array_sort(F.collect_list(F.struct(F.col("idx").cast("int").alias("idx"), "name", "deps"))).alias("g"))
     out = lists.select(P, F.explode(kahn_order("g")).alias("o")).select(P, "o.idx", "o.pos", "o.level", "o.cyclic")
-    if big is not None:
-        out = out.unionByName(order_large(big.withColumn("idx", F.col("idx").cast("int"))))
     return acts.withColumn("idx", F.col("idx").cast("int")).join(out, [P, "idx"])
 
 
@@ -417,7 +377,7 @@ def flow_graph(flagged: DataFrame, edges: DataFrame, cands: DataFrame) -> tuple[
 
 
 def flow_text(pipelines: DataFrame, ordered: DataFrame, cands: DataFrame, dests: DataFrame, gated: DataFrame) -> DataFrame:
-    """``sources -> steps -> destination[ with validation gates]`` in parts of 1,000 labels.
+    """``sources -> steps -> destination[ with validation gates]``.
 
     ``pipelines(pipeline_id, pipeline_name)``; ``gated(pipeline_id)`` lists those with rules.
     """
@@ -439,7 +399,7 @@ def flow_text(pipelines: DataFrame, ordered: DataFrame, cands: DataFrame, dests:
 
 
 def loading_flow(ordered: DataFrame, cands: DataFrame, dests: DataFrame) -> DataFrame:
-    """``STAGE: label`` steps, first use of each kept, in parts of 1,000."""
+    """``STAGE: label`` steps, first use of each kept."""
     endpoint = F.when(tx.first_nonblank(F.col("endpoint")).isNotNull(), tx.endpoint_label(F.col("endpoint"))).otherwise(candidate_label())
     web = F.lower("type") == "webactivity"
     src, sink = F.col("src"), F.col("sink")
@@ -624,7 +584,7 @@ def structural_dedup(nodes: DataFrame, edges: DataFrame, texts: DataFrame, key:
     norm = tx.normalize_node_id
     parts = nodes.select(key, F.lit("n").alias("kind"), F.concat(norm(F.col("node_id")), F.lit("::"), F.lower(F.trim("node_type"))).alias("value"))
     parts = parts.unionByName(edges.select(key, F.lit("e").alias("kind"), F.concat(norm(F.col("from_id")), F.lit("->"), norm(F.col("to_id"))).alias("value")))
-    parts = parts.unionByName(texts.select(key, F.lit("t").alias("kind"), F.concat_ws(":", "part", F.lower(F.trim("text"))).alias("value")))
+    parts = parts.unionByName(texts.select(key, F.lit("t").alias("kind"), F.lower(F.trim("text")).alias("value")))
     return signatures(parts, key).groupBy("sig").agg(F.min(key).alias(key), F.count("*").alias("copies")).select(key, "copies")
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from metasift.functions import rules
 from metasift.functions import text as tx
-from metasift.operators.jsonwalk import DEFAULT_DEPTH, is_missing, path_prefixes, walk
+from metasift.operators.jsonwalk import is_missing, path_prefixes, walk
 from metasift.session import cut_lineage
 
 ID = "config_id"
@@ -55,7 +55,7 @@ def diff_summary(diff: DataFrame, names: list[str]) -> DataFrame:
     return diff.groupBy(ID).agg(*[F.count_if(F.col("status") == n).alias(n) for n in names])
 
 
-def diff_tree(left: DataFrame, right: DataFrame, doc: str, max_depth: int = DEFAULT_DEPTH) -> DataFrame:
+def diff_tree(left: DataFrame, right: DataFrame, doc: str, max_depth: int | None = None) -> DataFrame:
     """Node diff (M14): one-sided subtrees appear once at their root, strings compare loosely.
 
     Objects and lists of objects nest; other list elements compare whole.

@@ -43,15 +43,18 @@ def matches(text: str, pattern: str) -> str:
     return f"contains({text}, {sql_text(stem)}) and {hit}" if stem else hit
 
 
-def rule_hits(text: str, rule_list, evidence: str, base: int = 0) -> Column:
+def rule_hits(text: str, rule_list, evidence: str, base: int = 0, prefilter: bool = True) -> Column:
     """Array of (rule_order, label, evidence), one per rule whose first matching pattern is the evidence.
 
-    ``text`` names a lower-case column.  Patterns are literals, so each compiles once.
+    ``text`` names a lower-case column.  Patterns are literals, so each compiles once.  The
+    prefilter reads a pattern's literal part, which suits the built-in rules; any pattern the
+    engine accepts goes without it.
     """
+    test = matches if prefilter else lambda t, p: f"{t} rlike {sql_text(p)}"
     hits = []
     for i, (label, patterns) in enumerate(rule_list):
         arms = " ".join(
-            f"when {matches(text, p)} then named_struct('rule_order', {base + i}, 'label', {sql_text(label)}, "
+            f"when {test(text, p)} then named_struct('rule_order', {base + i}, 'label', {sql_text(label)}, "
             f"'evidence', {sql_text(f"{evidence} '{p}' → {label}")})" for p in patterns)
         hits.append(f"case {arms} end")
     return F.expr(f"array_compact(array({', '.join(hits)}))").cast(HIT)
@@ -224,24 +227,38 @@ def with_combinations(detections: DataFrame) -> DataFrame:
     return detections.unionByName(combos)
 
 
-def analyze(payloads: DataFrame) -> DataFrame:
+def entity_hits(entities: DataFrame) -> DataFrame:
+    """Per payload the labels of its entity rows, an array per category; few labels exist, and copies combine per task."""
+    found = first_labels(detect_entities(entities))
+    hit = F.struct("rule_order", "label", "evidence")
+    return found.groupBy("payload_id").agg(*[
+        F.array_sort(F.collect_list(F.when(F.col("category") == c, hit))).alias(f"_{c}") for c in CATEGORIES])
+
+
+def analyze(payloads: DataFrame, entities: DataFrame | None = None) -> DataFrame:
     """Labels and evidence arrays per category in rule order, one narrow pass.
 
     Expectation labels come from the JSON text by pattern, in order of appearance.
+    With ``entities`` the labels of a payload's entity rows follow, unless the text gave them.
     """
     df = with_text(payloads)
-    types = F.array_distinct(
-        F.regexp_extract_all("raw_json", F.lit(r'"expectation_type"\s*:\s*"([^"]+)"'), F.lit(1)))
+    types = F.array_distinct(F.coalesce(
+        F.regexp_extract_all("raw_json", F.lit(r'"expectation_type"\s*:\s*"([^"]+)"'), F.lit(1)), F.array().cast("array<string>")))
 
-    def expectation(t: Column) -> Column:
+    def expectation(t: Column, at: Column) -> Column:
         label = F.coalesce(map_value(t, rules.EXPECTATION_LABELS), F.concat(F.lit("GE: "), t))
-        return F.struct(F.lit(100).alias("rule_order"), label.alias("label"),
+        return F.struct((at + 100).alias("rule_order"), label.alias("label"),
                         F.concat(F.lit("GE expectation type '"), t, F.lit("'")).alias("evidence"))
 
     for c in CATEGORIES:
         df = df.withColumn(c, category_hits(c))
     df = df.withColumn("framework", F.concat("framework", combination_hits(F.col("framework.label"))))
     df = df.withColumn("dq_rules", F.array_sort(F.concat("dq_rules", F.transform(types, expectation).cast(HIT))))
+    if entities is not None:
+        df = df.join(entity_hits(entities), "payload_id", "left")
+        for c in CATEGORIES:
+            more = F.filter(F.coalesce(F.col(f"_{c}"), F.array().cast(HIT)), unseen(c))
+            df = df.withColumn(c, F.concat(c, more.cast(HIT)))
     return df.select(
         "payload_id",
         *[F.col(f"{c}.label").alias(c) for c in CATEGORIES],
@@ -249,6 +266,11 @@ def analyze(payloads: DataFrame) -> DataFrame:
     )
 
 
+def unseen(category: str) -> Callable[[Column], Column]:
+    """Whether a hit's label is not among the category's own."""
+    return lambda h: ~F.array_contains(F.col(f"{category}.label"), h["label"])
+
+
 def confidence(labels: DataFrame) -> DataFrame:
     """Payload confidence per category; categories with nothing score 0."""
     return labels.select(
@@ -329,7 +351,7 @@ def custom_rule_detector(rule_rows: list[tuple[str, str, str]]) -> Callable[[Dat
 
     def run(payloads: DataFrame) -> DataFrame:
         df = with_text(payloads)
-        arrays = [tagged(cat, rule_hits("txt", list(labels.items()), "user rule"))
+        arrays = [tagged(cat, rule_hits("txt", list(labels.items()), "user rule", prefilter=False))
                   for cat, labels in by_cat.items()]
         return df.select("payload_id", F.explode(F.concat(*arrays)).alias("h")).select("payload_id", "h.*")
 

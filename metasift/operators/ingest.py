@@ -129,7 +129,8 @@ def cdc_soft_delete(df: DataFrame, deleted: str, include_deletes: bool = True) -
 def latest_per_key(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
     """Newest row per key; ``max_by`` combines before the shuffle, so hot keys stay cheap."""
     rest = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("r")).select(*keys, "r.*")
+    known = F.struct(order.isNotNull(), order)  # a row without an order loses, but stands if it is alone
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), known).alias("r")).select(*keys, "r.*")
 
 
 def cdc_log_based(df: DataFrame, keys: list[str], lsn: str, last: int) -> DataFrame:
@@ -138,17 +139,22 @@ def cdc_log_based(df: DataFrame, keys: list[str], lsn: str, last: int) -> DataFr
 
 
 def cdc_apply(current: DataFrame, changes: DataFrame, keys: list[str], lsn: str, op: str = "_op") -> DataFrame:
-    """Fold changes into current state: newest wins, deletes vanish.
+    """Fold changes into current state: the newest sequence wins, a change before the state at a tie; deletes vanish.
 
     State and changes meet in one grouping, a single shuffle without a join.
     """
     both = current.withColumn(op, F.lit("K")).unionByName(changes.select(*current.columns, op))
-    rank = F.struct(F.when(F.col(op) == "K", 0).otherwise(1), F.col(lsn))
+    rank = F.struct(F.col(lsn), F.col(op) != "K")
     return latest_per_key(both, keys, rank).where(F.col(op) != "D").drop(op)
 
 
-def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """Incoming rows replace existing ones with their key, others stay."""
+def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """Incoming rows replace existing ones with their key, others stay.
+
+    Of several incoming rows of one key the last by ``order`` counts, or the greatest row without one.
+    """
+    rest = [c for c in incoming.columns if c not in keys]
+    incoming = latest_per_key(incoming, keys, F.col(order) if order else F.struct(*rest)).select(*incoming.columns) if rest else incoming.distinct()
     return existing.join(incoming.select(*keys).distinct(), keys, "left_anti").unionByName(incoming)
 
 

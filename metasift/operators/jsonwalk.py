@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_DEPTH = 12
+from metasift.session import cut_lineage
+
+#: Levels that one statement expands; deeper documents go on in rounds.
+LEVELS = 12
 
 
 def as_variant(doc: Column) -> Column:
@@ -54,10 +57,9 @@ def walk(
     doc: str,
     ids: list[str],
     *,
-    max_depth: int = DEFAULT_DEPTH,
+    max_depth: int | None = None,
     containers: bool = False,
     list_leaves: bool = False,
-    bounded: bool = False,
     keep_empty: bool = False,
     root: str = "",
 ) -> DataFrame:
@@ -65,12 +67,35 @@ def walk(
 
     Columns: the ids, ``path``, ``parent``, ``key``, ``depth``, ``kind``, ``value``
     (JSON text) and ``ord``, which sorts a document's rows depth first by array position,
-    then key.  A document nested deeper than ``max_depth`` fails the job rather than
-    losing leaves; ``bounded`` asks for the cut-off instead.  ``keep_empty`` keeps ``{}``
-    (and ``[]``) as leaves.
+    then key.  ``max_depth`` asks for a cut-off; without it documents are walked at any depth:
+    a document that may nest deeper than one statement reaches is expanded in rounds, each
+    written and holding only what is still open.  ``keep_empty`` keeps ``{}`` (and ``[]``)
+    as leaves.
     """
+    if max_depth is None:
+        deep = may_nest_deeper(F.col(doc), LEVELS)
+        if df.where(deep).limit(1).count():
+            options = {"containers": containers, "list_leaves": list_leaves, "keep_empty": keep_empty, "root": root}
+            flat = walk(df.where(~deep), doc, ids, max_depth=LEVELS, **options)
+            return flat.unionByName(_finish(_walk_rounds(_start(df.where(deep), doc, ids, root), ids, containers, list_leaves), ids, containers, list_leaves, keep_empty))
+        max_depth = LEVELS
+    state = _expand(_start(df, doc, ids, root), ids, max_depth, containers, list_leaves)
+    return _finish(state, ids, containers, list_leaves, keep_empty)
+
+
+def may_nest_deeper(doc: Column, levels: int) -> Column:
+    """Whether brackets outside strings may nest deeper than ``levels``; innermost pairs are removed level by level."""
+    brackets = F.regexp_replace(doc, r'"(?:[^"\\]|\\.)*+"|[^\[\]{}"]++', "")
+    for _ in range(levels):
+        brackets = F.regexp_replace(brackets, r"\{\}|\[\]", "")
+    many = F.length(doc) - F.length(F.translate(doc, "{[", "")) > levels
+    return F.coalesce(F.when(many, brackets != "").otherwise(F.lit(False)), F.lit(False))
+
+
+def _start(df: DataFrame, doc: str, ids: list[str], root: str) -> DataFrame:
+    """Every document as one open row."""
     step = "array<struct<pos:int,key:string>>"
-    start = df.select(
+    return df.select(
         *ids,
         F.lit(root).alias("path"),
         F.lit(None).cast("string").alias("parent"),
@@ -82,11 +107,26 @@ def walk(
         F.lit(True).alias("open"),
     ).where("v is not null")
 
+
+def _walk_rounds(start: DataFrame, ids: list[str], containers: bool, list_leaves: bool) -> DataFrame:
+    """Expand until nothing is open; a round carries only the rows that the one before left open."""
+    done, state = None, start
+    while True:
+        state = cut_lineage(_expand(state, ids, 4, containers, list_leaves))
+        closed = state.where("not open")
+        done = closed if done is None else done.unionByName(closed)
+        state = state.where("open")
+        if state.isEmpty():
+            return done
+
+
+def _expand(start: DataFrame, ids: list[str], levels: int, containers: bool, list_leaves: bool) -> DataFrame:
+    """``levels`` more levels under the open rows."""
     # Each round expands the open containers by one level; four rounds make one statement.
     keep = ", ".join(f"s.`{c}`" for c in ids)
     is_object, is_list = (f"try_variant_get(v, '$', '{t}') is not null" for t in ("map<string,variant>", "array<variant>"))
     state, query = start, "{state}"
-    for n in range(1, max_depth + 1):
+    for n in range(1, levels + 1):
         if containers:
             query = f"(select *, explode(if(open and ({is_object} or {is_list}), array(0, 2), array(1))) as t from {query})"
             source, last = "t = 2", "where s.t <> 2 or e.pos is not null"
@@ -102,14 +142,13 @@ def walk(
                 'pos', if(e.key is null, e.pos, 0), 'key', coalesce(e.key, ''))))) as ord,
             coalesce(e.value, s.v) as v, e.pos is not null as open
             from (select *, if({source}, v, null) as src from {query}) s, lateral variant_explode_outer(s.src) e {last})"""
-        if n % 4 == 0 or n == max_depth:
-            state, query = df.sparkSession.sql(f"select * from {query}", state=state), "{state}"
+        if n % 4 == 0 or n == levels:
+            state, query = start.sparkSession.sql(f"select * from {query}", state=state), "{state}"
+    return state
+
 
+def _finish(state: DataFrame, ids: list[str], containers: bool, list_leaves: bool, keep_empty: bool) -> DataFrame:
     v = F.col("v")
-    deep = F.col("open") & (object_of(v).isNotNull() | (F.lit(False) if list_leaves else list_of(v).isNotNull()))
-    if not bounded:
-        too_deep = F.raise_error(F.lit(f"document nests deeper than max_depth={max_depth}")).cast("boolean")
-        state = state.where(F.when(deep, too_deep).otherwise(F.lit(True)))
     kind = kind_of(v) if containers else leaf_kind(v)
     out = state.select(*ids, "path", "parent", "key", "depth", kind.alias("kind"), F.to_json(v).alias("value"), "ord")
     if containers or keep_empty:
@@ -133,7 +172,7 @@ def holding(df: DataFrame, doc: str, keys: list[str]) -> DataFrame:
     return df.where(cond)
 
 
-def collect_values(df: DataFrame, doc: str, ids: list[str], key: str, max_depth: int = DEFAULT_DEPTH) -> DataFrame:
+def collect_values(df: DataFrame, doc: str, ids: list[str], key: str, max_depth: int | None = None) -> DataFrame:
     """Every value under ``key`` (any case) at any level, in walk order.
 
     Documents whose text does not hold the key at all are skipped before the walk.

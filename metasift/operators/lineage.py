@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from metasift.functions import rules
 from metasift.functions import text as tx
-from metasift.operators.ordering import positions
 from metasift.session import cut_lineage
 
 
@@ -19,7 +18,8 @@ def first_write_wins(df: DataFrame, keys: list[str], seq: str) -> DataFrame:
     sends one row per task instead of all of them.
     """
     rest = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(seq)).alias("r")).select(*keys, "r.*")
+    order = F.struct(F.col(seq).isNull(), F.col(seq))  # a missing sequence comes last, but is not lost
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("r")).select(*keys, "r.*")
 
 
 def first_n(df: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
@@ -50,18 +50,20 @@ def downstream(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         "platform")
 
 
-def impact_closure(edges: DataFrame, seeds: DataFrame, max_rounds: int = 100) -> DataFrame:
+def impact_closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """Everything downstream of ``seeds(seed, urn)`` with the least hop count.
 
     Breadth first: each round joins only the newest frontier with the edges and is written
     to the checkpoint folder, so neither the plan nor recovery grows with the depth.
     Start nodes that share a ``seed`` label search as one set and keep the result linear
-    in the number of nodes.  A search still growing after ``max_rounds`` is an error.
+    in the number of nodes.  Every round reaches new nodes or is the last.
     """
     hop = cut_lineage(edges.select(F.col("source_urn").alias("urn"), "target_urn").distinct())
     frontier = cut_lineage(seeds.select("seed", "urn").distinct().withColumn("hops", F.lit(0)))
     reached = frontier
-    for depth in range(1, max_rounds + 1):
+    depth = 0
+    while True:
+        depth += 1
         nxt = (
             frontier.join(hop, "urn").select("seed", F.col("target_urn").alias("urn")).distinct()
             .join(reached.select("seed", "urn"), ["seed", "urn"], "left_anti")
@@ -73,7 +75,6 @@ def impact_closure(edges: DataFrame, seeds: DataFrame, max_rounds: int = 100) ->
         reached = reached.unionByName(frontier)
         if depth % 10 == 0:
             reached = cut_lineage(reached)
-    raise RuntimeError(f"closure still growing after {max_rounds} rounds")
 
 
 def flow_members(edges: DataFrame) -> DataFrame:
@@ -108,8 +109,8 @@ def graph_from_lineage(lineage: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
-def entity_search(terms: DataFrame, entities: DataFrame, limit: int = 50) -> DataFrame:
-    """Entities whose name holds a term, at most ``limit`` per term and type.
+def entity_search(terms: DataFrame, entities: DataFrame, limit: int | None = None) -> DataFrame:
+    """Entities whose name holds a term, ranked per term and type; the first ``limit`` if one is given.
 
     ``terms(term)`` and ``entities(urn, type, name)``.  Names are cut into the substrings
     that have a term's length, so the match is an equi-join spread over all terms rather
@@ -120,20 +121,22 @@ def entity_search(terms: DataFrame, entities: DataFrame, limit: int = 50) -> Dat
     keyed = entities.select("urn", "type", "name", F.lower("name").alias("low"), lengths.scalar().alias("n")).select(
         "urn", "type", "name", F.explode(tx.substrings(F.col("low"), F.col("n"))).alias("term"))
     hits = keyed.join(t, "term")
-    return first_n(hits, ["term", "type"], ["urn"], limit)
+    if limit is not None:
+        return first_n(hits, ["term", "type"], ["urn"], limit)
+    return hits.withColumn("rn", F.row_number().over(W.partitionBy("term", "type").orderBy("urn")))
 
 
-def enrich_entities(payload_terms: DataFrame, entities: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def enrich_entities(payload_terms: DataFrame, entities: DataFrame, edges: DataFrame, lead: int = 2) -> tuple[DataFrame, DataFrame]:
     """Entities and upstream lineage for ``payload_terms(payload_id, term, pos)``.
 
-    Entities are distinct by urn per payload; lineage follows the first two hits of a term.
+    Entities are distinct by urn per payload; lineage follows the ``lead`` first hits of a term.
     """
     hits = entity_search(payload_terms, entities)
     by_term = payload_terms.select("payload_id", "pos", F.lower("term").alias("term")).join(hits, "term")
     found = by_term.groupBy("payload_id", "urn").agg(
         F.min(F.struct("pos", "type", "rn")).alias("first"))
-    lead = hits.withColumn("k", F.struct("type", "rn"))
-    two = first_n(lead.drop("rn"), ["term"], ["k"], 2).select("term", "urn")
+    ranked = hits.withColumn("k", F.struct("type", "rn"))
+    two = first_n(ranked.drop("rn"), ["term"], ["k"], lead).select("term", "urn")
     lineage = related(edges, two.select("urn").distinct().withColumn("direction", F.lit("UPSTREAM")))
     up = (
         payload_terms.select("payload_id", F.lower("term").alias("term")).distinct()
@@ -148,16 +151,11 @@ def aspect_pivot(aspects: DataFrame) -> DataFrame:
     return aspects.groupBy("urn").pivot("aspect", rules.ASPECTS).agg(F.first("value", ignorenulls=True))
 
 
-def graph_documents(edges: DataFrame, key: str, seq: str, chunk: int = 1000) -> DataFrame:
-    """Edges of each graph as JSON documents, order kept.
+def graph_documents(edges: DataFrame, key: str, seq: str) -> DataFrame:
+    """The edges of each graph as one JSON document, order kept.
 
-    A graph is written as documents of at most ``chunk`` edges, so one graph holding a large
-    share of all edges never has to fit into one row.
+    A document is one value, so the edges of a graph meet in one row by definition.
     """
-    placed = positions(edges, [key], [seq, "source_urn", "target_urn", "edge_type"], "pos")
-    part = F.floor((F.col("pos") - 1) / chunk).cast("int")
-    item = F.struct(F.col("pos").alias("seq"), F.struct("source_urn", "target_urn", "edge_type").alias("e"))
-    return (
-        placed.groupBy(key, part.alias("part")).agg(F.array_sort(F.collect_list(item)).alias("l"))
-        .select(key, "part", F.to_json(F.struct(F.transform("l", lambda x: x["e"]).alias("edges"))).alias("doc"))
-    )
+    item = F.struct(seq, F.struct("source_urn", "target_urn", "edge_type").alias("e"))
+    return edges.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("l")).select(
+        key, F.to_json(F.struct(F.transform("l", lambda x: x["e"]).alias("edges"))).alias("doc"))

@@ -8,28 +8,15 @@ from pyspark.sql import functions as F
 
 from metasift.session import cut_lineage
 
-SMALL_GROUP = 50_000
 
-
-def split_by_size(df: DataFrame, keys: list[str], cap: int) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of groups up to ``cap`` rows, and those of larger groups (None when there are none).
-
-    Only the keys of oversized groups travel: they are few by definition, total / cap at most.
-    """
-    big = cut_lineage(df.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > cap).select(*keys))
-    if big.isEmpty():
-        return df, None
-    return df.join(big, keys, "left_anti"), df.join(big, keys, "left_semi")
-
-
-def range_positions(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
+def positions(df: DataFrame, keys: list[str], order: list[str], out: str = "pos", partitions: int | None = None) -> DataFrame:
     """1-based positions by range partitioning: a group may span any number of tasks.
 
     Rows are range-partitioned and sorted on (keys, order); a row's place is its offset
     in its partition plus the group's counts in earlier partitions, of which there is one
-    per partition.
+    per partition.  ``partitions`` sizes the sort; the session's shuffle width by default.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = cut_lineage(
         df.repartitionByRange(n, *keys, *order).sortWithinPartitions(*keys, *order)
         .withColumn("_rid", F.monotonically_increasing_id()))
@@ -41,21 +28,12 @@ def range_positions(df: DataFrame, keys: list[str], order: list[str], out: str)
         out, (F.col("_rid") - F.col("_first") + F.col("_off") + 1).cast("int")).drop("_rid", "_pid", "_first", "_n", "_off")
 
 
-def positions(df: DataFrame, keys: list[str], order: list[str], out: str = "pos", cap: int = SMALL_GROUP) -> DataFrame:
-    """1-based positions: a window for ordinary groups, ranges for oversized ones."""
-    small, big = split_by_size(df, keys, cap)
-    ranked = small.withColumn(out, F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("int"))
-    return ranked if big is None else ranked.unionByName(range_positions(big, keys, order, out))
-
-
-def fragments(tokens: DataFrame, key: str, order: list[str], size: int = 1000) -> DataFrame:
-    """Ordered texts ``(key, part, text)`` of ``tokens(key, token, *order)``.
+def fragments(tokens: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """One text ``(key, text)`` from the ordered tokens of every key in ``tokens(key, token, *order)``.
 
-    A text is cut after every ``size`` tokens; nearly all have one part, and a text of any
-    length never has to fit into one row.  Parts in order give the whole text.
+    A text is one value of one report, so its tokens meet in one row by definition; they
+    arrive combined per task.
     """
-    placed = positions(cut_lineage(tokens), [key], order, "_pos")
-    part = F.floor((F.col("_pos") - 1) / size).cast("int")
-    return placed.groupBy(key, part.alias("part")).agg(
-        F.array_sort(F.collect_list(F.struct("_pos", "token"))).alias("l")).select(
-        key, "part", F.array_join(F.col("l.token"), "").alias("text"))
+    rest = [c for c in order if c != "token"]
+    return tokens.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*rest, "token"))).alias("l")).select(
+        key, F.array_join(F.col("l.token"), "").alias("text"))

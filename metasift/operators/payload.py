@@ -20,8 +20,8 @@ def scan_payloads(df: DataFrame) -> DataFrame:
 
 
 def payload_text(df: DataFrame) -> Column:
-    """Lower-case text of all parts, from the JSON as delivered."""
-    return F.lower(F.concat_ws(" ", *[F.col(s) for s in (*SURFACES, "entities") if s in df.columns]))
+    """Lower-case text of all parts, from the JSON as delivered, in one line: rules look across line breaks."""
+    return F.regexp_replace(F.lower(F.concat_ws(" ", *[F.col(s) for s in (*SURFACES, "entities") if s in df.columns])), r"[\r\n]+", " ")
 
 
 def with_text(df: DataFrame) -> DataFrame:

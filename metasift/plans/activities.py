@@ -182,7 +182,7 @@ with {EDGES}, {CAND}, {DEST},
 x as (select pipeline_id, string_agg(coalesce(service_name, path, 'Source'), ', ' order by pos) as t from c group by 1),
 y as (select pipeline_id, string_agg(name, ' -> ' order by idx) as t from fx_activity where type <> 'Office365Email' group by 1),
 z as (select pipeline_id, string_agg(label, ', ' order by pos) as t from d group by 1)
-select p.pipeline_id, 0 as part, coalesce(x.t, 'No explicit source') || ' -> ' || coalesce(y.t, 'pipe_' || p.pipeline_id) || ' -> ' || coalesce(z.t, 'no explicit sink')
+select p.pipeline_id, coalesce(x.t, 'No explicit source') || ' -> ' || coalesce(y.t, 'pipe_' || p.pipeline_id) || ' -> ' || coalesce(z.t, 'no explicit sink')
  || case when bool_or_if then ' with validation gates' else '' end as text
 from (select pipeline_id, bool_or(type = 'IfCondition') as bool_or_if from fx_activity group by 1) p
 left join x using (pipeline_id) left join y using (pipeline_id) left join z using (pipeline_id)""", ACT)
@@ -202,7 +202,7 @@ st as (select pipeline_id, 0 as ph, pos as k, 0 as sub, 'SOURCE' as s, 'REST API
  union all select pipeline_id, 2, idx, 3, 'DESTINATION', json_extract_string(sink,'$.table') from fx_activity where sink is not null),
 u as (select pipeline_id, s, l, min(ph * 1000000 + k * 10 + sub) as o from st group by 1, 2, 3),
 f as (select pipeline_id, 'DESTINATION' as s, string_agg(label, ', ' order by pos) as l, 999999999 as o from d where pipeline_id not in (select pipeline_id from u where s = 'DESTINATION') group by 1)
-select pipeline_id, 0 as part, string_agg(s || ': ' || l, ' -> ' order by o) as text from (select pipeline_id, s, l, o from u union all select pipeline_id, s, l, o from f) group by 1""", ACT)
+select pipeline_id, string_agg(s || ': ' || l, ' -> ' order by o) as text from (select pipeline_id, s, l, o from u union all select pipeline_id, s, l, o from f) group by 1""", ACT)
 def loading_flow(spark, sf):
     a, e, f = flagged(spark, sf)
     return ac.loading_flow(a, ac.source_candidates(a), ac.destinations(f))
@@ -254,7 +254,7 @@ def adf_activity_report(spark, sf):
 def report_row(r):
     n = r["nodes"].groupBy(P).agg(F.count("*").alias("nodes"))
     e = r["edges"].groupBy(P).agg(F.count("*").alias("edges"))
-    t = r["text"].where("part = 0").select(P, "text")
+    t = r["text"]
     d = r["details"].select(P, F.array_join("ingestion_types", "|").alias("types"))
     return r["report"].join(n, P, "left").join(e, P, "left").join(t, P, "left").join(d, P, "left").select(
         P, "pipeline_name", "source_type", "service_name", "authentication_type", "mode", "trigger_type", "destination", "nodes",
@@ -292,7 +292,7 @@ def structural_dedup(spark, sf):
     e = ac.dependency_edges(a)
     nodes = a.select(P, F.col("name").alias("node_id"), ac.node_type(F.col("type")).alias("node_type"))
     edges = e.select(P, F.col("from_name").alias("from_id"), F.col("to_name").alias("to_id"))
-    texts = a.select(P, F.lit(0).alias("part"), F.lit("same").alias("text")).distinct()
+    texts = a.select(P, F.lit("same").alias("text")).distinct()
     return ac.structural_dedup(nodes, edges, texts, P)
 
 

@@ -117,7 +117,7 @@ select p_partkey as item_id, case when p_partkey % 5 = 0 then null else 'pipelin
  case p_partkey % 3 when 0 then 'eyJhIjoxfQ==' when 1 then '{"a":2}' else 'plain text!' end as payload from part
 """,
     "fx_freetext": r"""
-select conv_id, turn, concat(case when turn % 2 = 0 then '<think>x {no} </think>' else '' end, substr(text, 1, 20), case turn % 3 when 0 then ' {"a":1}' when 1 then ' {broken' else '' end) as text from conversations
+select conv_id, turn, concat(case when turn % 2 = 0 then '<think>x {no} </think>' else '' end, text, case turn % 3 when 0 then ' {"a":1}' when 1 then ' {broken' else '' end) as text from conversations
 """,
     "fx_code": r"""
 select p_partkey % 40 as package_id, concat('m', p_partkey, '.py') as path,

@@ -129,7 +129,8 @@ def cdc_log_based(spark, sf):
 @query("I10", "cdc_apply", """
 with cur as (select user_id, max(event_id) as event_id, arg_max(value, event_id) as value from events where event_type = 'signup' group by 1),
 ch as (select user_id, max(event_id) as event_id, arg_max(value, event_id) as value, arg_max(event_type, event_id) as op from events where event_type in ('view','error') group by 1)
-select user_id, event_id, value from cur anti join ch using (user_id) union all select user_id, event_id, value from ch where op <> 'error'""")
+select user_id, arg_max(event_id, event_id) as event_id, arg_max(value, event_id) as value
+from (select user_id, event_id, value, 'keep' as op from cur union all select * from ch) group by 1 having arg_max(op, event_id) <> 'error'""")
 def cdc_apply(spark, sf):
     e = table(spark, sf, "events").select("user_id", "event_id", "value", "event_type")
     cur = ig.latest_per_key(e.where("event_type = 'signup'").drop("event_type"), ["user_id"], F.col("event_id"))

@@ -102,7 +102,7 @@ hits as (select t.term, e.type, e.urn, row_number() over (partition by t.term, e
  from terms t join fx_entity e on contains(lower(e.name), t.term))"""
 
 
-@query("J11", "entity_search", f"with {SEARCH} select term, type, urn, rn::int as rn from hits where rn <= 50", "fx_entity")
+@query("J11", "entity_search", f"with {SEARCH} select term, type, urn, rn::int as rn from hits", "fx_entity")
 def entity_search(spark, sf):
     terms = table(spark, sf, "part").select(F.explode(F.split("p_name", " ")).alias("term"))
     return ln.entity_search(terms, fixture(spark, sf, "fx_entity")).select("term", "type", "urn", "rn")
@@ -110,9 +110,8 @@ def entity_search(spark, sf):
 
 @query("J12", "enrich_entities", f"""
 with pt as (select p_partkey as payload_id, term, pos from (
-  select p_partkey, lower(s[1]) as term, 1 as pos from (select p_partkey, string_split(p_name,' ') as s from part)
-  union all select p_partkey, lower(s[2]), 2 from (select p_partkey, string_split(p_name,' ') as s from part)) where term is not null),
-{SEARCH}, h as (select * from hits where rn <= 50),
+  select p_partkey, lower(unnest(s)) as term, generate_subscripts(s, 1) as pos from (select p_partkey, string_split(p_name,' ') as s from part)) where term is not null),
+{SEARCH}, h as (select * from hits),
 two as (select term, urn from (select term, urn, row_number() over (partition by term order by type, rn) as k from h) where k <= 2),
 ent as (select distinct payload_id, urn from pt join h using (term)),
 edges as (select distinct e.urn as target_urn, x.source_urn, 'DownstreamOf' as edge_type from fx_entity e join (select entity_id, urn as source_urn from fx_entity) x on x.entity_id = e.entity_id + 1),
@@ -122,7 +121,7 @@ select 'entity' as part, payload_id, urn, null as upstream_urn from ent union al
 def enrich_entities(spark, sf):
     ents = fixture(spark, sf, "fx_entity")
     pt = table(spark, sf, "part").select(
-        F.col("p_partkey").alias("payload_id"), F.posexplode(F.slice(F.split("p_name", " "), 1, 2)).alias("pos", "term"))
+        F.col("p_partkey").alias("payload_id"), F.posexplode(F.split("p_name", " ")).alias("pos", "term"))
     nxt = ents.select((F.col("entity_id") - 1).alias("entity_id"), F.col("urn").alias("source_urn"))
     edges = ents.select("entity_id", F.col("urn").alias("target_urn")).join(nxt, "entity_id").select(
         "source_urn", "target_urn", F.lit("DownstreamOf").alias("edge_type"))
@@ -176,8 +175,8 @@ def aspect_pivot(spark, sf):
 @query("S14", "emit_graph_document", """
 with d as (select distinct regexp_extract(source_urn || target_urn, 'flow_([0-9]+)', 1) as graph_id, source_urn, target_urn, edge_type,
  cast(regexp_extract(source_urn || target_urn, 'order_([0-9]+)', 1) as bigint) as seq from fx_edge)
-select graph_id, part, '{"edges":[' || string_agg('{"source_urn":"' || source_urn || '","target_urn":"' || target_urn || '","edge_type":"' || edge_type || '"}', ',' order by rn) || ']}' as doc
-from (select *, floor((rn - 1) / 1000)::int as part from (select *, row_number() over (partition by graph_id order by seq, source_urn, target_urn, edge_type) as rn from d)) group by 1, 2""", EDGE)
+select graph_id, '{"edges":[' || string_agg('{"source_urn":"' || source_urn || '","target_urn":"' || target_urn || '","edge_type":"' || edge_type || '"}', ',' order by rn) || ']}' as doc
+from (select *, row_number() over (partition by graph_id order by seq, source_urn, target_urn, edge_type) as rn from d) group by 1""", EDGE)
 def emit_graph_document(spark, sf):
     both = F.concat("source_urn", "target_urn")
     e = fixture(spark, sf, EDGE).distinct().select(

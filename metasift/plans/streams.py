@@ -57,7 +57,7 @@ def late_data_split(spark, sf):
     e = table(spark, sf, "events")
     # Two arrivals and a restart in between: errors come after everything else.
     for part in (e.where("event_type <> 'error'"), e.where("event_type = 'error'")):
-        part.coalesce(1).write.mode("append").parquet(src)
+        part.write.mode("append").parquet(src)
         st.late_split(st.event_stream(spark, src, e.schema), sink, late, state, ck, 60)
     return spark.read.parquet(sink).select("event_id", F.lit("on_time").alias("part")).unionByName(
         spark.read.parquet(late).select("event_id", F.lit("late").alias("part")))
@@ -68,20 +68,18 @@ def stream_incremental_state(spark, sf):
     src, state, ck = spots(spark, "marks", 3)
     e = table(spark, sf, "events")
     for part in (e.where("user_id % 2 = 0"), e.where("user_id % 2 = 1")):
-        part.coalesce(1).write.mode("append").parquet(src)
+        part.write.mode("append").parquet(src)
         st.incremental_state(st.event_stream(spark, src, e.schema), state, ck)
     return st.current_state(spark, state)
 
 
 @query("T06", "stream_cdc_upsert", """
-with last as (select user_id, event_type in ('view','error') as second, max(event_id) as event_id, arg_max(event_type, event_id) as kind, arg_max(value, event_id) as value from events group by 1, 2),
-pick as (select user_id, arg_max(event_id, second) as event_id, arg_max(kind, second) as kind, arg_max(value, second) as value from last group by 1)
-select user_id, event_id, value from pick where kind <> 'error'""")
+select user_id, max(event_id) as event_id, arg_max(value, event_id) as value from events group by 1 having arg_max(event_type, event_id) <> 'error'""")
 def stream_cdc_upsert(spark, sf):
     src, out, ck = spots(spark, "upsert", 3)
     e = table(spark, sf, "events").select("user_id", "event_id", "event_type", "value")
     for part in (e.where("event_type not in ('view', 'error')"), e.where("event_type in ('view', 'error')")):
-        part.coalesce(1).write.mode("append").parquet(src)
+        part.write.mode("append").parquet(src)
         st.cdc_upsert(st.event_stream(spark, src, e.schema), out, ck, ["user_id"], "event_id", "event_type = 'error'")
     return st.current_table(spark, out).select("user_id", "event_id", "value")
 

@@ -133,7 +133,7 @@ def cdc_upsert(stream: DataFrame, table: str, checkpoint: str, keys: list[str],
             return
         old = newest_versions(read_versions(spark, table, ddl).where(F.col("bucket").isin(touched) & (F.col("batch") < batch_id)))
         both = old.select(*cols, "_op", "bucket", F.lit(0).alias("_new")).unionByName(changes.select(*cols, "_op", "bucket", F.lit(1).alias("_new")))
-        now = ig.latest_per_key(both, [*keys, "bucket"], F.struct("_new", lsn)).drop("_new")
+        now = ig.latest_per_key(both, [*keys, "bucket"], F.struct(lsn, "_new")).drop("_new")
         now.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(table)
 
     run_available(stream.writeStream.foreachBatch(step), checkpoint)

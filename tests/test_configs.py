@@ -129,14 +129,26 @@ def test_flat_diff_and_paths(spark):
     assert {(r.path, r.status) for r in d.collect()} == {("a.b[0]", "match"), ("a.b[1].c", "removed"), ("n", "match"), ("z", "added")}
 
 
-def test_walk_refuses_to_lose_leaves(spark):
-    deep = 1
-    for _ in range(14):
-        deep = {"a": deep}
-    with pytest.raises(Exception, match="max_depth"):
-        jw.flatten_paths(frame(spark, [deep]), "doc", ["config_id"]).select("path").collect()
-    rows = jw.walk(frame(spark, [deep]), "doc", ["config_id"], max_depth=14).collect()
-    assert [r.path for r in rows] == [".".join("a" * 14)]
+def test_walk_reaches_any_depth(spark):
+    deep, lists = {"b": "{[x", "c": []}, [7]
+    for _ in range(40):
+        deep, lists = {"a": deep, "s": "}}"}, [lists, 1]
+    flat = {"x": [{"y": 1}] * 20}
+    df = frame(spark, [deep, lists, flat])
+    rows = jw.flatten_paths(df, "doc", ["config_id"]).collect()
+    assert {r.path for r in rows if r.config_id == 0} == {".".join("a" * 40) + ".b"} | {".".join(["a"] * k + ["s"]) for k in range(40)}
+    assert {r.path for r in rows if r.config_id == 1} == {"[0]" * 41} | {"[0]" * k + "[1]" for k in range(40)}
+    assert len([r for r in rows if r.config_id == 2]) == 20
+    assert {r.path for r in jw.walk(df, "doc", ["config_id"], containers=True).where("config_id = 0 and kind = 'object'").collect()} == {".".join("a" * k) for k in range(41)}
+    kept = jw.walk(df, "doc", ["config_id"], list_leaves=True).where("config_id = 1").collect()
+    assert [r.kind for r in kept] == ["array"]
+    assert {r.path for r in jw.walk(df, "doc", ["config_id"], max_depth=2, containers=True).where("config_id = 0").collect()} == {"", "a", "s", "a.a", "a.s"}
+
+
+def test_nesting_bound_looks_outside_strings(spark):
+    texts = ['{"a":"{{{{{{{{{{{{{{{{"}', '{"a\\"{{{{{{{{{{{{{{{{{":1}', "[" * 13 + "]" * 13, "[" * 12 + "]" * 12, "[[],[],[],[],[],[],[],[],[],[],[],[],[],[]]", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    assert [r.d for r in df.orderBy("i").select(jw.may_nest_deeper(F.col("t"), 12).alias("d")).collect()] == [False, False, True, False, False, False, False]
 
 
 def test_change_log_treats_null_as_absent(spark):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from metasift.operators import activities as ac
 from metasift.operators import inventory as inv
 from metasift.operators import lineage as ln
-from metasift.operators.ordering import fragments, positions, range_positions
+from metasift.operators.ordering import fragments, positions
 
 
 def random_pipelines(seed, n=25, size=14):
@@ -48,15 +48,22 @@ def kahn(acts):
     return out if len(out) == len(acts) else [r[2] for r in acts]
 
 
-def test_both_orderings_match_the_queue(spark):
+def test_order_matches_the_queue(spark):
     rows = random_pipelines(7)
     df = spark.createDataFrame(rows, SCHEMA)
     want = {p: kahn([r for r in rows if r[0] == p]) for p in {r[0] for r in rows}}
-    for cap in (1000, 10, 0):
-        got = {}
-        for r in ac.order_activities(df, cap=cap).orderBy("pipeline_id", "pos").collect():
-            got.setdefault(r.pipeline_id, []).append(r.name)
-        assert got == want, cap
+    got = {}
+    for r in ac.order_activities(df).orderBy("pipeline_id", "pos").collect():
+        got.setdefault(r.pipeline_id, []).append(r.name)
+    assert got == want
+
+
+def test_order_of_a_chain_of_any_depth(spark):
+    n = 12_000
+    rows = [(1, i, f"n{i}", "Copy", [f"n{i - 1}"] if i > 1 else [], None, None, None, None) for i in range(n, 0, -1)]
+    got = ac.order_activities(spark.createDataFrame(rows, SCHEMA)).agg(
+        F.count("*"), F.max("level"), F.count_if("cyclic"), F.count_if(F.col("idx") != F.col("pos"))).first()
+    assert tuple(got) == (n, n - 1, 0, 0)
 
 
 def test_positions_by_range(spark):
@@ -67,16 +74,15 @@ def test_positions_by_range(spark):
     for k in {r[0] for r in rows}:
         for pos, r in enumerate(sorted((r for r in rows if r[0] == k), key=lambda r: (r[1], r[2])), 1):
             want[r[2]] = pos
-    assert {r.i: r.pos for r in range_positions(df, ["k"], ["v", "i"], "pos").collect()} == want
-    assert {r.i: r.pos for r in positions(df, ["k"], ["v", "i"], "pos", cap=1000).collect()} == want
+    assert {r.i: r.pos for r in positions(df, ["k"], ["v", "i"]).collect()} == want
+    assert {r.i: r.pos for r in positions(df, ["k"], ["v", "i"], partitions=3).collect()} == want
 
 
 def test_fragments_concatenate_to_the_whole(spark):
     rows = [("a", i, f"{i};") for i in range(2500)] + [("b", 0, "x")]
     df = spark.createDataFrame(rows, "k string, s int, token string")
-    got = fragments(df, "k", ["s"], 1000).orderBy("k", "part").collect()
-    assert [(r.k, r.part) for r in got] == [("a", 0), ("a", 1), ("a", 2), ("b", 0)]
-    assert "".join(r.text for r in got if r.k == "a") == "".join(f"{i};" for i in range(2500))
+    got = {r.k: r.text for r in fragments(df, "k", ["s"]).collect()}
+    assert got == {"a": "".join(f"{i};" for i in range(2500)), "b": "x"}
 
 
 def random_assets(spark, seed, n=200):
@@ -145,6 +151,12 @@ def test_closure_with_cycle(spark):
     assert got == {("s", "b", 1), ("s", "c", 2), ("s", "d", 3), ("t", "y", 1)}
 
 
+def test_closure_of_a_long_chain(spark):
+    e = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(200)], "source_urn string, target_urn string")
+    got = ln.impact_closure(e, spark.createDataFrame([("s", "n0")], "seed string, urn string"))
+    assert got.count() == 200 and got.agg(F.max("hops")).first()[0] == 200
+
+
 def test_signature_ignores_order_and_counts_copies(spark):
     rows = [(1, "n", "a"), (1, "n", "b"), (2, "n", "b"), (2, "n", "a"), (3, "n", "a"), (3, "n", "a"), (3, "n", "b")]
     s = {r.k: tuple(r.sig) for r in ac.signatures(spark.createDataFrame(rows, "k int, kind string, value string"), "k").collect()}
