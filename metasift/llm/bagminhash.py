@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metasift.llm.common import chunks, components, fresh, mix, run_hashes, saved, text_or_empty, utf8, word_hashes, words
+from metasift.llm.common import chunks, components, fresh, mix, run_hashes, saved, text_or_empty, tidy, utf8, word_hashes, words
 
 WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 6
@@ -116,6 +116,7 @@ def band_keys(sig: np.ndarray, bands: int = BANDS) -> np.ndarray:
 _TYPE = pa.struct([("n_words", pa.int64()), ("fp", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
 
 
+@tidy
 def _sign(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for col in batches:
         data, offsets = utf8(col)
@@ -146,6 +147,7 @@ def elements(col: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray,
     return np.concatenate(rows), np.concatenate(out), np.concatenate(n)
 
 
+@tidy
 def _similar(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     """Weighted Jaccard similarity of the texts' shingle multisets."""
     for a, b in batches:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +15,29 @@ from pyspark.sql import functions as F
 from metasift.session import scratch_path
 
 #: Bytes of text that the vectorised routines hold at once; a longer single text is held alone.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
+
+
+def release() -> None:
+    """Give freed memory back to the system; workers stay between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+def tidy(work: Callable) -> Callable:
+    """A batch function that gives memory back after every batch it hands on."""
+    @functools.wraps(work)
+    def run(batches):
+        for out in work(batches):
+            yield out
+            del out
+            release()
+        release()
+
+    return run
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

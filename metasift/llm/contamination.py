@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metasift.llm.common import LOWER, chunks, fresh, mix, saved, text_or_empty, utf8, word_hashes, words
+from metasift.llm.common import LOWER, chunks, fresh, mix, saved, text_or_empty, tidy, utf8, word_hashes, words
 
 WIDTH = 13
 #: Bytes of benchmark text that one broadcast may hold; a larger benchmark is searched in blocks of that size.
@@ -143,7 +143,7 @@ _TYPE = pa.struct([("n_words", pa.int64()), ("hits", pa.list_(pa.struct([("start
 
 
 def _finder(shared) -> Column:
-    @F.arrow_udf(RESULT)
+    @tidy
     def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         patterns = shared.value
         for col in batches:
@@ -155,7 +155,7 @@ def _finder(shared) -> Column:
                 rows += [{"n_words": int(c), "hits": [{"start": a, "end": b} for a, b in hits.get(r, ())], "items": sorted(items.get(r, ()))} for r, c in enumerate(n)]
             yield pa.array(rows, _TYPE)
 
-    return find.asNondeterministic()
+    return F.arrow_udf(find, RESULT).asNondeterministic()
 
 
 def annotate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", name: str = "contamination", width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metasift.llm.common import components, mix, saved
+from metasift.llm.common import components, mix, saved, tidy
 
 THRESHOLD = 0.95
 STEP = 1.5
@@ -83,6 +83,7 @@ def stacked(packed: list[bytes]) -> np.ndarray:
 
 
 def _hasher(dims: int, k: int, tables: int):
+    @tidy
     def hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 2_000):

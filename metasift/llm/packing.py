@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metasift.llm.common import chunks, text_or_empty, utf8
+from metasift.llm.common import chunks, text_or_empty, tidy, utf8
 from metasift.llm.subwords import Subwords, default_tokenizer
 
 LENGTH = 4096
@@ -72,6 +72,7 @@ def _packer(path: str, length: int, segments: int, loss: int, end_id: int, with_
     limits = np.array([length, segments, loss])
     step = min(length, loss)
 
+    @tidy
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metasift.llm.common import LOWER, chunks, mix, saved, text_or_empty, utf8, word_hashes, words
+from metasift.llm.common import LOWER, chunks, mix, saved, text_or_empty, tidy, utf8, word_hashes, words
 
 BITS = 18
 LABELLED, LEXICON, TRAINED = 40_000, 5_000, 6_000
@@ -219,6 +219,7 @@ def lexicon_of(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * limit / total))
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text")).join(known, "doc_id").select("toxic", "text")
 
+    @tidy
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Distinct (word or beginning, word before its first place in the text) per class: a text counts once, as do its copies."""
         for batch in batches:
@@ -255,6 +256,7 @@ def lexicon_of(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
 
 
 def _voter(lexicon: np.ndarray):
+    @tidy
     def vote(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for col in batches:
             data, offsets = utf8(col)
@@ -282,9 +284,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", trained: int = T
     lexicon = lexicon_of(docs, labels, text=text)
     vote = F.arrow_udf(_voter(lexicon), "long").asNondeterministic()
     width = len(QUALITY), len(TOXIC)
-    cast = docs.select(vote(text_or_empty(text)).alias("p"), F.xxhash64(text_or_empty(text)).alias("x"))
-    cast = saved(cast, "votes")
-    counts = cast.groupBy("p").count().collect()  # at most 3 ** labellers rows, few in fact
+    counts = docs.select(vote(text_or_empty(text)).alias("p")).groupBy("p").count().collect()  # at most 3 ** labellers rows, few in fact
     p, n = np.array([r["p"] for r in counts], np.int64), np.array([r["count"] for r in counts], np.float64)
     v = unpatterns(p, sum(width))
     vq, vt = v[:, :width[0]], v[:, width[0]:]
@@ -295,23 +295,25 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", trained: int = T
     # Half of the training texts from patterns held good, half from the others.
     clean = (pq < 0.5) & (pt < 0.5)
     rate = {int(k): trained / 2 / max(n[clean == c].sum(), 1) for k, c in zip(p, clean, strict=True)}
-    share = F.element_at(F.create_map(*[F.lit(x) for k, r in rate.items() for x in (k, float(r))]), F.pmod(F.col("p"), F.lit(3 ** sum(width))))
-    drawn = docs.select(text_or_empty(text).alias("t")).withColumn("p", vote("t"))
-    drawn = drawn.where(F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < share * 1_000_000)
+    drawn = docs.select(text_or_empty(text).alias("t"), (F.pmod(F.xxhash64(text_or_empty(text)), F.lit(1_000_000)) / 1e6).alias("x"))
+    drawn = drawn.where(F.col("x") < max(rate.values()))
 
+    @tidy
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column("t"))
-            ps = batch.column("p").to_pylist()
+            x = np.array(batch.column("x").to_pylist())
             for lo, hi in chunks(offsets):
                 off = offsets[lo:hi + 1]
                 s = statistics(data[off[0]:off[-1]], off - off[0])
                 q, t = votes(s, lexicon)
+                ps = patterns(np.concatenate([q, t], axis=1))
                 row, index, value = features(s, q, t)
                 order = np.argsort(row, kind="stable")
                 cut = np.searchsorted(row[order], np.arange(hi - lo + 1))
                 yield pa.RecordBatch.from_pylist([
-                    {"p": ps[lo + k], "index": index[order][cut[k]:cut[k + 1]].astype("<i4").tobytes(), "value": value[order][cut[k]:cut[k + 1]].astype("<f4").tobytes()} for k in range(hi - lo)
+                    {"p": int(ps[k]), "index": index[order][cut[k]:cut[k + 1]].astype("<i4").tobytes(), "value": value[order][cut[k]:cut[k + 1]].astype("<f4").tobytes()}
+                    for k in range(hi - lo) if x[lo + k] < rate.get(int(ps[k]), 0)
                 ], pa.schema([("p", pa.int64()), ("index", pa.binary()), ("value", pa.binary())]))
 
     got = drawn.mapInArrow(expand, "p long, index binary, value binary").collect()  # about ``trained`` texts
@@ -325,6 +327,7 @@ _TYPE = pa.struct([("n_words", pa.int64()), ("quality", pa.float64()), ("toxicit
 
 
 def _scorer(shared):
+    @tidy
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = shared.value
         for col in batches:

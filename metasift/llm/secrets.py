@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metasift.llm.common import saved, text_or_empty
+from metasift.llm.common import saved, text_or_empty, tidy
 
 KINDS = ("assign", "access", "hex", "random")
 #: The rule patterns.
@@ -137,6 +137,7 @@ def scan(text: str) -> dict:
     return {"base": [{"kind": k, "start": a, "end": b} for k, a, b in base], "tested": tested}
 
 
+@tidy
 def _scan_all(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for col in batches:
         yield pa.array([scan(t or "") for t in col.to_pylist()], _TYPE)

@@ -12,7 +12,7 @@ import numpy as np
 from metasift.llm.common import word_hashes, words
 
 #: Chunks a worker remembers at most; its table has room for twice as many.
-REMEMBERED = 2_000_000
+REMEMBERED = 1_000_000
 _SPACE = np.isin(np.arange(256), [10, 32])
 _ASCII_LETTER = np.isin(np.arange(256) | 32, np.arange(97, 123)) & (np.arange(256) < 128)
 _MARKS = (44, 46)

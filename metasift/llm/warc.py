@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metasift.llm.common import saved, text_or_empty
+from metasift.llm.common import saved, text_or_empty, tidy
 from metasift.session import scratch_path
 
 #: Uncompressed bytes after which a task closes an archive; one longer record makes a longer archive.
@@ -139,6 +139,7 @@ def _put(folder: str, name: str, data: bytes) -> str:
 
 
 def _writer(folder: str, limit: int):
+    @tidy
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -182,6 +183,7 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
 
 def read_archives(manifest: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
     """Every record of the archives that ``manifest`` lists, decompressed and parsed one at a time."""
+    @tidy
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
         kind = pa.schema([("page_id", pa.string()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.string()), ("payload", pa.binary()), ("path", pa.string()), ("offset", pa.int64())])

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metasift.llm.common import fresh, saved, text_or_empty
+from metasift.llm.common import fresh, saved, text_or_empty, tidy
 
 #: Wrappers up to this many bytes in all are broadcast; more are joined by host.
 BROADCAST_BYTES = 8_000_000
@@ -358,6 +358,7 @@ def extract(html: str, wrapper: Node | None) -> str:
 
 # --- on Spark -------------------------------------------------------------------------------
 
+@tidy
 def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial wrappers of the hosts that the task sees; they are passed on when a batch leaves many."""
     grown: dict[str, Node] = {}
@@ -400,6 +401,7 @@ def _labelled(wrapper: str) -> Node:
     return _LABELLED[wrapper]
 
 
+@tidy
 def _extract_all(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     for html, wrapper in batches:
         wrappers = wrapper.to_pylist()
