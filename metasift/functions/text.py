@@ -40,6 +40,11 @@ def contains_any(c: Column, words: Iterable[str]) -> Column:
     return c.rlike("|".join(re.escape(w) for w in words))
 
 
+def leading(values: Column, n: int | None) -> Column:
+    """The first n elements, or all."""
+    return values if n is None else F.slice(values, 1, n)
+
+
 def first_nonblank(*cols: Column) -> Column:
     """First argument with non-space content, trimmed."""
     return F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in cols])

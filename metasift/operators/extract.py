@@ -132,7 +132,7 @@ def fields_of(name: str) -> dict[str, Column]:
                 "jdbc_url": url, "username": find_key("redshift_user", "db_user", "username")}
     if name == "rest_api":
         urls = tx.find_all(F.col("txt"), r"https?://[^\s\"'>,]+api[^\s\"'>,]*")
-        return {"type": F.lit("REST API"), "endpoints": F.nullif(F.array_join(F.slice(urls, 1, 5), "|"), F.lit("")),
+        return {"type": F.lit("REST API"), "endpoints": F.nullif(F.array_join(urls, "|"), F.lit("")),
                 "auth_type": find_key("auth_type", "authentication"), "api_key_configured": flag("api_key", "x_api_key")}
     raise KeyError(name)
 
@@ -181,13 +181,13 @@ def s3_config(payloads: DataFrame, assets: DataFrame) -> DataFrame:
     return config_rows(p, "s3", f)
 
 
-def rest_api_config(payloads: DataFrame, assets: DataFrame) -> DataFrame:
-    """REST settings; without URLs in the text the first five discovered invoke URLs."""
+def rest_api_config(payloads: DataFrame, assets: DataFrame, shown: int | None = None) -> DataFrame:
+    """REST settings; without URLs in the text the discovered invoke URLs, the first ``shown`` if given."""
     f = fields_of("rest_api")
     api = assets.where("service = 'apigateway'")
     n = api.groupBy("payload_id").agg(F.count("*").alias("n"))
     urls = api.select("payload_id", inv.config_text("PublicInvokeURL").alias("value"), "dump_pos", "item_pos").where("value is not null")
-    five = inv.joined(inv.first_n(urls, ["payload_id"], ["dump_pos", "item_pos"], 5), "found")
+    five = inv.joined(inv.first_n(urls, ["payload_id"], ["dump_pos", "item_pos"], shown), "found")
     p = prepared(payloads).join(n, "payload_id", "left").join(five, "payload_id", "left")
     f["endpoints"] = F.coalesce(f["endpoints"], F.col("found"))
     f["discovery_notes"] = F.concat(F.lit("Discovered "), F.col("n"), F.lit(" endpoints"))
@@ -217,7 +217,7 @@ def azure_function_config(payloads: DataFrame, assets: DataFrame) -> DataFrame:
         "location": F.coalesce(find_key("location", "region"), inv.config_text("Location")), "kind": inv.config_text("Kind"), "tags": inv.config_text("Tags")})
 
 
-def fabric_source_config(assets: DataFrame, cap: int = 20) -> DataFrame:
+def fabric_source_config(assets: DataFrame, cap: int | None = None) -> DataFrame:
     """Workspace names, item types and lake paths, first 20 distinct each, long form."""
     fab = assets.where(F.col("service").isin("fabric_items", "fabric_workspaces"))
     values = F.array_compact(F.array(*[
@@ -237,7 +237,7 @@ def fabric_ingestion_config(assets: DataFrame) -> DataFrame:
         "field is not null and value <> ''").distinct()
 
 
-def storage_config(payloads: DataFrame, assets: DataFrame, cap: int = 25) -> DataFrame:
+def storage_config(payloads: DataFrame, assets: DataFrame, cap: int | None = None) -> DataFrame:
     """Storage blocks per payload: inventory rollups beside paths and keys from the text."""
     roll = inv.storage_rollup(assets, cap)
     j = prepared(payloads).join(roll, "payload_id", "full_outer")
@@ -246,7 +246,7 @@ def storage_config(payloads: DataFrame, assets: DataFrame, cap: int = 25) -> Dat
     text_buckets = F.array_distinct(F.transform(s3, lambda p: F.regexp_extract(p, "(?i)s3[an]?://([^/]+)", 1)))
     none = F.lit(0).cast("bigint")
     buckets = F.coalesce("bucket_count", none)
-    text = lambda arr: F.nullif(F.array_join(F.slice(arr, 1, cap), "|"), F.lit(""))
+    text = lambda arr: F.nullif(F.array_join(tx.leading(arr, cap), "|"), F.lit(""))
     has_s3, has_az = (buckets > 0) | (F.size(s3) > 0), F.coalesce("account_count", none) > 0
     account, dataset = find_key("snowflake_account", "account"), find_key("bq_dataset", "dataset", "bigquery_dataset")
     fields = {
@@ -264,7 +264,7 @@ def storage_config(payloads: DataFrame, assets: DataFrame, cap: int = 25) -> Dat
     return config_rows(j, "storage", fields).drop("extractor").unionByName(places)
 
 
-def onelake_config(assets: DataFrame, cap: int = 25) -> DataFrame:
+def onelake_config(assets: DataFrame, cap: int | None = None) -> DataFrame:
     """The lake block of C24: path count and first distinct paths, long form."""
     paths = F.array_compact(F.array(inv.config_text("OneLakeFilesPath"), inv.config_text("OneLakeTablesPath")))
     rows = assets.where(F.col("service").isin("fabric_items", "fabric_workspaces")).select("payload_id", "dump_pos", "item_pos", F.posexplode(paths).alias("k", "value"))
@@ -282,7 +282,7 @@ DQ_KEYS = {
 }
 
 
-def dq_config(payloads: DataFrame, check_cap: int = 25) -> DataFrame:
+def dq_config(payloads: DataFrame, check_cap: int | None = None) -> DataFrame:
     """Checks, expectations, suites, tests and markers, distinct long rows with counts.
 
     One walk per surface; a value counts where its own key, or the key of the list it stands

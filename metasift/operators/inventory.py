@@ -25,8 +25,8 @@ def cloud_environments(refs: DataFrame) -> DataFrame:
     return arn_environments(refs).distinct()
 
 
-def tagged_resources(refs: DataFrame, per_service: int = 50) -> DataFrame:
-    """Service and identifier of tagged ARNs, at most 50 per service."""
+def tagged_resources(refs: DataFrame, per_service: int | None = None) -> DataFrame:
+    """Service and identifier of tagged ARNs, ranked per service; the first ``per_service`` if given."""
     p = F.split("ref", ":", -1)
     rows = refs.where(F.size(p) >= 3).select(
         "ref", p[2].alias("service"), F.element_at(F.split(F.element_at(p, -1), "/", -1), -1).alias("identifier"))
@@ -211,8 +211,8 @@ def joined(values: DataFrame, name: str, order: str = "rn") -> DataFrame:
         F.array_sort(F.collect_list(F.struct(order, "value"))), lambda x: x["value"]), "|").alias(name))
 
 
-def storage_rollup(assets: DataFrame, cap: int = 25) -> DataFrame:
-    """Bucket and account counts, first names, any hierarchical namespace."""
+def storage_rollup(assets: DataFrame, cap: int | None = None) -> DataFrame:
+    """Bucket and account counts, names (the first ``cap`` if given), any hierarchical namespace."""
     s3 = assets.where("service = 's3'")
     az = assets.where("service = 'storage_accounts'")
     name = tx.asset_name(F.col("id"))
@@ -241,17 +241,17 @@ def storage_values(assets: DataFrame) -> DataFrame:
     return out
 
 
-def service_examples(items: DataFrame, n: int = 10) -> DataFrame:
-    """Count line and first resources of every service in the first dump."""
+def service_examples(items: DataFrame, n: int | None = None, shown: int | None = None) -> DataFrame:
+    """Count line and resources (the first ``n``, with ``shown`` targets each, if given) of every service in the first dump."""
     first = items.where("dump_pos = 0")
     counts = first.groupBy("payload_id", "service").agg(F.count("*").alias("n")).select(
         "payload_id", "service", F.lit(0).alias("line"),
         F.concat(F.lit("Discovered "), F.col("n"), F.lit(" active "), F.upper("service"), F.lit(" resources:")).alias("text"))
     parts = [F.concat(F.lit(label), config_text(k), F.lit(end)) for label, k, end in
              (("Runtime: ", "Runtime", ""), ("Memory: ", "MemorySizeMB", "MB"), ("Endpoint: ", "PublicInvokeURL", ""))]
-    # Fixed value: the two places that may list targets; two of them are shown.
+    # Fixed value: the two places that may list targets.
     targets = F.from_json(F.coalesce(config_text("InferredTargets"), config_text("IngestionTargets")), "array<string>")
-    parts.append(F.when(F.size(targets) > 0, F.concat(F.lit("Targets: "), F.array_join(F.slice(targets, 1, 2), ", "))))
+    parts.append(F.when(F.size(targets) > 0, F.concat(F.lit("Targets: "), F.array_join(tx.leading(targets, shown), ", "))))
     summary = F.coalesce(F.nullif(F.concat_ws(" | ", *parts), F.lit("")), F.lit("Active"))
     top = first_n(first, ["payload_id", "service"], ["item_pos"], n).select(
         "payload_id", "service", F.col("rn").alias("line"),
@@ -308,6 +308,12 @@ def api_summary(methods: DataFrame) -> DataFrame:
     return per.withColumn("invoke_url", F.concat(F.lit("https://"), "api_id", F.lit(".execute-api."), "region", F.lit(".amazonaws.com/prod")))
 
 
+def api_external_urls(methods: DataFrame) -> DataFrame:
+    """Every external integration URL of every API with its first place, long form."""
+    m = methods.where("method <> 'OPTIONS' and uri is not null and not contains(uri, 'amazonaws.com')")
+    return m.groupBy("api_id", F.col("uri").alias("url")).agg(F.min("seq").alias("at"))
+
+
 def azure_shape(resource_id: Column, kind: Column) -> Column:
     """struct(resource_group, is_function_app) of an Azure resource."""
     return F.struct(
@@ -334,8 +340,8 @@ def job_document(doc: Column) -> Column:
         F.coalesce(F.try_element_at(named, F.lit(-1)), F.lit("unknown")).alias("dq_framework"))
 
 
-def task_stream_listing(objects: DataFrame, pattern: str, n: int = 20) -> DataFrame:
-    """Tasks and streams whose name holds the pattern, first n each, with totals."""
+def task_stream_listing(objects: DataFrame, pattern: str, n: int | None = None) -> DataFrame:
+    """Tasks and streams whose name holds the pattern, the first ``n`` each if given, with totals."""
     hits = objects.where(F.upper("name").contains(pattern.upper()))
     total = hits.groupBy("kind").agg(F.count("*").alias("total"))
-    return first_n(hits, ["kind"], ["name", "seq"], n).join(total, "kind").select("kind", "name", "seq", F.least("total", F.lit(n)).alias("listed"))
+    return first_n(hits, ["kind"], ["name", "seq"], n).join(total, "kind").select("kind", "name", "seq", (F.col("total") if n is None else F.least("total", F.lit(n))).alias("listed"))

@@ -22,10 +22,12 @@ def first_write_wins(df: DataFrame, keys: list[str], seq: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("r")).select(*keys, "r.*")
 
 
-def first_n(df: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
-    """First n rows per key (W03).  The rank filter becomes a group limit before the shuffle."""
-    w = W.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n)
+def first_n(df: DataFrame, keys: list[str], order: list, n: int | None) -> DataFrame:
+    """First n rows per key with their rank ``rn``, or all of them ranked.
+
+    A rank filter becomes a group limit before the shuffle."""
+    ranked = df.withColumn("rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
+    return ranked if n is None else ranked.where(F.col("rn") <= n)
 
 
 def nodes_of(edges: DataFrame) -> DataFrame:
@@ -121,9 +123,7 @@ def entity_search(terms: DataFrame, entities: DataFrame, limit: int | None = Non
     keyed = entities.select("urn", "type", "name", F.lower("name").alias("low"), lengths.scalar().alias("n")).select(
         "urn", "type", "name", F.explode(tx.substrings(F.col("low"), F.col("n"))).alias("term"))
     hits = keyed.join(t, "term")
-    if limit is not None:
-        return first_n(hits, ["term", "type"], ["urn"], limit)
-    return hits.withColumn("rn", F.row_number().over(W.partitionBy("term", "type").orderBy("urn")))
+    return first_n(hits, ["term", "type"], ["urn"], limit)
 
 
 def enrich_entities(payload_terms: DataFrame, entities: DataFrame, edges: DataFrame, lead: int = 2) -> tuple[DataFrame, DataFrame]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from metasift.functions import text as tx
 from metasift.operators.jsonwalk import as_variant, list_of, object_of, text_of
 
 SURFACES = ("metadata", "config", "raw_json")
@@ -98,8 +99,8 @@ def find_anywhere(payloads: DataFrame, assets: DataFrame, *keys: str) -> DataFra
     )
 
 
-def search_terms(limit: int = 5) -> Column:
-    """Ordered distinct lookup terms of a payload prepared by :func:`scan_payloads`."""
+def search_terms(limit: int | None = None) -> Column:
+    """Ordered distinct lookup terms, the first ``limit`` if given, of a payload prepared by :func:`scan_payloads`."""
     def text(s: str, k: str) -> Column:
         v = F.try_variant_get(F.col(f"{s}_v"), f"$.{k}", "variant")
         return F.when(F.schema_of_variant(v) == "STRING", F.nullif(text_of(v), F.lit("")))
@@ -107,7 +108,7 @@ def search_terms(limit: int = 5) -> Column:
     keys = ["name", "pipeline_name", "job_name", "flow_name", "dataset"]
     terms = [text(s, k) for k in keys for s in SURFACES]
     terms.append(F.coalesce(text("metadata", "platform"), text("raw_json", "platform")))
-    return F.slice(F.array_distinct(F.array_compact(F.array(*terms))), 1, limit)
+    return tx.leading(F.array_distinct(F.array_compact(F.array(*terms))), limit)
 
 
 def import_target(doc: Column) -> Column:

@@ -102,7 +102,7 @@ def cfg_s3(spark, sf):
 
 @query("C09", "cfg_rest_api", f"""
 with {TEXT}, n as (select payload_id, count(*) as n from fx_asset where service = 'apigateway' group by 1), j as (select t.*, n.n from t left join n using (payload_id))
-""" + rows_sql({"type": "'REST API'", "endpoints": "nullif(array_to_string(regexp_extract_all(txt, 'https?://[^\\s\"''>,]+api[^\\s\"''>,]*')[1:5], '|'), '')",
+""" + rows_sql({"type": "'REST API'", "endpoints": "nullif(array_to_string(regexp_extract_all(txt, 'https?://[^\\s\"''>,]+api[^\\s\"''>,]*'), '|'), '')",
                 "auth_type": find("auth_type", "authentication"), "api_key_configured": flag("api_key", "x_api_key"), "discovery_notes": "'Discovered ' || n || ' endpoints'"}, "j"), (CONN, ASSET))
 def cfg_rest_api(spark, sf):
     return ex.rest_api_config(fixture(spark, sf, CONN), assets(spark, sf)).select("payload_id", "field", "value")
@@ -138,7 +138,7 @@ def fabric_assets(spark, sf):
 @query("C10", "cfg_fabric_source", f"""
 with {FAB}, v as (select payload_id, 'workspace_names' as field, name as value, min(k) as k from fab group by 1, 3 union all select payload_id, 'item_types', item_type, min(k) from fab group by 1, 3
  union all select payload_id, 'onelake_paths', lake, min(k) from fab group by 1, 3)
-select payload_id, field, value, rn::int as rn from (select *, row_number() over (partition by payload_id, field order by k) as rn from v) where rn <= 20""", ASSET)
+select payload_id, field, value, rn::int as rn from (select *, row_number() over (partition by payload_id, field order by k) as rn from v)""", ASSET)
 def cfg_fabric_source(spark, sf):
     return ex.fabric_source_config(fabric_assets(spark, sf))
 
@@ -155,10 +155,10 @@ with {TEXT}, {ROLLUP}, {FAB}, s as (select payload_id, metadata, config, raw_jso
 m as (select *, coalesce(bucket_count, 0) > 0 or len(sp) > 0 as has_s3, coalesce(account_count, 0) > 0 as has_az, {find('snowflake_account', 'account')} as acct, {find('bq_dataset', 'dataset', 'bigquery_dataset')} as ds from s),
 y as (""" + rows_sql({
     "s3.bucket_count": "case when has_s3 then case when coalesce(bucket_count, 0) > 0 then bucket_count else len(list_distinct(list_transform(sp, lambda p: regexp_extract(p, 's3[an]?://([^/]+)', 1)))) end end",
-    "s3.path_count": "case when has_s3 then case when len(sp) > 0 then len(sp) else bucket_count end end", "s3.paths": "array_to_string(sp[1:25], '|')",
+    "s3.path_count": "case when has_s3 then case when len(sp) > 0 then len(sp) else bucket_count end end", "s3.paths": "array_to_string(sp, '|')",
     "s3.buckets": "case when has_s3 then coalesce(buckets, array_to_string(list_transform(sp, lambda p: regexp_extract(p, 's3[an]?://([^/]+)', 1)), '|')) end",
     "azure.account_count": "case when has_az then account_count end", "azure.accounts": "case when has_az then accounts end", 
-    "azure.hierarchical_namespace_enabled": "case when has_az then any_hns end", "gcs.path_count": "nullif(len(gp), 0)", "gcs.paths": "array_to_string(gp[1:25], '|')",
+    "azure.hierarchical_namespace_enabled": "case when has_az then any_hns end", "gcs.path_count": "nullif(len(gp), 0)", "gcs.paths": "array_to_string(gp, '|')",
     "snowflake.account": "acct", "snowflake.warehouse": f"case when acct is not null then {find('warehouse', 'snowflake_warehouse')} end", "bigquery.dataset": "ds",
     "bigquery.project_id": f"case when ds is not null then {find('gcp_project_id', 'project_id', 'project')} end"}, "m") + """)
 select * from y union all select payload_id, case field when 'locations' then 'azure.' else 's3.' end || field, value from rv union all select payload_id, 'onelake.path_count', count(*)::varchar from fab group by 1 union all select distinct payload_id, 'onelake.paths', lake from fab""", (CONN, ASSET))

@@ -28,12 +28,12 @@ t as (select root, 'tag' as kind, unnest(tags) as value from w union select root
 
 @query("S03", "scan_source_tree", f"with {TREE} select root, kind, value from t", FILE)
 def scan_source_tree(spark, sf):
-    return ls.source_tree(fixture(spark, sf, FILE)).where("kind <> 'evidence'")
+    return ls.source_tree(fixture(spark, sf, FILE), max_depth=6).where("kind <> 'evidence'")
 
 
 @query("W09", "sorted_framework_set", f"with {TREE} select root, string_agg(value, '|' order by value) as frameworks from t where kind = 'tag' group by 1", FILE)
 def sorted_framework_set(spark, sf):
-    return ls.framework_set(ls.source_tree(fixture(spark, sf, FILE))).select("root", F.array_join("frameworks", "|").alias("frameworks"))
+    return ls.framework_set(ls.source_tree(fixture(spark, sf, FILE), max_depth=6)).select("root", F.array_join("frameworks", "|").alias("frameworks"))
 
 
 @query("W10", "global_cap_with_marker", """

@@ -98,7 +98,7 @@ def distinct_cloud_path(spark, sf):
 
 
 ROLLUP = """o as (select *, trim(string_split(id,'||')[-1]) as name, json_extract_string(configuration,'$.Region') as region, dump_pos * 100000000 + item_pos as k from fx_asset),
-names as (select payload_id, service, string_agg(name, '|' order by k) as names from (select *, row_number() over (partition by payload_id, service order by k) as rn from o) where rn <= 25 group by 1, 2),
+names as (select payload_id, service, string_agg(name, '|' order by k) as names from (select *, row_number() over (partition by payload_id, service order by k) as rn from o) group by 1, 2),
 regs as (select payload_id, service, region, min(k) as k from o group by 1, 2, 3),
 cnt as (select payload_id, count(*) filter (service = 's3') as bucket_count, count(*) filter (service = 'storage_accounts') as account_count,
  coalesce(bool_or(json_extract_string(configuration,'$.IsHnsEnabled') = 'true') filter (service = 'storage_accounts'), false) as any_hns from o group by 1),
@@ -119,7 +119,7 @@ def storage_rollup(spark, sf):
 @query("A04", "service_counts_with_examples", """
 with f as (select *, row_number() over (partition by payload_id, service order by item_pos) as rn from fx_asset where dump_pos = 0)
 select payload_id, service, 0 as line, 'Discovered ' || count(*) || ' active ' || upper(service) || ' resources:' as text from f group by 1, 2
-union all select payload_id, service, rn, '  - ' || id || ' (Runtime: ' || json_extract_string(configuration,'$.Runtime') || ')' from f where rn <= 10""", ASSET)
+union all select payload_id, service, rn, '  - ' || id || ' (Runtime: ' || json_extract_string(configuration,'$.Runtime') || ')' from f""", ASSET)
 def service_counts_with_examples(spark, sf):
     return inv.service_examples(assets(spark, sf))
 
@@ -170,12 +170,22 @@ select 'api' || api as api_id, 'us-east-1' as region, array_to_string(list_sort(
  coalesce(min(uri) filter (uri not like '%amazonaws%'), 'Unknown/Internal') as first_url, count(*) filter (uri not like '%amazonaws%') as external_urls,
  'https://api' || api || '.execute-api.us-east-1.amazonaws.com/prod' as invoke_url from m where method <> 'OPTIONS' group by api""")
 def api_gateway_summary(spark, sf):
-    m = table(spark, sf, "lineitem").selectExpr(
+    return inv.api_summary(api_methods(spark, sf)).withColumn("methods", F.array_join("methods", "|"))
+
+
+def api_methods(spark, sf):
+    return table(spark, sf, "lineitem").selectExpr(
         "concat('api', l_orderkey) as api_id", "'us-east-1' as region", "l_linenumber * 1000000 + l_partkey as seq",
         "case l_partkey % 4 when 0 then 'GET' when 1 then 'POST' when 2 then 'OPTIONS' else 'PUT' end as method",
         "case l_suppkey % 3 when 0 then 'NONE' when 1 then 'IAM' else 'JWT' end as auth",
         "concat(case l_suppkey % 2 when 0 then 'https://x/' else 'https://q.amazonaws.com/' end, l_suppkey) as uri")
-    return inv.api_summary(m).withColumn("methods", F.array_join("methods", "|"))
+
+
+@query("D32", "api_external_urls", """
+select 'api' || l_orderkey as api_id, 'https://x/' || l_suppkey as url, min(l_linenumber * 1000000 + l_partkey)::bigint as at
+from lineitem where l_suppkey % 2 = 0 and l_partkey % 4 <> 2 group by 1, 2""")
+def api_external_urls(spark, sf):
+    return inv.api_external_urls(api_methods(spark, sf))
 
 
 @query("D33", "azure_resource_shape", """
@@ -201,7 +211,7 @@ def databricks_job_extract(spark, sf):
 @query("D36", "task_stream_listing", """
 with h as (select case when item_pos % 2 = 0 then 'task' else 'stream' end as kind, id as name, item_pos as seq from fx_asset where contains(upper(id), 'RING')),
 r as (select *, row_number() over (partition by kind order by name, seq) as rn, count(*) over (partition by kind) as total from h)
-select kind, name, seq, least(total, 20) as listed from r where rn <= 20""", ASSET)
+select kind, name, seq, total as listed from r""", ASSET)
 def task_stream_listing(spark, sf):
     o = fixture(spark, sf, ASSET).select(F.when(F.col("item_pos") % 2 == 0, "task").otherwise("stream").alias("kind"), F.col("id").alias("name"), F.col("item_pos").alias("seq"))
     return inv.task_stream_listing(o, "ring")

@@ -62,7 +62,7 @@ def group_cloud_environments(spark, sf):
 with a as (select distinct ref, string_split(ref, ':') as s from fx_urn where len(string_split(ref, ':')) >= 3),
 r as (select s[3] as service, string_split(s[-1], '/')[-1] as identifier, ref,
  row_number() over (partition by s[3] order by ref) as rn from a)
-select service, identifier, rn::int as rn from r where rn <= 50""", URN)
+select service, identifier, rn::int as rn from r""", URN)
 def tagged_resource_inventory(spark, sf):
     refs = fixture(spark, sf, URN).select("ref").distinct()
     return inv.tagged_resources(refs).select("service", "identifier", "rn")

@@ -14,17 +14,17 @@ def file_listing(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
 
 
-def source_tree(files: DataFrame, max_depth: int = 6) -> DataFrame:
+def source_tree(files: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Repository markers of ``files(root, path)``, long form ``(root, kind, value)``.
 
-    Kinds: tag, file, dir, folder, evidence.  Paths below a skipped folder or deeper than
-    ``max_depth`` folders do not count.
+    Kinds: tag, file, dir, folder, evidence.  Paths below a skipped folder, or deeper than
+    ``max_depth`` folders if given, do not count.
     """
     parts = F.split("path", "/")
     dirs = F.slice(parts, 1, F.size(parts) - 1)
     skip = F.array(*[F.lit(d) for d in rules.SKIP_DIRS])
     f = files.select("root", "path", F.element_at(parts, -1).alias("name"), dirs.alias("dirs")).where(
-        ~F.arrays_overlap("dirs", skip) & (F.size("dirs") <= max_depth))
+        ~F.arrays_overlap("dirs", skip) & (F.lit(True) if max_depth is None else F.size("dirs") <= max_depth))
     name, parent = F.lower("name"), F.lower(F.try_element_at("dirs", F.lit(-1)))
     folder = F.array_join("dirs", "/")
     none = F.array().cast("array<string>")
@@ -59,7 +59,7 @@ def framework_set(tree: DataFrame) -> DataFrame:
     return tree.where("kind = 'tag'").groupBy("root").agg(F.array_sort(F.collect_set("value")).alias("frameworks"))
 
 
-def cap_with_marker(files: DataFrame, n: int = 400) -> DataFrame:
+def cap_with_marker(files: DataFrame, n: int) -> DataFrame:
     """First n paths per root, and a note where there were more."""
     top = first_n(files.select("root", "path"), ["root"], ["path"], n).select("root", "path")
     more = files.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > n).select(

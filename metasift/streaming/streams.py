@@ -115,39 +115,61 @@ BUCKETS = 64
 
 
 def cdc_upsert(stream: DataFrame, table: str, checkpoint: str, keys: list[str], lsn: str, delete: str, buckets: int = BUCKETS) -> None:
-    """Micro-batch upsert of the latest change per key.
+    """Micro-batch upsert: the newest change by ``lsn`` per key stays, whenever it arrives.
 
     The table lies in hash buckets of the key.  A batch rewrites only the buckets it touches,
-    each as a new version made from the one before, so a retry gives the same files.
-    Deletes stay as tombstones, which keeps a bucket from falling back to an older version.
+    each as a new version made from the one before, so a retry gives the same files.  Beside
+    the table lies, per batch, which version of each bucket counts; a batch reads just those
+    folders.  Deletes stay as tombstones, which keeps a late change from reviving a key.
     """
     cols = [f.name for f in stream.schema.fields]
-    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stream.schema.fields) + ", _op string, bucket int, batch int"
+    ddl = table_schema(stream)
     bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        counts = versions(spark, table, batch_id - 1)
         changes = batch.withColumns({"_op": F.when(F.expr(delete), "D").otherwise("U"), "bucket": bucket})
         touched = [r[0] for r in changes.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
-        if not touched:
-            return
-        old = newest_versions(read_versions(spark, table, ddl).where(F.col("bucket").isin(touched) & (F.col("batch") < batch_id)))
-        both = old.select(*cols, "_op", "bucket", F.lit(0).alias("_new")).unionByName(changes.select(*cols, "_op", "bucket", F.lit(1).alias("_new")))
-        now = ig.latest_per_key(both, [*keys, "bucket"], F.struct(lsn, "_new")).drop("_new")
-        now.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(table)
+        if touched:
+            old = read_buckets(spark, table, ddl, {k: v for k, v in counts.items() if k in touched})
+            both = old.select(*cols, "_op", "bucket", F.lit(0).alias("_new")).unionByName(changes.select(*cols, "_op", "bucket", F.lit(1).alias("_new")))
+            now = ig.latest_per_key(both, [*keys, "bucket"], F.struct(lsn, "_new")).drop("_new")
+            now.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(f"{table}/data")
+        counts |= dict.fromkeys(touched, batch_id)
+        rows = spark.createDataFrame(sorted(counts.items()), "bucket int, version int")
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{table}/versions/batch={batch_id}")
 
     run_available(stream.writeStream.foreachBatch(step), checkpoint)
 
 
-def newest_versions(rows: DataFrame) -> DataFrame:
-    """Rows of the newest version of every bucket."""
-    newest = rows.groupBy("bucket").agg(F.max("batch").alias("batch"))
-    return rows.join(newest, ["bucket", "batch"], "left_semi")
+def table_schema(rows: DataFrame) -> str:
+    """Schema of the files of :func:`cdc_upsert`."""
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields) + ", _op string, bucket int, batch int"
+
+
+def versions(spark: SparkSession, table: str, batch_id: int | None = None) -> dict[int, int]:
+    """The batch that wrote the current version of each bucket, after ``batch_id`` or the last batch."""
+    rows = read_versions(spark, f"{table}/versions", "bucket int, version int, batch int")
+    last = rows.agg(F.max("batch")).first()[0] if batch_id is None else batch_id
+    return {r["bucket"]: r["version"] for r in rows.where(F.col("batch") == last).collect()}  # at most ``buckets`` numbers
+
+
+def read_buckets(spark: SparkSession, table: str, schema: str, counts: dict[int, int]) -> DataFrame:
+    """Rows of the given version of each bucket; no other folder is read."""
+    which = F.lit(False)
+    for bucket, batch in counts.items():
+        which = which | ((F.col("bucket") == bucket) & (F.col("batch") == batch))
+    return read_versions(spark, f"{table}/data", schema).where(which)
 
 
 def current_table(spark: SparkSession, table: str) -> DataFrame:
     """Live rows of a table written by :func:`cdc_upsert`."""
-    return newest_versions(spark.read.parquet(table)).where("_op <> 'D'").drop("_op", "bucket", "batch")
+    rows = spark.read.parquet(f"{table}/data")
+    which = F.lit(False)
+    for bucket, batch in versions(spark, table).items():
+        which = which | ((F.col("bucket") == bucket) & (F.col("batch") == batch))
+    return rows.where(which & (F.col("_op") != "D")).drop("_op", "bucket", "batch")
 
 
 def quarantine(stream: DataFrame, clean: str, held: str, checkpoint: str, checks: list[dq.Check]) -> None:

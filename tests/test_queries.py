@@ -19,7 +19,8 @@ def test_contract():
 
     q, o = contract.queries(), contract.oracle_sql()
     assert set(o) <= set(q)
-    assert set(q) - set(o) == {"sample_percent", "dq_distinct_count_approx"}
+    assert set(ENTRIES) <= set(q)
+    assert set(ENTRIES) - set(o) == {"sample_percent", "dq_distinct_count_approx"}
 
 
 def test_entry(spark):
