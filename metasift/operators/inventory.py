@@ -147,8 +147,9 @@ def link_downstream(roles: DataFrame) -> DataFrame:
 def assemble_links(roles: DataFrame, up: DataFrame, down: DataFrame) -> DataFrame:
     """One row per ingest asset with its link counts, cloud paths and confidence.
 
-    Link tables are counted per key before they meet the assets.  Payloads with assets
-    but no ingest asset give one standalone row.
+    Link tables are counted per key before they meet the assets.  ``target_links`` counts
+    distinct targets, though several values of an asset may mean the same one; the evidence
+    counts every value's.  Payloads with assets but no ingest asset give one standalone row.
     """
     def per_key(links: DataFrame, side: str) -> DataFrame:
         s = links.where(F.col("side") == side).withColumn("api", F.lower("id").contains("api"))
@@ -168,13 +169,19 @@ def assemble_links(roles: DataFrame, up: DataFrame, down: DataFrame) -> DataFram
             n = F.when(F.col("hub").isNull(), F.col("n")).otherwise(n)
         sides.append(both.groupBy("payload_id", "id").agg(
             F.sum(n).alias(f"{side}_links"), F.array_distinct(F.flatten(F.collect_set("clouds"))).alias(f"{side}_clouds")))
-    j = ing.join(sides[0], ["payload_id", "id"], "left").join(sides[1], ["payload_id", "id"], "left")
+    # Only assets with several values can meet a target twice.
+    values = down.where("side = 'ingest'").select("payload_id", "link_key", "id")
+    several = values.groupBy("payload_id", "id").agg(F.count("*").alias("k")).where("k > 1").select("payload_id", "id")
+    targets = down.where("side = 'target'").select("payload_id", "link_key", F.col("id").alias("target"))
+    once = values.join(several, ["payload_id", "id"], "left_semi").join(targets, ["payload_id", "link_key"]).select(
+        "payload_id", "id", "target").distinct().groupBy("payload_id", "id").agg(F.count("*").alias("distinct_targets"))
+    j = ing.join(sides[0], ["payload_id", "id"], "left").join(sides[1], ["payload_id", "id"], "left").join(once, ["payload_id", "id"], "left")
     none = F.array().cast("array<string>")
     zero = F.lit(0).cast("bigint")
     s, t = F.coalesce("source_links", zero), F.coalesce("target_links", zero)
     full = j.select(
         "payload_id", F.concat(tx.asset_name(F.col("id")), F.lit(" Architecture")).alias("name"), F.col("id").alias("ingestion"),
-        s.alias("source_links"), t.alias("target_links"),
+        s.alias("source_links"), F.coalesce("distinct_targets", t).alias("target_links"),
         F.array_sort(F.array_union(F.array(tx.asset_cloud(F.col("id"))), F.array_union(F.coalesce("source_clouds", none), F.coalesce("target_clouds", none)))).alias("cloud_path"),
         F.coalesce("confidence", F.lit("LOW")).alias("confidence"),
         (1 + F.when(F.col("code") > 0, 1).otherwise(0) + s + t).alias("evidence_lines"))

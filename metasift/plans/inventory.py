@@ -74,11 +74,11 @@ def link_downstream_theta(spark, sf):
 
 LINKED = """x as (select i.payload_id, i.id, count(distinct s.id) as n, string_agg(distinct upper(trim(string_split(s.id,'||')[1])), ',') as c from ing i join src s on s.payload_id = i.payload_id
   and (contains(lower(s.id), i.link_key) or contains(lower(s.id), 'api')) group by 1, 2),
-y as (select v.payload_id, v.id, count(*) as n, string_agg(distinct upper(trim(string_split(d.id,'||')[1])), ',') as c from tv v join dh d using (payload_id, link_key) group by 1, 2),
+y as (select v.payload_id, v.id, count(distinct d.id) as n, count(*) as every, string_agg(distinct upper(trim(string_split(d.id,'||')[1])), ',') as c from tv v join dh d using (payload_id, link_key) group by 1, 2),
 g as (select distinct payload_id, id, name, confidence, item_pos from r where role = 'ingest'),
 j as (select g.payload_id, g.name || ' Architecture' as name, g.id as ingestion, coalesce(x.n, 0) as source_links, coalesce(y.n, 0) as target_links,
  array_to_string(list_sort(list_distinct(string_split(concat_ws(',', upper(trim(string_split(g.id,'||')[1])), x.c, y.c), ','))), '|') as cloud_path, g.confidence,
- 1 + (case when g.item_pos % 2 = 0 then 1 else 0 end) + coalesce(x.n, 0) + coalesce(y.n, 0) as evidence_lines from g left join x using (payload_id, id) left join y using (payload_id, id)
+ 1 + (case when g.item_pos % 2 = 0 then 1 else 0 end) + coalesce(x.n, 0) + coalesce(y.every, 0) as evidence_lines from g left join x using (payload_id, id) left join y using (payload_id, id)
  union all select payload_id, 'Discovered Standalone Assets', null, count(*) filter (role = 'source'), count(*) filter (role = 'target'), 'MULTICLOUD', 'LOW', 1 from r group by 1 having count(*) filter (role = 'ingest') = 0)"""
 
 

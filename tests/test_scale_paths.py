@@ -129,8 +129,9 @@ def test_links_equal_all_pairs(spark):
     u, d = inv.link_upstream(roles), inv.link_downstream(roles)
     assert pairs(u, "source") == up
     assert pairs(d, "target") == down
-    counts = {(r.payload_id, r.ingestion): r.source_links for r in inv.assemble_links(roles, u, d).where("ingestion is not null").collect()}
-    assert counts == {(i[0], i[4]): len({x for x in up if x[:2] == (i[0], i[4])}) for i in by("ingest")}
+    links = inv.assemble_links(roles, u, d).where("ingestion is not null").collect()
+    assert {(r.payload_id, r.ingestion): r.source_links for r in links} == {(i[0], i[4]): len({x for x in up if x[:2] == (i[0], i[4])}) for i in by("ingest")}
+    assert {(r.payload_id, r.ingestion): r.target_links for r in links} == {(i[0], i[4]): len({x for x in down if x[:2] == (i[0], i[4])}) for i in by("ingest")}
 
 
 def test_search_equals_substring_scan(spark):
