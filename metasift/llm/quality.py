@@ -217,7 +217,8 @@ def lexicon_of(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
     total = known.count()
     if total > limit:
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * limit / total))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text")).join(known, "doc_id").select("toxic", "text")
+    # At most about ``limit`` ids are broadcast, so no text is shuffled.
+    rows = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text")).join(F.broadcast(known), "doc_id").select("toxic", "text")
 
     @tidy
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
