@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -166,6 +167,9 @@ FROM_FORMATS = ("json", "csv", "yaml")
 FINDING = T.StructType([T.StructField("kind", T.StringType()), T.StructField("value", T.StringType()), T.StructField("method", T.StringType())])
 
 
+ARROW_FINDINGS = pa.list_(pa.struct([(f, pa.string()) for f in ("kind", "value", "method")]))
+
+
 def python_findings(source: str):
     """(kind, value, method) of one Python file; nothing when it does not parse."""
     try:
@@ -203,11 +207,15 @@ def code_findings_udtf():
     return F.udtf(CodeFindings, returnType=FINDING)
 
 
+def findings_of(sources: pa.Array) -> pa.Array:
+    """Findings of a batch of files."""
+    return pa.array([[dict(zip(("kind", "value", "method"), f, strict=True)) for f in python_findings(s or "")] for s in sources.to_pylist()], ARROW_FINDINGS)
+
+
 def code_findings(files: DataFrame, ids: list[str]) -> DataFrame:
-    """Distinct findings of every file, long form."""
-    fn = code_findings_udtf()
-    rows = files.select(*ids, "source").lateralJoin(fn(F.col("source").outer()))
-    return rows.select(*ids, "kind", "value", "method").distinct()
+    """Distinct findings of every file, long form (D28); files go to Python in Arrow batches."""
+    found = F.arrow_udf(findings_of, T.ArrayType(FINDING))
+    return files.select(*ids, F.explode(found("source")).alias("f")).select(*ids, "f.*").distinct()
 
 
 def stitch_lineage(findings: DataFrame, package: str) -> DataFrame:
@@ -226,23 +234,24 @@ def stitch_lineage(findings: DataFrame, package: str) -> DataFrame:
 def unzip_python(archives: DataFrame) -> DataFrame:
     """Python files of zip archives read as ``binaryFile`` rows ``(path, content)``.
 
-    Archives are opened one at a time inside their task and their members stream out.
+    Archives are opened one at a time inside their task and their members stream out.  A file
+    that is no archive gives one row that says so in ``error``.
     """
     import io
     import zipfile
 
-    import pyarrow as pa
-
     def members(batches):
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
                 try:
                     z = zipfile.ZipFile(io.BytesIO(content))
-                except zipfile.BadZipFile:
+                except zipfile.BadZipFile as e:
+                    yield pa.RecordBatch.from_pylist([{"package": path, "path": None, "source": None, "error": str(e)}], shape)
                     continue
                 for name in z.namelist():
                     if name.endswith(".py"):
                         text = z.read(name).decode("utf-8", "ignore")
-                        yield pa.RecordBatch.from_pydict({"package": [path], "path": [name], "source": [text]})
+                        yield pa.RecordBatch.from_pylist([{"package": path, "path": name, "source": text, "error": None}], shape)
 
-    return archives.select("path", "content").mapInArrow(members, "package string, path string, source string")
+    shape = pa.schema([(c, pa.string()) for c in ("package", "path", "source", "error")])
+    return archives.select("path", "content").mapInArrow(members, "package string, path string, source string, error string")

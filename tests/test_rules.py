@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from metasift.operators import detect, ingest, lineage
+from metasift.operators import code, detect, ingest, lineage
 
 PAYLOAD = "payload_id int, metadata string, config string, raw_json string"
 
@@ -56,3 +56,18 @@ def test_upsert_keeps_one_row_of_a_key(spark):
     new = spark.createDataFrame([(1, "c", 2), (1, "d", 1), (3, "e", 1)], "k int, v string, seq int")
     assert sorted(tuple(r) for r in ingest.upsert(old, new, ["k"], "seq").collect()) == [(1, "c", 2), (2, "b", 0), (3, "e", 1)]
     assert ingest.upsert(old, new, ["k"]).count() == 3
+
+
+def test_archives_give_their_files_or_an_error(spark):
+    import io
+    import zipfile
+
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        z.writestr("a/m.py", "import json")
+        z.writestr("b.txt", "no")
+    df = spark.createDataFrame([("good.zip", data.getvalue()), ("bad.zip", b"nothing")], "path string, content binary")
+    rows = {(r.package, r.path, r.source, r.error is None) for r in code.unzip_python(df).collect()}
+    assert rows == {("good.zip", "a/m.py", "import json", True), ("bad.zip", None, None, False)}
+    found = code.code_findings(code.unzip_python(df), ["package"]).collect()
+    assert [tuple(r) for r in found] == [("good.zip", "format", "json", "import")]
