@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from metasift.operators import ingest as ig
 from metasift.operators import quality as dq
+from metasift.session import cut_lineage
 from metasift.sources import files
 
 
@@ -15,34 +16,75 @@ def mask_columns(df: DataFrame, secrets: list[str]) -> DataFrame:
     return df.withColumns({c: F.lit("***") for c in secrets})
 
 
+def extracted(source: DataFrame, spec: dict) -> DataFrame:
+    """The rows a spec's extraction mode asks for: full, incremental, or one of three kinds of change capture."""
+    mode = spec.get("extraction_mode", "full_load")
+    if mode == "incremental":
+        return ig.incremental(source, spec["watermark_column"], spec.get("last_watermark"), spec.get("watermark_type", "timestamp"),
+                              spec.get("lookback_minutes") or 0)
+    if mode != "cdc":
+        return source
+    kind = spec.get("cdc_mode", "query_based")
+    if kind == "log_based":
+        return ig.cdc_log_based(source, spec["key_columns"], spec["lsn_column"], spec.get("last_lsn") or 0)
+    if kind == "soft_delete":
+        return ig.cdc_soft_delete(source, spec["deleted_at_column"], bool(spec.get("include_deletes", True)))
+    if kind != "query_based":
+        raise ValueError(f"unknown change capture {kind!r}")
+    return ig.cdc_query_based(source, spec["created_at_column"], spec["updated_at_column"], spec["last_watermark"])
+
+
+def drifted(df: DataFrame, expected: list[str] | None, action: str) -> DataFrame:
+    """Meet a schema that differs from the expected columns: fail, keep all (warn, evolve) or keep the expected (ignore)."""
+    if not expected or set(expected) == set(df.columns):
+        return df
+    if action == "fail":
+        raise ValueError(f"columns differ: missing {sorted(set(expected) - set(df.columns))}, new {sorted(set(df.columns) - set(expected))}")
+    if action == "ignore":
+        return df.select(*[c for c in expected if c in df.columns])
+    return df
+
+
 def run_job(source: DataFrame, spec: dict, path: str, checks: list[dq.Check] | None = None):
     """Run one runtime row against its source: extract, check, deduplicate, write.
 
     The spec is a handful of driver-side scalars; the data never leaves the executors.
-    Returns the new high-water mark.
+    Row count and new high-water mark are taken from the extracted rows before the write, and
+    the write is bounded by that mark, so a row that arrives meanwhile is left to the next run.
+    ``merge`` folds the batch into what the path holds by the key columns.  Returns the mark.
     """
-    df = source
-    mode = spec.get("extraction_mode", "full_load")
-    if mode == "incremental":
-        df = ig.incremental(df, spec["watermark_column"], spec.get("last_watermark"), spec.get("watermark_type", "timestamp"),
-                            spec.get("lookback_minutes") or 0)
-    elif mode == "cdc":
-        df = ig.cdc_query_based(df, spec["created_at_column"], spec["updated_at_column"], spec["last_watermark"])
+    df = drifted(source, spec.get("expected_columns"), spec.get("schema_drift_action", "warn"))
+    df = ig.where(extracted(df, spec), spec.get("where_clause"))
+    marked = spec.get("watermark_column") or spec.get("lsn_column")
+    least = spec.get("row_count_min") or 0
+    mark = None
+    if marked or least:
+        n, mark = df.agg(F.count("*"), F.max(marked) if marked else F.lit(None)).first()
+        if n < least:
+            raise ValueError(f"{n} rows extracted, {least} are the least")
+        if mark is not None:
+            df = df.where((F.col(marked) <= F.lit(mark)) | F.col(marked).isNull())
     df = ig.full_load(df, ig.ExtractSpec(
-        where=spec.get("where_clause"), include=spec.get("include_columns") or [], exclude=spec.get("exclude_columns") or [],
-        row_limit=spec.get("row_limit"), source_type=spec["source_type"], job_id=spec["job_id"],
-        add_metadata=bool(spec.get("add_metadata_cols", True))))
+        include=spec.get("include_columns") or [], exclude=spec.get("exclude_columns") or [],
+        row_limit=spec.get("row_limit"), sample_percent=spec.get("sample_percent"), sample_key=spec.get("sample_key"),
+        source_type=spec["source_type"], job_id=spec["job_id"], add_metadata=bool(spec.get("add_metadata_cols", True))))
+    checks = [*(checks or []), *[dq.not_null(c, severity="quarantine") for c in spec.get("null_check_columns") or []]]
     clean, held = dq.actions_split(df, checks) if checks else (df, None)
-    if spec.get("dedup_columns"):
-        order = spec.get("watermark_column") or spec["dedup_columns"][0]
-        clean = ig.latest_per_key(clean, spec["dedup_columns"], F.col(order))
-    opts = (spec.get("file_format", "parquet"), spec.get("compression", "snappy"), spec.get("write_mode", "append"), spec.get("partition_by"))
-    files.write(clean, path + "/clean", *opts)
+    keys = spec.get("dedup_columns") or []
+    if keys:
+        clean = ig.latest_per_key(clean, keys, F.col(marked or keys[0]))
+    mode = spec.get("write_mode", "append")
+    layout = {"partition_by": spec.get("partition_by"), "max_file_size_mb": spec.get("max_file_size_mb") or 256}
+    form = spec.get("file_format", "parquet"), spec.get("compression", "snappy")
+    if mode == "merge":
+        old = files.read_if_there(source.sparkSession, f"{path}/clean", form[0], clean.schema)
+        clean = cut_lineage(ig.upsert(old, clean, spec.get("key_columns") or keys, marked if marked in clean.columns else None))
+        files.write(clean, f"{path}/clean", *form, "overwrite", **layout)
+    else:
+        files.write(clean, f"{path}/clean", *form, mode, **layout)
     if held is not None:
-        files.write(held, path + "/quarantine", *opts)
-    if spec.get("watermark_column"):
-        return source.agg(F.max(spec["watermark_column"])).first()[0]
-    return None
+        files.write(held, f"{path}/quarantine", *form, "append" if mode == "merge" else mode, **layout)
+    return mark
 
 
 # Required and defaulted fields per source type, and which are secret.

@@ -250,3 +250,49 @@ def run_job_spec(spark, sf):
     out = spark.read.parquet(path + "/clean")
     return out.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"),
                                          F.first("_source_type").alias("source")).withColumn("watermark_day", F.lit(str(mark)[:10]))
+
+
+def spec_of(**fields):
+    return {"job_id": "job-7", "source_type": "aws", "file_format": "parquet", "compression": "zstd", "write_mode": "overwrite", "add_metadata_cols": False} | fields
+
+
+@query("I14", "run_job_log_based", """
+select user_id, max(event_id) as event_id, arg_max(value, event_id) as value from events where event_id > 100 group by 1""")
+def run_job_log_based(spark, sf):
+    from metasift.operators.jobspecs import run_job
+
+    path = scratch_path(spark, "job")
+    spec = spec_of(extraction_mode="cdc", cdc_mode="log_based", key_columns=["user_id"], lsn_column="event_id", last_lsn=100, max_file_size_mb=64)
+    run_job(table(spark, sf, "events"), spec, path)
+    return spark.read.parquet(path + "/clean").select("user_id", "event_id", "value")
+
+
+@query("I14", "run_job_soft_delete", """
+select o_orderkey, case when o_orderstatus = 'F' then 'D' else 'U' end as op, 'clean' as part from orders where o_custkey is not null and o_orderkey % 7 <> 0
+union all select o_orderkey, case when o_orderstatus = 'F' then 'D' else 'U' end, 'held' from orders where o_custkey is not null and o_orderkey % 7 = 0""")
+def run_job_soft_delete(spark, sf):
+    from metasift.operators.jobspecs import run_job
+
+    path = scratch_path(spark, "job")
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate")).alias("gone"),
+                                          F.when(F.col("o_orderkey") % 7 != 0, "c").alias("clerk"), F.lit(1).alias("extra"))
+    spec = spec_of(extraction_mode="cdc", cdc_mode="soft_delete", deleted_at_column="gone", where_clause="o_custkey is not null", null_check_columns=["clerk"],
+                   row_count_min=1, expected_columns=["o_orderkey", "o_custkey", "gone", "clerk"], schema_drift_action="ignore")
+    run_job(o, spec, path)
+    part = lambda p: spark.read.parquet(f"{path}/{p}").select("o_orderkey", F.col("_op").alias("op"))
+    return part("clean").withColumn("part", F.lit("clean")).unionByName(part("quarantine").withColumn("part", F.lit("held")))
+
+
+@query("I14", "run_job_merge", """
+select user_id, max(event_id) as event_id, arg_max(event_type, event_id) as event_type from events group by 1""")
+def run_job_merge(spark, sf):
+    from metasift.operators.jobspecs import run_job
+
+    path = scratch_path(spark, "job")
+    e = table(spark, sf, "events").select("user_id", "event_id", "event_type")
+    spec = spec_of(write_mode="merge", key_columns=["user_id"], dedup_columns=["user_id"], watermark_column="event_id", watermark_type="integer", extraction_mode="incremental")
+    # Two runs; the second goes on after the first one's mark and meets its users again.
+    middle = e.agg(F.expr("cast(avg(event_id) as bigint)")).first()[0]
+    mark = run_job(e.where(F.col("event_id") <= middle), spec, path)
+    run_job(e, spec | {"last_watermark": str(mark)}, path)
+    return spark.read.parquet(path + "/clean")

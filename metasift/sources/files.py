@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,6 +51,16 @@ def read(spark: SparkSession, path: str, fmt: str, schema: T.StructType) -> Data
     return spark.read.format(fmt).schema(schema).load(path)
 
 
+def read_if_there(spark: SparkSession, path: str, fmt: str, schema: T.StructType) -> DataFrame:
+    """What a path holds, or no rows where there is nothing yet."""
+    try:
+        return read(spark, path, fmt, schema)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def with_time_parts(df: DataFrame, ts: str) -> DataFrame:
     """year / month / day / hour columns for a time-partitioned layout."""
     return df.withColumns({"year": F.year(ts), "month": F.month(ts), "day": F.dayofmonth(ts), "hour": F.hour(ts)})

@@ -71,3 +71,25 @@ def test_archives_give_their_files_or_an_error(spark):
     assert rows == {("good.zip", "a/m.py", "import json", True), ("bad.zip", None, None, False)}
     found = code.code_findings(code.unzip_python(df), ["package"]).collect()
     assert [tuple(r) for r in found] == [("good.zip", "format", "json", "import")]
+
+
+def test_jobs_hold_to_their_spec(spark, tmp_path):
+    import pytest
+
+    from metasift.operators.jobspecs import run_job
+
+    df = spark.createDataFrame([(1, 5, "a"), (2, 9, None), (3, None, "c")], "k int, seq int, v string")
+    spec = {"job_id": "j", "source_type": "aws", "add_metadata_cols": False, "watermark_column": "seq", "write_mode": "merge", "key_columns": ["k"], "null_check_columns": ["v"]}
+    path = str(tmp_path / "out")
+    assert run_job(df, spec, path) == 9
+    assert sorted(r.k for r in spark.read.parquet(path + "/clean").collect()) == [1, 3]
+    assert [r.k for r in spark.read.parquet(path + "/quarantine").collect()] == [2]
+    later = spark.createDataFrame([(1, 12, "z"), (4, 11, "n")], df.schema)
+    assert run_job(later, spec, path) == 12
+    assert {r.k: r.v for r in spark.read.parquet(path + "/clean").collect()} == {1: "z", 3: "c", 4: "n"}
+    with pytest.raises(ValueError, match="rows extracted"):
+        run_job(df, spec | {"row_count_min": 4}, path)
+    with pytest.raises(ValueError, match="columns differ"):
+        run_job(df, spec | {"expected_columns": ["k"], "schema_drift_action": "fail"}, path)
+    run_job(df, {**spec, "write_mode": "append", "expected_columns": ["k", "seq"], "schema_drift_action": "ignore", "null_check_columns": [], "sample_percent": 100.0, "sample_key": "k"}, str(tmp_path / "two"))
+    assert spark.read.parquet(str(tmp_path / "two/clean")).columns == ["k", "seq"]
