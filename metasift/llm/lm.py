@@ -28,16 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metasift.llm.common import chunks, saved, text_or_empty, utf8, word_hashes, words
+from metasift.llm.common import chunks, saved, text_or_empty, tidy, utf8, word_hashes, words
 from metasift.llm.subwords import Subwords, default_tokenizer
 
 WINDOW, STRIDE, WIDTH, CLASSES = 32, 24, 16, 64
 ROUNDS = 4
 #: Windows of one training step, and of one scoring batch.
-BATCH = 256
+STEP, BATCH = 64, 256
 RATE = 4e-3
 #: Words whose counts are broadcast.
-HEAD = 2_000_000
+HEAD = 500_000
 #: Columns of the sketch of a subword's neighbours: hashed ids before it and after it.
 SKETCH = 64
 BLOCK = 1024
@@ -74,6 +74,32 @@ def previous(seq: np.ndarray, offsets: np.ndarray, end: int) -> np.ndarray:
     return out
 
 
+class Tally:
+    """Counts of codes, gathered before they are counted."""
+
+    def __init__(self, rows: int, columns: int, held: int = 1_000_000):
+        self.counts, self.columns, self.held = np.zeros(rows * columns, np.int32), columns, held
+        self.codes: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, codes: np.ndarray) -> None:
+        self.codes.append(codes.astype(np.int32))
+        self.size += len(codes)
+        if self.size >= self.held:
+            self.flush()
+
+    def flush(self) -> None:
+        if self.codes:
+            codes = np.sort(np.concatenate(self.codes))
+            new = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+            self.counts[codes[new]] += np.diff(np.append(new, len(codes))).astype(np.int32)
+        self.codes, self.size = [], 0
+
+    def table(self) -> np.ndarray:
+        self.flush()
+        return self.counts.reshape(-1, self.columns)
+
+
 def _blocks(counts: np.ndarray, name: str) -> Iterator[dict]:
     for k in range(0, len(counts), BLOCK):
         part = counts[k:k + BLOCK]
@@ -92,10 +118,11 @@ def _batch(rows: list[dict]) -> pa.RecordBatch:
 def _counter(path: str, rounds: int):
     """Word counts, neighbour sketches and subword ids of training texts."""
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Subwords.of(path)
         end = tokens.size
-        sketch = np.zeros(((end + 1) * 2, SKETCH), np.int32).reshape(-1)
+        sketch = Tally((end + 1) * 2, SKETCH)
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = docs = 0
 
@@ -117,16 +144,16 @@ def _counter(path: str, rounds: int):
                 h, n = np.unique(word_hashes(raw, s, e), return_counts=True)
                 held.append((h, n))
                 size += len(h)
-                if size > 1_500_000:
+                if size > 500_000:
                     yield from words_out()
                     held.clear()
                     size = 0
                 ids, at = tokens.encode(raw, off)
                 seq, begin = stream(ids, at, end)
                 before = previous(seq, begin, end)
-                sketch += np.bincount(seq * SKETCH + _sketch(before), minlength=len(sketch)).astype(np.int32)
-                # Half a chunk's subwords follow each other in the second half of the table.
-                sketch += np.bincount((before + end + 1) * SKETCH + _sketch(seq), minlength=len(sketch)).astype(np.int32)
+                # The first half of the table has what precedes a subword, the second what follows it.
+                sketch.add(seq * SKETCH + _sketch(before))
+                sketch.add((before + end + 1) * SKETCH + _sketch(seq))
                 small = ids.astype("<u2")
                 yield _batch([
                     {"kind": "ids", "part": r, "a": int(sum(at[k + 1] - at[k] for k in np.flatnonzero(part[lo:hi] == r))), "n": None,
@@ -135,7 +162,7 @@ def _counter(path: str, rounds: int):
                 ])
         if held:
             yield from words_out()
-        yield _batch([*_blocks(sketch.reshape(-1, SKETCH), "sketch"), {"kind": "docs", "a": 0, "n": docs, "data": None}])
+        yield _batch([*_blocks(sketch.table(), "sketch"), {"kind": "docs", "a": 0, "n": docs, "data": None}])
 
     return count
 
@@ -208,56 +235,66 @@ def fresh_network(sketch: np.ndarray) -> Network:
     return Network(np.clip(z, -4, 4).astype(np.float32), at.astype(np.int64), weights.astype(np.float32))
 
 
-_MASK = np.where(np.tri(WINDOW, dtype=bool), 0, -np.inf).astype(np.float32)
+_CAUSAL = np.tri(WINDOW, dtype=np.float32)
+_SCALE = np.float32(1 / math.sqrt(WIDTH))
+#: Exponents are cut here, far above what trained scores reach.
+_MOST = np.float32(60)
 
 
 def forward(net: Network, w: np.ndarray, tokens: np.ndarray) -> tuple:
-    """Class logits for windows of subwords (windows x WINDOW), and what the backward pass needs."""
+    """Unnormalised class weights for windows of subwords (windows x WINDOW), and what the backward pass needs.
+
+    Values and outputs carry a column of ones, so one product gives a sum and its normaliser, or adds the bias."""
     qkv, place, out, bias = net.parts(w)
     m, d = len(tokens), WIDTH
-    h = net.inputs[tokens] + place
-    x = (h.reshape(-1, d) @ qkv).reshape(m, WINDOW, 3 * d)
+    h = np.take(net.inputs, tokens, axis=0)
+    h += place
+    x = h.reshape(-1, d) @ np.concatenate([qkv[:, :d] * _SCALE, qkv[:, d:], np.zeros((d, 1), qkv.dtype)], axis=1)
+    x[:, 3 * d] = 1
+    x = x.reshape(m, WINDOW, 3 * d + 1)
     q, k, v = x[..., :d], x[..., d:2 * d], x[..., 2 * d:]
-    s = np.matmul(q, k.transpose(0, 2, 1)) * np.float32(1 / math.sqrt(d))
-    s += _MASK
-    s -= s.max(axis=2, keepdims=True)
+    s = np.matmul(q, k.transpose(0, 2, 1))
+    np.minimum(s, _MOST, out=s)
     np.exp(s, out=s)
-    s /= s.sum(axis=2, keepdims=True)
+    s *= _CAUSAL
     o = np.matmul(s, v)
-    o += h
-    logits = o.reshape(-1, d) @ out
-    logits += bias
-    return logits, h, x, s, o
-
-
-def softmax(logits: np.ndarray) -> np.ndarray:
-    logits -= logits.max(axis=1, keepdims=True)
-    np.exp(logits, out=logits)
-    logits /= logits.sum(axis=1, keepdims=True)
-    return logits
+    z = o[..., d:].copy()
+    o /= z
+    o[..., :d] += h
+    p = o.reshape(-1, d + 1) @ np.concatenate([out, bias[None]])
+    np.minimum(p, _MOST, out=p)
+    np.exp(p, out=p)
+    return p, h, x, s, o, z
 
 
 def gradient(net: Network, w: np.ndarray, tokens: np.ndarray, target: np.ndarray, valid: np.ndarray) -> tuple[float, np.ndarray]:
     """Mean loss (nats a token) and its gradient."""
-    logits, h, x, s, o = forward(net, w, tokens)
+    p, h, x, s, o, z = forward(net, w, tokens)
     qkv, _, out, _ = net.parts(w)
     m, d = len(tokens), WIDTH
-    p = softmax(logits)
-    flat, ok = target.reshape(-1), valid.reshape(-1)
-    at = np.arange(len(flat))
+    ok = valid.reshape(-1)
+    at = np.arange(len(p)), target.reshape(-1)
+    total = p @ np.ones(CLASSES, p.dtype)
     n = max(int(ok.sum()), 1)
-    loss = -float(np.log(np.maximum(p[at, flat], 1e-30)) @ ok) / n
-    p[at, flat] -= 1
-    p *= (ok / np.float32(n))[:, None]
+    own = p[at] / total
+    loss = -float(np.log(np.maximum(own, 1e-30)) @ ok) / n
+    p *= (ok / (total * n))[:, None]
+    p[at] -= ok / n
     do = (p @ out.T).reshape(m, WINDOW, d)
-    q, k, v = x[..., :d], x[..., d:2 * d], x[..., 2 * d:]
-    ds = np.matmul(do, v.transpose(0, 2, 1))
-    ds -= np.einsum("mij,mij->mi", ds, s)[..., None]
+    q, k, v = x[..., :d], x[..., d:2 * d], x[..., 2 * d:3 * d]
+    # Attention is s / z; the divisions go to the narrow sides.
+    dz = do / z
+    ds = np.matmul(dz, v.transpose(0, 2, 1))
+    ds -= np.einsum("mid,mid->mi", dz, o[..., :d] - h)[..., None]
     ds *= s
-    ds *= np.float32(1 / math.sqrt(d))
-    dx = np.concatenate([np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q), np.matmul(s.transpose(0, 2, 1), do)], axis=2).reshape(-1, 3 * d)
-    dh = do + (dx @ qkv.T).reshape(m, WINDOW, d)
-    return loss, np.concatenate([(h.reshape(-1, d).T @ dx).ravel(), dh.sum(axis=0).ravel(), (o.reshape(-1, d).T @ p).ravel(), p.sum(axis=0)])
+    dx = np.empty((m, WINDOW, 3 * d), p.dtype)
+    np.multiply(np.matmul(ds, k), _SCALE, out=dx[..., :d])
+    dx[..., d:2 * d] = np.matmul(ds.transpose(0, 2, 1), q)
+    dx[..., 2 * d:] = np.matmul(s.transpose(0, 2, 1), dz)
+    dx = dx.reshape(-1, 3 * d)
+    do += (dx @ qkv.T).reshape(m, WINDOW, d)
+    last = o.reshape(-1, d + 1).T @ p
+    return loss, np.concatenate([(h.reshape(-1, d).T @ dx).ravel(), do.sum(axis=0).ravel(), last.ravel()])
 
 
 def windows(offsets: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndarray]:
@@ -268,6 +305,14 @@ def windows(offsets: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndarray]:
     return start, np.repeat(offsets[1:], per)
 
 
+def reach(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of each window's tokens, its first one again past its text's end; which are real (as weights)."""
+    at = start.astype(np.int32)[:, None] + np.arange(WINDOW, dtype=np.int32)
+    valid = at < stop.astype(np.int32)[:, None]
+    np.copyto(at, start.astype(np.int32)[:, None], where=~valid)
+    return at, valid.astype(np.float32)
+
+
 class Trainer:
     """Adam steps on one task's windows, starting from the shared weights."""
 
@@ -279,35 +324,36 @@ class Trainer:
         before, target = previous(seq, offsets, end), self.net.classes[seq]
         start, stop = windows(offsets, WINDOW)
         order = np.random.default_rng(self.t).permutation(len(start))
-        for lo in range(0, len(order), BATCH):
-            some = order[lo:lo + BATCH]
-            at = start[some][:, None] + np.arange(WINDOW)
-            valid = at < stop[some][:, None]
-            at = np.where(valid, at, start[some][:, None])
-            _, g = gradient(self.net, self.w, before[at], target[at], valid.astype(np.float32))
+        at, valid = reach(start[order], stop[order])
+        tokens, wanted = before.astype(np.int32)[at], target.astype(np.int32)[at]
+        for lo in range(0, len(order), STEP):
+            hi = lo + STEP
+            _, g = gradient(self.net, self.w, tokens[lo:hi], wanted[lo:hi], valid[lo:hi])
             self.t += 1
-            self.m += 0.1 * (g - self.m)
-            self.v += 0.01 * (g * g - self.v)
+            self.m += np.float32(0.1) * (g - self.m)
+            g *= g
+            self.v += np.float32(0.01) * (g - self.v)
             step = self.rate * min(1, self.t / 20) * math.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t)
-            self.w -= step * self.m / (np.sqrt(self.v) + 1e-8)
+            self.w -= np.float32(step) * self.m / (np.sqrt(self.v) + np.float32(1e-8))
         self.tokens += len(seq)
 
 
 def _trainer(shared, end: int):
+    @tidy
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
         own = Trainer(net)
-        pairs = np.zeros((end + 1) * CLASSES, np.int32)
+        pairs = Tally(end + 1, CLASSES)
         for batch in batches:
             for raw in batch.column("data").to_pylist():
                 seq = np.frombuffer(raw, "<u2").astype(np.int64)
                 seq[seq == 0xFFFF] = end
                 offsets = np.append(0, np.flatnonzero(seq == end) + 1)
-                pairs += np.bincount(seq * CLASSES + net.classes[previous(seq, offsets, end)], minlength=len(pairs)).astype(np.int32)
+                pairs.add(seq * CLASSES + net.classes[previous(seq, offsets, end)])
                 own.learn(seq, offsets, end)
         if own.tokens:
             data = (own.w.astype(np.float64) * own.tokens).astype("<f8").tobytes()
-            yield _batch([*_blocks(pairs.reshape(-1, CLASSES), "pairs"), {"kind": "weights", "a": 0, "n": own.tokens, "data": data}])
+            yield _batch([*_blocks(pairs.table(), "pairs"), {"kind": "weights", "a": 0, "n": own.tokens, "data": data}])
 
     return train
 
@@ -340,20 +386,17 @@ def score_texts(net: Network, seq: np.ndarray, offsets: np.ndarray, end: int) ->
     logp = net.share[seq, net.classes[before]].astype(np.float64)
     target = net.classes[seq]
     start, stop = windows(offsets, STRIDE)
+    # A window after its text's first one leaves the overlap to the one before.
+    inner = np.append(False, stop[1:] == stop[:-1])
+    before = before.astype(np.int32)
     for lo in range(0, len(start), BATCH):
-        first = start[lo:lo + BATCH]
-        at = first[:, None] + np.arange(WINDOW)
-        valid = at < stop[lo:lo + BATCH, None]
-        at = np.where(valid, at, first[:, None])
-        logits = forward(net, net.weights, before[at])[0]
-        p = softmax(logits)
-        # A window after its text's first one leaves the overlap to the one before.
-        fresh = valid.copy()
-        inner = np.append(lo > 0 and stop[lo - 1] == stop[lo], stop[lo + 1:lo + len(first)] == stop[lo:lo + len(first) - 1])
-        fresh[inner, :WINDOW - STRIDE] = False
-        k = np.flatnonzero(fresh.ravel())
+        at, valid = reach(start[lo:lo + BATCH], stop[lo:lo + BATCH])
+        p = forward(net, net.weights, before[at])[0]
+        fresh = valid > 0
+        fresh[inner[lo:lo + BATCH], :WINDOW - STRIDE] = False
+        k = np.flatnonzero(fresh)
         spot = at.ravel()[k]
-        logp[spot] += np.log10(np.maximum(p[k, target[spot]], 1e-30))
+        logp[spot] += np.log10(np.maximum(p[k, target[spot]] / (p @ np.ones(CLASSES, p.dtype))[k], 1e-30))
     return np.add.reduceat(logp, offsets[:-1]) if len(seq) else np.zeros(0)
 
 
@@ -414,7 +457,7 @@ class Lookup:
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         slots = 1 << max(4, int(np.ceil(np.log2(2 * len(keys) + 1))))
-        self.mask, self.keys, self.values = slots - 1, np.zeros(slots, np.uint64), np.zeros(slots, np.int64)
+        self.mask, self.keys, self.values = slots - 1, np.zeros(slots, np.uint64), np.zeros(slots, values.dtype)
         self.zero = int(values[keys == 0].sum())
         keys, values = keys[keys != 0], values[keys != 0]
         slot = (keys & np.uint64(self.mask)).astype(np.int64)
@@ -447,6 +490,7 @@ _TABLES: dict[str, Lookup] = {}
 
 
 def _scorer(shared, name: str, path: str, schema: pa.Schema):
+    @tidy
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
