@@ -148,13 +148,25 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+_DIGITS = LOWER.astype(np.uint64) + np.uint64(1)
+
+
+def hash_prefix(data: np.ndarray) -> np.ndarray:
+    """Sums from which the hash of any run of ``data`` follows, A-Z read as lower case."""
+    prefix = np.zeros(len(data) + 1, np.uint64)
+    digits = _DIGITS[data]
+    digits *= _powers(len(data) + 1)[0][:len(data)]
+    np.cumsum(digits, out=prefix[1:])
+    return prefix
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, prefix: np.ndarray | None = None) -> np.ndarray:
     """A 64-bit hash of each run, A-Z read as lower case; equal words have equal hashes wherever they stand."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    up, down = _powers(len(data) + 1)
-    prefix = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((LOWER[data].astype(np.uint64) + np.uint64(1)) * up[:len(data)], out=prefix[1:])
+    if prefix is None:
+        prefix = hash_prefix(data)
+    down = _powers(len(data) + 1)[1]
     return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 

@@ -20,15 +20,16 @@ import math
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metasift.llm.common import chunks, saved, text_or_empty, tidy, utf8, word_hashes, words
+from metasift.llm.common import chunks, hash_prefix, saved, text_or_empty, tidy, utf8, word_hashes, words
 from metasift.llm.subwords import Subwords, default_tokenizer
 
 WINDOW, STRIDE, WIDTH, CLASSES = 32, 24, 16, 64
@@ -42,9 +43,19 @@ HEAD = 500_000
 SKETCH = 64
 BLOCK = 1024
 _WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+#: White space that parts words, but not the tokenizer's chunks.
+_OTHER_WHITE = np.isin(np.arange(256), [9, 11, 12, 13])
 SMOOTH = 0.1
 
 
+def read(tokens: Subwords, raw: np.ndarray, off: np.ndarray) -> tuple:
+    """Word hashes with each text's first one, and subword ids with each text's first one; runs are looked for once."""
+    runs, prefix = words(raw, off, ~_WHITE), hash_prefix(raw)
+    h = word_hashes(raw, runs[0], runs[1], prefix)
+    ids, at = tokens.encode(raw, off) if _OTHER_WHITE[raw].any() else tokens.encode(raw, off, runs, h, prefix)
+    return h, runs[2], ids, at
+
+
 def held_out(doc_id: str | None) -> bool:
     return zlib.crc32((doc_id or "").encode()) % 10 == 0
 
@@ -140,15 +151,14 @@ def _counter(path: str, rounds: int):
             for lo, hi in chunks(offsets):
                 off = offsets[lo:hi + 1]
                 raw, off = data[off[0]:off[-1]], off - off[0]
-                s, e, _ = words(raw, off, ~_WHITE)
-                h, n = np.unique(word_hashes(raw, s, e), return_counts=True)
+                h, _, ids, at = read(tokens, raw, off)
+                h, n = np.unique(h, return_counts=True)
                 held.append((h, n))
                 size += len(h)
                 if size > 500_000:
                     yield from words_out()
                     held.clear()
                     size = 0
-                ids, at = tokens.encode(raw, off)
                 seq, begin = stream(ids, at, end)
                 before = previous(seq, begin, end)
                 # The first half of the table has what precedes a subword, the second what follows it.
@@ -449,6 +459,18 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer:
     return fitted, vocabulary.where(F.col("c") < least)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 2_000):
+    """Arrow batches of at most so many rows while the block runs; texts are long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 SCORED = "row long, {id}, held_out boolean, n_words long, head_known long, head_sum double, tail array<long>, n_subwords long, score double"
 
 
@@ -507,14 +529,12 @@ def _scorer(shared, name: str, path: str, schema: pa.Schema):
             for lo, hi in chunks(offsets):
                 m, off = hi - lo, offsets[lo:hi + 1]
                 raw, off = data[off[0]:off[-1]], off - off[0]
-                s, e, first = words(raw, off, ~_WHITE)
-                h = word_hashes(raw, s, e)
+                h, first, ids, at = read(tokens, raw, off)
                 c = table.find(h)
                 row = np.repeat(np.arange(m), np.diff(first))
                 known = c > 0
                 rest = np.flatnonzero(~known)
                 tail = pa.ListArray.from_arrays(np.searchsorted(rest, first).astype(np.int32), pa.array(h[rest].view(np.int64)))
-                ids, at = tokens.encode(raw, off)
                 seq, begin = stream(ids, at, end)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(next_row + np.arange(m)), idents.slice(lo, m), pa.array([held_out(x) for x in names[lo:hi]]), pa.array(np.diff(first)),
@@ -528,9 +548,13 @@ def _scorer(shared, name: str, path: str, schema: pa.Schema):
 
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, rounds: int = ROUNDS, head: int = HEAD) -> DataFrame:
     """One row per text: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_subwords."""
+    with small_batches(docs.sparkSession):
+        return _score(docs, doc_id, text, tokenizer or default_tokenizer(), rounds, head)
+
+
+def _score(docs: DataFrame, doc_id: str, text: str, path: str, rounds: int, head: int) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_type
 
-    path = tokenizer or default_tokenizer()
     fitted, tail = fit(docs, doc_id, text, path, rounds, head)
     kind = docs.schema[doc_id].dataType
     schema = pa.schema([("row", pa.int64()), ("id", to_arrow_type(kind)), ("held_out", pa.bool_()), ("n_words", pa.int64()), ("head_known", pa.int64()), ("head_sum", pa.float64()), ("tail", pa.list_(pa.int64())), ("n_subwords", pa.int64()), ("score", pa.float64())])

@@ -7,12 +7,14 @@ chunks go through the tokenizer.  The table is bounded: when it is full, new chu
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 
 from metasift.llm.common import word_hashes, words
 
 #: Chunks a worker remembers at most; its table has room for twice as many.
-REMEMBERED = 1_000_000
+REMEMBERED = 2_000_000
 _SPACE = np.isin(np.arange(256), [10, 32])
 _ASCII_LETTER = np.isin(np.arange(256) | 32, np.arange(97, 123)) & (np.arange(256) < 128)
 _MARKS = (44, 46)
@@ -29,6 +31,7 @@ class Subwords:
     def __init__(self, path: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the threads
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
         self.size = max(vocabulary.values()) + 1
@@ -118,9 +121,11 @@ class Subwords:
             on[put] = False
             h, entry, slot = h[on], entry[on], (slot[on] + 1) & self.mask
 
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after another and the offset of each text's first one."""
-        starts, ends, first = words(data, offsets, ~_SPACE)
+    def encode(self, data: np.ndarray, offsets: np.ndarray, runs: tuple | None = None, hashes: np.ndarray | None = None, prefix: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another and the offset of each text's first one.
+
+        ``runs`` with their ``hashes`` and ``prefix`` may come from the caller, if they are cut at blanks and line ends alone."""
+        starts, ends, first = words(data, offsets, ~_SPACE) if runs is None else runs
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         # A mark behind ASCII letters is a word of its own.
@@ -129,7 +134,11 @@ class Subwords:
         last = data[ends - 1]
         marked = np.isin(last, _MARKS) & (total[ends] - total[starts] == ends - starts - 1) & (ends - starts > 1)
         ends = ends - marked
-        h = word_hashes(data, starts, ends)
+        if hashes is None:
+            h = word_hashes(data, starts, ends)
+        else:
+            h = hashes.copy()
+            h[marked] = word_hashes(data, starts[marked], ends[marked], prefix)
         h[h == 0] = 1
         entry = self._find(h)
         new = np.flatnonzero(entry < 0)
