@@ -214,7 +214,7 @@ def _tile_links(threshold: float):
 
 def narrowed(rows: DataFrame, ids: DataFrame, on: str, how: str) -> DataFrame:
     """``rows`` whose ``on`` is (left_semi) or is not (left_anti) among ``ids``: few ids are broadcast, more are joined."""
-    few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    few = ids.count() <= BROADCAST_ROWS  # a written table: its files know
     return rows.join(F.broadcast(ids) if few else ids, on, how)
 
 

@@ -149,10 +149,11 @@ def find(docs: DataFrame, text: str = "text", name: str = "pii", keep_text: bool
     rows = docs.withColumn(row, F.monotonically_increasing_id()).withColumn(clean, text_or_empty(text))
     rows = rule_spans(rows, clean, spans).drop(clean)
     base = saved(rows if keep_text else rows.drop(text), "pii")
-    more = saved(discover(base, row, spans), "more").select(F.col("row").alias(row), "more")
+    added = fresh(base, "added")
+    more = saved(discover(base, row, spans), "more").select(F.col("row").alias(row), F.col("more").alias(added))
     out = base.join(more, row, "left")
     none = F.expr("cast(array() as array<struct<kind:string,start:bigint,end:bigint>>)")
-    every = F.concat(F.col(spans), F.coalesce("more", none))
+    every = F.concat(F.col(spans), F.coalesce(added, none))
     order = F.transform(every, lambda s: F.struct(F.array_position(F.array(*map(F.lit, KINDS)), s["kind"]).alias("k"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
     merged = F.transform(F.array_sort(order), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     kept = [c for c in docs.columns if keep_text or c != text]

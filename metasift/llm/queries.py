@@ -51,7 +51,7 @@ select d.doc_id, cast(len(w) as bigint) n_words, coalesce(n_hit, 0) n_hit, coale
 from d left join hit using (doc_id) left join its using (doc_id)
 """)
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = contamination.annotate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = contamination.annotate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     c = F.col("contamination")
     return found.select(
         "doc_id", c["n_words"].alias("n_words"), c["n_hit"].alias("n_hit"),
@@ -126,7 +126,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_main_text")
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = wrappers.main_text(table(spark, sf_dir, "pages"))
+    found = wrappers.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
 
 
@@ -142,7 +142,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_quality")
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model, _, _ = quality.fit(docs, table(spark, sf_dir, "labels"))
     return quality.score(docs, model).select("doc_id", "judged.n_words", "judged.quality", "judged.toxicity", "judged.keep")
 

@@ -82,5 +82,17 @@ def test_pipeline_of_odd_documents(spark, sf):
         assert docs.count() == (1 if data else 0)
 
 
+def test_queries_and_stages_take_clashing_columns(spark, sf, tmp_path):
+    clash = ["n_words", "contamination", "secrets", "pii", "near", "judged", "row", "sign", "more", "added", "spans", "plain", "main_text", "host", "wrapper", "hits", "items", "keys", "score", "held_out", "text_", "part"]
+    for name in ("documents", "pages", "embeddings", "benchmark", "labels"):
+        df = spark.read.parquet(f"{sf}/{name}.parquet").limit(60)
+        df.withColumns({c: F.lit(None).cast("string") for c in clash if c not in df.columns}).write.parquet(f"{tmp_path}/{name}.parquet")
+    for key, run in QUERIES.items():
+        assert run(spark, str(tmp_path)).count() >= 60, key
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+
+
 def test_bags_are_multisets():
     assert bags("a b c d e a b c d e a b c d e")[("a", "b", "c", "d", "e")] == 3
