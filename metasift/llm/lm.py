@@ -155,7 +155,7 @@ def _counter(path: str, rounds: int):
                 h, n = np.unique(h, return_counts=True)
                 held.append((h, n))
                 size += len(h)
-                if size > 500_000:
+                if size > 800_000:
                     yield from words_out()
                     held.clear()
                     size = 0
@@ -251,6 +251,13 @@ _SCALE = np.float32(1 / math.sqrt(WIDTH))
 _MOST = np.float32(60)
 
 
+def _exp(x: np.ndarray) -> None:
+    """Exponentials in place."""
+    if x.max(initial=0) > _MOST:
+        np.minimum(x, _MOST, out=x)
+    np.exp(x, out=x)
+
+
 def forward(net: Network, w: np.ndarray, tokens: np.ndarray) -> tuple:
     """Unnormalised class weights for windows of subwords (windows x WINDOW), and what the backward pass needs.
 
@@ -264,16 +271,14 @@ def forward(net: Network, w: np.ndarray, tokens: np.ndarray) -> tuple:
     x = x.reshape(m, WINDOW, 3 * d + 1)
     q, k, v = x[..., :d], x[..., d:2 * d], x[..., 2 * d:]
     s = np.matmul(q, k.transpose(0, 2, 1))
-    np.minimum(s, _MOST, out=s)
-    np.exp(s, out=s)
+    _exp(s)
     s *= _CAUSAL
     o = np.matmul(s, v)
     z = o[..., d:].copy()
     o /= z
     o[..., :d] += h
     p = o.reshape(-1, d + 1) @ np.concatenate([out, bias[None]])
-    np.minimum(p, _MOST, out=p)
-    np.exp(p, out=p)
+    _exp(p)
     return p, h, x, s, o, z
 
 
@@ -455,7 +460,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer:
             net = Network(net.inputs, net.classes, weights)
     net.share = shares(pairs, net.classes)
     order = np.argsort(top["h"].to_numpy().view(np.uint64), kind="stable")
-    fitted = Fitted(top["h"].to_numpy().view(np.uint64)[order], top["c"].to_numpy()[order], (total or 0) + n_docs, kinds + (n_docs > 0), n_docs, net)
+    fitted = Fitted(top["h"].to_numpy().view(np.uint64)[order], top["c"].to_numpy()[order].astype(np.int32 if (total or 0) < 2**31 else np.int64), (total or 0) + n_docs, kinds + (n_docs > 0), n_docs, net)
     return fitted, vocabulary.where(F.col("c") < least)
 
 
@@ -494,15 +499,19 @@ class Lookup:
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Counts, 0 where unknown."""
-        out = np.zeros(len(h), np.int64)
         slot = (h & np.uint64(self.mask)).astype(np.int64)
-        at = np.arange(len(h))
+        key = self.keys[slot]
+        hit = key == h
+        out = np.where(hit, self.values[slot], 0)
+        at = np.flatnonzero(~hit & (key != 0))
+        slot = slot[at]
         while len(at):
+            slot = (slot + 1) & self.mask
             key = self.keys[slot]
             hit = key == h[at]
             out[at[hit]] = self.values[slot[hit]]
             on = ~hit & (key != 0)
-            at, slot = at[on], (slot[on] + 1) & self.mask
+            at, slot = at[on], slot[on]
         if self.zero:
             out[h == 0] = self.zero
         return out
@@ -561,9 +570,8 @@ def _score(docs: DataFrame, doc_id: str, text: str, path: str, rounds: int, head
     rows = docs.select(F.col(doc_id).alias("id"), F.col(doc_id).cast("string").alias("name"), text_or_empty(text).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(fitted)  # bounded by the head and the vocabulary
     scored = saved(rows.mapInArrow(_scorer(shared, uuid.uuid4().hex, path, schema), SCORED.format(id=f"id {kind.simpleString()}")), "scored")
-    rare = scored.select("row", F.explode("tail").alias("h")).groupBy("row", "h").agg(F.count("*").alias("k"))
-    rare = rare.join(tail, "h", "left").groupBy("row").agg(
-        F.sum(F.when(F.col("c").isNotNull(), F.col("k")).otherwise(0)).alias("tail_known"), F.sum(F.col("k") * F.log10(F.coalesce("c", F.lit(0)) + SMOOTH)).alias("tail_sum"),
+    rare = scored.select("row", F.explode("tail").alias("h")).join(tail, "h", "left").groupBy("row").agg(
+        F.count("c").alias("tail_known"), F.sum(F.log10(F.coalesce("c", F.lit(0)) + SMOOTH)).alias("tail_sum"),
     )
     size = math.log10(fitted.n + SMOOTH * (fitted.kinds + 1))
     n_tokens = F.col("n_words") + 1

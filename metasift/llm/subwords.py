@@ -13,8 +13,8 @@ import numpy as np
 
 from metasift.llm.common import word_hashes, words
 
-#: Chunks a worker remembers at most; its table has room for twice as many.
-REMEMBERED = 2_000_000
+#: Chunks a worker remembers at most; its table has room for a third more.
+REMEMBERED = 1_500_000
 _SPACE = np.isin(np.arange(256), [10, 32])
 _ASCII_LETTER = np.isin(np.arange(256) | 32, np.arange(97, 123)) & (np.arange(256) < 128)
 _MARKS = (44, 46)
@@ -38,13 +38,13 @@ class Subwords:
         self.word_end = np.zeros(self.size, bool)
         self.word_end[[k for t, k in vocabulary.items() if t.endswith("</w>")]] = True
         self.limit = remembered
-        slots = 1 << max(4, int(np.ceil(np.log2(2 * remembered))))
+        slots = 1 << max(4, int(np.ceil(np.log2(1.33 * remembered))))
         self.mask = slots - 1
         self.keys = np.zeros(slots, np.uint64)
         self.entry = np.zeros(slots, np.int32)
-        self.start, self.count, self.entries = np.zeros(1024, np.int64), np.zeros(1024, np.int32), 0
+        self.start, self.count, self.entries = np.zeros(1024, np.int32), np.zeros(1024, np.int32), 0
         self.pool, self.used = np.zeros(4096, np.uint32), 0
-        self.marks = {m: self._entry(self._ids([chr(m)])[0]) for m in _MARKS}
+        self.marks = {m: int(self._fresh([chr(m)])[0]) for m in _MARKS}
 
     @classmethod
     def of(cls, path: str) -> Subwords:
@@ -57,57 +57,50 @@ class Subwords:
         encoded = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
         return [np.array(e.ids, np.uint32) for e in encoded]
 
-    def _fresh(self, chunks: list[str]) -> list[np.ndarray]:
-        """Ids of new chunks.  Chunks of letters are one word each: many are read as one text and parted at the word ends."""
-        out: list = [None] * len(chunks)
-        plain = [k for k, c in enumerate(chunks) if not c.isalpha()]
+    def _fresh(self, chunks: list[str]) -> np.ndarray:
+        """Entry numbers of new chunks.  Chunks of letters are one word each: many are read as one text and parted at the word ends."""
+        out = np.zeros(len(chunks), np.int64)
         letters = [k for k, c in enumerate(chunks) if c.isalpha()]
-        groups = [letters[k:k + 64] for k in range(0, len(letters), 64)]
-        texts = [" ".join([chunks[k] for k in g]) for g in groups]
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, np.uint32)
-            ends = np.flatnonzero(self.word_end[ids]) + 1
-            if len(ends) != len(group):
-                plain += group
-                continue
-            at = 0
-            for k, end in zip(group, ends.tolist(), strict=True):
-                out[k] = ids[at:end]
-                at = end
-        for k, ids in zip(plain, self._ids([chunks[k] for k in plain]), strict=True):
-            out[k] = ids
+        plain = [k for k, c in enumerate(chunks) if not c.isalpha()]
+        texts = [" ".join([chunks[k] for k in letters[lo:lo + 64]]) for lo in range(0, len(letters), 64)]
+        ids = np.concatenate([np.zeros(0, np.uint32), *self._ids(texts)])
+        stop = np.flatnonzero(self.word_end[ids]) + 1
+        if len(stop) == len(letters):
+            out[letters] = self._append(ids, np.diff(stop, prepend=0))
+        else:
+            plain += letters
+        lists = self._ids([chunks[k] for k in plain])
+        out[plain] = self._append(np.concatenate([np.zeros(0, np.uint32), *lists]), np.array([len(x) for x in lists], np.int64))
         return out
 
-    def _entry(self, ids: np.ndarray) -> int:
-        return int(self._append([ids])[0])
-
-    def _append(self, lists: list[np.ndarray]) -> np.ndarray:
-        """Entry numbers of new id lists."""
-        n = np.array([len(x) for x in lists], np.int64)
-        total = int(n.sum())
-        while self.used + total > len(self.pool):
+    def _append(self, ids: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Entry numbers of new id lists that stand one after another, ``n`` ids each."""
+        while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        while self.entries + len(lists) > len(self.start):
+        while self.entries + len(n) > len(self.start):
             self.start, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count))
-        if total:
-            self.pool[self.used:self.used + total] = np.concatenate(lists)
-        out = np.arange(self.entries, self.entries + len(lists))
+        self.pool[self.used:self.used + len(ids)] = ids
+        out = np.arange(self.entries, self.entries + len(n))
         self.start[out] = self.used + np.cumsum(n) - n
         self.count[out] = n
-        self.used, self.entries = self.used + total, self.entries + len(lists)
+        self.used, self.entries = self.used + len(ids), self.entries + len(n)
         return out
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         """Entry of every hash, -1 where unknown."""
-        out = np.full(len(h), -1, np.int64)
         slot = (h & np.uint64(self.mask)).astype(np.int64)
-        at = np.arange(len(h))
+        key = self.keys[slot]
+        hit = key == h
+        out = np.where(hit, self.entry[slot], -1).astype(np.int64)
+        at = np.flatnonzero(~hit & (key != 0))
+        slot = slot[at]
         while len(at):
+            slot = (slot + 1) & self.mask
             key = self.keys[slot]
             hit = key == h[at]
             out[at[hit]] = self.entry[slot[hit]]
             on = ~hit & (key != 0)
-            at, slot = at[on], (slot[on] + 1) & self.mask
+            at, slot = at[on], slot[on]
         return out
 
     def _remember(self, h: np.ndarray, entry: np.ndarray) -> None:
@@ -147,14 +140,13 @@ class Subwords:
             kinds, at, back = np.unique(h[new], return_index=True, return_inverse=True)
             raw = data.tobytes()
             some = new[at]
-            lists = self._fresh([raw[s:e].decode() for s, e in zip(starts[some].tolist(), ends[some].tolist(), strict=True)])
-            numbers = self._append(lists)
+            numbers = self._fresh([raw[s:e].decode() for s, e in zip(starts[some].tolist(), ends[some].tolist(), strict=True)])
             entry[new] = numbers[back]
         count = np.where(marked, 1, 0) + self.count[entry]
         stop = np.cumsum(count)
         begin = stop - count
         n = self.count[entry]
-        index = np.repeat(self.start[entry] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        index = np.repeat(self.start[entry].astype(np.int64) - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
         out = np.empty(int(stop[-1]), np.uint32)
         spot = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
         out[spot] = self.pool[index]
