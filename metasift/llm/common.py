@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,13 +29,16 @@ def release() -> None:
 
 
 def tidy(work: Callable) -> Callable:
-    """A batch function that gives memory back after every batch it hands on."""
+    """A batch function that gives memory back about once a second and at its end."""
     @functools.wraps(work)
     def run(batches):
+        last = time.monotonic()
         for out in work(batches):
             yield out
             del out
-            release()
+            if time.monotonic() - last > 1:
+                release()
+                last = time.monotonic()
         release()
 
     return run
