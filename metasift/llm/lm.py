@@ -38,7 +38,7 @@ ROUNDS = 4
 STEP, BATCH = 64, 256
 RATE = 4e-3
 #: Words whose counts are broadcast.
-HEAD = 500_000
+HEAD = 700_000
 #: Columns of the sketch of a subword's neighbours: hashed ids before it and after it.
 SKETCH = 64
 BLOCK = 1024
@@ -118,12 +118,12 @@ def _blocks(counts: np.ndarray, name: str) -> Iterator[dict]:
             yield {"kind": name, "a": k, "n": None, "data": zlib.compress(part.astype("<i8").tobytes(), 1)}
 
 
-COUNTED = "kind string, part long, a long, n long, data binary"
-_COUNTED = pa.schema([("kind", pa.string()), ("part", pa.int64()), ("a", pa.int64()), ("n", pa.int64()), ("data", pa.binary())])
+COUNTED = "kind string, part long, a long, n long, data binary, words array<long>, counts array<long>"
+_COUNTED = pa.schema([("kind", pa.string()), ("part", pa.int64()), ("a", pa.int64()), ("n", pa.int64()), ("data", pa.binary()), ("words", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
 
 
 def _batch(rows: list[dict]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist([{"part": None} | r for r in rows], _COUNTED)
+    return pa.RecordBatch.from_pylist([{"part": None, "words": None, "counts": None} | r for r in rows], _COUNTED)
 
 
 def _counter(path: str, rounds: int):
@@ -140,9 +140,10 @@ def _counter(path: str, rounds: int):
         def words_out() -> Iterator[pa.RecordBatch]:
             h, back = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
             n = np.bincount(back, np.concatenate([c for _, c in held])).astype(np.int64)
-            for lo in range(0, len(h), 100_000):
-                m = len(h[lo:lo + 100_000])
-                yield pa.RecordBatch.from_arrays([pa.array(["word"] * m), pa.nulls(m, pa.int64()), pa.array(h[lo:lo + 100_000].view(np.int64)), pa.array(n[lo:lo + 100_000]), pa.nulls(m, pa.binary())], schema=_COUNTED)
+            cut = np.append(np.arange(0, len(h), 10_000), len(h)).astype(np.int32)
+            m = len(cut) - 1
+            lists = [pa.ListArray.from_arrays(cut, pa.array(x)) for x in (h.view(np.int64), n)]
+            yield pa.RecordBatch.from_arrays([pa.array(["word"] * m), *[pa.nulls(m, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary())], *lists], schema=_COUNTED)
 
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
@@ -282,8 +283,8 @@ def forward(net: Network, w: np.ndarray, tokens: np.ndarray) -> tuple:
     return p, h, x, s, o, z
 
 
-def gradient(net: Network, w: np.ndarray, tokens: np.ndarray, target: np.ndarray, valid: np.ndarray) -> tuple[float, np.ndarray]:
-    """Mean loss (nats a token) and its gradient."""
+def gradient(net: Network, w: np.ndarray, tokens: np.ndarray, target: np.ndarray, valid: np.ndarray, with_loss: bool = True) -> tuple[float, np.ndarray]:
+    """Mean loss (nats a token; 0 if not asked for) and its gradient."""
     p, h, x, s, o, z = forward(net, w, tokens)
     qkv, _, out, _ = net.parts(w)
     m, d = len(tokens), WIDTH
@@ -291,8 +292,7 @@ def gradient(net: Network, w: np.ndarray, tokens: np.ndarray, target: np.ndarray
     at = np.arange(len(p)), target.reshape(-1)
     total = p @ np.ones(CLASSES, p.dtype)
     n = max(int(ok.sum()), 1)
-    own = p[at] / total
-    loss = -float(np.log(np.maximum(own, 1e-30)) @ ok) / n
+    loss = -float(np.log(np.maximum(p[at] / total, 1e-30)) @ ok) / n if with_loss else 0.0
     p *= (ok / (total * n))[:, None]
     p[at] -= ok / n
     do = (p @ out.T).reshape(m, WINDOW, d)
@@ -343,7 +343,7 @@ class Trainer:
         tokens, wanted = before.astype(np.int32)[at], target.astype(np.int32)[at]
         for lo in range(0, len(order), STEP):
             hi = lo + STEP
-            _, g = gradient(self.net, self.w, tokens[lo:hi], wanted[lo:hi], valid[lo:hi])
+            _, g = gradient(self.net, self.w, tokens[lo:hi], wanted[lo:hi], valid[lo:hi], False)
             self.t += 1
             self.m += np.float32(0.1) * (g - self.m)
             g *= g
@@ -437,7 +437,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer:
     train = docs.where(F.crc32(ident.cast("binary")) % 10 != 0).select(text_or_empty(text).alias("text"), F.pmod(F.xxhash64(ident, text_or_empty(text)), F.lit(rounds)).alias("part"))
     rows = saved(train.mapInArrow(_counter(path, rounds), COUNTED), "counts")
     n_docs = rows.where("kind = 'docs'").agg(F.sum("n")).first()[0] or 0
-    vocabulary = saved(rows.where("kind = 'word'").select(F.col("a").alias("h"), "n").groupBy("h").agg(F.sum("n").alias("c")), "words")
+    vocabulary = saved(rows.where("kind = 'word'").select(F.explode(F.arrays_zip("words", "counts")).alias("w")).groupBy(F.col("w.words").alias("h")).agg(F.sum("w.counts").alias("c")), "words")
     total, kinds = vocabulary.agg(F.sum("c"), F.count("*")).first()
     # The least count whose words fit into the head.
     steps = vocabulary.groupBy(F.least("c", F.lit(10_000)).alias("c")).count().orderBy(F.desc("c")).collect()
@@ -483,7 +483,7 @@ class Lookup:
     """Counts of hashes by an open-addressing table."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        slots = 1 << max(4, int(np.ceil(np.log2(2 * len(keys) + 1))))
+        slots = 1 << max(4, int(np.ceil(np.log2(1.33 * len(keys) + 1))))
         self.mask, self.keys, self.values = slots - 1, np.zeros(slots, np.uint64), np.zeros(slots, values.dtype)
         self.zero = int(values[keys == 0].sum())
         keys, values = keys[keys != 0], values[keys != 0]
@@ -532,9 +532,12 @@ def _scorer(shared, name: str, path: str, schema: pa.Schema):
             _TABLES[name] = Lookup(fitted.head, fitted.counts)
         table, next_row = _TABLES[name], TaskContext.get().partitionId() << 40
         for batch in batches:
-            data, offsets = utf8(batch.column("text"))
-            idents = batch.column("id")
+            # Copies of a text within the batch are read once.
+            texts = batch.column("text").dictionary_encode()
+            data, offsets = utf8(texts.dictionary)
+            copy_of = texts.indices.to_numpy(zero_copy_only=False)
             names = batch.column("name").to_pylist()
+            parts = []
             for lo, hi in chunks(offsets):
                 m, off = hi - lo, offsets[lo:hi + 1]
                 raw, off = data[off[0]:off[-1]], off - off[0]
@@ -545,10 +548,15 @@ def _scorer(shared, name: str, path: str, schema: pa.Schema):
                 rest = np.flatnonzero(~known)
                 tail = pa.ListArray.from_arrays(np.searchsorted(rest, first).astype(np.int32), pa.array(h[rest].view(np.int64)))
                 seq, begin = stream(ids, at, end)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(next_row + np.arange(m)), idents.slice(lo, m), pa.array([held_out(x) for x in names[lo:hi]]), pa.array(np.diff(first)),
-                    pa.array(np.bincount(row, known, m).astype(np.int64)), pa.array(np.bincount(row, np.where(known, np.log10(c + SMOOTH), 0.0), m)),
+                parts.append(pa.RecordBatch.from_arrays([
+                    pa.array(np.diff(first)), pa.array(np.bincount(row, known, m).astype(np.int64)), pa.array(np.bincount(row, np.where(known, np.log10(c + SMOOTH), 0.0), m)),
                     tail, pa.array(np.diff(begin)), pa.array(score_texts(fitted.net, seq, begin, end)),
+                ], names=schema.names[3:]))
+            if parts:
+                found = pa.Table.from_batches(parts).take(pa.array(copy_of)).combine_chunks()
+                m = len(copy_of)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(next_row + np.arange(m)), batch.column("id"), pa.array([held_out(x) for x in names]), *[found.column(n).chunk(0) for n in schema.names[3:]],
                 ], schema=schema)
                 next_row += m
 
