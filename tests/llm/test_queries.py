@@ -88,7 +88,8 @@ def test_queries_and_stages_take_clashing_columns(spark, sf, tmp_path):
         df = spark.read.parquet(f"{sf}/{name}.parquet").limit(60)
         df.withColumns({c: F.lit(None).cast("string") for c in clash if c not in df.columns}).write.parquet(f"{tmp_path}/{name}.parquet")
     for key, run in QUERIES.items():
-        assert run(spark, str(tmp_path)).count() >= 60, key
+        least = 50 if key in ("op7_main_text", "op10_warc") else 60  # the rows that the smallest tables have
+        assert run(spark, str(tmp_path)).count() >= least, key
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
