@@ -28,15 +28,18 @@ def release() -> None:
         pass
 
 
-def tidy(work: Callable) -> Callable:
-    """A batch function that gives memory back about once a second and at its end."""
+def tidy(work: Callable | None = None, seconds: float = 0) -> Callable:
+    """A batch function that gives memory back after what it hands on, at most once in so many seconds, and at its end."""
+    if work is None:
+        return functools.partial(tidy, seconds=seconds)
+
     @functools.wraps(work)
     def run(batches):
         last = time.monotonic()
         for out in work(batches):
             yield out
             del out
-            if time.monotonic() - last > 1:
+            if time.monotonic() - last >= seconds:
                 release()
                 last = time.monotonic()
         release()

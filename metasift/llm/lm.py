@@ -129,7 +129,7 @@ def _batch(rows: list[dict]) -> pa.RecordBatch:
 def _counter(path: str, rounds: int):
     """Word counts, neighbour sketches and subword ids of training texts."""
 
-    @tidy
+    @tidy(seconds=1)
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Subwords.of(path)
         end = tokens.size
@@ -354,7 +354,7 @@ class Trainer:
 
 
 def _trainer(shared, end: int):
-    @tidy
+    @tidy(seconds=1)
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
         own = Trainer(net)
@@ -521,7 +521,7 @@ _TABLES: dict[str, Lookup] = {}
 
 
 def _scorer(shared, name: str, path: str, schema: pa.Schema):
-    @tidy
+    @tidy(seconds=1)
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
