@@ -26,7 +26,7 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-SMALL_PART = r"^0*+(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"
+SMALL_PART = r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"
 #: Two words, up to three marks or blanks, and a token with at least one digit or at sign.
 CONTEXT = r"(?:\p{L}++[\s,]{1,2}+)?\p{L}++[\s:=#-]{1,3}+(?:[A-Za-z0-9._%+-]++(?:@|\(at\)|\[at\])[A-Za-z0-9.-]*+[A-Za-z0-9]|\+?+[0-9][0-9().\x20-]{4,24}[0-9](?![0-9]))"
 PARTS = r"^((?:\p{L}++[\s,]{1,2}+)?\p{L}++)([\s:=#-]{1,3}+)(.*)$"
@@ -95,7 +95,7 @@ def _valid_spans(found: Column, kind: str) -> Column:
 def rule_spans(rows: DataFrame, text: str, name: str) -> DataFrame:
     """``rows`` with arrays ``name`` (kind, start, end by kind as listed, then start) and ``name``_tokens (contexts)."""
     t = F.col(text)
-    guards = {"email": t.contains("@"), "ip": t.rlike(r"[0-9]\.[0-9]"), "card": t.rlike("[0-9]{2}"), "phone": t.contains("+"), "tokens": t.rlike(r"[0-9@]|\(at\)|\[at\]")}
+    guards = {"email": t.contains("@"), "ip": t.rlike(r"[0-9]\.[0-9]"), "card": t.rlike(r"[0-9][\x20-]?[0-9]"), "phone": t.contains("+"), "tokens": t.rlike(r"[0-9@]|\(at\)|\[at\]")}
     patterns = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE, "tokens": CONTEXT}
     for key, pattern in patterns.items():
         found, between = _located(t, pattern, guards[key])

@@ -154,6 +154,20 @@ def test_personal_data_rules_match_plain(spark):
         assert [tuple(s) for s in r.pii.base] == want, (r.text or "")[:80]
 
 
+ZEROS = ["from 10.0.0.1 to 127.0.0.1, 192.168.00.1", "0.0.0.0 000.00.0.255 0000.0256.1.1", "0" * 3000 + ".1.2.3"]
+SPACED = [" ".join("4111111111111111"), "so 4-1-1-1 1-1-1-1 1-1-1-1 1-1-1-1 it", "4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 2"]
+
+
+@pytest.mark.parametrize("texts,n", [(ZEROS, 6), (SPACED, 2)])
+def test_zero_parts_and_spaced_digits_match_plain(spark, texts, n):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = pii.find(docs, keep_text=True).collect()
+    for r in rows:
+        want = [(k, m.start(), m.end()) for k, p in RULES.items() for m in re.finditer(p, r.text) if valid(k, m.group())]
+        assert [tuple(s) for s in r.pii.base] == want, r.text[:80]
+    assert sum(len(r.pii.base) for r in rows) == n
+
+
 def test_context_patterns_discover_unseen_identifiers(spark):
     texts = [f"filler words then call me {p}" for p in ("+49 30 1234567", "+49 40 7654321", "+44 20 5551234", "+1 227 555 6608", "+33 1 22334455", "+34 91 4455667")]
     texts += ["please call me 030 9988776 soon", "count to 030 9988771 soon"]
