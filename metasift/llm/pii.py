@@ -27,9 +27,11 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 SMALL_PART = r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"
-#: Two words, up to three marks or blanks, and a token with at least one digit or at sign.
-CONTEXT = r"(?:\p{L}++[\s,]{1,2}+)?\p{L}++[\s:=#-]{1,3}+(?:[A-Za-z0-9._%+-]++(?:@|\(at\)|\[at\])[A-Za-z0-9.-]*+[A-Za-z0-9]|\+?+[0-9][0-9().\x20-]{4,24}[0-9](?![0-9]))"
-PARTS = r"^((?:\p{L}++[\s,]{1,2}+)?\p{L}++)([\s:=#-]{1,3}+)(.*)$"
+#: Two words, up to three marks or blanks, and a token: an address with its sign plain or in brackets, never begun midway, or digits.
+BEFORE = r"(?:\p{L}++[\s,]{1,2}+)?\p{L}++"
+TOKEN = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:@|\(at\)|\[at\])[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+|\+?+[0-9][0-9().\x20-]{4,24}[0-9](?![0-9])"
+CONTEXT = rf"{BEFORE}[\s:=#-]{{1,3}}(?:{TOKEN})"
+PARTS = rf"^({BEFORE})([\s:=#-]{{1,3}})({TOKEN})$"
 ROUNDS = 3
 #: A pattern takes in unseen instances from this confidence, with so many different seeds behind it.
 CONFIDENCE, SUPPORT = 0.8, 3

@@ -178,6 +178,19 @@ def test_context_patterns_discover_unseen_identifiers(spark):
     assert rows[7].pii.spans == []
 
 
+def test_email_seeds_discover_obfuscated_addresses(spark):
+    seeds = ("jane@example.com", "a.b+c@x-y.co.uk", "mary-ann@host.org", "x99@mail.example.com", "Bob_1@example.net", "tom@a.b.c")
+    hidden = ("name(at)host.org", "first.last[at]host.example.com", "mary-lou(at)host.org", "root@localhost")
+    texts = [f"for more please write to {a}, or not" for a in seeds + hidden]
+    texts += ["they look at name(at)other.org today", "write to nobody at host.org"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r.pii for r in pii.find(docs, keep_text=True).collect()}
+    for k, value in enumerate(seeds + hidden):
+        assert [(s.kind, texts[k][s.start:s.end]) for s in rows[k].spans] == [("email", value)], value
+        assert len(rows[k].base) == (k < len(seeds))
+    assert rows[10].spans == rows[11].spans == []
+
+
 def test_redaction_replaces_spans_once(spark):
     docs = spark.createDataFrame([(1, "é a@b.c and +49 30 1234567!"), (2, "none"), (3, None)], "doc_id long, text string")
     found = pii.find(docs, keep_text=True).select("doc_id", pii.redact(F.col("text"), F.col("pii")["spans"]).alias("t"))
