@@ -1,6 +1,8 @@
 """Secret scans: rule spans, and tokens that a battery of randomness tests cannot tell from random.
 
-For each long token the smallest encoding that holds its characters is inferred.  Three tests ask whether the symbols
+A run of token characters is tested piece by piece: ``=`` parts names from values and belongs to a piece only as padding
+at the end of the run; where no encoding holds a piece, its runs in either base64 alphabet are tested, which may overlap.
+For each long piece the smallest encoding that holds its characters is inferred.  Three tests ask whether the symbols
 are random in that alphabet: chi-squared uniformity, runs about the alphabet's middle, and serial correlation.  Fisher's
 method combines them.  Short ordinary words can look random, so every token is paired with a decoy: as many letters of
 the text around it, tested alike.  Per length stratum, and over the whole table, the loosest threshold is taken at which
@@ -34,6 +36,9 @@ MIN_VALUE, MIN_ACCESS, MIN_HEX = 6, 20, 24
 
 MIN_TOKEN = 20
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+PIECE = re.compile(r"[A-Za-z0-9+/_-]+(?:=+$)?")
+#: What is tried of a piece that mixes the signs of both base64 alphabets.
+PARTS = re.compile(r"[A-Za-z0-9+/]+=*"), re.compile(r"[A-Za-z0-9_-]+=*")
 #: Encodings from the smallest alphabet to the largest, symbols in code order.
 ENCODINGS = (
     "0123456789", "0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789abcdefghijklmnopqrstuvwxyz",
@@ -120,18 +125,31 @@ def rule_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+def pieces(token: str) -> list[tuple[int, int, float]]:
+    """(start, end, p-value) of what is tested of a run of token characters."""
+    out = []
+    for m in PIECE.finditer(token):
+        whole = _tested(token, *m.span())
+        out += [whole] if whole else sorted({t for part in PARTS for k in part.finditer(m.group()) if (t := _tested(token, m.start() + k.start(), m.start() + k.end()))})
+    return out
+
+
+def _tested(token: str, start: int, end: int) -> tuple[int, int, float] | None:
+    piece = token[start:end]
+    if len(piece) < MIN_TOKEN or not (any(c.isdigit() for c in piece) and any(c.isalpha() for c in piece)):
+        return None
+    p = token_p(piece)
+    return None if p is None else (start, end, p)
+
+
 def scan(text: str) -> dict:
-    """Rule spans, and the tested tokens with the buckets of their own and of their decoy's p-value."""
+    """Rule spans, and the tested pieces with the buckets of their own and of their decoy's p-value."""
     base, tested = rule_spans(text), []
     for m in TOKEN.finditer(text):
-        token = m.group()
-        if not (any(c.isdigit() for c in token) and any(c.isalpha() for c in token)):
-            continue
-        start, end = m.span()
-        if any(a < end and start < b for _, a, b in base):
-            continue
-        p = token_p(token)
-        if p is not None:
+        for a, b, p in pieces(m.group()):
+            start, end = m.start() + a, m.start() + b
+            if any(a < end and start < b for _, a, b in base):
+                continue
             n = end - start
             tested.append({"start": start, "end": end, "stratum": sum(n >= s for s in STRATA) - 1, "p": _bucket(p), "decoy": _decoy(text, start, end, n)})
     return {"base": [{"kind": k, "start": a, "end": b} for k, a, b in base], "tested": tested}

@@ -114,6 +114,20 @@ def test_battery_tells_random_from_ordinary():
     assert secrets.token_p("aaaaaaaaaaaaaaaaaaaaaaaa") < 1e-6
 
 
+def test_values_behind_names_are_tested():
+    import random
+    rng = random.Random(3)
+    key, code = ("".join(rng.choices(secrets.ENCODINGS[k], k=40)) for k in (6, 7))
+    code = code[:20] + "+/" + code[20:]
+    for text, values in [
+        (f"AWS_SECRET_ACCESS_KEY={key}", [key]), (f"AccountKey={code}==;x", [code + "=="]), (f"?sig={key}&a", [key]), (f"={key}=={key}=", [key, key + "="]),
+        (f"my-account_name-{code} a", [code]), (f"{key}== b", [key + "=="]), (f"password={key}", []), (f"AN_ORDINARY_NAME_1={key}", [key]),
+    ]:
+        got = [text[t["start"]:t["end"]] for t in secrets.scan(text)["tested"]]
+        assert [v for v in got if v in values] == values, text
+        assert len(got) == len(values) or "-" in text, text
+
+
 def test_random_tokens_are_discovered_and_identifiers_are_not(spark):
     import random
     rng = random.Random(2)
