@@ -4,9 +4,11 @@ A run of token characters is tested piece by piece: ``=`` parts names from value
 at the end of the run; where no encoding holds a piece, its runs in either base64 alphabet are tested, which may overlap.
 For each long piece the smallest encoding that holds its characters is inferred.  Three tests ask whether the symbols
 are random in that alphabet: chi-squared uniformity, runs about the alphabet's middle, and serial correlation.  Fisher's
-method combines them.  Short ordinary words can look random, so every token is paired with a decoy: as many letters of
-the text around it, tested alike.  Per length stratum, and over the whole table, the loosest threshold is taken at which
-decoys are at most ``rate`` of the discoveries; where no threshold reaches that, the stratum discovers nothing.
+method combines them.  Short ordinary words can look random, so every token is paired with decoys: as many letters of
+the text around it, tested alike, ``DECOYS`` times where the text has so many letters.  With runs of the ordinary prose in
+``ORDINARY``, which count as ``PROSE_COUNTS`` decoys, they say how often what is not random passes a threshold.  Per length stratum the
+loosest threshold is taken at which that share of all tested tokens is at most ``rate`` of what passes.  There is no
+least number of tokens or of passing ones: one token among few is discovered where ordinary text of its length seldom passes.
 
 Kinds: ``assign``, ``access``, ``hex`` by rule, ``random`` by the battery (never over a rule span).
 Cases: null and empty texts have no spans; repeated rows are scanned each; an empty table gives no rows and no
@@ -15,7 +17,9 @@ thresholds; other columns pass through.
 
 from __future__ import annotations
 
+import functools
 import math
+import random
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -49,12 +53,22 @@ RANKS = [{c: k for k, c in enumerate(e)} for e in ENCODINGS]
 LETTERS = {c: k for k, c in enumerate("abcdefghijklmnopqrstuvwxyz")}
 #: Lower ends of the length strata.
 STRATA = (20, 24, 32, 40, 64)
+#: Decoys of a token at most; of ordinary prose a stratum, and as how many of the table's they count.
+DECOYS, PROSE, PROSE_COUNTS = 32, 4_000, 100
+ORDINARY = (
+    "the morning train was late again so we walked along the river and talked about the house that my brother wants to buy before winter comes "
+    "most people there grow fruit and keep bees but the younger ones have moved to larger towns where work is easier to find "
+    "she opened the letter slowly read every line twice and put it back into the drawer without saying what it was about "
+    "when a program reads a file it should check how long each record is because a broken record can spoil all that follow "
+    "general questions of trade history science and government were discussed by several members while others listened quietly "
+    "they had enough bread cheese and water for three days yet nobody knew which of those paths would lead them down to the village"
+)
 #: log10 p is counted in steps of a tenth down to this many.
 BUCKETS = 80
 
-FOUND = "base array<struct<kind:string,start:long,end:long>>, tested array<struct<start:long,end:long,stratum:int,p:int,decoy:int>>"
+FOUND = "base array<struct<kind:string,start:long,end:long>>, tested array<struct<start:long,end:long,stratum:int,p:int,decoys:array<int>>>"
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
-_TEST = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("stratum", pa.int32()), ("p", pa.int32()), ("decoy", pa.int32())])
+_TEST = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("stratum", pa.int32()), ("p", pa.int32()), ("decoys", pa.list_(pa.int32()))])
 _TYPE = pa.struct([("base", pa.list_(_SPAN)), ("tested", pa.list_(_TEST))])
 
 
@@ -106,11 +120,24 @@ def _bucket(p: float) -> int:
     return min(BUCKETS - 1, int(-10 * math.log10(max(p, 1e-300))))
 
 
-def _decoy(text: str, start: int, end: int, n: int) -> int:
-    """The bucket of ``n`` letters around the token; one of the last bucket where there are too few."""
-    near = text[max(0, start - 12 * n):start] + text[end:end + 4 * n]
+def _decoys(text: str, start: int, end: int, n: int) -> list[int]:
+    """The buckets of up to ``DECOYS`` runs of ``n`` letters around the token; none where there are too few letters."""
+    near = text[max(0, start - DECOYS * n):start] + text[end:end + DECOYS * n]
     letters = [LETTERS[c] for c in near.lower() if c in LETTERS]
-    return _bucket(battery(letters[:n], 26)) if len(letters) >= n else BUCKETS - 1
+    return [_bucket(battery(letters[k * n:k * n + n], 26)) for k in range(min(DECOYS, len(letters) // n))]
+
+
+@functools.cache
+def _prose(n: int) -> list[int]:
+    """The buckets of ``PROSE`` runs of ``n`` letters of ordinary words in mixed order, counted by bucket."""
+    rng, words, letters = random.Random(n), ORDINARY.split(), []
+    while len(letters) < PROSE * n:
+        rng.shuffle(words)
+        letters += [LETTERS[c] for w in words for c in w]
+    out = [0] * BUCKETS
+    for k in range(PROSE):
+        out[_bucket(battery(letters[k * n:k * n + n], 26))] += 1
+    return out
 
 
 def rule_spans(text: str) -> list[tuple[str, int, int]]:
@@ -143,7 +170,7 @@ def _tested(token: str, start: int, end: int) -> tuple[int, int, float] | None:
 
 
 def scan(text: str) -> dict:
-    """Rule spans, and the tested pieces with the buckets of their own and of their decoy's p-value."""
+    """Rule spans, and the tested pieces with the buckets of their own and of their decoys' p-values."""
     base, tested = rule_spans(text), []
     for m in TOKEN.finditer(text):
         for a, b, p in pieces(m.group()):
@@ -151,7 +178,7 @@ def scan(text: str) -> dict:
             if any(a < end and start < b for _, a, b in base):
                 continue
             n = end - start
-            tested.append({"start": start, "end": end, "stratum": sum(n >= s for s in STRATA) - 1, "p": _bucket(p), "decoy": _decoy(text, start, end, n)})
+            tested.append({"start": start, "end": end, "stratum": sum(n >= s for s in STRATA) - 1, "p": _bucket(p), "decoys": _decoys(text, start, end, n)})
     return {"base": [{"kind": k, "start": a, "end": b} for k, a, b in base], "tested": tested}
 
 
@@ -162,17 +189,24 @@ def _scan_all(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 
 def thresholds(found: DataFrame, name: str, rate: float) -> dict[int, int]:
-    """Per stratum the loosest bucket at which decoys are at most ``rate`` of what passes; from counts over all rows."""
-    tests = found.select(F.explode(F.col(name)["tested"]).alias("t")).select("t.stratum", "t.p", "t.decoy")
-    sides = tests.select("stratum", F.explode(F.array(F.struct(F.lit(1).alias("own"), F.col("p").alias("b")), F.struct(F.lit(0).alias("own"), F.col("decoy").alias("b")))).alias("x"))
+    """Per stratum the loosest bucket at which tokens that pass like decoys are at most ``rate`` of what passes; from counts over all rows."""
+    tests = found.select(F.explode(F.col(name)["tested"]).alias("t")).select("t.stratum", "t.p", "t.decoys")
+    decoys = F.transform("decoys", lambda b: F.struct(F.lit(0).alias("own"), b.alias("b")))
+    sides = tests.select("stratum", F.explode(F.concat(F.array(F.struct(F.lit(1).alias("own"), F.col("p").alias("b"))), decoys)).alias("x"))
     counts = sides.groupBy("stratum", "x.own", "x.b").count().collect()  # at most strata x 2 x buckets rows
+    have = {(r["stratum"], r["own"], r["b"]): r["count"] for r in counts}
     out = {}
-    for s in range(len(STRATA)):
-        passed = {0: 0, 1: 0}
+    for s, least in enumerate(STRATA):
+        tokens, near = (sum(have.get((s, own, b), 0) for b in range(BUCKETS)) for own in (1, 0))
+        if not tokens:
+            continue
+        passed = like = prose = 0
         for b in range(BUCKETS - 1):
-            for own in (0, 1):
-                passed[own] += sum(r["count"] for r in counts if (r["stratum"], r["own"], r["b"]) == (s, own, b))
-            if passed[1] and (1 + passed[0]) / passed[1] <= rate:
+            passed += have.get((s, 1, b), 0)
+            like += have.get((s, 0, b), 0)
+            prose += _prose(least)[b]
+            share = (like + PROSE_COUNTS * (1 + prose) / (1 + PROSE)) / (near + PROSE_COUNTS)
+            if passed and tokens * share <= rate * passed:
                 out[s] = b
     return out
 

@@ -143,6 +143,34 @@ def test_random_tokens_are_discovered_and_identifiers_are_not(spark):
     assert not any("random" in got[k] for k in range(60, 120))
 
 
+def plain_words(rng, n):
+    return " ".join(rng.choices("the of and to in that it was for on are as with his they at from have one had not but what all were when we there can your which their said will each about how".split(), k=n))
+
+
+def random_spans(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id: [texts[r.doc_id][s.start:s.end] for s in r.secrets.spans if s.kind == "random"] for r in secrets.find(docs).collect()}
+
+
+def test_few_tokens_of_a_length_are_discovered(spark):
+    import random
+    rng = random.Random(6)
+    draw = lambda n: next(k for k in iter(lambda: "".join(rng.choices(secrets.ENCODINGS[6], k=n)), "") if secrets.token_p(k) > 0.8)
+    keys = [draw(n) for n in (70, 44, 44, 36)]
+    texts = [f"{plain_words(rng, 90)} KEY={k} {plain_words(rng, 90)}" for k in keys] + [f"{plain_words(rng, 9)} section_section_section_section_section_11111111"]
+    got = random_spans(spark, texts)
+    assert [got[k] for k in range(4)] == [[k] for k in keys] and not got[4]
+    assert random_spans(spark, texts[:1]) == {0: [keys[0]]}
+
+
+def test_identifiers_without_letters_around_do_not_open_the_threshold(spark):
+    import random
+    rng = random.Random(7)
+    names = ["_".join(plain_words(rng, 9).split()) + f"_{k}" for k in range(200)]
+    got = random_spans(spark, ["\n".join(names[:100]), *names[100:]])
+    assert sum(map(len, got.values())) <= 5
+
+
 PII = [
     "mail a.b+c@x-y.co.uk, _d@e.f_g@h.i or @no a@b", "1.2.3.4.5.6.7.8 256.1.1.1 1234.1.1.1.1 001.02.3.255", "4111 1111 1111 1111 4111-1111-1111-1112 4  111", "+1 (227) 555-6608 +12 +1234567890123456 ++49 30 1234567",
     "é 4111111111111111 ü a@b.c", "", "9 " * 3000 + "a@b" + ".c" * 3000, "1." * 4000,
