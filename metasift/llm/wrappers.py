@@ -383,8 +383,11 @@ def _merged(part: pd.DataFrame) -> pd.DataFrame:
 
 
 def induce(pages: DataFrame, host: str, html: str, fan: int = 16) -> DataFrame:
-    """(host, wrapper) as JSON, from all pages that have a host.  Partial wrappers merge in ``fan`` groups a host, then once more."""
+    """(host, wrapper) as JSON, from the distinct pages of every host: copies are no evidence of a template.
+
+    Partial wrappers merge in ``fan`` groups a host, then once more."""
     rows = pages.where(F.col(host) != "").select(F.col(host).alias("host"), text_or_empty(html).alias("html")).where("html <> ''")
+    rows = rows.groupBy("host", F.sha2("html", 256).alias("page")).agg(F.first("html").alias("html")).select("host", "html")
     parts = rows.mapInArrow(_partial, "host string, wrapper string").withColumn("part", F.pmod(F.xxhash64("wrapper"), F.lit(fan)))
     halves = parts.groupBy("host", "part").applyInPandas(_merged, "host string, wrapper string")
     return halves.groupBy("host").applyInPandas(_merged, "host string, wrapper string")

@@ -213,6 +213,19 @@ def test_constant_blocks_are_template_without_declared_regions(spark):
     assert {r.page_id: r.main_text for r in rows} == {k: f"{k} story of day {k}" for k in range(12)}
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    story = "<html><body><div><blockquote>said once</blockquote><p>by one page</p></div></body></html>"
+    other = "<html><body><div><p>another day</p></div></body></html>"
+    lede = lambda k, t: f"<html><body><article><div class=lede>{t}</div><p>story {k}</p></article></body></html>"
+    pages = [(k, f"http://a.example/{k}", story) for k in range(2)] + [(2, "http://a.example/2", other)]
+    pages += [(10 + k, f"http://b.example/{k}", lede(0, "first words")) for k in range(9)] + [(20 + k, f"http://b.example/x{k}", lede(k, f"words {k}")) for k in range(1, 4)]
+    rows = wrappers.main_text(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)).collect()
+    got = {r.page_id: r.main_text for r in rows}
+    assert [got[k] for k in range(3)] == ["said once by one page"] * 2 + ["another day"]
+    assert [got[10 + k] for k in range(9)] == ["first words story 0"] * 9
+    assert [got[20 + k] for k in range(1, 4)] == [f"words {k} story {k}" for k in range(1, 4)]
+
+
 def test_tree_matching_counts_shared_nodes():
     a, _ = wrappers.parse("<div><p>x</p><ul><li>1</li></ul><table><tr><td>c</td></tr></table></div>")
     b, _ = wrappers.parse("<div><p>x</p><table><tr><td>c</td></tr></table></div>")
