@@ -28,6 +28,8 @@ from metasift.llm.common import LOWER, chunks, mix, saved, text_or_empty, tidy,
 
 BITS = 18
 LABELLED, LEXICON, TRAINED = 40_000, 5_000, 6_000
+#: Steps of the draw by hash.
+DRAWS = 10**12
 #: Bytes that make a word's beginning.
 STEM = 5
 SCORED = "n_words long, quality double, toxicity double, keep boolean"
@@ -281,12 +283,15 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", trained: int = TRAINED) -> tuple[Model, LabelModel, LabelModel]:
-    """Lexicon, label models from the votes of all texts, and scorers trained on about ``trained`` of them."""
+    """Lexicon, label models from the votes of all texts, and scorers trained on about ``trained`` distinct ones."""
     lexicon = lexicon_of(docs, labels, text=text)
     vote = F.arrow_udf(_voter(lexicon), "long").asNondeterministic()
     width = len(QUALITY), len(TOXIC)
-    counts = docs.select(vote(text_or_empty(text)).alias("p")).groupBy("p").count().collect()  # at most 3 ** labellers rows, few in fact
-    p, n = np.array([r["p"] for r in counts], np.int64), np.array([r["count"] for r in counts], np.float64)
+    # Each distinct text once, with its copies: they weigh in the label models, and the scorers are trained on distinct texts.
+    votes_of = docs.select(F.xxhash64(text_or_empty(text)).alias("h"), vote(text_or_empty(text)).alias("p"))
+    texts = saved(votes_of.groupBy("h").agg(F.first("p").alias("p"), F.count("*").alias("copies")), "texts")
+    counts = texts.groupBy("p").agg(F.sum("copies").alias("rows"), F.count("*").alias("texts")).collect()  # at most 3 ** labellers rows, few in fact
+    p, n, distinct = np.array([r["p"] for r in counts], np.int64), np.array([r["rows"] for r in counts], np.float64), np.array([r["texts"] for r in counts], np.float64)
     v = unpatterns(p, sum(width))
     vq, vt = v[:, :width[0]], v[:, width[0]:]
     judge, warn = fit_labels(vq, n, width[0]), fit_labels(vt, n, width[1])
@@ -295,15 +300,22 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", trained: int = T
     pq, pt = judge.posterior(vq), warn.posterior(vt)
     # Half of the training texts from patterns held good, half from the others.
     clean = (pq < 0.5) & (pt < 0.5)
-    rate = {int(k): trained / 2 / max(n[clean == c].sum(), 1) for k, c in zip(p, clean, strict=True)}
-    drawn = docs.select(text_or_empty(text).alias("t"), (F.pmod(F.xxhash64(text_or_empty(text)), F.lit(1_000_000)) / 1e6).alias("x"))
-    drawn = drawn.where(F.col("x") < max(rate.values()))
+    rate = [(int(k), float(trained / 2 / max(distinct[clean == c].sum(), 1))) for k, c in zip(p, clean, strict=True)]
+    rates = F.broadcast(docs.sparkSession.createDataFrame(rate, "p long, rate double"))
+    drawn = saved(texts.join(rates, "p").where(F.pmod("h", F.lit(DRAWS)) / DRAWS < F.col("rate")).select("h"), "drawn")  # about ``trained`` hashes
+    drawn = docs.select(text_or_empty(text).alias("t")).withColumn("h", F.xxhash64("t")).join(F.broadcast(drawn), "h").select("h", "t")
 
     @tidy
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pattern and features of every text; of its copies in a task only the first is read."""
+        seen: set[int] = set()
         for batch in batches:
+            first = [k for k, h in enumerate(batch.column("h").to_pylist()) if not (h in seen or seen.add(h))]
+            if not first:
+                continue
+            batch = batch.take(pa.array(first))
             data, offsets = utf8(batch.column("t"))
-            x = np.array(batch.column("x").to_pylist())
+            ident = batch.column("h").to_pylist()
             for lo, hi in chunks(offsets):
                 off = offsets[lo:hi + 1]
                 s = statistics(data[off[0]:off[-1]], off - off[0])
@@ -313,11 +325,12 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", trained: int = T
                 order = np.argsort(row, kind="stable")
                 cut = np.searchsorted(row[order], np.arange(hi - lo + 1))
                 yield pa.RecordBatch.from_pylist([
-                    {"p": int(ps[k]), "index": index[order][cut[k]:cut[k + 1]].astype("<i4").tobytes(), "value": value[order][cut[k]:cut[k + 1]].astype("<f4").tobytes()}
-                    for k in range(hi - lo) if x[lo + k] < rate.get(int(ps[k]), 0)
-                ], pa.schema([("p", pa.int64()), ("index", pa.binary()), ("value", pa.binary())]))
+                    {"h": ident[lo + k], "p": int(ps[k]), "index": index[order][cut[k]:cut[k + 1]].astype("<i4").tobytes(), "value": value[order][cut[k]:cut[k + 1]].astype("<f4").tobytes()}
+                    for k in range(hi - lo)
+                ], pa.schema([("h", pa.int64()), ("p", pa.int64()), ("index", pa.binary()), ("value", pa.binary())]))
 
-    got = drawn.mapInArrow(expand, "p long, index binary, value binary").collect()  # about ``trained`` texts
+    once = drawn.mapInArrow(expand, "h long, p long, index binary, value binary").groupBy("h").agg(*[F.first(c).alias(c) for c in ("p", "index", "value")])
+    got = sorted(once.collect(), key=lambda r: r["h"])  # about ``trained`` texts, whatever their copies
     rows = [(np.frombuffer(r["index"], "<i4"), np.frombuffer(r["value"], "<f4").astype(np.float64)) for r in got]
     place = {int(k): j for j, k in enumerate(p)}
     at = np.array([place[r["p"]] for r in got], np.int64)

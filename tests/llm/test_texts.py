@@ -267,6 +267,18 @@ def test_quality_of_odd_rows(spark):
     assert quality.score(empty, model).count() == 0
 
 
+def test_training_texts_are_drawn_from_distinct_texts(spark, monkeypatch):
+    good = [f"Number {k} tells a perfectly ordinary story about the town, and the people in it read it with some care." for k in range(300)]
+    poor = [f"### {k} @@ %%% $$$ ### {k}{k} &&& ***" for k in range(40)]
+    texts = [(t,) for t in good + [good[0]] * 3_000] + [(t,) for t in poor for _ in range(60)]
+    docs = spark.createDataFrame(texts, "text string").selectExpr("monotonically_increasing_id() doc_id", "text").repartition(4)
+    sizes = []
+    monkeypatch.setattr(quality, "fit_scorer", lambda rows, target: sizes.append((len(rows), int((target > 0.5).sum()))))
+    quality.fit(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"), trained=80)
+    n, bad = sizes[0]
+    assert 20 <= bad <= 40 and 20 <= n - bad <= 70
+
+
 def test_label_model_finds_the_better_labeller():
     import numpy as np
     rng = np.random.default_rng(4)
