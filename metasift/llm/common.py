@@ -158,10 +158,10 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 _DIGITS = LOWER.astype(np.uint64) + np.uint64(1)
 
 
-def hash_prefix(data: np.ndarray) -> np.ndarray:
-    """Sums from which the hash of any run of ``data`` follows, A-Z read as lower case."""
+def hash_prefix(data: np.ndarray, digits: np.ndarray = _DIGITS) -> np.ndarray:
+    """Sums from which the hash of any run of ``data`` follows, A-Z read as lower case unless ``digits`` tells them apart."""
     prefix = np.zeros(len(data) + 1, np.uint64)
-    digits = _DIGITS[data]
+    digits = digits[data]
     digits *= _powers(len(data) + 1)[0][:len(data)]
     np.cumsum(digits, out=prefix[1:])
     return prefix

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metasift.llm import bagminhash, contamination, embeddings, lm, packing, pii, quality, secrets, warc, wrappers
-from metasift.llm.common import hex_sha256, joined_spans, table
+from metasift.llm import alignment, bagminhash, contamination, embeddings, hosts, lm, middle, packing, pii, quality, secrets, warc, wrappers
+from metasift.llm.common import hex_sha256, joined_spans, saved, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -150,3 +150,76 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_lm_score")
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
+
+
+@query("op11_fill_in_middle", """
+with h as (
+  select doc_id, coalesce(text, '') t, cast(length(coalesce(text, '')) as bigint) n,
+    [cast('0x' || sha256('1:' || doc_id)[8 * k - 7 : 8 * k] as bigint) for k in [1, 2, 3, 4]] h
+  from documents
+),
+c as (
+  select doc_id, t, n, least(h[1] % (n + 1), h[2] % (n + 1)) p, greatest(h[1] % (n + 1), h[2] % (n + 1)) q,
+    case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h[3] % 100 >= 90 then 'plain'
+      when h[4] % 100 < 20 then 'spm' else 'psm' end form
+  from h
+),
+f as (select *, substring(t, 1, p) a, substring(t, p + 1, q - p) b, substring(t, q + 1) z from c)
+select doc_id, n, form, case when form <> 'plain' then p end prefix_chars, case when form <> 'plain' then q - p end middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || a || '<S>' || z || '<M>' || b else '<S>' || z || '<P>' || a || '<M>' || b end) output_sha256,
+  sha256(t) restored_sha256
+from f
+""")
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = middle.rearrange(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    m = F.col("middle")
+    return found.select(
+        "doc_id", m["n"].alias("n"), m["form"].alias("form"), m["prefix_chars"].alias("prefix_chars"), m["middle_chars"].alias("middle_chars"),
+        hex_sha256(m["output"]).alias("output_sha256"), hex_sha256(middle.restore(m["output"], m["form"])).alias("restored_sha256"),
+    )
+
+
+@query("op12_cross_tokenizer")
+def op12_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.align(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    a, r = F.col("aligned"), F.col("rated")
+    digest = F.when(a["groups"] == "", "").otherwise(hex_sha256(a["groups"]))
+    found = saved(found.select("doc_id", F.struct(a["n_a"].alias("n_a"), a["n_b"].alias("n_b"), a["pairs"].alias("pairs"), a["times"].alias("times"), digest.alias("sha256")).alias("aligned")), "aligned")
+    links = F.aggregate(a["times"], F.lit(0).cast("long"), lambda n, x: n + x)
+    return alignment.rated(found, alignment.pair_counts(found)).select(
+        F.col("doc_id").cast("long").alias("doc_id"), a["n_a"].alias("n_a"), a["n_b"].alias("n_b"), links.alias("n_groups"), links.alias("n_links"),
+        r["n_best"].alias("n_best"), r["count_sum"].alias("count_sum"), a["sha256"].alias("groups_sha256"),
+    )
+
+
+@query("op13_host_rules", r"""
+with w as (
+  select doc_id, source, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) l
+  from documents
+),
+g as (select doc_id, k, w[k : k + 2] g from (select doc_id, w, unnest(generate_series(1, len(w) - 2)) k from w)),
+r as (select doc_id, k from (select doc_id, k, count(*) over (partition by doc_id, g) n from g) where n > 1),
+p as (select doc_id, count(distinct q) n from (select doc_id, unnest([k, k + 1, k + 2]) q from r) group by 1),
+f as (
+  select w.doc_id, source, cast(len(w) as bigint) n_words, cast(length(array_to_string(w, '')) as bigint) word_chars,
+    cast(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as bigint) n_symbols, cast(len(l) as bigint) n_lines,
+    cast(len(l) - len(list_distinct(l)) as bigint) n_dup_lines, coalesce(p.n, 0) n_repeat_words
+  from w left join p using (doc_id)
+),
+j as (
+  select *, [cast(n_words < 50 as int), cast(100 * n_repeat_words > 50 * n_words as int), cast(10 * n_symbols > n_words as int), cast(2 * n_dup_lines > n_lines as int)] x from f
+),
+s as (select source, r, count(*)::double n, sum(x[r])::double k from j, (values (1), (2), (3), (4)) v(r) where source is not null group by 1, 2),
+a as (select r, count(*)::double h, sum(n) n, sum(n * n) n2, sum(k) / sum(n) m, sum(k * k / n) s from s group by r),
+q as (select r, m, m * (1 - m) v, m * (1 - m) * (n - n2 / n - h + 1) room, s - n * m * m - m * (1 - m) * (h - 1) more from a),
+b as (select r, m, case when room > 0 then least(1, greatest(0, more / room)) else 0 end rho from q),
+e as (select source, max((rho * k + (1 - rho) * m) / (rho * n + 1 - rho)) > 0.5 bad from s join b using (r) group by 1)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, x[1] + x[2] > 0 base_failed,
+  list_sum(x) = 0 and not coalesce(bad, false) kept
+from j left join e using (source)
+""")
+def op13_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = hosts.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    r = F.col("rules")
+    return found.select("doc_id", *[r[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
