@@ -8,15 +8,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from metasift.functions import rules
 from metasift.functions import text as tx
 from metasift.operators.jsonwalk import as_variant, first_key_value, holding, is_missing, walk
 from metasift.operators.ordering import fragments, positions
+from metasift.operators.topology import queue_order
 from metasift.session import cut_lineage
 
 P = "pipeline_id"
@@ -107,53 +106,12 @@ def dependency_edges(acts: DataFrame) -> DataFrame:
         P, "from_idx", F.col("dep").alias("from_name"), "to_idx", "to_name", "dep_pos")
 
 
-PLACES = T.ArrayType(T.StructType([
-    T.StructField("idx", T.IntegerType()), T.StructField("pos", T.IntegerType()),
-    T.StructField("level", T.IntegerType()), T.StructField("cyclic", T.BooleanType())]))
-
-
-@F.pandas_udf(PLACES)
-def kahn_order(groups: pd.Series) -> pd.Series:
-    """First-in-first-out topological order of one list of (idx, name, deps) per row.
-
-    Ready activities start in name order; a cycle leaves the input order.
-    """
-    def order(items):
-        holder: dict = {}
-        for it in items:
-            holder.setdefault(it["name"], it["idx"])
-        after: dict = {it["idx"]: [] for it in items}
-        waits = {it["idx"]: 0 for it in items}
-        for it in items:
-            for dep in it["deps"]:
-                src = holder.get(dep)
-                if src is not None:
-                    after[src].append(it["idx"])
-                    waits[it["idx"]] += 1
-        names = {it["idx"]: it["name"] for it in items}
-        queue = sorted((i for i, n in waits.items() if n == 0), key=lambda i: (names[i], i))
-        level = dict.fromkeys(queue, 0)
-        for i in queue:
-            for nxt in after[i]:
-                waits[nxt] -= 1
-                if waits[nxt] == 0:
-                    level[nxt] = level[i] + 1
-                    queue.append(nxt)
-        cyclic = len(queue) < len(items)
-        seq = [it["idx"] for it in items] if cyclic else queue
-        return [{"idx": i, "pos": k, "level": level.get(i), "cyclic": cyclic} for k, i in enumerate(seq, 1)]
-
-    return groups.map(order)
-
-
 def order_activities(acts: DataFrame) -> DataFrame:
-    """Add ``pos`` (1-based execution order), ``level`` and ``cyclic`` to activity rows.
+    """Add ``pos`` (1-based execution order), ``level`` and ``cyclic`` to activity rows.
 
-    A pipeline's activities come from one definition document, so they fit into one row again;
-    the order of each is linear in its activities and dependencies, at any depth.
+    Ready activities start in name order and queue first in, first out; a cycle leaves the input order.
     """
-    lists = acts.groupBy(P).agg(F.array_sort(F.collect_list(F.struct(F.col("idx").cast("int").alias("idx"), "name", "deps"))).alias("g"))
-    out = lists.select(P, F.explode(kahn_order("g")).alias("o")).select(P, "o.idx", "o.pos", "o.level", "o.cyclic")
+    out = queue_order(acts, dependency_edges(acts), P)
     return acts.withColumn("idx", F.col("idx").cast("int")).join(out, [P, "idx"])
 
 
