@@ -121,7 +121,7 @@ class Pieces:
         return [np.array(ids, np.uint32) for ids in self.model.encode(texts, num_threads=1)]
 
 
-def align_window(a: list[int], b: list[int], size_a: np.ndarray, size_b: np.ndarray) -> tuple[str, list[tuple[int, int]]]:
+def align_window(a: list[int], b: list[int], size_a: list[int], size_b: list[int]) -> tuple[str, list[tuple[int, int]]]:
     """Groups of a window as text, and the ids that end each group."""
     groups, links, i, j = [], [], 0, 0
     while i < len(a):
@@ -143,7 +143,9 @@ class Aligner:
 
     def __init__(self, first: str, second: str, remembered: int = REMEMBERED):
         self.a, self.b = ByteLevel(first), Pieces(second)
-        self.memo: dict[tuple[tuple[int, ...], tuple[int, ...]], tuple[str, np.ndarray]] = {}
+        self.a.lengths, self.b.lengths = (x.vocabulary.length.tolist() for x in (self.a, self.b))
+        #: By the ids of both sides, four bytes each.
+        self.memo: dict[tuple[bytes, bytes], tuple[str, np.ndarray]] = {}
         self.remembered = remembered
 
     @classmethod
@@ -153,13 +155,14 @@ class Aligner:
             cls._copies[first, second] = cls(first, second)
         return cls._copies[first, second]
 
-    def window(self, a: tuple[int, ...], b: tuple[int, ...]) -> tuple[str, np.ndarray]:
-        got = self.memo.get((a, b))
+    def window(self, ids: tuple[bytes, bytes]) -> tuple[str, np.ndarray]:
+        got = self.memo.get(ids)
         if got is None:
-            text, links = align_window(list(a), list(b), self.a.vocabulary.length, self.b.vocabulary.length)
+            a, b = (np.frombuffer(x, "<u4").tolist() for x in ids)
+            text, links = align_window(a, b, self.a.lengths, self.b.lengths)
             got = text, np.array([x * SECOND + y for x, y in links], np.int64)
             if len(self.memo) < self.remembered:
-                self.memo[a, b] = got
+                self.memo[ids] = got
         return got
 
     def align(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray]:
@@ -180,7 +183,7 @@ class Aligner:
         groups, links, first = [""] * n, np.zeros(0, np.int64), np.zeros(n + 1, np.int64)
         if not kept:
             return sizes[0], sizes[1], groups, links, first
-        sides, starts = [np.concatenate(x).astype(np.int64) for x in ids], []
+        sides, starts = [np.concatenate(x) for x in ids], []
         for side, v in zip(sides, (self.a.vocabulary, self.b.vocabulary), strict=True):
             long = v.length[side]
             starts.append(np.cumsum(long) - long)
@@ -191,14 +194,16 @@ class Aligner:
             spot[starts[k][v.blank[side]]] |= 1 << k
         spot[heads] = 3
         anchors = np.flatnonzero(spot == 3)
-        cuts = [np.append(np.searchsorted(s, anchors), len(s)) for s in starts]
-        key = np.zeros(len(anchors), np.uint64)
-        for side, cut in zip(sides, cuts, strict=True):
-            key = mix(key) + _run_keys(side, cut)
+        cuts, key = [], np.zeros(len(anchors), np.uint64)
+        for side, start in zip(sides, starts, strict=True):
+            number = np.zeros(total, np.int32)  # of the token that starts at a byte
+            number[start] = np.arange(len(start), dtype=np.int32)
+            cuts.append(np.append(number[anchors], len(start)))
+            key = mix(key) + _run_keys(side, cuts[-1])
         _, some, which = np.unique(key, return_index=True, return_inverse=True)
-        bounds = [(c[some].tolist(), c[some + 1].tolist()) for c in cuts]
-        (a, b), (a_from, a_to), (b_from, b_to) = sides, *bounds
-        found = [self.window(tuple(a[p:q].tolist()), tuple(b[r:s].tolist())) for p, q, r, s in zip(a_from, a_to, b_from, b_to, strict=True)]
+        raw = [side.astype("<u4").tobytes() for side in sides]
+        bounds = [((4 * c[some]).tolist(), (4 * c[some + 1]).tolist()) for c in (x.astype(np.int64) for x in cuts)]
+        found = [self.window((raw[0][p:q], raw[1][r:s])) for p, q, r, s in zip(*bounds[0], *bounds[1], strict=True)]
         words = np.empty(len(found), object)
         words[:] = [t for t, _ in found]
         count = np.array([len(p) for _, p in found], np.int64)
@@ -216,9 +221,8 @@ class Aligner:
 
 def _run_keys(ids: np.ndarray, cut: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the ids between neighbouring cuts."""
-    spread = mix(ids.astype(np.uint64) + np.uint64(1))
-    at = np.arange(len(ids)) - np.repeat(cut[:-1], np.diff(cut))
-    total = np.append(np.uint64(0), np.cumsum(mix(spread + at.astype(np.uint64)), dtype=np.uint64))
+    at = np.arange(len(ids), dtype=np.uint64) - np.repeat(cut[:-1].astype(np.uint64), np.diff(cut))
+    total = np.append(np.uint64(0), np.cumsum(mix(ids.astype(np.uint64) + (at << np.uint64(32)) + np.uint64(1)), dtype=np.uint64))
     return mix(total[cut[1:]] - total[cut[:-1]] + np.diff(cut).astype(np.uint64))
 
 

@@ -20,7 +20,6 @@ import math
 import uuid
 import zlib
 from collections.abc import Iterator
-from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metasift.llm.common import chunks, hash_prefix, saved, text_or_empty, tidy, utf8, word_hashes, words
+from metasift.llm.common import chunks, hash_prefix, saved, small_batches, text_or_empty, tidy, utf8, word_hashes, words
 from metasift.llm.subwords import Subwords, default_tokenizer
 
 WINDOW, STRIDE, WIDTH, CLASSES = 32, 24, 16, 64
@@ -183,10 +182,17 @@ def _summed(part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": part["a"].iloc[:1], "data": [zlib.compress(np.asarray(total, "<i8").tobytes(), 1)]})
 
 
+#: Parts that the tasks' blocks of one range are first summed in.
+PARTS = 64
+
+
 def gathered(rows: DataFrame, kind: str, shape: tuple[int, int]) -> np.ndarray:
     """The sum of all tasks' count blocks; its size is that of the vocabulary, whatever the input."""
     out = np.zeros(shape, np.int64)
-    for r in rows.where(F.col("kind") == kind).select("a", "data").groupBy("a").applyInPandas(_summed, "a long, data binary").collect():
+    blocks = rows.where(F.col("kind") == kind).select("a", "data")
+    # In two steps, so that no task holds the blocks of all tasks.
+    some = blocks.groupBy("a", F.pmod(F.xxhash64("data"), F.lit(PARTS)).alias("part")).applyInPandas(_summed, "a long, data binary")
+    for r in some.groupBy("a").applyInPandas(_summed, "a long, data binary").collect():
         block = np.frombuffer(zlib.decompress(r["data"]), "<i8").reshape(-1, shape[1])
         out[r["a"]:r["a"] + len(block)] = block
     return out
@@ -464,18 +470,6 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer:
     return fitted, vocabulary.where(F.col("c") < least)
 
 
-@contextmanager
-def small_batches(spark: SparkSession, rows: int = 2_000):
-    """Arrow batches of at most so many rows while the block runs; texts are long."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 SCORED = "row long, {id}, held_out boolean, n_words long, head_known long, head_sum double, tail array<long>, n_subwords long, score double"
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metasift.llm import alignment, bagminhash, contamination, embeddings, hosts, lm, middle, packing, pii, quality, secrets, warc, wrappers
-from metasift.llm.common import hex_sha256, joined_spans, saved, table
+from metasift.llm.common import hex_sha256, joined_spans, saved, small_batches, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -184,7 +184,8 @@ def op12_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = alignment.align(table(spark, sf_dir, "documents").select("doc_id", "text"))
     a, r = F.col("aligned"), F.col("rated")
     digest = F.when(a["groups"] == "", "").otherwise(hex_sha256(a["groups"]))
-    found = saved(found.select("doc_id", F.struct(a["n_a"].alias("n_a"), a["n_b"].alias("n_b"), a["pairs"].alias("pairs"), a["times"].alias("times"), digest.alias("sha256")).alias("aligned")), "aligned")
+    with small_batches(spark, 1_000):
+        found = saved(found.select("doc_id", F.struct(a["n_a"].alias("n_a"), a["n_b"].alias("n_b"), a["pairs"].alias("pairs"), a["times"].alias("times"), digest.alias("sha256")).alias("aligned")), "aligned")
     links = F.aggregate(a["times"], F.lit(0).cast("long"), lambda n, x: n + x)
     return alignment.rated(found, alignment.pair_counts(found)).select(
         F.col("doc_id").cast("long").alias("doc_id"), a["n_a"].alias("n_a"), a["n_b"].alias("n_b"), links.alias("n_groups"), links.alias("n_links"),
