@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame; it is written as Parquet and read again as the next one's
 documents.  All but the last return the columns of documents.  The other tables come from ``sf_dir``.
+
+Stages that read texts in Python set the session's Arrow batches to 2,000 rows at most and leave it so: a stage's
+result is only planned when its caller writes it.
 """
 
 from __future__ import annotations
@@ -10,11 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metasift.llm import bagminhash, contamination, packing, pii, quality
-from metasift.llm.common import fresh, saved, table
+from metasift.llm.common import fresh, lean, saved, table
+
+
+#: Chunks whose ids a worker remembers; workers live through all stages, so the table is small.
+REMEMBERED = 300_000
 
 
 def judge(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
+    lean(spark)
     name = fresh(docs, "judged")
     model, _, _ = quality.fit(docs, table(spark, sf_dir, "labels"))
     return quality.score(docs, model, name=name).where(F.col(name)["keep"]).select(*docs.columns)
@@ -22,11 +30,13 @@ def judge(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
+    lean(spark)
     return bagminhash.deduplicate(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without much benchmark text."""
+    lean(spark)
     name = fresh(docs, "contamination")
     found = contamination.annotate(docs, table(spark, sf_dir, "benchmark"), name=name)
     return found.where(~F.col(name)["contaminated"]).select(*docs.columns)
@@ -45,7 +55,8 @@ def remove_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents and the sequences they lie in."""
-    return packing.pack(docs)
+    lean(spark)
+    return packing.pack(docs, remembered=REMEMBERED)
 
 
 STAGES = [("quality", judge), ("near_duplicates", deduplicate), ("decontamination", decontaminate), ("pii", remove_pii), ("packing", pack)]

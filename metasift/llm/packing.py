@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metasift.llm.common import chunks, text_or_empty, tidy, utf8
-from metasift.llm.subwords import Subwords, default_tokenizer
+from metasift.llm.subwords import REMEMBERED, Subwords, default_tokenizer
 
 LENGTH = 4096
 #: Segments (pieces of examples) that one sequence may hold.
@@ -68,7 +68,7 @@ def cut(total: int, prompt: int, length: int) -> list[tuple[int, int, int]]:
     return [(s, min(length, total - s), max(0, min(s + length, total) - max(s, prompt))) for s in range(0, total, length)]
 
 
-def _packer(path: str, length: int, segments: int, loss: int, end_id: int, with_ids: bool, out: pa.Schema):
+def _packer(path: str, length: int, segments: int, loss: int, end_id: int, with_ids: bool, out: pa.Schema, remembered: int):
     limits = np.array([length, segments, loss])
     step = min(length, loss)
 
@@ -76,7 +76,7 @@ def _packer(path: str, length: int, segments: int, loss: int, end_id: int, with_
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, tokens = TaskContext.get().partitionId(), Subwords.of(path)
+        part, tokens = TaskContext.get().partitionId(), Subwords.of(path, remembered)
         next_id = part << 40
         docs: list = []
         rows: list[tuple] = []
@@ -127,7 +127,7 @@ def _packer(path: str, length: int, segments: int, loss: int, end_id: int, with_
     return pack
 
 
-def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", prompt: str | None = None, tokenizer: str | None = None, length: int = LENGTH, segments: int = SEGMENTS, loss: int | None = None, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", prompt: str | None = None, tokenizer: str | None = None, length: int = LENGTH, segments: int = SEGMENTS, loss: int | None = None, end_id: int = END_ID, with_ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens and, if asked, ids.
 
     ``prompt`` names a column of text that comes first and bears no loss.  ``sequence_id`` holds the task in its upper bits."""
@@ -138,4 +138,4 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", prompt: st
     ddl = f"doc_id {kind.simpleString()}, " + ", ".join(f"{n} long" for n in names) + (", ids array<long>" if with_ids else "")
     schema = pa.schema([("doc_id", to_arrow_type(kind))] + [(n, pa.int64()) for n in names] + ([("ids", pa.list_(pa.int64()))] if with_ids else []))
     rows = docs.select(F.col(doc_id).alias("doc_id"), (text_or_empty(prompt) if prompt else F.lit("")).alias("p"), text_or_empty(text).alias("t"))
-    return rows.mapInArrow(_packer(tokenizer or default_tokenizer(), length, segments, loss or length, end_id, with_ids, schema), ddl)
+    return rows.mapInArrow(_packer(tokenizer or default_tokenizer(), length, segments, loss or length, end_id, with_ids, schema, remembered), ddl)

@@ -47,10 +47,10 @@ class Subwords:
         self.marks = {m: int(self._fresh([chr(m)])[0]) for m in _MARKS}
 
     @classmethod
-    def of(cls, path: str) -> Subwords:
-        """The worker's own copy."""
-        if path not in _COPIES:
-            _COPIES[path] = cls(path)
+    def of(cls, path: str, remembered: int = REMEMBERED) -> Subwords:
+        """The worker's own copy, made anew where another bound is asked for."""
+        if path not in _COPIES or _COPIES[path].limit != remembered:
+            _COPIES[path] = cls(path, remembered)
         return _COPIES[path]
 
     def _ids(self, chunks: list[str]) -> list[np.ndarray]:
