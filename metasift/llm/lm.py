@@ -467,7 +467,8 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer:
     net.share = shares(pairs, net.classes)
     order = np.argsort(top["h"].to_numpy().view(np.uint64), kind="stable")
     fitted = Fitted(top["h"].to_numpy().view(np.uint64)[order], top["c"].to_numpy()[order].astype(np.int32 if (total or 0) < 2**31 else np.int64), (total or 0) + n_docs, kinds + (n_docs > 0), n_docs, net)
-    return fitted, vocabulary.where(F.col("c") < least)
+    # Where no step fits into the head, all words are in the tail.
+    return fitted, vocabulary.where(F.col("c") < least) if have else vocabulary
 
 
 SCORED = "row long, {id}, held_out boolean, n_words long, head_known long, head_sum double, tail array<long>, n_subwords long, score double"

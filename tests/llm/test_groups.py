@@ -285,6 +285,14 @@ def test_base_scores_match_plain(spark):
         assert r.score < 0 and math.isfinite(r.score)
 
 
+def test_words_beyond_the_largest_count_step_are_known(spark):
+    docs = spark.createDataFrame([(k, "a " * 1_500 + "b " * 1_500) for k in range(12)], "doc_id long, text string")
+    held = [zlib.crc32(str(k).encode()) % 10 == 0 for k in range(12)]
+    assert held.count(False) * 1_500 > 10_500
+    for r in lm.score(docs, head=1).collect():
+        assert r.n_known == r.n_tokens == 3_001
+
+
 def small_network(seed=1):
     rng = np.random.default_rng(seed)
     sketch = rng.poisson(2, (2 * 201, lm.SKETCH))
