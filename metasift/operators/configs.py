@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from metasift.functions import rules
 from metasift.functions import text as tx
-from metasift.operators.jsonwalk import is_missing, path_prefixes, walk
+from metasift.operators.documents import assemble, quoted
+from metasift.operators.jsonwalk import is_missing, path_prefixes, plain, walk
 from metasift.session import cut_lineage
 
 ID = "config_id"
@@ -185,6 +186,12 @@ def json_items(value: Column) -> Column:
     return F.transform(F.try_variant_get(F.try_parse_json(value), "$", "array<variant>"), lambda x: F.to_json(x))
 
 
+def list_union(first: Column, second: Column) -> Column:
+    """Items of both lists in order, each once."""
+    none = F.array().cast("array<string>")
+    return F.array_union(F.coalesce(first, none), F.coalesce(second, none))
+
+
 def merge_additive(first: DataFrame, second: DataFrame) -> DataFrame:
     """First wins; objects merge; lists join in order without repeats."""
     lists = sides(a=first.where("kind = 'array'"), b=second.where("kind = 'array'")).where("a is not null and b is not null")
@@ -309,6 +316,12 @@ def merge_flow(raw: Column, extracted: Column, example: Column) -> Column:
     return F.when(pick.isNotNull(), sanitize_flow(pick))
 
 
+def fill_mode(mode: Column, ingestion_type: Column) -> Column:
+    """struct(mode, from_input): the user's ingestion type only where no mode was found."""
+    own, given = tx.first_nonblank(mode), tx.first_nonblank(ingestion_type)
+    return F.struct(F.coalesce(own, given).alias("mode"), (own.isNull() & given.isNotNull()).alias("from_input"))
+
+
 def correct_destination(destination: Column, raw_destination: Column) -> Column:
     """Notification-like destinations give way to the raw one."""
     return F.when(tx.looks_like_notification(destination), raw_destination).otherwise(destination)
@@ -417,3 +430,76 @@ def compose_final(example: DataFrame, core: DataFrame) -> DataFrame:
     solid = kept.where(~is_missing(F.col("value")))
     doc = overlay(solid, defaults)
     return doc.unionByName(core.select(ID, "path", "kind", "value")).unionByName(block)
+
+
+SECTIONS = ("source_configs", "ingestion_configs")
+DESTINATION, MODE = "ingestion_configs.destination", "ingestion_configs.mode"
+
+
+def finalize(configs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Final configuration of every row, and the merge report.
+
+    ``configs(config_id, raw, raw_text, extracted, example, ingestion_type)``: three JSON config documents (what raw evidence gives,
+    what was extracted, an example), the raw pipeline text and the user's ingestion type.  The first table has config_id,
+    ``document`` (VARIANT, nested), destination, dq_rules, unsupported, flow_text, missing (array of struct(field, reason)), score and issues;
+    the second config_id, field, action, old_value, new_value.
+    """
+    names = ("raw", "extracted", "example")
+    shaped = cut_lineage(configs.select(ID, "raw_text", "ingestion_type", F.col("example").alias("example_doc"),
+                                        *[normalize_config(F.col(n)).alias(n) for n in names]))
+    core, report = [], []
+    for section in SECTIONS:
+        side = {n: leaves(shaped.select(ID, F.col(n)[section].alias("doc")), "doc") for n in names}
+        merged, events = merge_three_way(side["extracted"], side["raw"], side["example"], section)
+        core.append(merged.select(ID, F.concat(F.lit(section + "."), "path").alias("path"), "kind", "value"))
+        report.append(events)
+    core = cut_lineage(reduce(DataFrame.unionByName, core))
+    text = plain(F.col("value"), F.col("kind"))
+    marks = core.where(F.col("path").isin(DESTINATION, MODE, "source_configs.service_name")).groupBy(ID).agg(
+        *[F.max(F.when(F.col("path") == p, text)).alias(c) for p, c in ((DESTINATION, "merged"), (MODE, "mode"), ("source_configs.service_name", "service"))])
+
+    def listed(n: str) -> Column:
+        return F.coalesce(F.from_json(F.col(n)["dq_rules"], "array<string>"), F.array().cast("array<string>"))
+
+    def flow(n: str) -> Column:
+        return F.try_variant_get(F.try_parse_json(F.col(n)["flow"]), "$.text", "string")
+
+    raw_destination = F.try_variant_get(F.try_parse_json(F.col("raw")["ingestion_configs"]), "$.destination", "string")
+    supported = supported_rules(F.col("raw_text"), listed("raw"))
+    rows = shaped.join(marks, ID, "left").select(
+        ID, "raw_text", "service", "merged", raw_destination.alias("raw_destination"), supported.alias("supported"),
+        F.col("mode").isNull().alias("no_mode"), fill_mode(F.col("mode"), F.col("ingestion_type")).alias("mode"),
+        merge_dq_rules(listed("raw"), listed("extracted"), listed("example"), supported).alias("dq_rules"),
+        merge_flow(flow("raw"), flow("extracted"), flow("example")).alias("flow_text"), flow("raw").alias("raw_flow"), "example_doc")
+    rows = cut_lineage(rows.withColumn("destination", correct_destination(F.col("merged"), F.col("raw_destination"))))
+    none = F.lit(None).cast("string")
+    moved = ~F.col("destination").eqNullSafe(F.col("merged"))
+    report.append(rows.where(moved).select(ID, F.lit(DESTINATION).alias("field"), F.lit("corrected").alias("action"),
+                                           quoted(F.col("merged")).alias("old_value"), F.when(F.col("destination").isNotNull(), quoted(F.col("destination"))).alias("new_value")))
+    report.append(rows.where("mode.from_input").select(ID, F.lit("ui_inputs.ingestion_type").alias("field"), F.lit("from_example").alias("action"), none.alias("old_value"),
+                                                       quoted(F.col("mode.mode")).alias("new_value")))
+
+    def leaf(cond: Column, path: str, kind: str, value: Column) -> Column:
+        return F.when(cond, F.struct(F.lit(path).alias("path"), F.lit(kind).alias("kind"), value.alias("value")))
+
+    gone = F.col("destination").isNull()
+    extra = F.array_compact(F.array(
+        leaf(moved & ~gone, DESTINATION, "string", quoted(F.col("destination"))), leaf(moved & gone, DESTINATION, "null", F.lit("null")),
+        leaf(F.col("mode.from_input"), MODE, "string", quoted(F.col("mode.mode"))),
+        leaf(F.lit(True), "dq_rules", "array", F.to_json("dq_rules")),
+        leaf(F.col("flow_text").isNotNull(), "flow.text", "string", quoted(F.col("flow_text"))),
+        leaf(F.col("flow_text").isNull(), "flow.text", "null", F.lit("null"))))
+    added = rows.select(ID, F.explode(extra).alias("x")).select(ID, "x.*")
+    replaced = added.select(ID, "path")
+    core = core.join(replaced, [ID, "path"], "left_anti").unionByName(added)
+    gaps = missing_fields(rows, core).groupBy(ID).agg(F.array_sort(F.collect_list(F.struct("field", "reason"))).alias("missing"))  # at most one per required field
+    rows = cut_lineage(rows.join(gaps, ID, "left").withColumn("missing", F.coalesce("missing", F.array().cast("array<struct<field:string,reason:string>>"))))
+    analysis = rows.select(ID, F.lit("missing_fields_analysis").alias("path"), F.lit("array").alias("kind"), F.to_json("missing").alias("value"))
+    core = cut_lineage(core.unionByName(analysis))
+    example = leaves(rows.select(ID, F.col("example_doc").alias("doc")), "doc")
+    documents = assemble(compose_final(example, core), [ID])
+    judged = rows.withColumn("a", accuracy(F.col("service"), F.col("destination"), F.col("raw_destination"), F.col("dq_rules"),
+                                           F.col("supported"), F.col("flow_text"), F.col("raw_flow")))
+    out = judged.join(documents, ID).select(
+        ID, "document", "destination", "dq_rules", unsupported_rules(F.col("dq_rules"), F.col("supported")).alias("unsupported"), "flow_text", "missing", "a.score", "a.issues")
+    return out, reduce(DataFrame.unionByName, [r.select(ID, "field", "action", "old_value", "new_value") for r in report])

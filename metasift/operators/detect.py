@@ -291,6 +291,14 @@ def merge_results(results: DataFrame, key: str) -> DataFrame:
     return first.select(key, "label", "seq").join(total, key)
 
 
+def category_overview(found: DataFrame, item: str = "payload_id") -> DataFrame:
+    """Labels and hits per category of ``found(item, category, label)``, and how varied it is."""
+    n = found.groupBy("category", "label").agg(F.count_distinct(item).alias("n"))
+    return n.groupBy("category").agg(
+        F.count("*").alias("labels"), F.sum("n").alias("hits"),
+        F.when(F.count("*") > 10, "High").when(F.count("*") > 5, "Medium").otherwise("Low").alias("complexity"))
+
+
 def override_category(labels: DataFrame, overrides: DataFrame, category: str) -> DataFrame:
     """Replace a category's list where ``overrides(payload_id, labels)`` holds one."""
     o = overrides.select("payload_id", F.col("labels").alias("_o"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from metasift.functions import text as tx
 from metasift.operators import configs as cf
+from metasift.operators import documents as ds
 from metasift.operators import jsonwalk as jw
 from metasift.plans.catalog import fixture, query
 
@@ -92,6 +93,24 @@ OVERRIDE = """o as (select config_id, unnest(['connection.host','owner.team']) a
 m as (select config_id, path, coalesce(c.value, b.value) as value from b full join c using (config_id, path))"""
 
 
+SORTED_DOC = """d as (select config_id, side, '{"connection":{"host":' || json_extract(doc,'$.connection.host')::varchar
+ || coalesce(',"port":' || json_extract(doc,'$.connection.port')::varchar, '') || '}' as conn, json_extract(doc,'$.connection.port')::varchar as port,
+ json_extract(doc,'$.connection.host')::varchar as host, json_extract(doc,'$.name')::varchar as name, json_extract(doc,'$.tags')::varchar as tags, json_extract(doc,'$.extra')::varchar as extra from fx_config)"""
+
+
+@query("M15", "reconciled_document", f"""
+with {SORTED_DOC}, b as (select * from d where side = 'baseline'), c as (select * from d where side = 'candidate'),
+r as (select 'candidate_wins' as strategy, c.config_id, c.host, coalesce(c.port, b.port) as port, c.extra, c.name, c.tags from b join c using (config_id)
+ union all select 'baseline_wins', b.config_id, b.host, b.port, c.extra, b.name, b.tags from b join c using (config_id)
+ union all select 'manual', config_id, host, port, extra, name, tags from b)
+select strategy, config_id, '{{"connection":{{"host":' || host || ',"port":' || port || '}}' || coalesce(',"extra":' || extra, '') || ',"name":' || name || ',"tags":' || tags || '}}' as document from r""", CONFIG)
+def reconciled_document(spark, sf):
+    b, c = two(spark, sf, True)
+    out = [cf.reconcile(b, c, s).withColumn("strategy", F.lit(s)) for s in ("candidate_wins", "baseline_wins", "manual")]
+    whole = out[0].unionByName(out[1]).unionByName(out[2])
+    return ds.assemble(whole, ["strategy", "config_id"]).select("strategy", "config_id", F.to_json("document").alias("document"))
+
+
 @query("M16", "apply_overrides", f"""
 with {WHOLE}, {OVERRIDE}
 select 'doc' as part, config_id, path, null as from_val, coalesce(o.value, m.value) as value from m full join o using (config_id, path)
@@ -137,7 +156,7 @@ def list_union_ordered(spark, sf):
     tags = F.from_json(F.get_json_object("doc", "$.tags"), "array<string>")
     one = [f.where(F.col("side") == s).select("config_id", tags.alias(s)) for s in ("baseline", "candidate")]
     return one[0].join(one[1], "config_id").select(
-        "config_id", F.array_join(F.array_union("baseline", "candidate"), "|").alias("tags"))
+        "config_id", F.array_join(cf.list_union(F.col("baseline"), F.col("candidate")), "|").alias("tags"))
 
 
 @query("F22", "equals_loose", """
@@ -281,9 +300,7 @@ def merge_flow(spark, sf):
 @query("M07", "fill_mode_from_input", """
 select config_id, coalesce(extracted_mode, 'streaming') as mode, extracted_mode is null as from_input from fx_merge""", MERGE)
 def fill_mode_from_input(spark, sf):
-    mode = tx.first_nonblank(F.col("extracted_mode"))
-    return fixture(spark, sf, MERGE).select(
-        "config_id", F.coalesce(mode, F.lit("streaming")).alias("mode"), mode.isNull().alias("from_input"))
+    return fixture(spark, sf, MERGE).select("config_id", cf.fill_mode(F.col("extracted_mode"), F.lit("streaming")).alias("m")).select("config_id", "m.mode", "m.from_input")
 
 
 @query("F23", "looks_like_notification", """
@@ -351,16 +368,55 @@ def accuracy_score(spark, sf):
     return scored(spark, sf).select("config_id", "a.score", F.array_join("a.issues", "|").alias("issues"))
 
 
+def config_documents(spark, sf):
+    """What raw evidence, extraction and an example say about every configuration."""
+    def section(destination, *more):
+        return F.struct(F.col(destination).alias("destination"), *more).alias("ingestion_configs")
+
+    mode = F.col("extracted_mode").alias("mode")
+    return fixture(spark, sf, MERGE).select(
+        "config_id", "raw_text", F.lit("streaming").alias("ingestion_type"),
+        F.to_json(F.struct(section("raw_destination"), F.struct(F.col("raw_flow").alias("text")).alias("flow"))).alias("raw"),
+        F.to_json(F.struct(section("extracted_destination", mode), F.array("extracted_rule").alias("dq_rules"))).alias("extracted"),
+        F.to_json(F.struct(section("example_destination", F.lit("batch").alias("mode"), F.lit("daily").alias("frequency")),
+                           F.array(F.lit("null_check"), F.lit("range_check")).alias("dq_rules"))).alias("example"))
+
+
+# Fields are missing in the final state: a destination that was only a notification is gone by then.
+FINAL_MISSING = f"""{MISSING_SQL}
+union all select config_id, 'ingestion_configs.destination', 'Not derivable from activities.' from sc where final_dest is null"""
+
+
 @query("M12", "finalize_config", f"""
-with {SUPPORT}, {SCORE}, mf as (select config_id, count(*) as n from ({MISSING_SQL}) group by 1)
+with {SUPPORT}, {SCORE}, mf as (select config_id, count(*) as n from ({FINAL_MISSING}) group by 1)
 select score.config_id, final_dest as destination, case when has_rule then s.rule else '' end as dq_rules, flow, mf.n as missing, score
 from score join s using (config_id) join mf using (config_id)""", MERGE)
 def finalize_config(spark, sf):
-    core = scored(spark, sf)
-    gaps = cf.missing_fields(core_rows(spark, sf), final_leaves(spark, sf)).groupBy("config_id").agg(F.count("*").alias("missing"))
-    return core.join(gaps, "config_id").select(
-        "config_id", "destination", F.array_join("dq_rules", "|").alias("dq_rules"), F.col("flow_text").alias("flow"),
-        "missing", "a.score")
+    done, _ = cf.finalize(config_documents(spark, sf))
+    return done.select("config_id", "destination", F.array_join("dq_rules", "|").alias("dq_rules"), F.col("flow_text").alias("flow"),
+                       F.size("missing").cast("bigint").alias("missing"), "score")
+
+
+FINAL = f"""{SCORE}, q as (select s.config_id, '"' || final_dest || '"' as dest, case when has_rule then '["' || s.rule || '"]' else '[]' end as rules,
+ '"' || flow || '"' as flow, '"' || ed || '"' as example from score join s using (config_id)),
+core as (select *, '{{' || case when dest is null then '"destination":null' else '"destination":' || dest end || ',"frequency":"daily","mode":"batch"}}' as ing,
+ case when dest is null then '' else '"destination":' || dest || ',' end || '"frequency":"daily","mode":"batch"' as live,
+ '{{"text":' || coalesce(flow, 'null') || '}}' as ft from q),
+mf as (select config_id, '[' || string_agg('{{"field":"' || field || '","reason":"' || reason || '"}}', ',' order by field) || ']' as miss from ({FINAL_MISSING}) group by 1)"""
+
+
+@query("M12", "finalize_config_document", f"""
+with {SUPPORT}, {FINAL}
+select config_id, '{{"adf_ingestion_pipeline":{{"pipeline_extracted_ingestion":{{' || live || '}}}},"dq_rules":' || rules
+ || case when flow is null then '' else ',"final_definition":' || flow end || ',"flow":' || ft
+ || case when rules = '[]' and flow is null then '' else ',"governance_lineage":{{' || concat_ws(',', case when rules <> '[]' then '"data_quality_rules":' || rules end, '"lineage_tracking":' || flow) || '}}' end
+ || ',"ingestion_configs":' || ing || ',"ingestion_overview":{{"triggers":{{"streaming":"daily"}}}},"missing_fields_analysis":' || miss
+ || ',"pipeline_extracted_overlay":{{"dq_rules":' || rules || ',"flow":' || ft || ',"ingestion_configs":' || ing || ',"missing_fields_analysis":' || miss || '}}'
+ || case when dest is null then '' else ',"sink_configuration":{{"storage":' || dest || '}}' end || '}}' as document
+from core join mf using (config_id)""", MERGE)
+def finalize_config_document(spark, sf):
+    done, _ = cf.finalize(config_documents(spark, sf))
+    return done.select("config_id", F.to_json("document").alias("document"))
 
 
 @query("M11", "compose_final_document", f"""
@@ -380,3 +436,17 @@ def compose_final_document(spark, sf):
         F.struct(F.when(F.col("extracted_mode").isNull(), "").otherwise("kept").alias("storage")).alias("sink_configuration")))
     example = cf.leaves(m.select("config_id", doc.alias("doc")), "doc")
     return cf.compose_final(example, final_leaves(spark, sf)).select("config_id", "path", "value")
+
+
+@query("M11", "final_nested_document", f"""
+with {MERGED}, c as (select config_id, '"' || coalesce(now, e) || '"' as dest, case when mode is null then '"' || coalesce(now, e) || '"' else '"kept"' end as store, e from m),
+k as (select *, '{{"destination":' || dest || ',"frequency":"daily","mode":"batch"}}' as ing from c)
+select config_id, '{{"adf_ingestion_pipeline":{{"pipeline_extracted_ingestion":' || ing || '}},"ingestion_configs":' || ing || ',"ingestion_overview":{{"triggers":{{"streaming":"daily"}}}},"pipeline_extracted_overlay":{{"ingestion_configs":'
+ || ing || '}},"sink_configuration":{{"storage":' || store || '}},"steps":[{{"kind":"load","of":[1,{{"x":null}}]}},[],{{}}],"title":"' || e || '"}}' as document from k""", MERGE)
+def final_nested_document(spark, sf):
+    m = fixture(spark, sf, MERGE)
+    doc = F.concat(
+        F.lit('{"ingestion_configs":{"destination":"old"},"steps":[{"kind":"load","of":[1,{"x":null}]},[],{}],"title":"'), "example_destination",
+        F.lit('","sink_configuration":{"storage":"'), F.when(F.col("extracted_mode").isNull(), "").otherwise("kept"), F.lit('"}}'))
+    example = cf.leaves(m.select("config_id", doc.alias("doc")), "doc")
+    return ds.assemble(cf.compose_final(example, final_leaves(spark, sf)), ["config_id"]).select("config_id", F.to_json("document").alias("document"))

@@ -225,11 +225,7 @@ with {TXT}, {ALL_HITS}, l as (select category, label, count(distinct payload_id)
 select category, count(*) as labels, sum(n)::bigint as hits,
  case when count(*) > 10 then 'High' when count(*) > 5 then 'Medium' else 'Low' end as complexity from l group by 1""", PAYLOAD)
 def category_overview(spark, sf):
-    d = dt.detect_all(fixture(spark, sf, PAYLOAD))
-    n = d.groupBy("category", "label").agg(F.count("*").alias("n"))
-    return n.groupBy("category").agg(
-        F.count("*").alias("labels"), F.sum("n").alias("hits"),
-        F.when(F.count("*") > 10, "High").when(F.count("*") > 5, "Medium").otherwise("Low").alias("complexity"))
+    return dt.category_overview(dt.detect_all(fixture(spark, sf, PAYLOAD)))
 
 
 @query("X01", "register_detector", f"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from metasift.functions import text as tx
+from metasift.operators import documents as ds
 from metasift.operators import jsonwalk as jw
 from metasift.operators import payload as pl
 from metasift.plans.catalog import fixture, query, table
@@ -134,6 +135,20 @@ def set_by_path(spark, sf):
     return jw.set_by_path(leaves, ids, u).select(*ids, "path", "value")
 
 
+@query("P09", "set_in_documents", """
+with d as (select config_id, side, json_extract(doc,'$.connection.host')::varchar as host, json_extract(doc,'$.connection.port')::varchar as port,
+ json_extract(doc,'$.extra')::varchar as extra, json_extract(doc,'$.tags[0]')::varchar as tag, json_extract(doc,'$.tags[1]')::varchar as tag2 from fx_config)
+select config_id, side, '{"connection":{"auth":{"kind":"key"},"host":' || host || coalesce(',"port":' || port, '') || '}'
+ || coalesce(',"extra":' || extra, '') || ',"name":{"first":1},"tags":[' || tag || coalesce(',' || tag2, ',null') || ',null,"last"]}' as document from d""", "fx_config")
+def set_in_documents(spark, sf):
+    ids = ["config_id", "side"]
+    c = fixture(spark, sf, "fx_config")
+    u = c.select(*ids, F.explode(F.expr(
+        "array(named_struct('path','connection.auth.kind','kind','string','value','\"key\"'), named_struct('path','name.first','kind','number','value','1'),"
+        " named_struct('path','tags[3]','kind','string','value','\"last\"'))")).alias("u")).select(*ids, "u.*")
+    return ds.set_in_documents(c, "doc", ids, u).select(*ids, F.to_json("document").alias("document"))
+
+
 @query("P10", "drop_empty_fields", """
 select payload_id, 'output' as path, json_extract_string(config,'$.output') as value from fx_payload
  where json_extract_string(config,'$.output') <> 'none'
