@@ -53,24 +53,24 @@ def tumbling_window_agg(spark, sf):
 with m as (select max(ts) - interval 60 minute as floor from events where event_type <> 'error')
 select event_id, case when event_type = 'error' and ts < (select floor from m) then 'late' else 'on_time' end as part from events""")
 def late_data_split(spark, sf):
-    src, sink, late, state, ck = spots(spark, "late", 5)
+    src, sink, late, ck = spots(spark, "late", 4)
     e = table(spark, sf, "events")
     # Two arrivals and a restart in between: errors come after everything else.
     for part in (e.where("event_type <> 'error'"), e.where("event_type = 'error'")):
         part.write.mode("append").parquet(src)
-        st.late_split(st.event_stream(spark, src, e.schema), sink, late, state, ck, 60)
+        st.late_split(st.event_stream(spark, src, e.schema), sink, late, ck, 60)
     return spark.read.parquet(sink).select("event_id", F.lit("on_time").alias("part")).unionByName(
         spark.read.parquet(late).select("event_id", F.lit("late").alias("part")))
 
 
 @query("T05", "stream_incremental_state", "select event_type as source, max(ts) as watermark from events group by 1")
 def stream_incremental_state(spark, sf):
-    src, state, ck = spots(spark, "marks", 3)
+    src, ck = spots(spark, "marks", 2)
     e = table(spark, sf, "events")
     for part in (e.where("user_id % 2 = 0"), e.where("user_id % 2 = 1")):
         part.write.mode("append").parquet(src)
-        st.incremental_state(st.event_stream(spark, src, e.schema), state, ck)
-    return st.current_state(spark, state)
+        st.incremental_state(st.event_stream(spark, src, e.schema), ck)
+    return st.current_state(spark, ck)
 
 
 @query("T06", "stream_cdc_upsert", """
@@ -112,7 +112,7 @@ def stream_detect_payloads(spark, sf):
 @query("T09", "stream_monitor_metrics", """
 select event_type, count(*) as rows, count(*) filter (value not between 1 and 60) as breaches from events group by 1""")
 def stream_monitor_metrics(spark, sf):
-    sink, ck = spots(spark, "metrics", 2)
-    st.monitor(events(spark, sf), sink, ck, checks()[:1])
+    out, sink, ck = spots(spark, "metrics", 3)
+    st.monitor(events(spark, sf), out, sink, ck, checks()[:1], ["view", "click", "purchase", "signup", "error"])
     m = spark.read.parquet(sink)
     return m.groupBy("event_type").agg(F.sum("rows").alias("rows"), F.sum("between_value").alias("breaches"))

@@ -6,7 +6,9 @@ so a restarted query gives each batch exactly once.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,42 +75,65 @@ def read_versions(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def read_state(spark: SparkSession, path: str, schema: str, batch_id: int) -> DataFrame:
-    """State as the previous batch left it; only that version's folder is read."""
-    return read_versions(spark, path, schema + ", batch int").where(F.col("batch") == batch_id - 1)
+#: The engine's state store: on disk, each batch adding a change file to the checkpoint.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
-STATE = "source string, watermark timestamp_ntz"
+@contextmanager
+def state_store(spark: SparkSession):
+    """Queries started in the block keep their state in :data:`STATE_STORE`."""
+    before = {k: spark.conf.get(k, None) for k in STATE_STORE}
+    for k, v in STATE_STORE.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
-def incremental_state(stream: DataFrame, state: str, checkpoint: str, source: str = "event_type", column: str = "ts") -> None:
-    """High-water mark per source, kept across batches and restarts."""
-    def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        old = read_state(spark, state, STATE, batch_id)
-        ig.next_watermark(old, batch, source, column).write.mode("overwrite").parquet(f"{state}/batch={batch_id}")
+def incremental_state(stream: DataFrame, checkpoint: str, source: str = "event_type", column: str = "ts") -> None:
+    """High-water mark per source, kept across batches and restarts.
+
+    The marks are the state of a streaming aggregate; :func:`current_state` reads them from the checkpoint."""
+    marks = stream.groupBy(F.col(source).alias("source")).agg(F.max(column).alias("watermark"))
+    with state_store(stream.sparkSession):
+        run_available(marks.writeStream.format("noop").outputMode("update"), checkpoint)
 
-    run_available(stream.writeStream.foreachBatch(step), checkpoint)
 
+def current_state(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """Newest mark per source, from the state data source."""
+    with state_store(spark):
+        state = spark.read.format("statestore").load(checkpoint)
+    key, value = (F.col(c)[state.schema[c].dataType[0].name] for c in ("key", "value"))
+    return state.select(key.alias("source"), value.alias("watermark"))
 
-def current_state(spark: SparkSession, state: str) -> DataFrame:
-    """Newest mark per source."""
-    return read_versions(spark, state, STATE).groupBy("source").agg(F.max("watermark").alias("watermark"))
 
+def late_split(stream: DataFrame, sink: str, late_sink: str, checkpoint: str, lateness_minutes: int) -> None:
+    """Rows older than the watermark of the batches before go to the dead letter.
 
-def late_split(stream: DataFrame, sink: str, late_sink: str, state: str, checkpoint: str, lateness_minutes: int) -> None:
-    """Rows older than the stored mark less the lateness go to the dead letter."""
+    The mark is the engine's own event-time watermark, the highest ``ts`` so far less the lateness, in milliseconds.  It is part of what the
+    engine logs for each batch before it runs, so a retried or restarted batch splits alike; one small file is read a batch."""
     def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        old = read_state(spark, state, STATE, batch_id)
-        mark = old.agg(F.max("watermark").alias("m"))
-        floor = mark.select((F.col("m") - F.make_interval(mins=F.lit(lateness_minutes))).alias("m")).scalar()
-        rows = batch.withColumn("_late", F.coalesce(F.col("ts") < floor, F.lit(False)))
+        floor = F.timestamp_millis(F.lit(logged_watermark(batch.sparkSession, checkpoint, batch_id)))
+        rows = batch.withColumn("_late", F.coalesce(F.col("_at") < floor, F.lit(False))).drop("_at")
         rows.where("not _late").drop("_late").write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
         rows.where("_late").drop("_late").write.mode("overwrite").parquet(f"{late_sink}/batch={batch_id}")
-        ig.next_watermark(old, batch.withColumn("source", F.lit("all")), "source", "ts").write.mode("overwrite").parquet(f"{state}/batch={batch_id}")
 
-    run_available(stream.writeStream.foreachBatch(step), checkpoint)
+    marked = stream.withColumn("_at", F.col("ts").cast("timestamp")).withWatermark("_at", f"{lateness_minutes} minutes")
+    run_available(marked.writeStream.foreachBatch(step), checkpoint)
+
+
+def logged_watermark(spark: SparkSession, checkpoint: str, batch_id: int) -> int:
+    """Event-time watermark of a batch, in milliseconds, from the query's offset log."""
+    mark = F.get_json_object("value", "$.batchWatermarkMs").cast("long")
+    return spark.read.text(f"{checkpoint}/offsets/{batch_id}").select(F.max(mark)).first()[0] or 0
 
 
 BUCKETS = 64
@@ -190,9 +215,27 @@ def detect_payloads(spark: SparkSession, path: str, schema: str, sink: str, chec
     run_available(out.writeStream.format("parquet").option("path", sink).outputMode("append"), checkpoint)
 
 
-def monitor(stream: DataFrame, sink: str, checkpoint: str, checks: list[dq.Check]) -> None:
-    """Rows and breaches per batch and event type."""
-    def measure(batch: DataFrame) -> DataFrame:
-        return batch.groupBy("event_type").agg(F.count("*").alias("rows"), *[F.count_if(c.fails).alias(f"{c.key}_{c.column}") for c in checks])
+def monitor(stream: DataFrame, table: str, sink: str, checkpoint: str, checks: list[dq.Check], types: list[str], column: str = "event_type") -> None:
+    """Write the stream to ``table``; rows and breaches per batch and event type, taken while writing, go to ``sink``.
+
+    ``types`` are the event types told apart; all others, and missing ones, count as ``other``.  Nothing is aggregated apart from the write."""
+    known = [*types, None]
+
+    def of(kind: str | None) -> Column:
+        return F.col(column) == kind if kind is not None else ~F.coalesce(F.col(column).isin(types), F.lit(False))
 
-    run_available(stream.writeStream.foreachBatch(batch_sink(sink, measure)), checkpoint)
+    counts = {}
+    for i, kind in enumerate(known):
+        counts[f"rows_{i}"] = F.count_if(of(kind))
+        for j, c in enumerate(checks):
+            counts[f"breach_{i}_{j}"] = F.count_if(of(kind) & F.coalesce(c.fails, F.lit(False)))
+    ddl = f"{column} string, rows long" + "".join(f", {c.key}_{c.column} long" for c in checks)
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        seen = Observation()
+        batch.observe(seen, *[c.alias(k) for k, c in counts.items()]).write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+        m = seen.get
+        rows = [(kind or "other", m[f"rows_{i}"], *[m[f"breach_{i}_{j}"] for j in range(len(checks))]) for i, kind in enumerate(known) if m[f"rows_{i}"]]
+        batch.sparkSession.createDataFrame(rows, ddl).coalesce(1).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+
+    run_available(stream.writeStream.foreachBatch(step), checkpoint)
