@@ -28,7 +28,9 @@ from metasift.llm.common import chunks, fresh, mix, saved, text_or_empty, tidy,
 #: Pairs that are broadcast with their counts (17 bytes each).
 HEAD = 1_000_000
 #: Windows whose alignments a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
+#: Bytes of text that are aligned at once: the more, the fewer windows are looked up.
+ALIGNED_BYTES = 4_000_000
 #: An id pair is one number: the first id times this, plus the second.
 SECOND = 1 << 24
 _BLANK = 32
@@ -82,7 +84,7 @@ class ByteLevel:
         self.vocabulary = Vocabulary([entries.get(k, added.get(k, b"")) for k in range(size)])
         merged = [vocabulary.get(m.replace(" ", "") if isinstance(m, str) else "".join(m)) for m in spec["model"]["merges"]]
         step = spec.get("pre_tokenizer") or {}
-        ranked = merged == sorted(x for x in merged if x is not None) and step.get("type") == "ByteLevel" and step.get("use_regex", True) and not step.get("add_prefix_space") and not spec.get("normalizer")
+        ranked = set(letters) <= set(vocabulary) and merged == sorted(x for x in merged if x is not None) and step.get("type") == "ByteLevel" and step.get("use_regex", True) and not step.get("add_prefix_space") and not spec.get("normalizer")
         self.fast = None
         if ranked:
             import public_tokenizers
@@ -100,6 +102,12 @@ class ByteLevel:
                 out += self._plain([t])
         return out
 
+    def gives(self, ids: np.ndarray, raw: np.ndarray) -> bool:
+        """Whether the ids' bytes are those of the text.  With every byte in the vocabulary and no normaliser nothing else can come out."""
+        if self.fast is not None:
+            return int(self.vocabulary.length[ids].sum()) == len(raw)
+        return np.array_equal(self.vocabulary.text(ids), raw)
+
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.plain.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -117,6 +125,9 @@ class Pieces:
         piece = self.model.id_to_piece(k)
         return bytes([int(piece[3:-1], 16)]) if self.model.is_byte(k) else piece.replace("▁", " ").encode()
 
+    def gives(self, ids: np.ndarray, raw: np.ndarray) -> bool:
+        return np.array_equal(self.vocabulary.text(ids), raw)
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(ids, np.uint32) for ids in self.model.encode(texts, num_threads=1)]
 
@@ -174,7 +185,7 @@ class Aligner:
         spaced = [" " + texts[k] for k in full]
         for k, text, x, y in zip(full, spaced, self.a.encode(spaced), self.b.encode([texts[k] for k in full]), strict=True):
             raw = np.frombuffer(text.encode(), np.uint8)
-            if np.array_equal(self.a.vocabulary.text(x), raw) and np.array_equal(self.b.vocabulary.text(y), raw):
+            if self.a.gives(x, raw) and self.b.gives(y, raw):
                 kept.append((k, total))
                 ids[0].append(x)
                 ids[1].append(y)
@@ -237,7 +248,7 @@ def _aligner(first: str, second: str):
         for col in batches:
             _, offsets = utf8(col)
             parts = []
-            for lo, hi in chunks(offsets):
+            for lo, hi in chunks(offsets, ALIGNED_BYTES):
                 n_a, n_b, groups, links, at = tool.align(col.slice(lo, hi - lo).to_pylist())
                 # Equal pairs of a text once, with their number.
                 text = np.repeat(np.arange(hi - lo), np.diff(at))
