@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from metasift.operators import ingest as ig
@@ -17,21 +17,43 @@ def mask_columns(df: DataFrame, secrets: list[str]) -> DataFrame:
 
 
 def extracted(source: DataFrame, spec: dict) -> DataFrame:
-    """The rows a spec's extraction mode asks for: full, incremental, or one of three kinds of change capture."""
+    """The rows a spec's extraction mode asks for: full, incremental, or change capture.
+
+    ``query_based`` reads rows by their clocks, with deletes from ``deleted_at_column``; ``log_based`` and ``trigger`` read a change
+    table, whose newest row per key by ``lsn_column`` counts (a trigger's table may go by ``updated_at_column`` instead).
+    """
     mode = spec.get("extraction_mode", "full_load")
     if mode == "incremental":
-        return ig.incremental(source, spec["watermark_column"], spec.get("last_watermark"), spec.get("watermark_type", "timestamp"),
-                              spec.get("lookback_minutes") or 0)
+        out = ig.incremental(source, spec["watermark_column"], spec.get("last_watermark"), spec.get("watermark_type", "timestamp"),
+                             spec.get("lookback_minutes") or 0)
+        bound = spec.get("upper_bound_column")
+        if bound:
+            given = spec.get("upper_bound_value")
+            top = ig.watermark_literal(given, spec.get("watermark_type", "timestamp")) if given is not None else F.current_timestamp()
+            out = out.where(F.col(bound) <= top)
+        return out
     if mode != "cdc":
         return source
     kind = spec.get("cdc_mode", "query_based")
-    if kind == "log_based":
-        return ig.cdc_log_based(source, spec["key_columns"], spec["lsn_column"], spec.get("last_lsn") or 0)
-    if kind == "soft_delete":
-        return ig.cdc_soft_delete(source, spec["deleted_at_column"], bool(spec.get("include_deletes", True)))
-    if kind != "query_based":
+    if kind not in CDC_MODES:
         raise ValueError(f"unknown change capture {kind!r}")
-    return ig.cdc_query_based(source, spec["created_at_column"], spec["updated_at_column"], spec["last_watermark"])
+    if kind != "query_based":
+        column = spec.get("lsn_column") or (spec.get("updated_at_column") if kind == "trigger" else None)
+        if not column:
+            raise ValueError(f"{kind} needs a column that orders changes")
+        if spec.get("lsn_column"):
+            return ig.cdc_log_based(source, spec["key_columns"], column, spec.get("last_lsn") or 0)
+        return ig.latest_per_key(ig.incremental(source, column, spec.get("last_watermark"), spec.get("watermark_type", "timestamp")), spec["key_columns"], F.col(column))
+    gone = spec.get("deleted_at_column")
+    if spec.get("created_at_column") and spec.get("updated_at_column"):
+        out = ig.cdc_query_based(source, spec["created_at_column"], spec["updated_at_column"], spec["last_watermark"])
+        if not gone:
+            return out
+        out = out.withColumn("_op", F.when(F.col(gone).isNotNull(), "D").otherwise(F.col("_op")))
+        return out if spec.get("include_deletes", True) else out.where("_op <> 'D'")
+    if not gone:
+        raise ValueError("query_based needs created_at_column and updated_at_column, or deleted_at_column")
+    return ig.cdc_soft_delete(source, gone, bool(spec.get("include_deletes", True)))
 
 
 def drifted(df: DataFrame, expected: list[str] | None, action: str) -> DataFrame:
@@ -45,31 +67,47 @@ def drifted(df: DataFrame, expected: list[str] | None, action: str) -> DataFrame
     return df
 
 
+#: Kinds of change capture.
+CDC_MODES = ("log_based", "query_based", "trigger")
+
+
 def run_job(source: DataFrame, spec: dict, path: str, checks: list[dq.Check] | None = None):
     """Run one runtime row against its source: extract, check, deduplicate, write.
 
-    The spec is a handful of driver-side scalars; the data never leaves the executors.
-    Row count and new high-water mark are taken from the extracted rows before the write, and
-    the write is bounded by that mark, so a row that arrives meanwhile is left to the next run.
+    The spec is a handful of driver-side scalars; the data never leaves the executors.  The source is read once: row count,
+    high-water mark and the spec's checks are observed on the extracted rows in the pass that writes them to the shared folder.  If
+    ``row_count_min``, ``row_count_max``, ``not_empty_columns`` or a rule of ``custom_checks`` (an expression that holds on bad rows) is
+    broken, the job fails there and the sink stays as it was; else the rows go on to the sink from what was written.
     ``merge`` folds the batch into what the path holds by the key columns.  Returns the mark.
     """
     df = drifted(source, spec.get("expected_columns"), spec.get("schema_drift_action", "warn"))
     df = ig.where(extracted(df, spec), spec.get("where_clause"))
     marked = spec.get("watermark_column") or spec.get("lsn_column")
-    least = spec.get("row_count_min") or 0
-    mark = None
-    if marked or least:
-        n, mark = df.agg(F.count("*"), F.max(marked) if marked else F.lit(None)).first()
-        if n < least:
-            raise ValueError(f"{n} rows extracted, {least} are the least")
-        if mark is not None:
-            df = df.where((F.col(marked) <= F.lit(mark)) | F.col(marked).isNull())
+    filled, rules = spec.get("not_empty_columns") or [], spec.get("custom_checks") or []
+    if spec.get("row_limit") and spec.get("sample_percent"):
+        raise ValueError("use row_limit or sample_percent, not both")
+    if spec.get("row_limit"):
+        df = ig.limit_rows(df, spec["row_limit"], spec.get("order_by"))
+    elif spec.get("sample_percent"):
+        df = ig.sample(df, spec["sample_percent"], spec.get("sample_key"))
+    seen = Observation()
+    df = df.observe(seen, F.count("*").alias("rows"), (F.max(marked) if marked else F.max(F.lit(None).cast("string"))).alias("mark"),
+                    *[F.count(c).alias(f"filled_{i}") for i, c in enumerate(filled)],
+                    *[F.count_if(F.coalesce(F.expr(r), F.lit(False))).alias(f"broken_{i}") for i, r in enumerate(rules)])
     df = ig.full_load(df, ig.ExtractSpec(
         include=spec.get("include_columns") or [], exclude=spec.get("exclude_columns") or [],
-        row_limit=spec.get("row_limit"), sample_percent=spec.get("sample_percent"), sample_key=spec.get("sample_key"),
         source_type=spec["source_type"], job_id=spec["job_id"], add_metadata=bool(spec.get("add_metadata_cols", True))))
     checks = [*(checks or []), *[dq.not_null(c, severity="quarantine") for c in spec.get("null_check_columns") or []]]
-    clean, held = dq.actions_split(df, checks) if checks else (df, None)
+    batch = cut_lineage(df)
+    found = seen.get
+    n, mark, least, most = found["rows"], found["mark"], spec.get("row_count_min") or 0, spec.get("row_count_max")
+    if n < least or (most is not None and n > most):
+        raise ValueError(f"{n} rows extracted, expected {least} to {'any' if most is None else most}")
+    if bare := [c for i, c in enumerate(filled) if not found[f"filled_{i}"]]:
+        raise ValueError(f"columns without a value: {bare}")
+    if broken := [r for i, r in enumerate(rules) if found[f"broken_{i}"]]:
+        raise ValueError(f"custom checks failed: {broken}")
+    clean, held = dq.actions_split(batch, checks) if checks else (batch, None)
     keys = spec.get("dedup_columns") or []
     if keys:
         clean = ig.latest_per_key(clean, keys, F.col(marked or keys[0]))
@@ -77,9 +115,7 @@ def run_job(source: DataFrame, spec: dict, path: str, checks: list[dq.Check] | N
     layout = {"partition_by": spec.get("partition_by"), "max_file_size_mb": spec.get("max_file_size_mb") or 256}
     form = spec.get("file_format", "parquet"), spec.get("compression", "snappy")
     if mode == "merge":
-        old = files.read_if_there(source.sparkSession, f"{path}/clean", form[0], clean.schema)
-        clean = cut_lineage(ig.upsert(old, clean, spec.get("key_columns") or keys, marked if marked in clean.columns else None))
-        files.write(clean, f"{path}/clean", *form, "overwrite", **layout)
+        files.merge(clean, f"{path}/clean", *form, keys=spec.get("key_columns") or keys, order=marked if marked in clean.columns else None, **layout)
     else:
         files.write(clean, f"{path}/clean", *form, mode, **layout)
     if held is not None:
@@ -190,7 +226,7 @@ RULES: list[tuple[str, list[str], str]] = [
         ("extraction_mode", ["full_load", "incremental", "cdc"]), ("file_format", ["parquet", "delta", "csv", "json", "orc"]),
         ("compression", ["snappy", "gzip", "zstd", "none"]), ("watermark_type", ["timestamp", "date", "integer"]),
         ("schema_drift_action", ["warn", "fail", "ignore", "evolve"]), ("write_mode", ["append", "overwrite", "merge"]),
-        ("cdc_mode", ["log_based", "query_based", "trigger"]))],
+        ("cdc_mode", list(CDC_MODES)))],
     ("description_length", ["description"], "length(description) > 500"),
 ]
 

@@ -120,6 +120,19 @@ def distinct_count(df: DataFrame, column: str, approximate: bool = False, error:
         F.lit("distinct_count").alias("check_key"), F.lit(column).alias("column"), "total", "distinct_values")
 
 
+def distinct_sketches(df: DataFrame, column: str, by: list[str], log2_registers: int = 14) -> DataFrame:
+    """One mergeable sketch of a column's distinct values per batch or partition ``by``, with its row count (Q13).
+
+    A sketch is a few KB whatever the rows; sketches of new batches are stored beside the old ones."""
+    return df.groupBy(*by).agg(F.count("*").alias("total"), F.hll_sketch_agg(column, log2_registers).alias("sketch"))
+
+
+def merged_distinct(sketches: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
+    """Distinct values over all stored sketches, or per ``by``, without the rows; null counts as no value."""
+    return sketches.groupBy(*(by or [])).agg(F.sum("total").alias("total"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("distinct_values")).select(
+        *(by or []), F.lit("distinct_count").alias("check_key"), F.lit(column).alias("column"), "total", "distinct_values")
+
+
 def referential(child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> DataFrame:
     """Child rows without a parent (Q14).
 

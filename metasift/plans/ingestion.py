@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metasift.operators import ingest as ig
@@ -148,8 +151,8 @@ def dedup_columns(spark, sf):
 @query("I11", "partitioned_extract", """
 select l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice from lineitem""")
 def partitioned_extract(spark, sf):
-    return ig.partitioned_extract(table(spark, sf, "lineitem"), 16, "l_orderkey").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice")
+    parts = ig.partitioned_extract(table(spark, sf, "lineitem"), 48, "l_orderkey")
+    return reduce(DataFrame.unionByName, parts).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice")
 
 
 @query("I12", "schema_drift", """
@@ -276,13 +279,59 @@ def run_job_soft_delete(spark, sf):
     path = scratch_path(spark, "job")
     o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate")).alias("gone"),
                                           F.when(F.col("o_orderkey") % 7 != 0, "c").alias("clerk"), F.lit(1).alias("extra"))
-    spec = spec_of(extraction_mode="cdc", cdc_mode="soft_delete", deleted_at_column="gone", where_clause="o_custkey is not null", null_check_columns=["clerk"],
+    spec = spec_of(extraction_mode="cdc", cdc_mode="query_based", deleted_at_column="gone", where_clause="o_custkey is not null", null_check_columns=["clerk"],
                    row_count_min=1, expected_columns=["o_orderkey", "o_custkey", "gone", "clerk"], schema_drift_action="ignore")
     run_job(o, spec, path)
     part = lambda p: spark.read.parquet(f"{path}/{p}").select("o_orderkey", F.col("_op").alias("op"))
     return part("clean").withColumn("part", F.lit("clean")).unionByName(part("quarantine").withColumn("part", F.lit("held")))
 
 
+@query("S12", "upsert_touched_partitions", """
+select o_orderstatus, o_orderkey, case when o_orderstatus = 'F' and o_orderkey % 2 = 0 then 'new' else 'old' end as version from orders
+union all select 'F', -o_orderkey, 'new' from orders where o_orderstatus = 'F' and o_orderkey % 2 = 0""")
+def upsert_touched_partitions(spark, sf):
+    path = scratch_path(spark, "merged")
+    o = table(spark, sf, "orders").select("o_orderstatus", "o_orderkey", F.lit("old").alias("version"))
+    keys = {"keys": ["o_orderstatus", "o_orderkey"], "partition_by": ["o_orderstatus"]}
+    files.merge(o, path, **keys)
+    new = o.where("o_orderstatus = 'F' and o_orderkey % 2 = 0").withColumn("version", F.lit("new"))
+    files.merge(new.unionByName(new.withColumn("o_orderkey", -F.col("o_orderkey"))), path, **keys)
+    return files.read(spark, path, "parquet", o.schema)
+
+
+@query("I14", "run_job_bounded_checks", """
+select event_id, user_id from events where ts > timestamp '2024-01-10' and ts <= timestamp '2024-01-20'
+union all select -1, count(*) from events where ts > timestamp '2024-01-10' and ts <= timestamp '2024-01-20' having count(*) > 0""")
+def run_job_bounded_checks(spark, sf):
+    """An upper bound, and a job that only runs because its checks hold; broken ones leave the sink alone."""
+    from metasift.operators.jobspecs import run_job
+
+    path = scratch_path(spark, "job")
+    e = table(spark, sf, "events")
+    spec = spec_of(extraction_mode="incremental", watermark_column="ts", last_watermark="2024-01-10 00:00:00", upper_bound_column="ts", upper_bound_value="2024-01-20 00:00:00",
+                   row_count_min=1, row_count_max=10**12, not_empty_columns=["user_id", "value"], custom_checks=["event_id < 0", "event_type is null"])
+    run_job(e, spec, path)
+    failed = 0
+    for broken in ({"row_count_max": 1}, {"row_count_min": 10**12}, {"custom_checks": ["event_id >= 0"]}):
+        try:
+            run_job(e, spec | broken, path)
+        except ValueError:
+            failed += 1
+    rows = spark.read.parquet(path + "/clean").select("event_id", "user_id")
+    return rows.unionByName(rows.agg(F.lit(-1).cast("bigint").alias("event_id"), F.count("*").alias("user_id"))) if failed == 3 else rows
+
+
+@query("I14", "run_job_trigger", """
+select user_id, max(event_id) as event_id, arg_max(event_type, event_id) as event_type from events where event_id > 50 group by 1""")
+def run_job_trigger(spark, sf):
+    from metasift.operators.jobspecs import run_job
+
+    path = scratch_path(spark, "job")
+    spec = spec_of(extraction_mode="cdc", cdc_mode="trigger", key_columns=["user_id"], lsn_column="event_id", last_lsn=50)
+    run_job(table(spark, sf, "events").select("user_id", "event_id", "event_type"), spec, path)
+    return spark.read.parquet(path + "/clean")
+
+
 @query("I14", "run_job_merge", """
 select user_id, max(event_id) as event_id, arg_max(event_type, event_id) as event_type from events group by 1""")
 def run_job_merge(spark, sf):

@@ -100,6 +100,20 @@ def dq_distinct_count_approx(spark, sf):
     return dq.distinct_count(table(spark, sf, "lineitem"), "l_partkey", approximate=True)
 
 
+@query("Q13", "dq_distinct_sketch", """
+select l_returnflag, count(*)::bigint as total, true as within, true as same_as_whole from lineitem group by 1""")
+def dq_distinct_sketch(spark, sf):
+    """Sketches per ship mode, merged per return flag: within 3 % of the exact count, and the same as a sketch of all rows."""
+    rows = table(spark, sf, "lineitem")
+    parts = dq.distinct_sketches(rows, "l_partkey", ["l_returnflag", "l_linestatus", "l_linenumber"])
+    merged = dq.merged_distinct(parts, "l_partkey", ["l_returnflag"])
+    whole = dq.merged_distinct(dq.distinct_sketches(rows, "l_partkey", ["l_returnflag"]), "l_partkey", ["l_returnflag"])
+    exact = rows.groupBy("l_returnflag").agg(F.countDistinct("l_partkey").alias("n"))
+    n, m = F.col("n"), F.col("distinct_values")
+    return merged.join(exact, "l_returnflag").join(whole.select("l_returnflag", F.col("distinct_values").alias("all")), "l_returnflag").select(
+        "l_returnflag", "total", (F.abs(m - n) <= n * 0.03 + 1).alias("within"), (F.abs(m - F.col("all")) <= n * 0.03 + 1).alias("same_as_whole"))
+
+
 @query("Q14", "dq_referential", """
 select 'referential' as check_key, 'l_orderkey' as "column", count(*) as total, count(*) filter (o_orderkey is null) as failing,
  count(*) filter (o_orderkey is null) = 0 as pass

@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from metasift.operators.ingest import upsert
+from metasift.session import cut_lineage
+
 FORMATS = ("parquet", "csv", "json", "orc", "delta")
 COMPRESSIONS = ("snappy", "gzip", "zstd", "none")
 # Rough bytes per value, to turn a file size into a row count.
@@ -61,6 +64,29 @@ def read_if_there(spark: SparkSession, path: str, fmt: str, schema: T.StructType
         return spark.createDataFrame([], schema)
 
 
+def merge(incoming: DataFrame, path: str, fmt: str = "parquet", compression: str = "snappy", *, keys: list[str], order: str | None = None,
+          partition_by: list[str] | None = None, max_file_size_mb: int = 256) -> None:
+    """Fold rows into what ``path`` holds by their keys.
+
+    With partition columns among the keys only the partitions that the incoming rows name are read and replaced: the names reach the scan
+    as a pruning filter, and the files of a partition are exchanged when the write commits, so a failed write leaves the old
+    rows.  Otherwise the whole table is merged and written to the shared folder first, then over the old one.
+    """
+    spark = incoming.sparkSession
+    incoming = cut_lineage(incoming)
+    old = read_if_there(spark, path, fmt, incoming.schema)
+    parts = partition_by if partition_by and set(partition_by) <= set(keys) else None
+    if parts:
+        old = old.join(incoming.select(*parts).distinct(), parts, "left_semi").select(*incoming.columns)
+    merged = cut_lineage(upsert(old, incoming, keys, order).select(*incoming.columns))
+    try:
+        write(merged, path, fmt, compression, "overwrite", partition_by, max_file_size_mb)
+    except Exception as e:
+        if parts:
+            raise
+        raise RuntimeError(f"the merged table was not put in place; its rows are whole in {merged.inputFiles()[:1]}") from e
+
+
 def with_time_parts(df: DataFrame, ts: str) -> DataFrame:
     """year / month / day / hour columns for a time-partitioned layout."""
     return df.withColumns({"year": F.year(ts), "month": F.month(ts), "day": F.dayofmonth(ts), "hour": F.hour(ts)})
