@@ -169,12 +169,13 @@ def assemble_links(roles: DataFrame, up: DataFrame, down: DataFrame) -> DataFram
             n = F.when(F.col("hub").isNull(), F.col("n")).otherwise(n)
         sides.append(both.groupBy("payload_id", "id").agg(
             F.sum(n).alias(f"{side}_links"), F.array_distinct(F.flatten(F.collect_set("clouds"))).alias(f"{side}_clouds")))
-    # Only assets with several values can meet a target twice.
-    values = down.where("side = 'ingest'").select("payload_id", "link_key", "id")
-    several = values.groupBy("payload_id", "id").agg(F.count("*").alias("k")).where("k > 1").select("payload_id", "id")
+    # Only assets with several values can meet a target twice.  Assets with the same values mean the same targets, so the
+    # union of a set of values is taken once, however many assets have it.
+    values = down.where("side = 'ingest'").groupBy("payload_id", "id").agg(F.array_sort(F.collect_set("link_key")).alias("keys")).where("size(keys) > 1")
     targets = down.where("side = 'target'").select("payload_id", "link_key", F.col("id").alias("target"))
-    once = values.join(several, ["payload_id", "id"], "left_semi").join(targets, ["payload_id", "link_key"]).select(
-        "payload_id", "id", "target").distinct().groupBy("payload_id", "id").agg(F.count("*").alias("distinct_targets"))
+    unions = values.select("payload_id", "keys").distinct().withColumn("link_key", F.explode("keys")).join(targets, ["payload_id", "link_key"])
+    unions = unions.select("payload_id", "keys", "target").distinct().groupBy("payload_id", "keys").agg(F.count("*").alias("distinct_targets"))
+    once = values.join(unions, ["payload_id", "keys"]).select("payload_id", "id", "distinct_targets")
     j = ing.join(sides[0], ["payload_id", "id"], "left").join(sides[1], ["payload_id", "id"], "left").join(once, ["payload_id", "id"], "left")
     none = F.array().cast("array<string>")
     zero = F.lit(0).cast("bigint")

@@ -8,7 +8,8 @@ from metasift.functions import rules
 from metasift.operators import detect as dt
 from metasift.operators import jsonwalk as jw
 from metasift.operators import payload as pl
-from metasift.plans.catalog import fixture, query
+from metasift.operators import rule_index as ri
+from metasift.plans.catalog import fixture, query, table
 
 PAYLOAD = "fx_payload"
 TXT = "t as (select payload_id, lower(metadata || ' ' || config || ' ' || raw_json) as txt, raw_json, metadata from fx_payload)"
@@ -255,6 +256,22 @@ def custom_rule_detector(spark, sf):
     return dt.custom_rule_detector(USER_RULES)(fixture(spark, sf, PAYLOAD)).select("payload_id", "category", "label")
 
 
+@query("X02", "custom_rules_indexed", f"""
+with {TXT}, c as (select distinct payload_id, 'job' as category, 'J' || c_custkey as label from t join customer on cast(regexp_extract(txt, '"job_([0-9]+)"', 1) as bigint) = c_custkey)
+select * from c union all select distinct payload_id, 'zone', 'Z' || (n_nationkey % 9) from t join nation on regexp_matches(txt, '[a-z]+-' || (n_nationkey % 9) || '/orders')
+union all select payload_id, 'store', 'S' || r_regionkey from t join region on regexp_matches(txt, '(?:lake|landing)-' || r_regionkey)""", PAYLOAD)
+def custom_rules_indexed(spark, sf):
+    """As many rules as there are customers, and some more."""
+    parts = [
+        table(spark, sf, "customer").select(F.lit("job").alias("category"), F.concat(F.lit("J"), "c_custkey").alias("label"),
+                                            F.concat(F.lit('"job_'), "c_custkey", F.lit('"')).alias("pattern"), F.col("c_custkey").cast("long").alias("rule_order")),
+        table(spark, sf, "nation").select(F.lit("zone"), F.concat(F.lit("Z"), F.col("n_nationkey") % 9), F.concat(F.lit("[a-z]+-"), F.col("n_nationkey") % 9, F.lit("/orders")),
+                                          -1 - F.col("n_nationkey").cast("long")),
+        table(spark, sf, "region").select(F.lit("store"), F.concat(F.lit("S"), "r_regionkey"), F.concat(F.lit("(?:lake|landing)-"), "r_regionkey"), -1000 - F.col("r_regionkey").cast("long")),
+    ]
+    return ri.detect_rules(fixture(spark, sf, PAYLOAD), parts[0].union(parts[1]).union(parts[2])).select("payload_id", "category", "label")
+
+
 @query("R14", "detect_report_dq_rules", """
 with r as (select payload_id, lower(raw_json) as t, json_extract_string(raw_json,'$.dq.expectations[0].expectation_type') as e,
  json_extract_string(raw_json,'$.dq.expectations[0].kwargs.column') as c from fx_expectation
