@@ -280,8 +280,8 @@ def clean_resource_name(c: Column) -> Column:
     return title_case(F.regexp_replace(F.regexp_replace(c, "(?i)-[a-f0-9]{8,}$", ""), "[_-]", " "))
 
 
-def display_name(c: Column) -> Column:
-    """Resource id to struct(title, subtitle)."""
+def display_name(c: Column, width: int | None = None) -> Column:
+    """Resource id to struct(title, subtitle); a plain title longer than ``width``, if given, is cut."""
     work = F.element_at(F.split(c, r" \|\| "), -1)
     cut = clean_resource_name(work)
     low = F.lower(c)
@@ -295,8 +295,8 @@ def display_name(c: Column) -> Column:
                        .alias("title"),
                        F.upper(F.coalesce(F.nullif(F.try_element_at(F.split(work, ":"), F.lit(3)), F.lit("")),
                                           F.lit("service"))).alias("subtitle")))
-        .otherwise(F.struct(F.when(F.length(cut) > 24, F.concat(F.substring(cut, 1, 22), F.lit("...")))
-                            .otherwise(cut).alias("title"), kind.alias("subtitle")))
+        .otherwise(F.struct((cut if width is None else F.when(F.length(cut) > width, F.concat(F.substring(cut, 1, width - 2), F.lit("..."))).otherwise(cut))
+                            .alias("title"), kind.alias("subtitle")))
     )
 
 

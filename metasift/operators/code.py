@@ -78,15 +78,15 @@ def extraction_mode(code: Column) -> Column:
         .when(env_default(code, WATERMARKS).isNotNull() | has(code, "watermark", "incremental"), "incremental").otherwise("full_load"))
 
 
-def line_rules(files: DataFrame, ids: list[str]) -> DataFrame:
-    """Data-quality rules line by line (D21): asserts, null tests, expectations; condition cut at 80."""
+def line_rules(files: DataFrame, ids: list[str], width: int | None = None) -> DataFrame:
+    """Data-quality rules line by line (D21): asserts, null tests, expectations; the condition is the line, cut at ``width`` if given."""
     lines = files.select(*ids, F.posexplode(F.split("source", "\n")).alias("line_no", "line")).withColumn("line", F.trim("line"))
     low = F.lower("line")
     quoted = F.coalesce(F.nullif(F.regexp_extract("line", r"""["'](\w+)["']""", 1), F.lit("")), F.lit("unknown"))
     named = F.coalesce(F.nullif(F.regexp_extract("line", r"""dlt\.expect\w*\(["'](\w+)["']""", 1), F.lit("")), F.lit("unknown"))
 
     def rule(column: Column, kind: str, severity: str, action: str) -> Column:
-        return F.struct(column.alias("column"), F.lit(kind).alias("rule_type"), F.substring("line", 1, 80).alias("condition"),
+        return F.struct(column.alias("column"), F.lit(kind).alias("rule_type"), (F.col("line") if width is None else F.substring("line", 1, width)).alias("condition"),
                         F.lit(severity).alias("severity"), F.lit(action).alias("action"))
 
     r = (F.when(F.col("line").startswith("assert ") | F.col("line").startswith("assert("), rule(F.lit("inferred"), "custom", "high", "reject"))
@@ -95,8 +95,8 @@ def line_rules(files: DataFrame, ids: list[str]) -> DataFrame:
     return lines.select(*ids, "line_no", r.alias("r")).where("r is not null").select(*ids, "line_no", "r.*")
 
 
-def rule_types(code: Column) -> Column:
-    """Rule types of a program's lines, in-row, first 20 rules."""
+def rule_types(code: Column, first: int | None = None) -> Column:
+    """Rule types of a program's lines, in-row; of the first rules only if asked."""
     def kind(line: Column) -> Column:
         t = F.trim(line)
         low = F.lower(t)
@@ -104,7 +104,8 @@ def rule_types(code: Column) -> Column:
                 .when(low.contains("is not null") | low.contains("isnull") | low.contains("isnotnull"), "not_null")
                 .when(low.contains("dlt.expect"), "dlt_expectation"))
 
-    return F.slice(F.filter(F.transform(F.split(code, "\n"), kind), lambda x: x.isNotNull()), 1, 20)
+    found = F.filter(F.transform(F.split(code, "\n"), kind), lambda x: x.isNotNull())
+    return found if first is None else F.slice(found, 1, first)
 
 
 def dq_framework(code: Column) -> Column:
@@ -235,23 +236,28 @@ def unzip_python(archives: DataFrame) -> DataFrame:
     """Python files of zip archives read as ``binaryFile`` rows ``(path, content)``.
 
     Archives are opened one at a time inside their task and their members stream out.  A file
-    that is no archive gives one row that says so in ``error``.
+    that is no archive gives one row that says so in ``error``, and so does each member that cannot be read.
     """
     import io
     import zipfile
+    import zlib
 
     def members(batches):
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
                 try:
                     z = zipfile.ZipFile(io.BytesIO(content))
-                except zipfile.BadZipFile as e:
+                except (zipfile.BadZipFile, TypeError, ValueError) as e:
                     yield pa.RecordBatch.from_pylist([{"package": path, "path": None, "source": None, "error": str(e)}], shape)
                     continue
                 for name in z.namelist():
                     if name.endswith(".py"):
-                        text = z.read(name).decode("utf-8", "ignore")
-                        yield pa.RecordBatch.from_pylist([{"package": path, "path": name, "source": text, "error": None}], shape)
+                        text = error = None
+                        try:
+                            text = z.read(name).decode("utf-8", "ignore")
+                        except (zipfile.BadZipFile, zlib.error, RuntimeError, NotImplementedError, EOFError, ValueError, OSError) as e:
+                            error = str(e) or type(e).__name__  # wrong checksum, damaged data, password, unknown method
+                        yield pa.RecordBatch.from_pylist([{"package": path, "path": name, "source": text, "error": error}], shape)
 
     shape = pa.schema([(c, pa.string()) for c in ("package", "path", "source", "error")])
     return archives.select("path", "content").mapInArrow(members, "package string, path string, source string, error string")

@@ -53,10 +53,10 @@ def limit_rows(df: DataFrame, n: int, order_by: list[str]) -> DataFrame:
 
 
 def sample(df: DataFrame, percent: float, key: str | None = None, seed: int | None = None) -> DataFrame:
-    """Percentage sample; by hash of a key it is repeatable."""
+    """Percentage sample; by the MD5 of a key, as text, it is repeatable in any engine (P19).  A null key is not drawn."""
     if key is None:
         return df.sample(fraction=percent / 100, seed=seed)
-    return df.where(F.pmod(F.xxhash64(key), F.lit(10000)) < F.lit(percent * 100))
+    return df.where(F.conv(F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 8), 16, 10).cast("long") % 10000 < F.lit(percent * 100))
 
 
 def add_metadata(df: DataFrame, source_type: str, job_id: str, ingested_at: str | None = None) -> DataFrame:

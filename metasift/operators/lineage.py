@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from metasift.functions import rules
 from metasift.functions import text as tx
+from metasift.operators.ordering import positions
 from metasift.session import cut_lineage
 
 
@@ -25,9 +26,10 @@ def first_write_wins(df: DataFrame, keys: list[str], seq: str) -> DataFrame:
 def first_n(df: DataFrame, keys: list[str], order: list, n: int | None) -> DataFrame:
     """First n rows per key with their rank ``rn``, or all of them ranked.
 
-    A rank filter becomes a group limit before the shuffle."""
-    ranked = df.withColumn("rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
-    return ranked if n is None else ranked.where(F.col("rn") <= n)
+    A rank filter becomes a group limit before the shuffle; without one a key of any size is ranked over many tasks."""
+    if n is None:
+        return positions(df, keys, order, "rn")
+    return df.withColumn("rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("rn") <= n)
 
 
 def nodes_of(edges: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from metasift.session import cut_lineage
 
 
 def positions(df: DataFrame, keys: list[str], order: list[str], out: str = "pos", partitions: int | None = None) -> DataFrame:
-    """1-based positions by range partitioning: a group may span any number of tasks.
+    """1-based positions by range partitioning: a group may span any number of tasks; null keys are a group.
 
     Rows are range-partitioned and sorted on (keys, order); a row's place is its offset
     in its partition plus the group's counts in earlier partitions, of which there is one
@@ -24,8 +26,11 @@ def positions(df: DataFrame, keys: list[str], order: list[str], out: str = "pos"
     per = rows.groupBy(*keys, "_pid").agg(F.min("_rid").alias("_first"), F.count("*").alias("_n"))
     before = W.partitionBy(*keys).orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)
     per = per.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    return rows.join(per, [*keys, "_pid"]).withColumn(
-        out, (F.col("_rid") - F.col("_first") + F.col("_off") + 1).cast("int")).drop("_rid", "_pid", "_first", "_n", "_off")
+    named = {k: f"_key{i}" for i, k in enumerate(keys)}
+    per = per.select(*[F.col(k).alias(c) for k, c in named.items()], F.col("_pid").alias("_part"), "_first", "_off")
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(c)) for k, c in named.items()], F.col("_pid") == F.col("_part"))
+    return rows.join(per, same).withColumn(
+        out, (F.col("_rid") - F.col("_first") + F.col("_off") + 1).cast("int")).drop("_rid", "_pid", "_part", "_first", "_off", *named.values())
 
 
 def fragments(tokens: DataFrame, key: str, order: list[str]) -> DataFrame:

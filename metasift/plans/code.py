@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from metasift.operators import code as cd
@@ -106,6 +107,29 @@ def code_findings(spark, sf):
     return cd.code_findings(fixture(spark, sf, CODE), ["package_id"])
 
 
+@query("D28", "unzip_code_corpus", """
+select 'p' || cast(regexp_extract(path, '[0-9]+') as bigint) // 50 as package, path, source, null::varchar as error from fx_code where path like '%.py'""", CODE)
+def unzip_code_corpus(spark, sf):
+    """Fifty files at a time zipped in a task, then read back as archives."""
+    import io
+    import zipfile
+
+    @F.pandas_udf("binary")
+    def zipped(files: pd.Series) -> pd.Series:
+        def one(members):
+            out = io.BytesIO()
+            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                for m in members:
+                    z.writestr(m["path"], m["source"])
+            return out.getvalue()
+
+        return files.map(one)
+
+    number = F.floor(F.regexp_extract("path", "[0-9]+", 0).cast("bigint") / 50)  # packages of 50 files
+    files = fixture(spark, sf, CODE).groupBy(F.concat(F.lit("p"), number).alias("package")).agg(F.collect_list(F.struct("path", "source")).alias("files"))
+    return cd.unzip_python(files.select(F.col("package").alias("path"), zipped("files").alias("content")))
+
+
 @query("X03", "code_findings_udtf", f"with {FOUND} select kind, value, count(*) as packages from (select distinct package_id, kind, value from f) group by 1, 2", CODE)
 def code_findings_udtf(spark, sf):
     spark.udtf.register("code_findings", cd.code_findings_udtf())

@@ -16,7 +16,7 @@ def tags_case(col: str, table: dict) -> str:
 
 
 TREE = f"""p as (select root, path, string_split(path, '/') as s from fx_file),
-v as (select root, path, s[-1] as name, s[:-2] as dirs from p where not list_has_any(s[:-2], [{", ".join(f"'{d}'" for d in rules.SKIP_DIRS)}]) and len(s) - 1 <= 6),
+v as (select root, path, s[-1] as name, s[:-2] as dirs from p where not list_has_any(s[:-2], [{", ".join(f"'{d}'" for d in rules.SKIP_DIRS)}])),
 m as (select *, array_to_string(dirs, '/') as folder, {tags_case('lower(name)', rules.MARKER_FILES)} as marks from v),
 w as (select *, case when len(marks) > 0 then marks when lower(dirs[-1]) = 'dags' and name like '%.py' then ['Apache Airflow DAGs'] when contains(lower(folder), 'glue') and name like '%.py' then ['AWS Glue Jobs'] else [] end as tags from m),
 d as (select distinct root, array_to_string(dirs[1:k], '/') as dir from (select root, dirs, unnest(range(1, len(dirs) + 1)) as k from v)),
@@ -28,12 +28,12 @@ t as (select root, 'tag' as kind, unnest(tags) as value from w union select root
 
 @query("S03", "scan_source_tree", f"with {TREE} select root, kind, value from t", FILE)
 def scan_source_tree(spark, sf):
-    return ls.source_tree(fixture(spark, sf, FILE), max_depth=6).where("kind <> 'evidence'")
+    return ls.source_tree(fixture(spark, sf, FILE)).where("kind <> 'evidence'")
 
 
 @query("W09", "sorted_framework_set", f"with {TREE} select root, string_agg(value, '|' order by value) as frameworks from t where kind = 'tag' group by 1", FILE)
 def sorted_framework_set(spark, sf):
-    return ls.framework_set(ls.source_tree(fixture(spark, sf, FILE), max_depth=6)).select("root", F.array_join("frameworks", "|").alias("frameworks"))
+    return ls.framework_set(ls.source_tree(fixture(spark, sf, FILE))).select("root", F.array_join("frameworks", "|").alias("frameworks"))
 
 
 @query("W10", "global_cap_with_marker", """
@@ -57,6 +57,19 @@ def list_names_sorted_limit(spark, sf):
     return ls.list_names(a, 50, "s", "glue")
 
 
+@query("S05", "list_api_names", """
+select p_partkey, 0 as pos, '/parts/{id}' as name from part where p_partkey % 5 = 0 union all select p_partkey, 1, '/size/' || p_size from part where p_partkey % 5 = 0
+union all select p_partkey, 0, 'name' from part where p_partkey % 5 = 1 union all select p_partkey, 1, 'size' from part where p_partkey % 5 = 1
+union all select p_partkey, 0, 'brand' from part where p_partkey % 5 = 2 union all select p_partkey, 1, 'k' || p_size from part where p_partkey % 5 = 2""")
+def list_api_names(spark, sf):
+    p = table(spark, sf, "part")
+    kind, size = F.col("p_partkey") % 5, F.col("p_size").cast("string")
+    doc = (F.when(kind == 0, F.concat(F.lit('{"openapi":"3.0","paths":{"/size/'), size, F.lit('":{},"/parts/{id}":{"get":{}}}}')))
+           .when(kind == 1, F.concat(F.lit('[{"size":'), size, F.lit(',"name":"x"},{"other":1}]')))
+           .when(kind == 2, F.concat(F.lit('{"k'), size, F.lit('":null,"brand":[]}'))).when(kind == 3, F.lit("[]")).otherwise("not json"))
+    return ls.api_names(p.select("p_partkey", doc.alias("doc")), "doc", ["p_partkey"])
+
+
 @query("S06", "decode_definition_parts", """
 select item_id, path, case payload when 'eyJhIjoxfQ==' then '{"a":1}' when '{"a":2}' then '{"a":2}' else '"plain text!"' end as document from fx_definition where path is not null
 union all select item_id, 'second', '[3]' from fx_definition""", "fx_definition")

@@ -32,7 +32,8 @@ def row_limit(spark, sf):
     return ig.limit_rows(table(spark, sf, "orders"), 100, [F.desc("o_totalprice"), "o_orderkey"]).select("o_orderkey", "o_totalprice")
 
 
-@query("P19", "sample_percent")
+@query("P19", "sample_percent", """
+select o_orderkey, o_totalprice from orders where cast('0x' || md5(cast(o_orderkey as varchar))[1:8] as bigint) % 10000 < 1000""")
 def sample_percent(spark, sf):
     return ig.sample(table(spark, sf, "orders"), 10.0, key="o_orderkey").select("o_orderkey", "o_totalprice")
 

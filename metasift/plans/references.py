@@ -85,7 +85,7 @@ def lookup_key(spark, sf):
 with a as (select item_pos, lower(id) as low, string_split(id,' || ')[-1] as name from fx_asset),
 c as (select item_pos, low, regexp_replace(regexp_replace(name, '-[a-f0-9]{8,}$', '', 'i'), '[_-]', ' ', 'g') as cut from a),
 t as (select item_pos, low, array_to_string(list_transform(string_split(cut,' '), lambda w: upper(w[1:1]) || w[2:]), ' ') as t from c)
-select item_pos, case when length(t) > 24 then t[1:22] || '...' else t end as title,
+select item_pos, t as title,
  case """ + " ".join(f"when contains(low,'{w}') then '{v}'" for w, v in rules.RESOURCE_LABELS) + """ else 'Lambda Function' end as subtitle
 from t""", "fx_asset")
 def display_name(spark, sf):

@@ -81,6 +81,18 @@ def list_names(names: DataFrame, n: int, prefix: str = "", schema: str | None =
     return out.where(F.col("name").startswith(prefix)).select("name").orderBy("name").limit(n)
 
 
+def api_names(responses: DataFrame, doc: str, ids: list[str], n: int | None = None) -> DataFrame:
+    """Names that an API response offers, ``(ids, pos, name)``: paths of an OpenAPI document, else the keys of a list's first item or of the object.
+
+    Names stand in their sorted order; the first ``n`` if given.  A response that is neither gives no rows.
+    """
+    def keys(path: str) -> Column:
+        return F.map_keys(F.try_variant_get(F.try_parse_json(F.col(doc)), path, "map<string,variant>"))
+
+    names = F.array_sort(F.coalesce(keys("$.paths"), keys("$[0]"), keys("$")))
+    return responses.select(*ids, F.posexplode(names if n is None else F.slice(names, 1, n)).alias("pos", "name"))
+
+
 def decode_text(raw: Column) -> Column:
     """Base64 text decoded when it is valid UTF-8, else the text as it is."""
     return F.coalesce(F.try_validate_utf8(F.try_to_binary(raw, F.lit("base64")).cast("string")), raw)
