@@ -108,12 +108,19 @@ def payload_source_fallback(spark, sf):
     return p.select("payload_id", "g.source_type", "g.service_name", "g.endpoint")
 
 
+AUTH_WORDS = ["ManagedIdentity", "Managed Identity", "OAuth2", "oauth", "apiKey", "API_KEY", "Basic", "connectionName", "none", "key"]
+
+
 @query("R09", "detect_auth", """
-select payload_id, case when o % 4 = 0 then 'Managed Identity' when o % 4 = 1 then 'OAuth' when o % 4 = 2 then 'Key' else null end as auth
-from (select payload_id, payload_id as o from fx_payload)""", "fx_payload")
+with t as (select payload_id, lower(raw_json || ([{0}])[payload_id % 10 + 1] || ' ' || ([{0}])[payload_id // 10 % 10 + 1]) as s from fx_payload)
+select payload_id, case when contains(s, 'managedidentity') or contains(s, 'managed identity') then 'Managed Identity' when contains(s, 'oauth') then 'OAuth'
+ when contains(s, 'apikey') or contains(s, 'api_key') then 'Key' when contains(s, 'basic') then 'Basic' when contains(s, 'connection') then 'Connection Reference' end as auth from t""".format(
+    ", ".join(f"'{w}'" for w in AUTH_WORDS)), "fx_payload")
 def detect_auth(spark, sf):
-    tail = F.expr("case payload_id % 4 when 0 then 'Managed Identity, oauth' when 1 then 'OAuth2' when 2 then 'api_key' else '' end")
-    return fixture(spark, sf, "fx_payload").select("payload_id", ac.detect_auth(F.concat("raw_json", tail)).alias("auth"))
+    words, n = F.array(*[F.lit(w) for w in AUTH_WORDS]), F.col("payload_id")
+    pick = lambda i: F.element_at(words, (F.pmod(i, F.lit(10)) + 1).cast("int"))
+    text = F.concat("raw_json", pick(n), F.lit(" "), pick(F.floor(n / 10)))
+    return fixture(spark, sf, "fx_payload").select("payload_id", ac.detect_auth(text).alias("auth"))
 
 
 @query("R11", "detect_mode", """
@@ -230,9 +237,14 @@ def normalize_file_type(spark, sf):
     return activities(spark, sf).select(P, "idx", tx.normalize_file_type(ac.member(F.upper("src"), "TYPE")).alias("file_type"))
 
 
-@query("F15", "normalize_node_id", "select pipeline_id, idx, 'act' as norm from fx_activity", ACT)
+@query("F15", "normalize_node_id", """
+select pipeline_id, idx, regexp_replace(lower(trim(n)), '_?[0-9]+$', '') as norm from (select pipeline_id, idx, case idx % 4 when 0 then ' ' || upper(name) || ' '
+ when 1 then type || idx when 2 then '12_' || type || '_v2x' else ' Step' || pipeline_id || '_' end as n from fx_activity)""", ACT)
 def normalize_node_id(spark, sf):
-    return activities(spark, sf).select(P, "idx", tx.normalize_node_id(F.concat(F.lit(" "), F.upper("name"), F.lit(" "))).alias("norm"))
+    kind, idx = F.col("idx") % 4, F.col("idx").cast("string")
+    n = (F.when(kind == 0, F.concat(F.lit(" "), F.upper("name"), F.lit(" "))).when(kind == 1, F.concat("type", idx))
+         .when(kind == 2, F.concat(F.lit("12_"), "type", F.lit("_v2x"))).otherwise(F.concat(F.lit(" Step"), F.col(P), F.lit("_"))))
+    return activities(spark, sf).select(P, "idx", tx.normalize_node_id(n).alias("norm"))
 
 
 ADF_TEXT = """w as (select payload_id, regexp_extract(raw_json, '"name":"(pipe_[0-9]+)"', 1) as name, raw_json, config,

@@ -95,6 +95,95 @@ def classify_code_framework(spark, sf):
     return files(spark, sf).select("package_id", "path", cd.classify_snippet(F.col("source")).alias("f")).select("package_id", "path", "f.*")
 
 
+# Programs of two phrases each, all pairs of phrases in turn: the oracle reads the text itself, rule by rule.
+PHRASES = """psycopg2|postgresql|pg_host|kafka|bootstrap.servers|msk|snowflake connector|snowflake.connect|requests.get|httpx|api_url|base_url|boto3 s3|s3://|adls|dfs.core.windows.net|abfss://
+sftp|paramiko|mysql|pymongo|mongodb|awsglue|gluecontext|lambda_handler|def handler|statemachine|stepfunctions|dlt.expect("a")|delta live|SparkSession|pyspark databricks|{{ config(|{{ ref(
+CREATE TASK|create stream|datafactory|linkedService|cdc|stream|watermark|incremental|WATERMARK = "w"|os.environ["INCREMENTAL_COLUMN"]|great_expectations|deequ|soda scan|awsgluedq
+assert x|assert(y)|z is not null|.writeStream delta|.write.format|.write.mode("delta")|redshift|snowflake write|os.environ.get("SINK_BUCKET", "b")|plain|readStream""".replace("\n", "|").split("|")
+N = len(PHRASES)
+LISTED = ", ".join("'" + w + "'" for w in PHRASES)
+PAIRED = f"""k as (select package_id, path, cast(regexp_extract(path, '[0-9]+') as bigint) as p from fx_code),
+w as (select package_id, path, 'x = 1' || chr(10) || ([{LISTED}])[p % {N} + 1] || chr(10) || ([{LISTED}])[p // {N} % {N} + 1] as source from k),
+t as (select *, lower(source) as s from w)"""
+
+
+def paired(spark, sf):
+    n = F.regexp_extract("path", "[0-9]+", 0).cast("bigint")
+    words = F.array(*[F.lit(w) for w in PHRASES])
+    pick = lambda i: F.element_at(words, (F.pmod(i, F.lit(N)) + 1).cast("int"))
+    return fixture(spark, sf, CODE).withColumn("source", F.concat(F.lit("x = 1\n"), pick(n), F.lit("\n"), pick(F.floor(n / N))))
+
+
+def holds(*words):
+    return "(" + " or ".join(f"contains(s, '{w}')" for w in words) + ")"
+
+
+def env_set(*names):
+    either = "|".join(names)
+    return f"""regexp_matches(source, 'os\\.environ(\\.get)?\\s*[\\[(]\\s*[''"]({either})[''"]|(^|\\n)({either})\\s*[=:]\\s*[''"][^''"]+[''"]')"""
+
+
+TEXT_ORACLES = {
+    "source_type": f"""case when {holds('psycopg2', 'postgresql', 'pg_host')} then 'postgresql' when {holds('kafka', 'bootstrap.servers', 'msk')} then 'kafka'
+ when contains(s, 'snowflake') and {holds('connector', 'snowflake.connect')} then 'snowflake' when {holds('requests.get', 'httpx', 'api_url', 'base_url')} then 'rest_api'
+ when contains(s, 's3') and {holds('boto3', 's3://')} then 's3' when {holds('adls', 'dfs.core.windows.net', 'abfss://')} then 'adls_gen2' when {holds('sftp', 'paramiko')} then 'sftp'
+ when {holds('mysql', 'pymysql')} then 'mysql' when {holds('mongodb', 'pymongo')} then 'mongodb' else 'unknown' end""",
+    "framework": f"""case when {holds('awsglue', 'gluecontext')} then 'AWS_Glue/glue' when {holds('lambda_handler', 'def handler')} then 'AWS_Lambda/lambda'
+ when {holds('statemachine', 'stepfunctions')} then 'AWS_StepFunctions/step_functions' when {holds('dlt.', 'delta live')} then 'Databricks_DLT/dlt'
+ when {holds('sparksession', 'pyspark')} then case when contains(s, 'databricks') then 'Databricks_Spark/spark' else 'AWS_EMR/spark' end
+ when {holds('{{ config(', '{{ ref(')} then 'dbt/dbt' when {holds('create task', 'create stream')} then 'Snowflake/snowflake_task'
+ when {holds('datafactory', 'linkedservice')} then 'ADF/adf' else 'unknown/unknown' end""",
+    "mode": f"""case when contains(s, 'cdc') or (contains(s, 'stream') and contains(s, 'kafka')) then case when contains(s, 'kafka') then 'streaming' else 'cdc' end
+ when {env_set('WATERMARK_COLUMN', 'WATERMARK', 'INCREMENTAL_COLUMN')} or {holds('watermark', 'incremental')} then 'incremental' else 'full_load' end""",
+    "dq": f"""case when {holds('great_expectations', 'great-expectations', 'expectation_suite')} then 'great_expectations' when contains(s, 'deequ') then 'deequ'
+ when contains(s, 'soda') and contains(s, 'scan') then 'soda' when contains(s, 'dlt.expect') then 'dlt_expectations' when {holds('awsgluedq', 'evaluatedataquality')} then 'glue_dq'
+ when regexp_matches(source, '(^|\\n)[ \\t]*assert[ (]') or {holds('is not null', 'isnull', 'isnotnull')} then 'custom' else 'none' end""",
+    "target": f"""case when {holds('.writestream', '.write.format', '.write.mode')} then case when contains(s, 'delta') then 'delta' else 'parquet' end
+ when contains(s, 'redshift') then 'redshift' when contains(s, 'snowflake') and contains(s, 'write') then 'snowflake'
+ when {env_set('OUTPUT_BUCKET', 'SINK_BUCKET', 'TARGET_BUCKET', 'DEST_BUCKET')} then 's3' when {holds('adls', 'abfss://')} then 'adls_gen2' else 'unknown' end""",
+    "snippet": f"""case when {holds('awsglue', 'gluecontext')} then 'AWS_Glue/aws/etl' when contains(s, 'lambda_handler') then 'AWS_Lambda/aws/etl'
+ when contains(s, 'sparksession') and contains(s, 'databricks') then 'Databricks_Spark/azure/etl' when contains(s, 'dlt.') then 'Databricks_DLT/azure/streaming'
+ when contains(s, '{{{{ config(') then 'dbt/multi/elt' when {holds('create task', 'create stream')} then 'Snowflake/snowflake/batch'
+ when {holds('readstream', 'writestream')} then 'Spark_Streaming/multi/streaming' when contains(s, 'datafactory') then 'ADF/azure/etl' else 'unknown/unknown/unknown' end""",
+}
+
+
+def text_oracle(what):
+    return f"with {PAIRED} select package_id, path, {TEXT_ORACLES[what]} as found from t"
+
+
+@query("D18", "source_type_of_pairs", text_oracle("source_type"), CODE)
+def source_type_of_pairs(spark, sf):
+    return out(paired(spark, sf), cd.source_type(F.col("source")), "found")
+
+
+@query("D19", "framework_of_pairs", text_oracle("framework"), CODE)
+def framework_of_pairs(spark, sf):
+    f = cd.framework(F.col("source"))
+    return out(paired(spark, sf), F.concat_ws("/", f["framework"], f["pipeline_type"]), "found")
+
+
+@query("D20", "mode_of_pairs", text_oracle("mode"), CODE)
+def mode_of_pairs(spark, sf):
+    return out(paired(spark, sf), cd.extraction_mode(F.col("source")), "found")
+
+
+@query("D22", "dq_framework_of_pairs", text_oracle("dq"), CODE)
+def dq_framework_of_pairs(spark, sf):
+    return out(paired(spark, sf), cd.dq_framework(F.col("source")), "found")
+
+
+@query("D23", "target_of_pairs", text_oracle("target"), CODE)
+def target_of_pairs(spark, sf):
+    return out(paired(spark, sf), cd.target_type(F.col("source")), "found")
+
+
+@query("D26", "snippet_of_pairs", text_oracle("snippet"), CODE)
+def snippet_of_pairs(spark, sf):
+    f = cd.classify_snippet(F.col("source"))
+    return out(paired(spark, sf), F.concat_ws("/", f["framework"], f["cloud_provider"], f["pattern"]), "found")
+
+
 FOUND = """g as (select package_id, path, source from fx_code where source not like '%def broken%'),
 f as (select package_id, 'format' as kind, regexp_extract(source, '(json|csv|yaml)', 1) as value, 'import' as method from g
  union select package_id, 'operation', case when source like '%get_object%' then 'read' else 'write' end, regexp_extract(source, '(get_object|put_object)', 1) from g where source like '%_object%'
