@@ -172,6 +172,30 @@ def schema_drift(spark, sf):
     return ig.schema_drift(d.select(doc.alias("doc")), "doc", {"id": "BIGINT", "custkey": "BIGINT", "amount": "BIGINT", "phone": "STRING"})
 
 
+@query("I12", "append_with_drift", """
+with o as (select o_orderkey, o_orderstatus, o_orderpriority, o_orderstatus = 'F' as second from orders),
+a as (select unnest(['evolve', 'ignore', 'warn']) as action)
+select action, o_orderkey::bigint as o_orderkey, case when second and action = 'evolve' then null else o_orderstatus end as o_orderstatus,
+ case when second and action = 'evolve' then o_orderpriority end as priority, 0 as notes from o, a where action = 'evolve'
+union all select action, o_orderkey, case when second then null else o_orderstatus end, null, 0 from o, a where action <> 'evolve'
+union all select action, null, null, null, case action when 'warn' then 3 else 0 end from a""")
+def append_with_drift(spark, sf):
+    """A second delivery without the status, with a wider key and a new column, under each way to meet it."""
+    o = table(spark, sf, "orders")
+    out = []
+    for action in ("evolve", "ignore", "warn"):
+        path = scratch_path(spark, f"drift-{action}")
+        files.append_drifting(o.where("o_orderstatus <> 'F'").select(F.col("o_orderkey").cast("int").alias("o_orderkey"), "o_orderstatus"), path, action)
+        files.append_drifting(o.where("o_orderstatus = 'F'").select(F.col("o_orderkey").cast("bigint").alias("o_orderkey"), F.col("o_orderpriority").alias("priority")), path, action)
+        rows = files.read_drifting(spark, path)
+        if "priority" not in rows.columns:
+            rows = rows.withColumn("priority", F.lit(None).cast("string"))
+        out.append(rows.select(F.lit(action).alias("action"), F.col("o_orderkey").cast("bigint").alias("o_orderkey"), "o_orderstatus", "priority", F.lit(0).alias("notes")))
+        out.append(files.drift_notes(spark, path).agg(F.count("*").cast("int").alias("notes")).select(
+            F.lit(action).alias("action"), F.lit(None).cast("bigint").alias("o_orderkey"), F.lit(None).cast("string").alias("o_orderstatus"), F.lit(None).cast("string").alias("priority"), "notes"))
+    return reduce(DataFrame.unionByName, out)
+
+
 @query("I13", "schema_map_normalize", """
 select o_orderkey as order_id, floor(o_totalprice)::bigint as price, try_cast(split_part(o_orderpriority, '-', 1) as int) as priority,
  cast(o_orderdate as date) as order_date from orders""")

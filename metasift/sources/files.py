@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,6 +89,75 @@ def merge(incoming: DataFrame, path: str, fmt: str = "parquet", compression: str
         raise RuntimeError(f"the merged table was not put in place; its rows are whole in {merged.inputFiles()[:1]}") from e
 
 
+# Widenings that keep every value and that a reader does on the fly: a type and what it may become.
+WIDER = {"tinyint": ["smallint", "int", "bigint"], "smallint": ["int", "bigint"], "int": ["bigint", "double"], "float": ["double"], "date": ["timestamp_ntz"]}
+
+
+def evolved(old: T.StructType, new: T.StructType) -> T.StructType:
+    """Columns of both, the old ones first; of two types the wider.  Types that do not widen into each other fail."""
+    out, by_name = [], {f.name: f for f in new.fields}
+    for f in old.fields:
+        g = by_name.pop(f.name, f)
+        a, b = f.dataType.simpleString(), g.dataType.simpleString()
+        if a != b and b not in WIDER.get(a, []) and a not in WIDER.get(b, []):
+            raise ValueError(f"column {f.name} cannot hold {a} and {b}")
+        out.append(T.StructField(f.name, g.dataType if b in WIDER.get(a, []) else f.dataType))
+    return T.StructType(out + [T.StructField(f.name, f.dataType) for f in new.fields if f.name in by_name])
+
+
+def sink_schema(spark: SparkSession, path: str) -> T.StructType | None:
+    """Schema of a table written by :func:`append_drifting`: all schemas it was given, folded together."""
+    rows = read_if_there(spark, f"{path}/_schemas", "json", T.StructType.fromDDL("seq long, schema string")).orderBy("seq").collect()  # one per change
+    out = None
+    for r in rows:
+        given = T.StructType.fromJson(json.loads(r["schema"]))
+        out = given if out is None else evolved(out, given)
+    return out
+
+
+def append_drifting(df: DataFrame, path: str, action: str = "warn") -> None:
+    """Append rows whose columns may differ from the sink's.
+
+    ``fail`` raises.  ``ignore`` keeps the sink's columns and types; what does not fit is null, what is new is left out.  ``warn`` does so too
+    and adds the differences to :func:`drift_notes`.  ``evolve`` lets the sink gain columns and wider types: the schema is noted before the
+    rows, so a reader never meets a file wider than what it knows, and old files read with nulls.
+    """
+    if action not in ("warn", "fail", "ignore", "evolve"):
+        raise ValueError(f"unknown drift action {action!r}")
+    spark, have = df.sparkSession, sink_schema(df.sparkSession, path)
+
+    def note(schema: T.StructType) -> None:
+        seq = spark.read.schema("seq long").json(f"{path}/_schemas").count() if have is not None else 0
+        spark.createDataFrame([(seq, schema.json())], "seq long, schema string").coalesce(1).write.mode("append").json(f"{path}/_schemas")
+
+    if have is None:
+        note(df.schema)
+        have = df.schema
+    old, new = ({f.name: f.dataType.simpleString() for f in s.fields} for s in (have, df.schema))
+    notes = [(c, "added", None, t) for c, t in new.items() if c not in old] + [
+        (c, "removed" if c not in new else "type_changed", t, new.get(c)) for c, t in old.items() if new.get(c) != t]
+    if notes and action == "fail":
+        raise ValueError(f"columns differ: {notes}")
+    if notes and action == "evolve":
+        target = evolved(have, df.schema)
+        if target != T.StructType([T.StructField(f.name, f.dataType) for f in have.fields]):
+            note(target)
+        have = target
+    if notes and action == "warn":
+        spark.createDataFrame(notes, "column string, status string, had string, got string").coalesce(1).write.mode("append").json(f"{path}/_drift")
+    write(df.select(*[(F.col(f.name).try_cast(f.dataType) if f.name in new else F.lit(None).cast(f.dataType)).alias(f.name) for f in have.fields]), path)
+
+
+def read_drifting(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of a table written by :func:`append_drifting`, in its newest schema."""
+    return spark.read.schema(sink_schema(spark, path)).parquet(path)
+
+
+def drift_notes(spark: SparkSession, path: str) -> DataFrame:
+    """(column, status, had, got) of every append that differed under ``warn``."""
+    return read_if_there(spark, f"{path}/_drift", "json", T.StructType.fromDDL("column string, status string, had string, got string"))
+
+
 def with_time_parts(df: DataFrame, ts: str) -> DataFrame:
     """year / month / day / hour columns for a time-partitioned layout."""
     return df.withColumns({"year": F.year(ts), "month": F.month(ts), "day": F.dayofmonth(ts), "hour": F.hour(ts)})
