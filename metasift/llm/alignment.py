@@ -132,29 +132,15 @@ class Pieces:
         return [np.array(ids, np.uint32) for ids in self.model.encode(texts, num_threads=1)]
 
 
-def align_window(a: list[int], b: list[int], size_a: list[int], size_b: list[int]) -> tuple[str, list[tuple[int, int]]]:
-    """Groups of a window as text, and the ids that end each group."""
-    groups, links, i, j = [], [], 0, 0
-    while i < len(a):
-        lo_a, lo_b = i, j
-        end_a, end_b = size_a[a[i]], size_b[b[j]]
-        i, j = i + 1, j + 1
-        while end_a != end_b:
-            if end_a < end_b:
-                end_a, i = end_a + size_a[a[i]], i + 1
-            else:
-                end_b, j = end_b + size_b[b[j]], j + 1
-        groups.append(",".join(map(str, a[lo_a:i])) + "|" + ",".join(map(str, b[lo_b:j])))
-        links.append((a[i - 1], b[j - 1]))
-    return ";".join(groups), links
-
-
 class Aligner:
     _copies: dict[tuple[str, str], Aligner] = {}
 
     def __init__(self, first: str, second: str, remembered: int = REMEMBERED):
         self.a, self.b = ByteLevel(first), Pieces(second)
-        self.a.lengths, self.b.lengths = (x.vocabulary.length.tolist() for x in (self.a, self.b))
+        # How an id reads inside its group and at the end of it, for both sides.
+        sizes = [len(x.vocabulary.length) for x in (self.a, self.b)]
+        self.written = np.array([f"{k}{mark}" for n, marks in zip(sizes, (",|", ",;"), strict=True) for mark in marks for k in range(n)], object)
+        self.shift = (sizes[0], 2 * sizes[0], 2 * sizes[0] + sizes[1])
         #: By the ids of both sides, four bytes each.
         self.memo: dict[tuple[bytes, bytes], tuple[str, np.ndarray]] = {}
         self.remembered = remembered
@@ -166,15 +152,39 @@ class Aligner:
             cls._copies[first, second] = cls(first, second)
         return cls._copies[first, second]
 
-    def window(self, ids: tuple[bytes, bytes]) -> tuple[str, np.ndarray]:
-        got = self.memo.get(ids)
-        if got is None:
-            a, b = (np.frombuffer(x, "<u4").tolist() for x in ids)
-            text, links = align_window(a, b, self.a.lengths, self.b.lengths)
-            got = text, np.array([x * SECOND + y for x, y in links], np.int64)
-            if len(self.memo) < self.remembered:
-                self.memo[ids] = got
-        return got
+    def windows(self, ids: list[tuple[bytes, bytes]]) -> list[tuple[str, np.ndarray]]:
+        """Groups as text and linked pairs of every window; those not remembered are aligned together."""
+        found = list(map(self.memo.get, ids))
+        new = [k for k, got in enumerate(found) if got is None]
+        if new:
+            sides = [np.frombuffer(b"".join([ids[k][side] for k in new]), "<u4").astype(np.int64) for side in (0, 1)]
+            counts = [np.array([len(ids[k][side]) // 4 for k in new]) for side in (0, 1)]
+            for k, got in zip(new, self.align_windows(*sides, *counts), strict=True):
+                found[k] = got
+                if len(self.memo) < self.remembered:
+                    self.memo[ids[k]] = got
+        return found
+
+    def align_windows(self, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> Iterator[tuple[str, np.ndarray]]:
+        """Alignments of windows that stand one after another, ``n_a`` and ``n_b`` ids each; their bytes are the same on both sides."""
+        ends = [np.cumsum(v.length[side]) for side, v in ((a, self.a.vocabulary), (b, self.b.vocabulary))]
+        spot = np.zeros(int(ends[0][-1]) + 1, np.uint8)
+        for k, e in enumerate(ends):
+            spot[e] |= 1 << k
+        closing = [spot[e] == 3 for e in ends]
+        last = [np.flatnonzero(c) for c in closing]
+        # A group's ids of the first side stand before those of the second: each id moves by the other side's ids before it.
+        group = [np.cumsum(c) - c for c in closing]
+        before = np.append(0, last[1] + 1)
+        order = np.empty(len(a) + len(b), np.int64)
+        order[np.arange(len(a)) + before[group[0]]] = a + closing[0] * self.shift[0]
+        order[np.arange(len(b)) + last[0][group[1]] + 1] = b + np.where(closing[1], self.shift[2], self.shift[1])
+        written = self.written[order].tolist()
+        links = a[last[0]] * SECOND + b[last[1]]
+        stop = np.cumsum(n_a + n_b)
+        of_links = group[0][np.cumsum(n_a) - 1] + 1
+        for lo, hi, p, q in zip((stop - n_a - n_b).tolist(), stop.tolist(), [0, *of_links[:-1].tolist()], of_links.tolist(), strict=True):
+            yield "".join(written[lo:hi])[:-1], links[p:q]
 
     def align(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray]:
         """Per text: ids on both sides and groups as text; then the pair of every link and each text's first link."""
@@ -214,7 +224,7 @@ class Aligner:
         _, some, which = np.unique(key, return_index=True, return_inverse=True)
         raw = [side.astype("<u4").tobytes() for side in sides]
         bounds = [((4 * c[some]).tolist(), (4 * c[some + 1]).tolist()) for c in (x.astype(np.int64) for x in cuts)]
-        found = [self.window((raw[0][p:q], raw[1][r:s])) for p, q, r, s in zip(*bounds[0], *bounds[1], strict=True)]
+        found = self.windows([(raw[0][p:q], raw[1][r:s]) for p, q, r, s in zip(*bounds[0], *bounds[1], strict=True)])
         words = np.empty(len(found), object)
         words[:] = [t for t, _ in found]
         count = np.array([len(p) for _, p in found], np.int64)
