@@ -4,12 +4,12 @@ Normalised vectors are projected on Gaussian directions; each projection, shifte
 gives one part of a bucket key, ``k`` parts make a key and every table has its own key.  ``k`` follows from the number
 of vectors (unrelated vectors should seldom meet), the number of tables from the wanted recall at the threshold.
 
-Buckets are compared many at a time; a large one in tiles of ``tile`` x ``tile`` vectors, so a hot bucket spreads over
-many tasks.  A pair is counted in the first table where it meets.  A task gives per vector the number of links it found
-and a spanning forest of its links, never the pairs.
+Vectors with equal unit vectors are one class, compared once with its number of copies.  Buckets are compared many at a time; a
+large one in tiles of ``tile`` x ``tile`` classes, so a hot bucket spreads over many tasks.  A pair is counted in the first table where it
+meets.  A task gives per class the number of links it found and a spanning forest of its links, never the pairs.
 
-Cases: null, zero and non-finite vectors, and vectors of another length than the most frequent one's, link with
-nothing; rows of a repeated id are vectors of their own that share a component; a null id links with nothing; an
+Cases: null, empty, zero and non-finite vectors link with nothing; vectors of every length are hashed by directions of their own, and those of
+different lengths never link; rows of a repeated id are vectors of their own that share a component; a null id links with nothing; an
 empty table gives no rows.
 """
 
@@ -52,9 +52,9 @@ def plan(rows: int, threshold: float = THRESHOLD, step: float = STEP, recall: fl
     return k, tables
 
 
-def unit(values: list | np.ndarray | None, dims: int) -> np.ndarray | None:
+def unit(values: list | np.ndarray | None) -> np.ndarray | None:
     """The normalised vector in double precision, or None where it links with nothing."""
-    if values is None or len(values) != dims:
+    if values is None or not len(values):
         return None
     v = np.array([np.nan if x is None else x for x in values], np.float64) if not isinstance(values, np.ndarray) else values.astype(np.float64)
     if not np.isfinite(v).all():
@@ -82,19 +82,23 @@ def stacked(packed: list[bytes]) -> np.ndarray:
     return np.stack([np.frombuffer(u) for u in packed])
 
 
-def _hasher(dims: int, k: int, tables: int):
+def _hasher(k: int, tables: int):
     @tidy
     def hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 2_000):
                 rows = batch.slice(lo, 2_000).to_pylist()
-                units = [unit(r["embedding"], dims) for r in rows]
-                good = [u for u in units if u is not None]
-                found = iter(keys(np.stack(good), k, tables).tolist() if good else [])
+                units = [unit(r["embedding"]) for r in rows]
+                size = np.array([0 if u is None else len(u) for u in units])
+                found: list = [None] * len(units)
+                for d in set(size.tolist()) - {0}:
+                    at = np.flatnonzero(size == d).tolist()
+                    for i, own in zip(at, keys(np.stack([units[i] for i in at]), k, tables).tolist(), strict=True):
+                        found[i] = own
                 yield pa.RecordBatch.from_arrays([
                     pa.array([r["row"] for r in rows], pa.int64()), pa.array([r["node"] for r in rows], pa.int64()),
                     pa.array([None if u is None else u.tobytes() for u in units], pa.binary()),
-                    pa.array([None if u is None else next(found) for u in units], pa.list_(pa.int64())),
+                    pa.array(found, pa.list_(pa.int64())),
                 ], ["row", "node", "unit", "keys"])
 
     return hash_rows
@@ -158,7 +162,7 @@ def forest(i: np.ndarray, j: np.ndarray) -> list[int]:
 
 def _linker(k: int, tables: int, threshold: float):
     def link(part: pd.DataFrame) -> pd.DataFrame:
-        """Rows of many cells: links per row (other is null), and a spanning forest of vectors (n is null)."""
+        """Classes of many cells, of one length: links per class (other is null), and a spanning forest of vectors (n is null)."""
         part = part.sort_values(["t", "key", "ta", "tb"], ignore_index=True)
         x, table = stacked(part["unit"]), part["t"].to_numpy()
         name = part[["t", "key", "ta", "tb"]].to_numpy()
@@ -167,8 +171,10 @@ def _linker(k: int, tables: int, threshold: float):
         if len(i):
             first = meet_first(x, i, j, table[i], k, tables)
             i, j = i[first], j[first]
-        row, node = part["row"].to_numpy(), part["node"].to_numpy()
-        rows, n = np.unique(np.concatenate([row[i], row[j]]), return_counts=True)
+        row, node, copies = part["row"].to_numpy(), part["node"].to_numpy(), part["copies"].to_numpy()
+        rows, at = np.unique(np.concatenate([row[i], row[j]]), return_inverse=True)
+        n = np.zeros(len(rows), np.int64)
+        np.add.at(n, at, np.concatenate([copies[j], copies[i]]))
         span = forest(node[i], node[j])
         return pd.DataFrame({
             "node": np.concatenate([rows, node[i][span]]).astype("int64"),
@@ -182,29 +188,34 @@ def _linker(k: int, tables: int, threshold: float):
 def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
     """One row per vector: ``vec_id``, n_links, component_id (smallest reachable id), kept (id equals component)."""
     rows = vectors.select(F.col(vec_id).cast("long").alias("node"), F.col(embedding).cast("array<double>").alias("embedding"))
-    dims = rows.where("size(embedding) > 0").groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    size, d = (dims["count"], dims["d"]) if dims else (0, 1)
+    size = rows.where("size(embedding) > 0").count()
     k, tables = plan(size, threshold)
     rows = rows.select(F.monotonically_increasing_id().alias("row"), "node", "embedding")
-    hashed = saved(rows.mapInArrow(_hasher(d, k, tables), "row long, node long, unit binary, keys array<long>"), "hashed")
-    met = hashed.where("node is not null").select("row", F.posexplode("keys").alias("t", "key"))
-    counts = saved(met.groupBy("t", "key").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
+    hashed = saved(rows.mapInArrow(_hasher(k, tables), "row long, node long, unit binary, keys array<long>").withColumn("same", F.sha2("unit", 256)), "hashed")
+    live = hashed.where("node is not null and unit is not null")
+    sizes = saved(live.groupBy("same").agg(F.min("row").alias("row"), F.min("node").alias("least"), F.count("*").alias("copies")), "classes")
+    classes = saved(sizes.join(live.select("row", "unit", "keys"), "row").select("row", F.col("least").alias("node"), "copies", "unit", F.octet_length("unit").alias("d"), "keys"), "hashed")
+    met = classes.select("row", "d", F.posexplode("keys").alias("t", "key"))
+    counts = saved(met.groupBy("d", "t", "key").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
     work = counts.agg(F.sum(F.col("size") * F.ceil(F.col("size") / tile))).first()[0] or 0
     groups = max(1, math.ceil(work / GROUP_ROWS))
-    buckets = met.join(counts, ["t", "key"]).withColumn("tiles", F.ceil(F.col("size") / tile).cast("int"))
+    buckets = met.join(counts, ["d", "t", "key"]).withColumn("tiles", F.ceil(F.col("size") / tile).cast("int"))
     buckets = buckets.withColumn("mine", F.pmod(F.xxhash64("row"), F.col("tiles")).cast("int"))
     every = F.sequence(F.lit(0), F.col("tiles") - 1)
-    dealt = buckets.select("t", "key", "row", F.explode(F.transform(every, lambda o: F.struct(
+    dealt = buckets.select("d", "t", "key", "row", F.explode(F.transform(every, lambda o: F.struct(
         F.least("mine", o).alias("ta"), F.greatest("mine", o).alias("tb"), F.when(F.col("mine") <= o, 0).otherwise(1).alias("side"),
-    ))).alias("x")).select("t", "key", "row", "x.*")
+    ))).alias("x")).select("d", "t", "key", "row", "x.*")
     group = F.pmod(F.xxhash64("t", "key", "ta", "tb"), F.lit(groups)).alias("g")
-    tiles = dealt.join(hashed.select("row", "node", "unit"), "row").select("*", group).groupBy("g")
+    tiles = dealt.join(classes.select("row", "node", "copies", "unit"), "row").select("*", group).groupBy("d", "g")
     found = saved(tiles.applyInPandas(_linker(k, tables, threshold), "node long, other long, n long"), "links")
-    degree = found.where("n is not null").groupBy(F.col("node").alias("row")).agg(F.sum("n").alias("n_links"))
-    linked = components(found.where("other is not null"), "node", "other")
-    known = hashed.select("row", "node").join(degree, "row", "left").join(linked, "node", "left")
+    degree = found.where("n is not null").groupBy(F.col("node").alias("row")).agg(F.sum("n").alias("links"))
+    of_class = saved(sizes.join(degree, "row", "left").select("same", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "degrees")
+    # Copies hang on the least id of their class; ids that occur in several classes tie these together.
+    known = saved(hashed.select("node", F.when(F.col("node").isNotNull(), F.col("same")).alias("same")).join(of_class, "same", "left").select("node", "least", "n_links"), "known")
+    edges = found.where("other is not null").select("node", "other").unionByName(known.where("least <> node").select("node", F.col("least").alias("other")).distinct())
+    linked = components(edges, "node", "other")
     root = F.coalesce("component", "node")
-    return known.select(
+    return known.join(linked, "node", "left").select(
         F.col("node").alias(vec_id), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         root.alias("component_id"), (root == F.col("node")).alias("kept"),
     )

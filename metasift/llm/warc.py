@@ -15,6 +15,7 @@ import base64
 import hashlib
 import uuid
 from collections.abc import Iterator
+from datetime import UTC, datetime
 from urllib.parse import quote, unquote
 
 import pyarrow as pa
@@ -32,6 +33,8 @@ DICT_BYTES = 64_000
 #: Bytes of records, evenly spread over the archive, that its dictionary is built from.
 SAMPLE_BYTES = 1_000_000
 LEVEL = 3
+#: Tasks that read archives back, at most.
+READERS = 20_000
 #: Fixed value: the skippable frame that carries a dictionary for the frames after it.
 SKIPPABLE = (0x184D2A5D).to_bytes(4, "little")
 CRLF = b"\r\n"
@@ -53,20 +56,32 @@ def _ident(urn: str) -> str | None:
     return unquote(urn[len("<urn:x-page:"):-1]) if urn.startswith("<urn:x-page:") else None
 
 
-def record(ident: str | None, url: str | None, payload: bytes, kind: str, refers_to: str | None) -> bytes:
+def record(ident: str | None, url: str | None, payload: bytes, kind: str, refers_to: str | None, date: str = "1970-01-01T00:00:00Z") -> bytes:
     """One WARC/1.1 record.  A revisit keeps the response's HTTP head, its length included, and no payload."""
     http = CRLF.join([b"HTTP/1.1 200 OK", b"Content-Type: text/html; charset=utf-8", b"Content-Length: " + str(len(payload)).encode(), b"", b""])
     block = http + (payload if kind == "response" else b"")
     head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {_urn(ident)}"]
     if url is not None:
         head.append(f"WARC-Target-URI: {quote(url, safe='%:/?#[]@!$&()*+,;=~')}")
-    head += [f"WARC-Payload-Digest: sha1:{digest(payload)}", "Content-Type: application/http; msgtype=response"]
+    head += [f"WARC-Date: {date}", f"WARC-Payload-Digest: sha1:{digest(payload)}", "Content-Type: application/http; msgtype=response"]
     if kind == "revisit":
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_urn(refers_to)}"]
     head.append(f"Content-Length: {len(block)}")
     return "\r\n".join(head).encode() + CRLF + CRLF + block + CRLF + CRLF
 
 
+def info(name: str, date: str) -> bytes:
+    """The record that opens an archive and says what it is."""
+    block = f"software: metasift\r\nformat: WARC File Format 1.1\r\nisPartOf: {name}\r\n".encode()
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>", f"WARC-Date: {date}", f"WARC-Filename: {quote(name)}",
+            "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode() + CRLF + CRLF + block + CRLF + CRLF
+
+
+def is_info(raw: bytes) -> bool:
+    return raw.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo\r\n")
+
+
 def parse(raw: bytes) -> dict:
     """The fields of one record."""
     head, _, rest = raw.partition(CRLF + CRLF)
@@ -138,7 +153,7 @@ def _put(folder: str, name: str, data: bytes) -> str:
     return name
 
 
-def _writer(folder: str, limit: int):
+def _writer(folder: str, limit: int, date: str):
     @tidy
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -146,15 +161,16 @@ def _writer(folder: str, limit: int):
         part, held, size, k = TaskContext.get().partitionId(), [], 0, 0
 
         def close() -> pa.RecordBatch:
-            data = archive(held)
-            name = _put(folder, f"part-{part:05d}-{k:05d}.warc.zst", data)
+            name = f"part-{part:05d}-{k:05d}.warc.zst"
+            data = archive([info(name, date), *held])
+            _put(folder, name, data)
             return pa.RecordBatch.from_pylist([{"path": name, "records": len(held), "bytes": len(data)}])
 
         for batch in batches:
             for r in batch.to_pylist():
                 ident, best = r["page_id"], r["best"]
                 keep = ident == best
-                held.append(record(ident, r["url"], r["payload"], "response" if keep else "revisit", None if keep else best))
+                held.append(record(ident, r["url"], r["payload"], "response" if keep else "revisit", None if keep else best, date))
                 size += len(held[-1])
                 if size >= limit:
                     yield close()
@@ -165,9 +181,11 @@ def _writer(folder: str, limit: int):
     return write
 
 
-def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES, date: str | None = None) -> DataFrame:
     """Write ``pages`` to archives in ``folder``; returns their manifest (path, records, bytes).
 
+    ``date`` (``2024-05-01T12:00:00Z``) is when the pages were taken, now if not given; a retried task writes the same.
+
     Payloads meet by digest and length in an aggregation of maxima; the join back on it spreads hot payloads."""
     rows = pages.select(F.col(page_id).alias("id"), F.col(url).cast("string").alias("url"), text_or_empty(html).cast("binary").alias("payload"))
     rows = rows.withColumn("key", F.struct(F.octet_length("payload").alias("n"), F.sha2("payload", 256).alias("d")))
@@ -178,7 +196,7 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
         F.col("id").cast("string").alias("page_id"), "url", "payload",
         F.when(shared, F.col("best")).otherwise(F.col("id")).cast("string").alias("best"),
     )
-    return saved(known.mapInArrow(_writer(folder, archive_bytes), MANIFEST), "warc-manifest")
+    return saved(known.mapInArrow(_writer(folder, archive_bytes, date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")), MANIFEST), "warc-manifest")
 
 
 def read_archives(manifest: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
@@ -192,6 +210,8 @@ def read_archives(manifest: DataFrame, folder: str, payloads: bool = True) -> Da
                 rows, size = [], 0
                 with fs.open_input_stream(f"{base}/{path}", compression=None) as stream:
                     for at, raw in unarchive(stream):
+                        if is_info(raw):
+                            continue
                         row = parse(raw) | {"path": path, "offset": at}
                         if row["payload"] is not None and (len(row["payload"]) != row["payload_bytes"] or digest(row["payload"]) != row["payload_digest"]):
                             raise ValueError(f"{path} at {at}: the payload differs from its digest")
@@ -205,7 +225,8 @@ def read_archives(manifest: DataFrame, folder: str, payloads: bool = True) -> Da
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, kind)
 
-    return manifest.select("path").repartition("path").mapInArrow(read, RECORD)
+    # As many tasks as archives, up to a bound: with a number given, the few bytes of their names are not put into one.
+    return manifest.select("path").repartition(max(1, min(manifest.count(), READERS)), "path").mapInArrow(read, RECORD)
 
 
 def round_trip(pages: DataFrame, **options) -> DataFrame:

@@ -113,6 +113,16 @@ def unit_vectors(seed=3):
     return [x.astype(np.float32).astype(float).tolist() for x in out]
 
 
+def test_vectors_of_every_length_and_many_copies(spark):
+    rng = np.random.default_rng(4)
+    a, b, c = (rng.standard_normal(d) for d in (16, 16, 5))
+    near = a + 0.02 * rng.standard_normal(16)
+    rows = [(k, (a * (1 + k % 3)).tolist()) for k in range(5_000)] + [(6_000, near.tolist()), (6_001, b.tolist()), (7_000, c.tolist()), (7_001, (2 * c).tolist()), (7_002, [1.0]), (7_003, [2.0]), (7_004, [-1.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert {got[k] for k in range(5_000)} == {(5_000, 0)} and got[6_000] == (5_000, 0) and got[6_001] == (0, 6_001)
+    assert got[7_000] == got[7_001] == (1, 7_000) and got[7_002] == got[7_003] == (1, 7_002) and got[7_004] == (0, 7_004)
+
+
 @pytest.mark.parametrize("tile", [embeddings.TILE, 8])
 def test_embedding_links_match_brute_force(spark, tile):
     vectors = unit_vectors()
