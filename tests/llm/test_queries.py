@@ -13,7 +13,7 @@ from tests.harness import compare
 from tests.llm.test_groups import bags, groups_of
 from tests.llm.test_texts import plain_contamination
 
-RUNS = {"op1_lm_score": "documents", "op2_secret_scan": "documents", "op4_pii": "documents", "op6_quality": "documents", "op7_main_text": "pages", "op9_minhash_dedup": "documents"}
+RUNS = {"op1_lm_score": "documents", "op2_secret_scan": "documents", "op4_pii": "documents", "op6_quality": "documents", "op7_main_text": "pages", "op9_minhash_dedup": "documents", "op11_fill_in_middle": "documents", "op12_cross_tokenizer": "documents", "op13_host_rules": "documents"}
 
 
 @pytest.mark.parametrize("key", sorted(ORACLES))
@@ -28,7 +28,7 @@ def test_query_gives_a_row_for_each_input_row(spark, sf, key):
 
 def test_entry_registers_every_operator():
     keys = __spark_entry__.queries()
-    assert {f"op{n}" for n in range(1, 11)} <= {k.split("_")[0] for k in keys} and "pipeline" in keys
+    assert {f"op{n}" for n in range(1, 14)} <= {k.split("_")[0] for k in keys} and "pipeline" in keys
     assert set(ORACLES) <= set(__spark_entry__.oracle_sql())
 
 
@@ -83,7 +83,7 @@ def test_pipeline_of_odd_documents(spark, sf):
 
 
 def test_queries_and_stages_take_clashing_columns(spark, sf, tmp_path):
-    clash = ["n_words", "contamination", "secrets", "pii", "near", "judged", "row", "sign", "more", "added", "spans", "plain", "main_text", "host", "wrapper", "hits", "items", "keys", "score", "held_out", "text_", "part"]
+    clash = ["n_words", "contamination", "secrets", "pii", "near", "judged", "row", "sign", "more", "added", "spans", "plain", "main_text", "host", "wrapper", "hits", "items", "keys", "score", "held_out", "text_", "part", "middle", "aligned", "rated", "rules", "verdict", "host_bad", "same"]
     for name in ("documents", "pages", "embeddings", "benchmark", "labels"):
         df = spark.read.parquet(f"{sf}/{name}.parquet").limit(60)
         df.withColumns({c: F.lit(None).cast("string") for c in clash if c not in df.columns}).write.parquet(f"{tmp_path}/{name}.parquet")

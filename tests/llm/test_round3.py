@@ -101,7 +101,7 @@ def test_rearranged_by_words_keeps_words_whole(spark):
 
 ALIGNED = TEXTS + [
     "The quick brown fox, said O'Neil's unbelievable antidisestablishmentarianism.", "tabs\tand  double  spaces\n\nlines", "<|endoftext|> <s> </s> <0x41>",
-    "naïve café — “quotes” … 42,000.5 % ﬁ", "▁ low", " ", "  ", "\x00 nul", "The quick brown fox", " " * 300_000 + "end",
+    "naïve café — “quotes” … 42,000.5 % ﬁ", "▁ low", " ", "  ", "\x00 nul", "The quick brown fox", " " * 3_000 + "end",
 ]
 
 
@@ -185,6 +185,19 @@ def test_fast_ids_equal_plain_ids(sf):
     assert [x.tolist() for x in tool.encode(texts)] == [x.tolist() for x in tool._plain(texts)]
 
 
+def test_texts_that_the_fast_path_gives_up_on_are_encoded_all_the_same():
+    tool = alignment.ByteLevel(alignment.default_tokenizers()[0])
+    texts = [" one  two", " " * 50]
+    want = [x.tolist() for x in tool.encode(texts)]
+
+    class GivesUp:
+        def encode_to_numpy(self, text):
+            raise ValueError("backtracking")
+
+    tool.fast = GivesUp()
+    assert [x.tolist() for x in tool.encode(texts)] == want
+
+
 def test_alignment_query_counts_over_the_whole_table(spark, sf):
     rows = {r.doc_id: r for r in QUERIES["op12_cross_tokenizer"](spark, sf).collect()}
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
