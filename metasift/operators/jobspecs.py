@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from metasift.operators import ingest as ig
 from metasift.operators import quality as dq
-from metasift.session import cut_lineage
+from metasift.session import cut_lineage, shuffled
 from metasift.sources import files
 
 
@@ -320,7 +320,7 @@ def merge_layers(source: DataFrame, ingestion: DataFrame, sink: DataFrame, creat
     tags = F.col("tags") if "tags" in ingestion.columns else F.create_map().cast("map<string,string>")
     i = ingestion.select("job_id", *with_defaults(ingestion, INGESTION_DEFAULTS), tags.alias("_tags"))
     k = sink.select("job_id", *with_defaults(sink, SINK_DEFAULTS))
-    j = s.join(i, "job_id").join(k, "job_id")
+    j = s.join(shuffled(i), "job_id").join(shuffled(k), "job_id")
     st, job = F.col("source_type"), F.col("job_id")
     extra = F.create_map(*[F.lit(x) for kv in (extra_tags or {}).items() for x in kv]).cast("map<string,string>")
     later = lambda a, b: F.map_concat(F.map_filter(a, lambda key, _: ~F.map_contains_key(b, key)), b)
