@@ -25,6 +25,8 @@ from metasift.session import cut_lineage
 GRAM = 3
 #: Texts in which the grams of rules are counted to pick each rule's rarest; the choice changes the cost, never the rows.
 COUNTED = 10_000
+#: Of the counted texts, those beyond which a gram is spread over so many tasks, its rules going to each.
+HOT, SPREAD = 100, 64
 #: Rules without a literal that meet a text at once.
 BLOCK = 200
 
@@ -63,10 +65,17 @@ def detect_rules(payloads: DataFrame, rules: DataFrame) -> DataFrame:
     held = rules.where(F.length("literal") >= GRAM)
     own = held.select("rule_order", F.explode(grams(F.col("literal"))).alias("gram"))
     seen = texts.limit(COUNTED).select(F.explode(grams(F.col("txt"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
-    rank = F.struct(F.coalesce("n", F.lit(0)), "gram")
-    index = cut_lineage(own.join(seen, "gram", "left").groupBy("rule_order").agg(F.min_by("gram", rank).alias("gram")))
-    met = texts.select("payload_id", F.explode(grams(F.col("txt"))).alias("gram")).join(index, "gram").select("payload_id", "rule_order").distinct()
-    named = met.join(held, "rule_order").join(texts, "payload_id").where("contains(txt, literal) and regexp_like(txt, pattern)")
+    rank = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")
+    index = own.join(seen, "gram", "left").groupBy("rule_order").agg(F.min_by("gram", rank).alias("gram"), F.min(rank)["n"].alias("n"))
+    index = cut_lineage(index)
+    # Few grams are in so many texts; which ones are spread changes the cost, never the rows.
+    hot = [r.gram for r in index.where(F.col("n") > HOT).select("gram").distinct().collect()]
+    salt = F.when(F.col("gram").isin(hot), F.pmod(F.xxhash64("payload_id"), F.lit(SPREAD))).otherwise(F.lit(0)).cast("int").alias("salt")
+    salts = F.when(F.col("gram").isin(hot), F.lit(SPREAD - 1)).otherwise(F.lit(0))
+    ready = index.select("rule_order", "gram").join(held, "rule_order").withColumn("salt", F.explode(F.sequence(F.lit(0), salts)))
+    # A rule goes with its gram, so one that most texts meet gathers no texts in one task.
+    met = texts.select("payload_id", F.explode(grams(F.col("txt"))).alias("gram")).select("payload_id", "gram", salt).join(ready, ["gram", "salt"])
+    named = met.join(texts, "payload_id").where("contains(txt, literal) and regexp_like(txt, pattern)")
     found = named.select("payload_id", "category", "label", "rule_order", "pattern")
     bare = rules.where(F.length("literal") < GRAM)
     n = -(-bare.count() // BLOCK)

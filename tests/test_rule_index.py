@@ -52,3 +52,14 @@ def test_no_rules_or_texts(spark):
     _, payloads = texts(spark, 10, rng)
     assert ri.detect_rules(payloads, spark.createDataFrame([], SCHEMA)).count() == 0
     assert ri.detect_rules(payloads.limit(0), spark.createDataFrame(rule_rows(50, rng), SCHEMA)).count() == 0
+
+
+def test_spread_grams_give_the_same(spark, monkeypatch):
+    rng = random.Random(6)
+    _, payloads = texts(spark, 60, rng)
+    rules = spark.createDataFrame(rule_rows(300, rng), SCHEMA)
+    show = lambda: sorted(map(tuple, ri.detect_rules(payloads, rules).collect()))
+    plain = show()
+    monkeypatch.setattr(ri, "HOT", 0)
+    monkeypatch.setattr(ri, "SPREAD", 5)
+    assert plain and show() == plain
