@@ -86,9 +86,9 @@ INGESTION_EXTRACTORS = {
 }
 
 
-def prepared(payloads: DataFrame) -> DataFrame:
-    """Payloads with lookup maps and lower-case text, each computed once."""
-    return with_text(with_lookups(payloads))
+def prepared(payloads: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Payloads with lookup maps, of ``keys`` alone if given, and lower-case text, each computed once."""
+    return with_text(with_lookups(payloads, keys))
 
 
 def all_matches(pattern: str, group: int = 0) -> Column:
@@ -240,15 +240,20 @@ def fabric_ingestion_config(assets: DataFrame) -> DataFrame:
 def storage_config(payloads: DataFrame, assets: DataFrame, cap: int | None = None) -> DataFrame:
     """Storage blocks per payload: inventory rollups beside paths and keys from the text."""
     roll = inv.storage_rollup(assets, cap)
-    j = prepared(payloads).join(roll, "payload_id", "full_outer")
-    txt = F.coalesce("txt", F.lit(""))
-    s3, gs = tx.find_all(txt, tx.S3_PATH), tx.find_all(txt, tx.GCS_PATH)
+    found = {"account": ["snowflake_account", "account"], "warehouse": ["warehouse", "snowflake_warehouse"],
+             "dataset": ["bq_dataset", "dataset", "bigquery_dataset"], "project": ["gcp_project_id", "project_id", "project"]}
+    # What a payload gives is read before the join, which then moves neither texts nor lookup maps.
+    p = prepared(payloads, [k for keys in found.values() for k in keys]).select(
+        "payload_id", tx.find_all(F.col("txt"), tx.S3_PATH).alias("s3"), tx.find_all(F.col("txt"), tx.GCS_PATH).alias("gs"),
+        *[find_key(*keys).alias(f) for f, keys in found.items()])
+    j = p.join(roll, "payload_id", "full_outer")
+    s3, gs = (F.coalesce(c, F.array().cast("array<string>")) for c in ("s3", "gs"))
     text_buckets = F.array_distinct(F.transform(s3, lambda p: F.regexp_extract(p, "(?i)s3[an]?://([^/]+)", 1)))
     none = F.lit(0).cast("bigint")
     buckets = F.coalesce("bucket_count", none)
     text = lambda arr: F.nullif(F.array_join(tx.leading(arr, cap), "|"), F.lit(""))
     has_s3, has_az = (buckets > 0) | (F.size(s3) > 0), F.coalesce("account_count", none) > 0
-    account, dataset = find_key("snowflake_account", "account"), find_key("bq_dataset", "dataset", "bigquery_dataset")
+    account, dataset = F.col("account"), F.col("dataset")
     fields = {
         "s3.bucket_count": F.when(has_s3, F.when(buckets > 0, buckets).otherwise(F.size(text_buckets))),
         "s3.path_count": F.when(has_s3, F.when(F.size(s3) > 0, F.size(s3)).otherwise(buckets)),
@@ -256,8 +261,8 @@ def storage_config(payloads: DataFrame, assets: DataFrame, cap: int | None = Non
         "azure.account_count": F.when(has_az, F.col("account_count")), "azure.accounts": F.when(has_az, F.col("accounts")),
         "azure.hierarchical_namespace_enabled": F.when(has_az, F.col("any_hns")),
         "gcs.path_count": F.when(F.size(gs) > 0, F.size(gs)), "gcs.paths": text(gs),
-        "snowflake.account": account, "snowflake.warehouse": F.when(account.isNotNull(), find_key("warehouse", "snowflake_warehouse")),
-        "bigquery.dataset": dataset, "bigquery.project_id": F.when(dataset.isNotNull(), find_key("gcp_project_id", "project_id", "project")),
+        "snowflake.account": account, "snowflake.warehouse": F.when(account.isNotNull(), F.col("warehouse")),
+        "bigquery.dataset": dataset, "bigquery.project_id": F.when(dataset.isNotNull(), F.col("project")),
     }
     places = inv.storage_values(assets).select(
         "payload_id", F.concat(F.when(F.col("field") == "locations", "azure.").otherwise("s3."), "field").alias("field"), "value")

@@ -44,10 +44,18 @@ def truthy_text(kind: Column, v: Column) -> Column:
     )
 
 
-def with_lookups(df: DataFrame) -> DataFrame:
-    """Add per-surface maps of truthy scalars, parsed once per row, for :func:`find_key`."""
+def with_lookups(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Add per-surface maps of truthy scalars, parsed once per row, for :func:`find_key`.
+
+    With ``keys`` the maps hold these alone, in any case: all that is looked up, where a caller knows it.
+    """
+    wanted = None if keys is None else sorted({k.lower() for k in keys})
+
     def scalars(s: str) -> Column:
-        typed = F.transform_values(object_of(as_variant(F.col(s))), lambda _, v: F.struct(F.schema_of_variant(v).alias("k"), v.alias("v")))
+        members = object_of(as_variant(F.col(s)))
+        if wanted is not None:
+            members = F.map_filter(members, lambda k, _: F.lower(k).isin(*wanted))
+        typed = F.transform_values(members, lambda _, v: F.struct(F.schema_of_variant(v).alias("k"), v.alias("v")))
         texts = F.transform_values(typed, lambda _, x: truthy_text(x["k"], x["v"]))
         return F.coalesce(F.map_filter(texts, lambda _, v: v.isNotNull()), F.create_map().cast("map<string,string>"))
 
