@@ -16,16 +16,41 @@ CATEGORIES = ("framework", "source", "ingestion", "dq_rules")
 HIT = "array<struct<rule_order:int,label:string,evidence:string>>"
 
 
-def literal_stem(pattern: str) -> str:
-    """Longest literal run every match of ``pattern`` must hold; '' when there is none."""
-    best, run = "", ""
+def literal_runs(pattern: str) -> list[str]:
+    """The literal runs that every match of ``pattern`` must hold, in order."""
+    runs, run = [], ""
     for op, arg in re._parser.parse(pattern):
         if str(op) == "LITERAL":
             run += chr(arg)
-            best = max(best, run, key=len)
         elif str(op) != "AT":
+            runs.append(run)
             run = ""
-    return best
+    return [r for r in [*runs, run] if r]
+
+
+def literal_stem(pattern: str) -> str:
+    """Longest literal run every match of ``pattern`` must hold; '' when there is none."""
+    return max(literal_runs(pattern), key=len, default="")
+
+
+def shared_literal(patterns: list[str]) -> str:
+    """Longest run of letters and digits that every match of any of ``patterns`` must hold, of four at least or with a digit; '' when there is none."""
+    first, *others = [literal_runs(p) for p in patterns]
+    parts = {r[i:j] for r in first for i in range(len(r)) for j in range(i + 2, len(r) + 1)}
+    fit = [x for x in parts if x.isalnum() and (len(x) > 3 or not x.isalpha()) and all(any(x in r for r in runs) for runs in others)]
+    return min(fit, key=lambda x: (-len(x), x), default="")
+
+
+def neighbours(patterns: list[str]) -> list[tuple[str, list[str]]]:
+    """Patterns in their order, next ones that share a literal together with it."""
+    groups: list[tuple[str, list[str]]] = []
+    for p in patterns:
+        shared = shared_literal([*groups[-1][1], p]) if groups else ""
+        if shared:
+            groups[-1] = (shared, [*groups[-1][1], p])
+        else:
+            groups.append(("", [p]))
+    return groups
 
 
 def sql_text(value: str) -> str:
@@ -34,13 +59,16 @@ def sql_text(value: str) -> str:
 
 
 def matches(text: str, pattern: str) -> str:
-    """SQL condition: ``rlike`` behind a plain ``contains`` of the pattern's literal part.
+    """SQL condition: ``rlike`` behind plain ``contains`` of the pattern's literal parts, the longest first.
 
-    The byte search rejects nearly every row, so the regex seldom runs on long texts.
+    The byte search rejects nearly every row, so the regex seldom runs on long texts; a pattern of
+    nothing else needs none.
     """
-    stem = literal_stem(pattern)
-    hit = f"{text} rlike {sql_text(pattern)}"
-    return f"contains({text}, {sql_text(stem)}) and {hit}" if stem else hit
+    runs = sorted(dict.fromkeys(literal_runs(pattern)), key=len, reverse=True)
+    tests = [f"contains({text}, {sql_text(r)})" for r in runs]
+    if not all(str(op) == "LITERAL" for op, _ in re._parser.parse(pattern)):
+        tests.append(f"{text} rlike {sql_text(pattern)}")
+    return " and ".join(tests)
 
 
 def rule_hits(text: str, rule_list, evidence: str, base: int = 0, prefilter: bool = True) -> Column:
@@ -53,10 +81,13 @@ def rule_hits(text: str, rule_list, evidence: str, base: int = 0, prefilter: boo
     test = matches if prefilter else lambda t, p: f"{t} rlike {sql_text(p)}"
     hits = []
     for i, (label, patterns) in enumerate(rule_list):
-        arms = " ".join(
-            f"when {test(text, p)} then named_struct('rule_order', {base + i}, 'label', {sql_text(label)}, "
-            f"'evidence', {sql_text(f"{evidence} '{p}' → {label}")})" for p in patterns)
-        hits.append(f"case {arms} end")
+        tried = []
+        for shared, some in neighbours(patterns) if prefilter else [("", patterns)]:
+            arms = " ".join(
+                f"when {test(text, p)} then named_struct('rule_order', {base + i}, 'label', {sql_text(label)}, "
+                f"'evidence', {sql_text(f"{evidence} '{p}' → {label}")})" for p in some)
+            tried.append(f"case when contains({text}, {sql_text(shared)}) then case {arms} end end" if shared else f"case {arms} end")
+        hits.append(f"coalesce({', '.join(tried)})")
     return F.expr(f"array_compact(array({', '.join(hits)}))").cast(HIT)
 
 

@@ -7,15 +7,19 @@ are ``|``-joined texts.
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from metasift.functions import rules
 from metasift.functions import text as tx
 from metasift.operators import inventory as inv
+from metasift.operators.detect import literal_runs
 from metasift.operators.jsonwalk import holding, walk
 from metasift.operators.payload import find_key, with_lookups, with_text
-from metasift.session import cut_lineage
+from metasift.session import cut_lineage, shuffled
 
 ROLE_ARN = r"arn:aws:iam::[0-9]+:role/[^\s\"'>,]+"
 
@@ -73,6 +77,16 @@ EXTRACTORS: dict[str, tuple[str, dict]] = {
         "staging_location": ["staging_location"]}),
 }
 
+# Keys that the extractors with fields of their own look up.
+KEYS: dict[str, dict[str, list[str]]] = {
+    "s3": {"region": ["aws_region", "region"], "access_key_configured": ["aws_access_key_id", "access_key"]},
+    "adls": {"storage_account": ["storage_account", "azure_storage_account"], "tenant_id": ["azure_tenant_id", "tenant_id"]},
+    "gcs": {"project_id": ["gcp_project_id", "project_id", "project"]},
+    "redshift": {"host": ["redshift_host", "cluster_endpoint"], "port": ["redshift_port", "port"],
+                 "database": ["redshift_database", "database", "db"], "username": ["redshift_user", "db_user", "username"]},
+    "rest_api": {"auth_type": ["auth_type", "authentication"], "api_key_configured": ["api_key", "x_api_key"]},
+}
+
 # Detected label to extractor.
 SOURCE_EXTRACTORS = {
     "S3": "s3", "ADLS Gen2": "adls", "WASB/Azure Blob": "adls", "GCS": "gcs", "JDBC/Redshift": "redshift", "Snowflake Stage": "snowflake",
@@ -91,8 +105,18 @@ def prepared(payloads: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return with_text(with_lookups(payloads, keys))
 
 
+def where_held(pattern: str, found: Column) -> Column:
+    """``found`` where the lower-case text holds all literal parts of ``pattern``, so that the regex seldom runs."""
+    held = [F.col("txt").contains(r.lower()) for r in literal_runs(pattern)]
+    return F.when(functools.reduce(operator.and_, held), found) if held else found
+
+
 def all_matches(pattern: str, group: int = 0) -> Column:
-    return F.nullif(F.array_join(tx.find_all(F.col("txt"), pattern, group), "|"), F.lit(""))
+    return where_held(pattern, F.nullif(F.array_join(tx.find_all(F.col("txt"), pattern, group), "|"), F.lit("")))
+
+
+def first_match(pattern: str) -> Column:
+    return where_held(pattern, tx.find_first(F.col("txt"), pattern))
 
 
 def one_field(spec) -> Column:
@@ -100,12 +124,18 @@ def one_field(spec) -> Column:
         return find_key(*spec)
     mode, pattern = spec
     if mode == "first":
-        return tx.find_first(F.col("txt"), pattern)
+        return first_match(pattern)
     return all_matches(pattern, 1 if mode == "group" else 0)
 
 
 def first_path(pattern: str, capture: str) -> Column:
-    return tx.capture(tx.find_first(F.col("txt"), pattern), capture)
+    return where_held(pattern, tx.capture(tx.find_first(F.col("txt"), pattern), capture))
+
+
+def keys_of(name: str) -> list[str]:
+    """Every key that an extractor looks up."""
+    lists = KEYS[name].values() if name in KEYS else [s for s in EXTRACTORS[name][1].values() if isinstance(s, list)]
+    return [k for keys in lists for k in keys]
 
 
 def fields_of(name: str) -> dict[str, Column]:
@@ -113,28 +143,26 @@ def fields_of(name: str) -> dict[str, Column]:
     if name in EXTRACTORS:
         kind, spec = EXTRACTORS[name]
         return {"type": F.lit(kind), **{f: one_field(s) for f, s in spec.items()}}
-    flag = lambda *keys: F.when(find_key(*keys).isNotNull(), "true").otherwise("false")
+    look = {f: find_key(*keys) for f, keys in KEYS[name].items()}
+    flag = lambda f: F.when(look[f].isNotNull(), "true").otherwise("false")
     if name == "s3":
         return {"type": F.lit("Amazon S3"), "paths": all_matches(tx.S3_PATH), "bucket": first_path(tx.S3_PATH, "s3[an]?://([^/]+)"),
-                "region": find_key("aws_region", "region"), "access_key_configured": flag("aws_access_key_id", "access_key")}
+                "region": look["region"], "access_key_configured": flag("access_key_configured")}
     if name == "adls":
         return {"type": F.lit("Azure Data Lake Storage Gen2"), "paths": all_matches(tx.ABFSS_PATH),
-                "container": first_path(tx.ABFSS_PATH, "abfss?://([^@]+)@"),
-                "storage_account": find_key("storage_account", "azure_storage_account"), "tenant_id": find_key("azure_tenant_id", "tenant_id")}
+                "container": first_path(tx.ABFSS_PATH, "abfss?://([^@]+)@"), **look}
     if name == "gcs":
-        return {"type": F.lit("Google Cloud Storage"), "paths": all_matches(tx.GCS_PATH), "bucket": first_path(tx.GCS_PATH, "gs://([^/]+)"),
-                "project_id": find_key("gcp_project_id", "project_id", "project")}
+        return {"type": F.lit("Google Cloud Storage"), "paths": all_matches(tx.GCS_PATH), "bucket": first_path(tx.GCS_PATH, "gs://([^/]+)"), **look}
     if name == "redshift":
-        url = tx.find_first(F.col("txt"), r"jdbc:redshift://[^\s\"'>,]+")
-        return {"type": F.lit("Amazon Redshift"), "host": F.coalesce(find_key("redshift_host", "cluster_endpoint"), tx.capture(url, "jdbc:redshift://([^:/]+)")),
-                "port": F.coalesce(find_key("redshift_port", "port"), F.lit("5439")),
-                "database": F.coalesce(find_key("redshift_database", "database", "db"), tx.capture(url, "/([^?]+)$")),
-                "jdbc_url": url, "username": find_key("redshift_user", "db_user", "username")}
-    if name == "rest_api":
-        urls = tx.find_all(F.col("txt"), r"https?://[^\s\"'>,]+api[^\s\"'>,]*")
-        return {"type": F.lit("REST API"), "endpoints": F.nullif(F.array_join(urls, "|"), F.lit("")),
-                "auth_type": find_key("auth_type", "authentication"), "api_key_configured": flag("api_key", "x_api_key")}
-    raise KeyError(name)
+        pattern = r"jdbc:redshift://[^\s\"'>,]+"
+        url = tx.find_first(F.col("txt"), pattern)
+        return {"type": F.lit("Amazon Redshift"), "host": F.coalesce(look["host"], where_held(pattern, tx.capture(url, "jdbc:redshift://([^:/]+)"))),
+                "port": F.coalesce(look["port"], F.lit("5439")),
+                "database": F.coalesce(look["database"], where_held(pattern, tx.capture(url, "/([^?]+)$"))),
+                "jdbc_url": first_match(pattern), "username": look["username"]}
+    urls = tx.find_all(F.col("txt"), r"https?://[^\s\"'>,]+api[^\s\"'>,]*")
+    return {"type": F.lit("REST API"), "endpoints": F.nullif(F.array_join(urls, "|"), F.lit("")),
+            "auth_type": look["auth_type"], "api_key_configured": flag("api_key_configured")}
 
 
 ALL_NAMES = ["s3", "adls", "gcs", "redshift", "rest_api", *EXTRACTORS]
@@ -154,14 +182,18 @@ def typed_config(payloads: DataFrame, name: str) -> DataFrame:
 def detected_configs(payloads: DataFrame, labels: DataFrame, mapping: dict[str, str]) -> DataFrame:
     """Typed settings for every detected label ``labels(payload_id, label)``.
 
-    The labels pick the extractor per row, so one pass serves all of them.
+    What a payload gives is read once per extractor, before a join by shuffle that moves neither texts nor lookup
+    maps; the labels then pick the extractor per row.
     """
+    names = list(dict.fromkeys(mapping.values()))
+    p = prepared(payloads, [k for n in names for k in keys_of(n)]).select(
+        "payload_id", *[field_rows(n, fields_of(n)).alias(f"of_{n}") for n in names])
     rows = None
-    p = prepared(payloads).join(labels, "payload_id")
     for label, name in mapping.items():
-        arm = field_rows(name, fields_of(name))
-        rows = F.when(F.col("label") == label, arm) if rows is None else rows.when(F.col("label") == label, arm)
-    return p.select("payload_id", "label", F.explode(rows).alias("r")).select("payload_id", "label", "r.*")
+        given = F.col("label") == label
+        rows = F.when(given, F.col(f"of_{name}")) if rows is None else rows.when(given, F.col(f"of_{name}"))
+    found = p.join(shuffled(labels.where(F.col("label").isin(*mapping))), "payload_id")
+    return found.select("payload_id", "label", F.explode(rows).alias("r")).select("payload_id", "label", "r.*")
 
 
 def config_rows(df: DataFrame, name: str, fields: dict[str, Column]) -> DataFrame:
