@@ -23,7 +23,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,7 +33,7 @@ from metasift.llm.subwords import Subwords, default_tokenizer
 WINDOW, STRIDE, WIDTH, CLASSES = 32, 24, 16, 64
 ROUNDS = 4
 #: Windows of one training step, and of one scoring batch.
-STEP, BATCH = 64, 256
+STEP, BATCH = 64, 64
 RATE = 4e-3
 #: Words whose counts are broadcast.
 HEAD = 700_000
@@ -43,7 +42,7 @@ SKETCH = 64
 BLOCK = 1024
 _WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 #: White space that parts words, but not the tokenizer's chunks.
-_OTHER_WHITE = np.isin(np.arange(256), [9, 11, 12, 13])
+_OTHER_WHITE = (b"\t", b"\x0b", b"\x0c", b"\r")
 SMOOTH = 0.1
 
 
@@ -51,7 +50,8 @@ def read(tokens: Subwords, raw: np.ndarray, off: np.ndarray) -> tuple:
     """Word hashes with each text's first one, and subword ids with each text's first one; runs are looked for once."""
     runs, prefix = words(raw, off, ~_WHITE), hash_prefix(raw)
     h = word_hashes(raw, runs[0], runs[1], prefix)
-    ids, at = tokens.encode(raw, off) if _OTHER_WHITE[raw].any() else tokens.encode(raw, off, runs, h, prefix)
+    data = raw.tobytes()
+    ids, at = tokens.encode(raw, off) if any(x in data for x in _OTHER_WHITE) else tokens.encode(raw, off, runs, h, prefix)
     return h, runs[2], ids, at
 
 
@@ -110,11 +110,23 @@ class Tally:
         return self.counts.reshape(-1, self.columns)
 
 
+def _packed(cells: np.ndarray) -> bytes:
+    """The cells that are not zero and their counts: most are, so they cost far less to pack and add than whole blocks."""
+    at = np.flatnonzero(cells)
+    return zlib.compress(at.astype("<u4").tobytes() + cells[at].astype("<i8").tobytes(), 1)
+
+
+def _add(data: bytes, into: np.ndarray) -> None:
+    raw = zlib.decompress(data)
+    n = len(raw) // 12
+    into[np.frombuffer(raw, "<u4", n)] += np.frombuffer(raw, "<i8", n, 4 * n)
+
+
 def _blocks(counts: np.ndarray, name: str) -> Iterator[dict]:
     for k in range(0, len(counts), BLOCK):
         part = counts[k:k + BLOCK]
         if part.any():
-            yield {"kind": name, "a": k, "n": None, "data": zlib.compress(part.astype("<i8").tobytes(), 1)}
+            yield {"kind": name, "a": k, "n": None, "data": _packed(part.ravel())}
 
 
 COUNTED = "kind string, part long, a long, n long, data binary, words array<long>, counts array<long>"
@@ -177,25 +189,31 @@ def _counter(path: str, rounds: int):
     return count
 
 
-def _summed(part: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(zlib.decompress(x), "<i8") for x in part["data"])
-    return pd.DataFrame({"a": part["a"].iloc[:1], "data": [zlib.compress(np.asarray(total, "<i8").tobytes(), 1)]})
+def _totals(cells: int):
+    """The sum of a task's blocks of each range; a task holds the table once, however many blocks it reads."""
 
+    @tidy(seconds=1)
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for a, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if a not in total:
+                    total[a] = np.zeros(cells, np.int64)
+                _add(data, total[a])
+        for a, sums in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([a]), pa.array([_packed(sums)], pa.binary())], ["a", "data"])
 
-#: Parts that the tasks' blocks of one range are first summed in.
-PARTS = 64
+    return add
 
 
 def gathered(rows: DataFrame, kind: str, shape: tuple[int, int]) -> np.ndarray:
     """The sum of all tasks' count blocks; its size is that of the vocabulary, whatever the input."""
-    out = np.zeros(shape, np.int64)
-    blocks = rows.where(F.col("kind") == kind).select("a", "data")
-    # In two steps, so that no task holds the blocks of all tasks.
-    some = blocks.groupBy("a", F.pmod(F.xxhash64("data"), F.lit(PARTS)).alias("part")).applyInPandas(_summed, "a long, data binary")
-    for r in some.groupBy("a").applyInPandas(_summed, "a long, data binary").collect():
-        block = np.frombuffer(zlib.decompress(r["data"]), "<i8").reshape(-1, shape[1])
-        out[r["a"]:r["a"] + len(block)] = block
-    return out
+    out = np.zeros(shape[0] * shape[1], np.int64)
+    # In two steps, so that a range's task gets one block from each task instead of all.
+    add, blocks = _totals(BLOCK * shape[1]), rows.where(F.col("kind") == kind).select("a", "data")
+    for r in blocks.mapInArrow(add, "a long, data binary").repartition("a").mapInArrow(add, "a long, data binary").collect():
+        _add(r["data"], out[r["a"] * shape[1]:])
+    return out.reshape(shape)
 
 
 # --- the model ------------------------------------------------------------------------------
@@ -265,10 +283,10 @@ def _exp(x: np.ndarray) -> None:
     np.exp(x, out=x)
 
 
-def forward(net: Network, w: np.ndarray, tokens: np.ndarray) -> tuple:
+def forward(net: Network, w: np.ndarray, tokens: np.ndarray, first: int = 0) -> tuple:
     """Unnormalised class weights for windows of subwords (windows x WINDOW), and what the backward pass needs.
 
-    Values and outputs carry a column of ones, so one product gives a sum and its normaliser, or adds the bias."""
+    Positions before ``first`` are only looked back at and get none.  Values and outputs carry a column of ones, so one product gives a sum and its normaliser, or adds the bias."""
     qkv, place, out, bias = net.parts(w)
     m, d = len(tokens), WIDTH
     h = np.take(net.inputs, tokens, axis=0)
@@ -276,14 +294,14 @@ def forward(net: Network, w: np.ndarray, tokens: np.ndarray) -> tuple:
     x = h.reshape(-1, d) @ np.concatenate([qkv[:, :d] * _SCALE, qkv[:, d:], np.zeros((d, 1), qkv.dtype)], axis=1)
     x[:, 3 * d] = 1
     x = x.reshape(m, WINDOW, 3 * d + 1)
-    q, k, v = x[..., :d], x[..., d:2 * d], x[..., 2 * d:]
+    q, k, v = x[:, first:, :d], x[..., d:2 * d], x[..., 2 * d:]
     s = np.matmul(q, k.transpose(0, 2, 1))
     _exp(s)
-    s *= _CAUSAL
+    s *= _CAUSAL[first:]
     o = np.matmul(s, v)
     z = o[..., d:].copy()
     o /= z
-    o[..., :d] += h
+    o[..., :d] += h[:, first:]
     p = o.reshape(-1, d + 1) @ np.concatenate([out, bias[None]])
     _exp(p)
     return p, h, x, s, o, z
@@ -407,17 +425,17 @@ def score_texts(net: Network, seq: np.ndarray, offsets: np.ndarray, end: int) ->
     logp = net.share[seq, net.classes[before]].astype(np.float64)
     target = net.classes[seq]
     start, stop = windows(offsets, STRIDE)
-    # A window after its text's first one leaves the overlap to the one before.
+    # A window after its text's first one leaves the overlap to the one before, and only looks back at it.
     inner = np.append(False, stop[1:] == stop[:-1])
     before = before.astype(np.int32)
-    for lo in range(0, len(start), BATCH):
-        at, valid = reach(start[lo:lo + BATCH], stop[lo:lo + BATCH])
-        p = forward(net, net.weights, before[at])[0]
-        fresh = valid > 0
-        fresh[inner[lo:lo + BATCH], :WINDOW - STRIDE] = False
-        k = np.flatnonzero(fresh)
-        spot = at.ravel()[k]
-        logp[spot] += np.log10(np.maximum(p[k, target[spot]] / (p @ np.ones(CLASSES, p.dtype))[k], 1e-30))
+    for mine, first in ((np.flatnonzero(~inner), 0), (np.flatnonzero(inner), WINDOW - STRIDE)):
+        for lo in range(0, len(mine), BATCH):
+            some = mine[lo:lo + BATCH]
+            at, valid = reach(start[some], stop[some])
+            p = forward(net, net.weights, before[at], first)[0]
+            k = np.flatnonzero(valid[:, first:] > 0)
+            spot = at[:, first:].ravel()[k]
+            logp[spot] += np.log10(np.maximum(p[k, target[spot]] / (p @ np.ones(CLASSES, p.dtype))[k], 1e-30))
     return np.add.reduceat(logp, offsets[:-1]) if len(seq) else np.zeros(0)
 
 

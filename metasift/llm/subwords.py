@@ -122,10 +122,12 @@ class Subwords:
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         # A mark behind ASCII letters is a word of its own.
-        total = np.zeros(len(data) + 1, np.int64)
-        np.cumsum(_ASCII_LETTER[data], out=total[1:])
         last = data[ends - 1]
-        marked = np.isin(last, _MARKS) & (total[ends] - total[starts] == ends - starts - 1) & (ends - starts > 1)
+        some = np.flatnonzero(np.isin(last, _MARKS) & (ends - starts > 1))
+        # The mark is no letter; it is the chunk's only other byte where it is the first one from the chunk's start on.
+        other = np.flatnonzero(~_ASCII_LETTER[data])
+        marked = np.zeros(len(ends), bool)
+        marked[some[other[np.searchsorted(other, starts[some])] == ends[some] - 1]] = True
         ends = ends - marked
         if hashes is None:
             h = word_hashes(data, starts, ends)
