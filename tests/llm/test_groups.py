@@ -372,3 +372,18 @@ def test_training_lowers_the_loss():
     for _ in range(40):
         own.learn(seq, offsets, 200)
     assert loss(own.w) < 0.7 * first
+
+
+def test_count_tables_are_summed_over_their_cells(spark):
+    tables = [np.random.default_rng(k).poisson(0.05, (2 * lm.BLOCK + 3, lm.CLASSES)).astype(np.int32) for k in range(5)]
+    rows = [(b["kind"], b["a"], b["data"]) for t in tables for b in lm._blocks(t, "pairs")] + [("other", 0, b"")]
+    df = spark.createDataFrame(rows, "kind string, a long, data binary").repartition(3)
+    assert (lm.gathered(df, "pairs", tables[0].shape) == sum(tables)).all()
+
+
+def test_positions_that_only_look_back_get_no_weights():
+    rng = np.random.default_rng(3)
+    net = lm.fresh_network(rng.poisson(2, (2 * 41, lm.SKETCH)))
+    tokens = rng.integers(0, 40, (5, lm.WINDOW))
+    whole, late = lm.forward(net, net.weights, tokens)[0], lm.forward(net, net.weights, tokens, 8)[0]
+    np.testing.assert_allclose(late, whole.reshape(5, lm.WINDOW, -1)[:, 8:].reshape(len(late), -1), rtol=1e-5)
