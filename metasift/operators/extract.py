@@ -91,7 +91,7 @@ KEYS: dict[str, dict[str, list[str]]] = {
 SOURCE_EXTRACTORS = {
     "S3": "s3", "ADLS Gen2": "adls", "WASB/Azure Blob": "adls", "GCS": "gcs", "JDBC/Redshift": "redshift", "Snowflake Stage": "snowflake",
     "Kafka Topic": "kafka", "BigQuery": "bigquery", "JDBC/PostgreSQL": "jdbc", "JDBC/MySQL": "jdbc", "JDBC/MSSQL": "jdbc",
-    "JDBC/Oracle": "jdbc", "JDBC/Generic": "jdbc", "REST API": "rest_api",
+    "JDBC/Oracle": "jdbc", "JDBC/Generic": "jdbc", "REST API": "rest_api", "Microsoft Fabric": "fabric",
 }
 INGESTION_EXTRACTORS = {
     "AWS Glue Jobs": "glue", "ADF Pipelines": "adf", "Databricks Jobs": "databricks", "Apache Airflow DAGs": "airflow",
@@ -165,6 +165,7 @@ def fields_of(name: str) -> dict[str, Column]:
             "auth_type": look["auth_type"], "api_key_configured": flag("api_key_configured")}
 
 
+ROWS = "array<struct<extractor:string,field:string,value:string>>"
 ALL_NAMES = ["s3", "adls", "gcs", "redshift", "rest_api", *EXTRACTORS]
 
 
@@ -179,21 +180,55 @@ def typed_config(payloads: DataFrame, name: str) -> DataFrame:
     return prepared(payloads).select("payload_id", F.explode(field_rows(name, fields_of(name))).alias("r")).select("payload_id", "r.*")
 
 
-def detected_configs(payloads: DataFrame, labels: DataFrame, mapping: dict[str, str]) -> DataFrame:
-    """Typed settings for every detected label ``labels(payload_id, label)``.
+def detected_configs(payloads: DataFrame, labels: DataFrame, mapping: dict[str, str], assets: DataFrame | None = None) -> DataFrame:
+    """Typed settings for every detected label ``labels(payload_id, label)`` that ``mapping`` names an extractor for.
 
     What a payload gives is read once per extractor, before a join by shuffle that moves neither texts nor lookup
-    maps; the labels then pick the extractor per row.
+    maps; the labels then pick the extractor per row.  With ``assets`` the first discovered bucket and the discovered endpoints
+    stand in where a text has none (C01, C09), and Fabric items give their settings, one row per value (C10).
     """
-    names = list(dict.fromkeys(mapping.values()))
+    names = list(dict.fromkeys(n for n in mapping.values() if n != "fabric"))
     p = prepared(payloads, [k for n in names for k in keys_of(n)]).select(
         "payload_id", *[field_rows(n, fields_of(n)).alias(f"of_{n}") for n in names])
-    rows = None
+    none = F.array().cast(ROWS)
+    labels = labels.where(F.col("label").isin(*mapping))
+    fabric = [label for label, name in mapping.items() if name == "fabric" and assets is not None]
+    if fabric:
+        labels = cut_lineage(labels)  # two branches read them
+    rows = F.when(F.lit(False), none)
     for label, name in mapping.items():
-        given = F.col("label") == label
-        rows = F.when(given, F.col(f"of_{name}")) if rows is None else rows.when(given, F.col(f"of_{name}"))
-    found = p.join(shuffled(labels.where(F.col("label").isin(*mapping))), "payload_id")
-    return found.select("payload_id", "label", F.explode(rows).alias("r")).select("payload_id", "label", "r.*")
+        if name in names:
+            rows = rows.when(F.col("label") == label, F.col(f"of_{name}"))
+    found = p.join(shuffled(labels), "payload_id").select("payload_id", "label", rows.alias("rows"))
+    if assets is not None:
+        def instead(x: Column) -> Column:
+            own = x["extractor"] == F.get("rows", F.lit(0))["extractor"]
+            return own & ~F.exists("rows", lambda r: (r["field"] == x["field"]) | ((x["extractor"] == "s3") & (r["field"] == "paths")))
+
+        found = found.join(shuffled(discovered(assets)), "payload_id", "left").select(
+            "payload_id", "label", F.concat("rows", F.coalesce(F.filter("more", instead), none)).alias("rows"))
+    typed = found.select("payload_id", "label", F.explode("rows").alias("r")).select("payload_id", "label", "r.*")
+    if not fabric:
+        return typed
+    named = labels.where(F.col("label").isin(*fabric))
+    items = named.join(shuffled(fabric_source_config(assets)), "payload_id").select("payload_id", "label", "field", "value").unionByName(
+        named.select("payload_id", "label", F.lit("type").alias("field"), F.lit("Microsoft Fabric").alias("value")))
+    return typed.unionByName(items.select("payload_id", "label", F.lit("fabric").alias("extractor"), "field", "value"))
+
+
+def discovered(assets: DataFrame) -> DataFrame:
+    """(payload_id, more): settings that the inventory gives the extractors s3 and rest_api, as :func:`field_rows`."""
+    name = tx.asset_name(F.col("id"))
+    s3 = inv.first_asset(assets, "s3").select("payload_id", field_rows("s3", {
+        "paths": F.concat(F.lit("s3://"), name, F.lit("/")), "bucket": name, "region": F.coalesce(inv.config_text("region"), inv.config_text("Region"))}).alias("s3"))
+    api = assets.where("service = 'apigateway'")
+    n = api.groupBy("payload_id").agg(F.count("*").alias("n"))
+    urls = api.select("payload_id", inv.config_text("PublicInvokeURL").alias("value"), "dump_pos", "item_pos").where("value is not null")
+    found = inv.joined(inv.first_n(urls, ["payload_id"], ["dump_pos", "item_pos"], None), "found")
+    rest = n.join(shuffled(found), "payload_id", "left").select("payload_id", field_rows("rest_api", {
+        "endpoints": F.col("found"), "discovery_notes": F.concat(F.lit("Discovered "), F.col("n"), F.lit(" endpoints"))}).alias("rest"))
+    return s3.join(shuffled(rest), "payload_id", "full_outer").select("payload_id", F.concat(
+        *[F.coalesce(c, F.array().cast(ROWS)) for c in ("s3", "rest")]).alias("more"))
 
 
 def config_rows(df: DataFrame, name: str, fields: dict[str, Column]) -> DataFrame:

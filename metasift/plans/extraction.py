@@ -92,18 +92,26 @@ FIRST = """fa as (select payload_id, service, arg_min(trim(string_split(id,'||')
  from (select *, dump_pos * 100000000 + item_pos as k, json_extract_string(configuration,'$.Region') as region, json_extract_string(configuration,'$.Runtime') as runtime from fx_asset) group by 1, 2)"""
 
 
+S3_FROM = f"(select t.*, fa.name as a, fa.region as ar, {all_of(S3)} as p from t left join fa on fa.payload_id = t.payload_id and fa.service = 's3')"
+S3_FIELDS = {"type": "'Amazon S3'", "paths": "coalesce(p, 's3://' || a || '/')", "bucket": f"case when p is null then a else {cap(first_of(S3), 's3[an]?://([^/]+)')} end",
+             "region": f"coalesce({find('aws_region', 'region')}, case when p is null then ar end)", "access_key_configured": flag("aws_access_key_id", "access_key")}
+
+
 @query("C01", "cfg_s3", f"""
-with {TEXT}, {FIRST}, j as (select t.*, fa.name as a, fa.region as ar, {all_of(S3)} as p from t left join fa on fa.payload_id = t.payload_id and fa.service = 's3')
-""" + rows_sql({"type": "'Amazon S3'", "paths": "coalesce(p, 's3://' || a || '/')", "bucket": f"case when p is null then a else {cap(first_of(S3), 's3[an]?://([^/]+)')} end",
-                "region": f"coalesce({find('aws_region', 'region')}, case when p is null then ar end)", "access_key_configured": flag("aws_access_key_id", "access_key")}, "j"), (CONN, ASSET))
+with {TEXT}, {FIRST}, j as {S3_FROM}
+""" + rows_sql(S3_FIELDS, "j"), (CONN, ASSET))
 def cfg_s3(spark, sf):
     return ex.s3_config(fixture(spark, sf, CONN), assets(spark, sf)).select("payload_id", "field", "value")
 
 
+API_COUNT = "n as (select payload_id, count(*) as n from fx_asset where service = 'apigateway' group by 1)"
+REST_FIELDS = {"type": "'REST API'", "endpoints": "nullif(array_to_string(regexp_extract_all(txt, 'https?://[^\\s\"''>,]+api[^\\s\"''>,]*'), '|'), '')",
+               "auth_type": find("auth_type", "authentication"), "api_key_configured": flag("api_key", "x_api_key"), "discovery_notes": "'Discovered ' || n || ' endpoints'"}
+
+
 @query("C09", "cfg_rest_api", f"""
-with {TEXT}, n as (select payload_id, count(*) as n from fx_asset where service = 'apigateway' group by 1), j as (select t.*, n.n from t left join n using (payload_id))
-""" + rows_sql({"type": "'REST API'", "endpoints": "nullif(array_to_string(regexp_extract_all(txt, 'https?://[^\\s\"''>,]+api[^\\s\"''>,]*'), '|'), '')",
-                "auth_type": find("auth_type", "authentication"), "api_key_configured": flag("api_key", "x_api_key"), "discovery_notes": "'Discovered ' || n || ' endpoints'"}, "j"), (CONN, ASSET))
+with {TEXT}, {API_COUNT}, j as (select t.*, n.n from t left join n using (payload_id))
+""" + rows_sql(REST_FIELDS, "j"), (CONN, ASSET))
 def cfg_rest_api(spark, sf):
     return ex.rest_api_config(fixture(spark, sf, CONN), assets(spark, sf)).select("payload_id", "field", "value")
 
@@ -223,13 +231,17 @@ def to_unified_schema(spark, sf):
         F.array_join(F.transform("missing", lambda x: F.element_at(F.split(x, r"\."), -1)), "|").alias("missing"))
 
 
+TEXT_NAMES = [n for n in dict.fromkeys(ex.SOURCE_EXTRACTORS.values()) if n not in ("s3", "rest_api", "fabric")]
+
+
 @query("2.4", "detected_source_configs", f"""
-with {TEXT}, h as (select distinct payload_id, label from {hits_sql(rules.SOURCE_RULES, 'x')}),
-r as (select * from ({" union all ".join(f"select payload_id, {q(n)} as extractor, field, value from ({rows_sql(sql_fields(n), 't')})" for n in ('adls', 'gcs', 'redshift', 'kafka', 'jdbc'))}))
+with {TEXT}, {FIRST}, {API_COUNT}, js as {S3_FROM}, jr as (select t.*, n.n from t left join n using (payload_id)),
+h as (select distinct payload_id, label from {hits_sql(rules.SOURCE_RULES, 'x')}),
+r as (select * from ({" union all ".join(f"select payload_id, {q(n)} as extractor, field, value from ({rows_sql(fields, source)})" for n, fields, source in (
+    [(n, sql_fields(n), 't') for n in TEXT_NAMES] + [('s3', S3_FIELDS, 'js'), ('rest_api', REST_FIELDS, 'jr')]))}))
 select r.payload_id, h.label, r.field, r.value from r join (values {", ".join(f"({q(a)},{q(b)})" for a, b in ex.SOURCE_EXTRACTORS.items())}) m(label, extractor) using (extractor)
- join h on h.payload_id = r.payload_id and h.label = m.label""", CONN)
+ join h on h.payload_id = r.payload_id and h.label = m.label""", (CONN, ASSET))
 def detected_source_configs(spark, sf):
     p = fixture(spark, sf, CONN)
     labels = dt.detect_text(p, "source").select("payload_id", "label")
-    mapping = {k: v for k, v in ex.SOURCE_EXTRACTORS.items() if v in ("adls", "gcs", "redshift", "kafka", "jdbc")}
-    return ex.detected_configs(p, labels, mapping).select("payload_id", "label", "field", "value")
+    return ex.detected_configs(p, labels, ex.SOURCE_EXTRACTORS, assets(spark, sf)).select("payload_id", "label", "field", "value")

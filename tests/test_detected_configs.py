@@ -48,3 +48,31 @@ def test_patterns_with_a_shared_literal_stand_behind_it():
     assert dt.neighbours([r"\bmongodb\b", "pymongo", "mongo://", "redis"]) == [("mongo", [r"\bmongodb\b", "pymongo", "mongo://"]), ("", ["redis"])]
     assert dt.literal_runs(r"event.?hubs?") == ["event", "hub"] and dt.literal_stem(r"azure.*data.*lake") == "azure"
     assert dt.matches("t", "s3://") == "contains(t, 's3://')"
+
+
+def test_every_label_with_an_extractor_is_dispatched_and_the_inventory_stands_in(spark):
+    texts = ["aws copy s3 ", "s3a://lake/y", "openapi", "https://h/api/v1 openapi", "copy into t", "gs://b/x"]
+    p = spark.createDataFrame([(k, '{"auth_type":"oauth"}', '{"account":"a1","bq_dataset":"d"}', f'{{"u":"{t}"}}') for k, t in enumerate(texts)], "payload_id long, metadata string, config string, raw_json string")
+    labels = dt.detect_text(p, "source").select("payload_id", "label").unionByName(spark.createDataFrame([(5, "BigQuery"), (5, "Microsoft Fabric"), (5, "MongoDB")], "payload_id long, label string"))
+    assets = spark.createDataFrame(
+        [(k, 0, i, s, f"us || {s}-{i}", c) for k in (0, 1, 2, 3, 5) for i, (s, c) in enumerate([("s3", '{"Region":"eu"}'), ("s3", "{}"), ("apigateway", '{"PublicInvokeURL":"https://api/1"}'), ("apigateway", "{}"), ("fabric_items", '{"Type":"Lakehouse"}')])],
+        "payload_id long, dump_pos int, item_pos int, service string, id string, configuration string")
+    rows = ex.detected_configs(p, labels, ex.SOURCE_EXTRACTORS, assets).collect()
+    got = {}
+    for r in rows:
+        got.setdefault((r.payload_id, r.label), {})[r.field] = r.value
+    assert got == {
+        (0, "S3"): {"type": "Amazon S3", "paths": "s3://s3-0/", "bucket": "s3-0", "region": "eu", "access_key_configured": "false"},
+        (1, "S3"): {"type": "Amazon S3", "paths": "s3a://lake/y", "bucket": "lake", "access_key_configured": "false"},
+        (2, "REST API"): {"type": "REST API", "endpoints": "https://api/1", "auth_type": "oauth", "api_key_configured": "false", "discovery_notes": "Discovered 2 endpoints"},
+        (3, "REST API"): {"type": "REST API", "endpoints": "https://h/api/v1", "auth_type": "oauth", "api_key_configured": "false", "discovery_notes": "Discovered 2 endpoints"},
+        (4, "Snowflake Stage"): {"type": "Snowflake", "account": "a1"},
+        (5, "GCS"): {"type": "Google Cloud Storage", "paths": "gs://b/x", "bucket": "b"},
+        (5, "BigQuery"): {"type": "Google BigQuery", "dataset": "d"},
+        (5, "Microsoft Fabric"): {"type": "Microsoft Fabric", "workspace_names": "fabric_items-4", "item_types": "Lakehouse"}}
+
+
+def test_the_query_dispatches_every_source_extractor(spark, sf):
+    from metasift.plans.extraction import detected_source_configs
+
+    assert {r.label for r in detected_source_configs(spark, sf).select("label").distinct().collect()} >= {"S3", "GCS", "ADLS Gen2", "JDBC/Redshift", "Kafka Topic"}
