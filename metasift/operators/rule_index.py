@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from metasift.operators.detect import literal_stem
 from metasift.operators.documents import bound
 from metasift.operators.payload import with_text
-from metasift.session import cut_lineage
+from metasift.session import cut_lineage, shuffled
 
 GRAM = 3
 #: Texts in which the grams of rules are counted to pick each rule's rarest; the choice changes the cost, never the rows.
@@ -72,10 +72,13 @@ def detect_rules(payloads: DataFrame, rules: DataFrame) -> DataFrame:
     hot = [r.gram for r in index.where(F.col("n") > HOT).select("gram").distinct().collect()]
     salt = F.when(F.col("gram").isin(hot), F.pmod(F.xxhash64("payload_id"), F.lit(SPREAD))).otherwise(F.lit(0)).cast("int").alias("salt")
     salts = F.when(F.col("gram").isin(hot), F.lit(SPREAD - 1)).otherwise(F.lit(0))
-    ready = index.select("rule_order", "gram").join(held, "rule_order").withColumn("salt", F.explode(F.sequence(F.lit(0), salts)))
+    ready = index.select("rule_order", "gram").join(shuffled(held), "rule_order").withColumn("salt", F.explode(F.sequence(F.lit(0), salts)))
+    # Texts' grams that no rule stands under, nearly all, go before the shuffle.
+    wanted = cut_lineage(index.select("gram").distinct())
+    kept = texts.select("payload_id", F.explode(grams(F.col("txt"))).alias("gram")).join(wanted, "gram", "left_semi")
     # A rule goes with its gram, so one that most texts meet gathers no texts in one task.
-    met = texts.select("payload_id", F.explode(grams(F.col("txt"))).alias("gram")).select("payload_id", "gram", salt).join(ready, ["gram", "salt"])
-    named = met.join(texts, "payload_id").where("contains(txt, literal) and regexp_like(txt, pattern)")
+    met = kept.select("payload_id", "gram", salt).join(shuffled(ready), ["gram", "salt"])
+    named = met.join(shuffled(texts), "payload_id").where("contains(txt, literal) and regexp_like(txt, pattern)")
     found = named.select("payload_id", "category", "label", "rule_order", "pattern")
     bare = rules.where(F.length("literal") < GRAM)
     n = -(-bare.count() // BLOCK)

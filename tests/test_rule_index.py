@@ -63,3 +63,13 @@ def test_spread_grams_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(ri, "HOT", 0)
     monkeypatch.setattr(ri, "SPREAD", 5)
     assert plain and show() == plain
+
+
+def test_neither_texts_nor_rules_are_broadcast(spark):
+    """Only the distinct grams of rules may be: texts and rules grow with the input."""
+    texts = spark.createDataFrame([(k, "{}", f'{{"name":"job_{k}"}}', "{}") for k in range(20)], "payload_id long, metadata string, config string, raw_json string")
+    rules = spark.createDataFrame([("job", f"J{k}", f'"job_{k}"', k) for k in range(30)], "category string, label string, pattern string, rule_order long")
+    found = ri.detect_rules(texts, rules)
+    joins = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin" in line or "BroadcastNestedLoopJoin" in line]
+    assert all("LeftSemi" in line for line in joins), joins
+    assert sorted(r.label for r in found.collect()) == sorted(f"J{k}" for k in range(20))
