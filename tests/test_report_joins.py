@@ -32,3 +32,10 @@ def test_reports_are_joined_by_shuffle(spark):
     assert [k for k, df in enumerate(frames) if "Broadcast" in plan(df)] == []
     got = {x.pipeline_id: (x.source_type, x.destination, x.nodes, x.edges) for x in out.collect()}
     assert got == {0: (None, None, 1, None), 1: ("Mixed", "lake", 4, 2), 2: ("Mixed", "t", 4, 2), 3: ("Mixed", "t", 4, 2)}
+
+
+def test_alike_reports_are_found_without_broadcasts(spark):
+    _, r = reports(spark)
+    alike = ac.structural_dedup(r["nodes"], r["edges"], r["text"], ac.P)
+    assert "Broadcast" not in plan(alike)
+    assert sorted((x.pipeline_id, x.copies) for x in alike.collect()) == [(0, 1), (1, 1), (2, 2)]
