@@ -440,12 +440,16 @@ def unified_schema(results: DataFrame, doc: str = "result") -> DataFrame:
 
     Connection details are a map; steps and rules stay inside their row.
     """
-    v = F.try_parse_json(F.col(doc))
+    v = F.col("v")
+
+    texts: dict[str, str] = {}  # path to the column that holds its text
 
     def t(path: str) -> Column:
-        g = F.try_variant_get(v, f"$.{path}", "variant")
-        scalar = ~F.schema_of_variant(g).rlike("^(OBJECT|ARRAY|VOID)")
-        return F.when(scalar, F.nullif(F.try_variant_get(g, "$", "string"), F.lit("")))
+        text = F.col(texts.setdefault(path, f"t{len(texts)}"))
+        # Only a container's text, or a string like one, opens so; just these are asked for their type.
+        opens = text.startswith("{") | text.startswith("[")
+        container = F.schema_of_variant(F.try_variant_get(v, f"$.{path}", "variant")).rlike("^(OBJECT|ARRAY)")
+        return F.when(~opens | ~container, F.nullif(text, F.lit("")))
 
     src, ing = "source_config", "ingestion_config"
     details = F.map_filter(F.create_map(*[x for k in CONNECTION_KEYS for x in (F.lit(k), F.coalesce(t(f"{src}.connection.{k}"), t(f"{src}.{k}")))]),
@@ -469,8 +473,7 @@ def unified_schema(results: DataFrame, doc: str = "result") -> DataFrame:
             "source_configs.connection_details.table": gone("table"), "source_configs.connection_details.endpoint": gone("endpoint", "base_url"),
             "source_configs.connection_details.path": gone("path", "prefix", "folder_path"),
             "ingestion_configs.trigger_type": F.col("trigger_type").isNull(), "ingestion_configs.frequency": F.col("frequency").isNull()}
-    out = results.select(
-        "config_id",
+    columns = [
         F.coalesce(t(f"{src}.type"), t(f"{src}.source_type"), F.lit("Unknown")).alias("source_type"),
         F.coalesce(t(f"{src}.service_name"), t(f"{src}.linked_service"), t(f"{ing}.pipeline_type"), t("framework"), t("platform"), F.lit("Unknown")).alias("service_name"),
         F.coalesce(t(f"{src}.connection.auth_type"), t(f"{src}.auth_type"), t(f"{src}.authentication_type"), F.lit("Unknown")).alias("authentication_type"),
@@ -480,5 +483,9 @@ def unified_schema(results: DataFrame, doc: str = "result") -> DataFrame:
         F.coalesce(t(f"{src}.format"), t(f"{src}.file_format"), t(f"{ing}.format")).alias("data_format"),
         F.coalesce(t(f"{ing}.output.type"), t(f"{ing}.output.bucket"), t(f"{ing}.target.type"), t(f"{ing}.target.bucket"), t(f"{src}.type"), F.lit("Unknown")).alias("destination"),
         F.when(F.size(named) > 0, named).otherwise(F.array(F.lit("row_count_check"), F.lit("schema_check"))).alias("dq_rules"),
-        F.concat(framework, F.lit(": "), F.array_join(chain, " -> ")).alias("flow_text"))
+        F.concat(framework, F.lit(": "), F.array_join(chain, " -> ")).alias("flow_text")]
+    # Rows of their own bind the parsed document and its texts, or every field would parse and search it again.
+    parsed = results.select("config_id", F.inline(F.array(F.struct(F.try_parse_json(F.col(doc)).alias("v")))))
+    read = parsed.select("config_id", "v", F.inline(F.array(F.struct(*[F.try_variant_get(v, f"$.{p}", "string").alias(c) for p, c in texts.items()]))))
+    out = read.select("config_id", *columns)
     return out.withColumn("missing", F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in gaps.items()])))
