@@ -94,3 +94,9 @@ def test_flow_texts(spark):
         None: "No explicit source -> none -> no explicit sink"}
     flow = {r.pipeline_id: r.text for r in ac.loading_flow(ordered, cands, dests).collect()}
     assert list(flow) == [1] and flow[1].endswith(" -> TRANSFORMATION: B -> DESTINATION: d1, d2") and "SOURCE: p" in flow[1]
+
+
+def test_repeated_activities_are_not_multiplied(spark):
+    chain = [(1, i, f"n{i}", "Copy", [f"n{d}" for d in (i - 1, i - 2) if d > 0], None, None, None, None) for i in range(1, 7)]
+    got = [(r.idx, r.pos, r.level, r.cyclic) for r in ac.order_activities(spark.createDataFrame(chain * 3, SCHEMA)).collect()]
+    assert sorted(got) == sorted([(i, i, i - 1, False) for i in range(1, 7)] * 3)
